@@ -85,8 +85,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, open_windows: int = 64,
         names, kinds = [*COLUMNS, "ids"], [pa.int64()] * 7 + [pa.binary()]
         for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
             out = []
-            for doc, text in rows:
-                ids = enc.encode(text.decode()) + end
+            for (doc, _), ids in zip(rows, enc.encode_many([t for _, t in rows]), strict=True):
+                ids += end
                 total = len(ids) // 4
                 whole = total - total % window
                 for at in range(0, whole, window):

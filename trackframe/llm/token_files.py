@@ -59,7 +59,7 @@ def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         enc, total = loaded(ByteLevelEncoder, path), np.zeros(0, np.int64)
         for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
-            ids = np.frombuffer(b"".join(enc.encode(t.decode()) for _, t in rows), "<u4")
+            ids = np.frombuffer(b"".join(enc.encode_many([t for _, t in rows])), "<u4")
             seen = np.bincount(np.append(ids, end_id), minlength=len(total))
             seen[end_id] += len(rows) - 1
             seen[: len(total)] += total
@@ -91,7 +91,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, block_by
         enc, rank, part = loaded(ByteLevelEncoder, path), held.value, TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         for block, rows in enumerate(row_groups(batches, block_bytes, lambda r: len(r[1]) + 16)):
-            ids = [enc.encode(t.decode()) + end for _, t in rows]
+            ids = [i + end for i in enc.encode_many([t for _, t in rows])]
             control, data = encode_block(rank[np.frombuffer(b"".join(ids), "<u4")])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([[d for d, _ in rows]], pa.list_(pa.int64())), pa.array([[len(i) // 4 for i in ids]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from itertools import filterfalse
 
 import numpy as np
 
@@ -12,7 +14,9 @@ from trackframe.llm.common import TwoGenerations
 _LOADED: dict = {}
 
 #: White space as the tokenizers' patterns see it (Unicode White_Space), without space and line feed.
-OTHER_SPACE = "\t\x0b-\r\x85\xa0  -     　"
+OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0                　"
+#: ASCII marks that may follow a word.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def loaded(kind, path: str, *args):
@@ -24,59 +28,129 @@ def loaded(kind, path: str, *args):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts (UTF-8 bytes) as little-endian unsigned 32-bit bytes.
 
     Texts are cut where the tokenizer's own pre-tokenizer always cuts, and the ids of each distinct
-    piece are kept. `most` bounds the cache; special tokens' strings in a text are ordinary text.
+    piece are kept; the new pieces of a group of texts are encoded together. A piece is bytes, or a 1-tuple of
+    bytes that stand for exactly themselves. `most` bounds the cache, where a word is kept once, whatever marks
+    follow it; special tokens' strings are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = TwoGenerations(most, self.make)
-
-    def ids(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        out = b"".join(map(self.cache.__getitem__, self.pieces(text)))
-        self.cache.turn()
+        self.cache = TwoGenerations(most)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a word (or, by the other mark, begin one).
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for p, i in vocabulary.items() if (p.endswith(self.EDGE) if self.at_end else p.startswith(self.EDGE))]] = True
+
+    def cut_end(self, piece):
+        """A piece as what ends in an ASCII letter and the marks after it: a cut that the patterns make too.
+
+        Apostrophes, which begin contractions, are left alone.
+        """
+        if isinstance(piece, bytes):
+            core = piece.rstrip(MARKS)
+            if len(core) < len(piece) and core[-1:].isalpha():
+                return core, (piece[len(core) :],)
+        return piece, None
+
+    def learn(self, pieces: set) -> list:
+        """Put the pieces in the cache; returns those that need not stay."""
+        cache, old, new, ends = self.cache, self.cache.old, set(), []
+        for p in pieces:
+            if (ids := old.get(p)) is not None:
+                cache[p] = ids
+                continue
+            core, marks = self.cut_end(p)
+            if marks:
+                ends.append((p, core, marks))
+            for part in (core, marks):
+                if part is not None and part not in cache:
+                    if (ids := old.get(part)) is None:
+                        new.add(part)
+                    else:
+                        cache[part] = ids
+        words = [p for p in new if isinstance(p, bytes) and p.decode().isalpha()]
+        new.difference_update(words)
+        for at in range(0, len(words), 256):
+            new.update(self.learn_words(words[at : at + 256]))
+        todo = list(new)
+        found = self.tokenizer.encode_batch_fast([self.stands_for(p).decode() for p in todo], add_special_tokens=False)
+        for p, e in zip(todo, found, strict=True):
+            ids = e.ids
+            cache[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for p, core, marks in ends:
+            cache[p] = cache[core] + cache[marks]
+        return [p for p, _, _ in ends]
+
+    def learn_words(self, words: list[bytes]) -> list[bytes]:
+        """Encode words of letters as one text, cut where ids begin or end a word; returns them if that fails."""
+        text = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids]) + (1 if self.at_end else 0)
+        if len(at) != len(words):
+            return words
+        raw, cuts = ids.tobytes(), (4 * at).tolist()
+        cuts = [0, *cuts] if self.at_end else [*cuts, len(raw)]
+        if cuts[0] or cuts[-1] != len(raw):
+            return words
+        self.cache.update(zip(words, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        return []
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        out, at, cache = [], 0, self.cache
+        while at < len(texts):
+            cut, size, missing = [], 0, set()
+            while at < len(texts) and size < 1_000_000:
+                cut.append(c := self.pieces(texts[at]))
+                missing.update(filterfalse(cache.__contains__, c))
+                size, at = size + len(texts[at]), at + 1
+            passing = self.learn(missing)
+            out += [b"".join(map(cache.__getitem__, c)) for c in cut]
+            for p in passing:
+                del cache[p]
+            cache.turn()
         return out
 
 
 class ByteLevelEncoder(Encoder):
     """For byte-level BPE whose pattern gives a single space to the word after it.
 
-    A piece stands for itself with a space before it, unless it begins with a line feed (then it
-    stands for itself) or comes as a 1-tuple from a text with other or doubled white space.
+    A piece of bytes stands for itself with a space before it, unless it begins with a line feed.
     """
 
+    EDGE, at_end = "Ġ", False
+
     #: The tokenizer's own white-space rule: a run leaves its last character to what follows.
     RUNS = re.compile(f" ?[^ \n{OTHER_SPACE}]+|[ \n{OTHER_SPACE}]+(?![^ \n{OTHER_SPACE}])|[ \n{OTHER_SPACE}]")
-    ODD = re.compile(f"[{OTHER_SPACE}]|^[ \n]|[ \n][ \n]|[ \n]\\Z")
+    #: What any other white space holds in UTF-8, and white space that is doubled.
+    ODD = [b"  ", b"\n\n", b" \n", b"\n ", *sorted({c.encode()[:2] for c in OTHER_SPACE})]
 
-    def make(self, piece):
-        if isinstance(piece, tuple):
-            return self.ids(piece[0])
-        return self.ids(piece if piece[0] == "\n" else " " + piece)
+    def stands_for(self, piece) -> bytes:
+        return piece[0] if isinstance(piece, tuple) else piece if piece[:1] == b"\n" else b" " + piece
 
-    def pieces(self, text: str):
+    def pieces(self, text: bytes) -> list:
         if not text:
             return []
-        if self.ODD.search(text):
-            return [(p,) for p in self.RUNS.findall(text)]
-        first, _, rest = text.replace("\n", " \n").partition(" ")
-        return [(first,), *rest.split(" ")] if rest else [(first,)]
+        if text[:1] in b" \n" or text[-1:] in b" \n" or any(map(text.__contains__, self.ODD)):
+            return [(p.encode(),) for p in self.RUNS.findall(text.decode())]
+        cut = text.replace(b"\n", b" \n").split(b" ")
+        cut[0] = (cut[0],)
+        return cut
 
 
 class WordEncoder(Encoder):
-    """For BPE that drops white space: any cut at a space or line feed is one of the tokenizer's own."""
+    """For BPE that lower-cases and drops white space: any cut at a space or line feed is one of the tokenizer's own."""
+
+    EDGE, at_end = "</w>", True
 
-    def make(self, piece: str) -> bytes:
-        return self.ids(piece) if piece else b""
+    def stands_for(self, piece) -> bytes:
+        return piece[0] if isinstance(piece, tuple) else piece
 
-    def pieces(self, text: str):
-        return text.replace("\n", " ").split(" ")
+    def pieces(self, text: bytes) -> list:
+        return text.lower().replace(b"\n", b" ").split(b" ")
