@@ -70,7 +70,7 @@ class TwoGenerations(dict):
     def turn(self) -> None:
         """Call between groups of rows, never while a group still reads from the cache."""
         if len(self) > self.most:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
 
 
@@ -124,15 +124,19 @@ def stream_groups(batches, keys: list[str], most: int):
 
 
 def tiles(df: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
-    """Deal the groups of `keys` so that every pair of a group meets somewhere and no group is one task's.
+    """Deal the groups of `keys` so that every pair of a group meets somewhere and no large group is one task's.
 
-    A group of n rows has ceil(n / most) chunks by the hash of `by`; each pair of chunks is a tile
-    (tile_a, tile_b). Adds those and `chunk`; groups of one row are left out. Rows are dealt and sorted by tile.
+    A group of more than `most` rows has ceil(n / most) chunks by the hash of `by`; each pair of chunks is a
+    tile (tile_a, tile_b). Adds those and `chunk` (all 0 in other groups). Rows are dealt and sorted by tile. Only
+    the keys are shuffled to find the large groups, whose list is broadcast after a check of its size.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("in_group")).where("in_group > 1")
+    large = materialize(df.groupBy(*keys).agg(F.count("*").alias("in_group")).where(F.col("in_group") > most), "large")
+    if n_large := large.count():
+        df = df.join(F.broadcast(large) if n_large <= 100_000 else large, keys, "left")
+    else:
+        df = df.withColumn("in_group", F.lit(None).cast("long"))
     dealt = (
-        df.join(sizes, keys)
-        .withColumn("chunks", F.ceil(F.col("in_group") / F.lit(most)).cast("int"))
+        df.withColumn("chunks", F.coalesce(F.ceil(F.col("in_group") / F.lit(most)), F.lit(1)).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .withColumn("tile_a", F.least("chunk", "other"))

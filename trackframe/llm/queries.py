@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.llm import language_model, packing, quality, sentencepiece_codec, simhash, substring_dedup, token_counts, token_files
+from trackframe.llm import embedding_neardup, language_model, licenses, packing, quality, sentencepiece_codec, simhash, substring_dedup, token_counts, token_files
 from trackframe.llm.common import table
 
 
@@ -41,6 +41,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -50,8 +58,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_simhash, op4_quality_rules, op5_language_model, op6_packing, op9_token_files, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_simhash, op4_quality_rules, op5_language_model, op6_packing, op7_embedding_neardup, op8_license_scan, op9_token_files, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE}
+    return {"op4_quality_rules": quality.ORACLE, "op8_license_scan": licenses.ORACLE}

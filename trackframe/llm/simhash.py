@@ -18,6 +18,8 @@ from trackframe.llm.common import connected_components, materialize, min_labels,
 
 RADIUS, BLOCKS = 2, 5
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: Odd multipliers for mixing.
+MIX = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(3).integers(2**61, 2**63, 16)]
 LANE = (np.arange(8) * 256)[None, :]
 
 
@@ -28,21 +30,36 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [sum(c) for c in combinations(own, blocks - radius)]
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64 bits, unsigned: bit set if set in over half the XXH64 values of the word shingles, repeats counted.
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of `shingle` words, repeats included; of the whole sequence if it has fewer.
 
-    A-Z is lower-cased; words are runs of bytes other than space and 0x09-0x0D. Fewer words than `shingle`: the
-    whole sequence is the only shingle; no word: 0.
+    A-Z is lower-cased; words are runs of bytes other than space and 0x09-0x0D.
     """
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
-    if not words:
-        return 0
-    runs = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
-    hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, runs), repeat(seed)), np.uint64)
+    runs = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words] if words else []
+    return np.fromiter(map(xxh64_intdigest, map(b" ".join, runs), repeat(seed)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits set in over half the hashes, as one unsigned word; zero for none."""
     ones = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + LANE).ravel(), minlength=2048).reshape(8, 256) @ BITS
-    return int(np.packbits((2 * ones.ravel() > len(hashes)), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """64 bits, unsigned: bit set if set in over half the shingles' hashes; 0 for no word."""
+    return int(majority(shingle_hashes(text, shingle, seed))[0])
+
+
+def wide_fingerprint(text: bytes, words: int, shingle: int = 5) -> bytes:
+    """Further fingerprints of the same shingles, each from its own mixing of their hashes, one behind the other."""
+    h, out = np.unique(shingle_hashes(text, shingle)), []
+    for k in range(words):
+        x = (h ^ MIX[k % len(MIX)]) * (MIX[(k + 1) % len(MIX)] + np.uint64(2 * k))
+        out.append(majority((x ^ (x >> np.uint64(31))) * MIX[0]))
+    return np.concatenate(out).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -61,13 +78,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def links_of(fp: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (i < j) of the same group whose fingerprints differ in at most `radius` bits.
 
-    starts: where each group begins, with the end appended.
+    fp: 64-bit words, (rows,) or (rows, words). starts: where each group begins, with the end appended.
     """
     n, none = len(fp), np.zeros(0, np.int64)
     if n < 2:
         return none, none
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, -(-n // 64) * 64), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    width = bits.shape[1]
+    padded = np.zeros((width, -(-n // 64) * 64), np.uint8)
     padded[:, :n] = bits.T
     planes = np.packbits(padded, axis=1, bitorder="little").view("<u8")
     row, end = np.arange(n), np.repeat(starts[1:], np.diff(starts))
@@ -83,11 +101,11 @@ def links_of(fp: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[
     out_a, out_b = [], []
     for at in range(0, len(query), 1 << 16):
         q, w, ok = query[at : at + (1 << 16)], word[at : at + (1 << 16)], alive[at : at + (1 << 16)]
-        width = (radius + 1).bit_length()
-        base = (1 << width) - 1 - radius  # counters start so high that radius + 1 differences overflow
-        counters = [np.full(len(q), full if base >> k & 1 else np.uint64(0)) for k in range(width)]
-        for p in range(64):
-            carry = planes[p][w] ^ (np.uint64(0) - ((fp[q] >> np.uint64(p)) & np.uint64(1)))
+        levels = (radius + 1).bit_length()
+        base = (1 << levels) - 1 - radius  # counters start so high that radius + 1 differences overflow
+        counters = [np.full(len(q), full if base >> k & 1 else np.uint64(0)) for k in range(levels)]
+        for p in range(width):
+            carry = planes[p][w] ^ (np.uint64(0) - bits[q, p].astype(np.uint64))
             for k, c in enumerate(counters):
                 counters[k], carry = c ^ carry, c & carry
             ok = ok & ~carry
@@ -113,8 +131,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = 102
 
         for t, starts in stream_groups(batches, ["mask", "key", "tile_a", "tile_b"], 100_000):
             rep = t.column("rep").to_numpy()
-            order = np.argsort(rep + np.int64(0), kind="stable")
-            order = order[np.argsort(np.repeat(np.arange(len(starts) - 1), np.diff(starts))[order], kind="stable")]
+            order = np.lexsort((rep, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
             rep, fp = rep[order], t.column("fp").to_numpy()[order].view(np.uint64)
             a, b = links_of(fp, starts, radius)
             label = min_labels(len(rep), a, b)
@@ -125,6 +142,79 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = 102
     return tiles(keyed, ["mask", "key"], "rep", tile).select("mask", "key", "tile_a", "tile_b", "rep", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def differing_share(similarity: float) -> float:
+    """The share of fingerprint bits in which two shingle sets of that Jaccard similarity differ on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def bands_for(n: int, similarity: float, missed: float = 0.03) -> tuple[int, int]:
+    """(bits a band, bands) for n documents: few chance meetings a bucket, and at most `missed` of pairs at the similarity lost."""
+    width = max(12, int(np.ceil(np.log2(max(n, 1) + 1))) - 4)
+    return width, int(np.ceil(np.log(1 / missed) / (1 - differing_share(similarity)) ** width))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 1024) -> DataFrame:
+    """(doc_id, component_id) of every row of docs: groups of texts whose shingle sets are `similarity` alike or more.
+
+    The similarity is read from long SimHash fingerprints (512 bits at least), whose differing bits tell the
+    angle between the sets. Texts that agree on all bits of one band meet, and are compared bit-sliced. The bands'
+    number grows with the table, so that the share of pairs that never meet stays the same at any size.
+    """
+    width, bands = bands_for(docs.count(), similarity)
+    words = max(8, -(-width * bands // 64))
+    radius = int(64 * words * differing_share(similarity))
+
+    def mark(batches):
+        import pyarrow as pa
+
+        for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([wide_fingerprint(r[1], words, shingle) for r in rows], pa.binary())], ["doc_id", "fp"])
+
+    def deal(batches):
+        import pyarrow as pa
+
+        weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            for k in range(bands):
+                key = (bits[:, k * width : (k + 1) * width].astype(np.uint64) * weight).sum(1, dtype=np.uint64).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, k, np.int32)), pa.array(key), b.column(0), b.column(1)], ["band", "key", "rep", "fp"])
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for t, starts in stream_groups(batches, ["band", "key", "tile_a", "tile_b"], 20_000):
+            rep = t.column("rep").to_numpy()
+            order = np.lexsort((rep, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+            rep = rep[order]
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(len(rep), -1)[order]
+            a, b = links_of(fp, starts, radius)
+            label = min_labels(len(rep), a, b)
+            to = np.flatnonzero(label != np.arange(len(rep)))
+            if len(to):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[to]), pa.array(rep[label[to]])], ["a", "b"])
+
+    marked = materialize(text_bytes(docs).mapInArrow(mark, "doc_id long, fp binary"), "wide")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    dealt = distinct.where("rep is not null").select("rep", "fp").mapInArrow(deal, "band int, key long, rep long, fp binary")
+    links = tiles(dealt, ["band", "key"], "rep", tile).select("band", "key", "tile_a", "tile_b", "rep", "fp").mapInArrow(compare, "a long, b long").distinct()
+    groups = connected_components(links)
+    to = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return marked.join(to, "fp").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their similar_groups, with all their columns.
+
+    Rows without doc_id stay only if no row with an id is alike; rows of one doc_id are one document.
+    """
+    groups = similar_groups(docs, similarity, shingle)
+    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("gone_")), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reached) of every row of docs.
 
