@@ -48,7 +48,8 @@ def stream_early_stop(epochs: DataFrame, min_epochs: int, patience: int) -> Data
             seen = int(epoch)
             out.append((key[0], seen, score, better, seen - best_epoch, seen >= min_epochs and seen - best_epoch > patience))
         state.update((float(best), int(best_epoch), seen))
-        yield pd.DataFrame(out, columns=["run", "epoch", "score", "best", "unimproved", "stop"])
+        if out:
+            yield pd.DataFrame(out, columns=["run", "epoch", "score", "best", "unimproved", "stop"])
 
     kind = epochs.schema["run"].dataType.simpleString()
     return epochs.groupBy("run").applyInPandasWithState(step, f"run {kind}, epoch int, score double, best boolean, unimproved int, stop boolean", "best double, best_epoch int, seen int", "append", GroupStateTimeout.NoTimeout)
