@@ -84,15 +84,15 @@ def certified_cutoffs(marked: DataFrame, labels: DataFrame, stats: str = "stats"
         F.count_if(F.col("quality") == 1).alias("n"),
         F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), hit(r, c, 1).alias("good"), hit(r, c, 0).alias("bad")) for r, c in tests)).alias("tests"),
     )
-    strata = counts.agg(F.count("*").alias("strata"))
+    counts = materialize(counts, "tests")
+    strata = counts.count()
     tail = f"""aggregate(sequence(0, cast(test.good AS int)), named_struct('lp', cast(0 AS double), 's', cast(0 AS double)), (a, i) ->
         element_at(transform(array(if(i = 0, n * ln(1 - {RISK}D), a.lp + ln(n - i + 1) - ln(greatest(i, 1)) + ln({RISK}D / (1 - {RISK}D)))), lp ->
         named_struct('lp', lp, 's', a.s + exp(lp))), 1), a -> a.s)"""
     fit = (
-        counts.crossJoin(F.broadcast(strata))  # one row
-        .select("stratum", "n", "strata", F.explode("tests").alias("test"))
+        counts.select("stratum", "n", F.explode("tests").alias("test"))
         .where(f"test.bad > 0 AND test.bad >= {BAD_PER_GOOD} * test.good AND test.good <= n * {RISK}D")
-        .where(F.expr(tail) <= F.lit(CONFIDENCE_LOSS) / (F.lit(TESTS) * F.col("strata")))
+        .where(F.expr(tail) <= F.lit(CONFIDENCE_LOSS / (TESTS * max(strata, 1))))
     )
     best = lambda r: F.max_by(F.when(F.col("test.rule") == r, F.col("test.cutoff")), F.when(F.col("test.rule") == r, F.struct(F.col("test.bad") - BAD_PER_GOOD * F.col("test.good"), F.col("test.cutoff")))).alias(r)
     return fit.groupBy("stratum").agg(*(best(r) for r in RULES))
