@@ -156,13 +156,15 @@ def bands_for(n: int, similarity: float, missed: float = 0.03) -> tuple[int, int
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 1024) -> DataFrame:
     """(doc_id, component_id) of every row of docs: groups of texts whose shingle sets are `similarity` alike or more.
 
-    The similarity is read from long SimHash fingerprints (512 bits at least), whose differing bits tell the
-    angle between the sets. Texts that agree on all bits of one band meet, and are compared bit-sliced. The bands'
-    number grows with the table, so that the share of pairs that never meet stays the same at any size.
+    The similarity is read from long SimHash fingerprints (1024 bits at least), whose differing bits tell the
+    angle between the sets; pairs up to one standard error below it are taken, so that most at the similarity
+    are. Texts that agree on all bits of one band meet, and are compared bit-sliced. The bands' number grows with the
+    table, so that the share of pairs that never meet stays the same at any size.
     """
     width, bands = bands_for(docs.count(), similarity)
-    words = max(8, -(-width * bands // 64))
-    radius = int(64 * words * differing_share(similarity))
+    words = max(16, -(-width * bands // 64))
+    bits, share = 64 * words, differing_share(similarity)
+    radius = int(bits * share + np.sqrt(bits * share * (1 - share)))
 
     def mark(batches):
         import pyarrow as pa
