@@ -19,7 +19,7 @@ from trackframe.llm.tokenizer_cache import WordEncoder, loaded
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
 #: Partitions whose open windows are merged in one task.
-MERGED = 32
+MERGED = 4
 
 
 def sizes_of(rest: int, window: int) -> list[int]:
