@@ -44,21 +44,23 @@ def _(spark, d):
     return s.one_hot_table(v.seqs(spark, d), 100, 0.25)
 
 
-@query("seq5_one_hot_rc", """WITH p AS (SELECT seq_id, i::INT AS pos, substr(reverse(translate(substr(seq, 1, 40), 'ACGT', 'TGCA')), i + 1, 1) AS c FROM seqs, range(0, 40) r(i) WHERE length(seq) >= 40)
+FIT = "CASE WHEN length(seq) >= 100 THEN substr(seq, ((length(seq) - 100) // 2 + 1)::INT, 100) ELSE rpad(repeat('.', ((100 - length(seq)) // 2)::INT) || seq, 100, '.') END"
+
+
+@query("seq5_one_hot_rc", f"""WITH p AS (SELECT seq_id, i::INT AS pos, substr(reverse(translate({FIT}, 'ACGT', 'TGCA')), i + 1, 1) AS c FROM seqs, range(0, 100) r(i))
 SELECT seq_id, pos, b::INT AS base, CASE WHEN c = substr('ACGT', b + 1, 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM p, range(0, 4) s(b)""", "seqs")
 def _(spark, d):
-    x = v.seqs(spark, d).where("length(seq) >= 40").withColumn("seq", F.substring("seq", 1, 40))
-    return s.one_hot_reverse_complement(s.one_hot_table(x), F.lit(40)).select("seq_id", "pos", "base", "value")
+    return s.one_hot_reverse_complement(s.one_hot_table(v.seqs(spark, d), 100), F.lit(100)).select("seq_id", "pos", "base", "value")
 
 
 DRAW = "('0x' || substr(md5(seq_id || '|3|11|{k}'), 1, 8))::BIGINT"
 
 
-@query("seq10_stochastic_augment", f"""WITH a AS (SELECT seq_id, seq, {DRAW.format(k='rc')} % 2 = 1 AS is_rc, ({DRAW.format(k='shift')} % 7 - 3)::INT AS shift FROM seqs WHERE length(seq) > 3),
-m AS (SELECT seq_id, is_rc, shift, CASE WHEN shift >= 0 THEN repeat('N', shift) || substr(seq, 1, length(seq) - shift) ELSE substr(seq, 1 - shift) || repeat('N', -shift) END AS seq FROM a)
+@query("seq10_stochastic_augment", f"""WITH a AS (SELECT seq_id, seq, {DRAW.format(k='rc')} % 2 = 1 AS is_rc, ({DRAW.format(k='shift')} % 7 - 3)::INT AS shift FROM seqs),
+m AS (SELECT seq_id, is_rc, shift, CASE WHEN shift >= 0 THEN repeat('N', least(shift, length(seq))::INT) || substr(seq, 1, greatest(length(seq) - shift, 0)) ELSE substr(seq, 1 - shift) || repeat('N', least(-shift, length(seq))::INT) END AS seq FROM a)
 SELECT seq_id, is_rc, shift, CASE WHEN is_rc THEN {RC} ELSE seq END AS aug_seq FROM m""", "seqs")
 def _(spark, d):
-    return s.stochastic_augment(v.seqs(spark, d).where("length(seq) > 3"), 3, 11).drop("seq")
+    return s.stochastic_augment(v.seqs(spark, d), 3, 11).drop("seq")
 
 
 VARIANTS = """v AS (SELECT seq_id, i::INT AS pos, substr(seq, i + 1, 1) AS ref, b AS base, substr(seq, 1, i) || b || substr(seq, i + 2) AS mut_seq, seq FROM seqs, range(10, 14) r(i), (VALUES ('A'), ('C'), ('G'), ('T')) w(b)
@@ -213,7 +215,7 @@ _overlap("overlap", 'a."start" < b."end" AND b."start" < a."end"')
 _overlap("endpoint", '(a."start" BETWEEN b."start" AND b."end" OR a."end" BETWEEN b."start" AND b."end")')
 
 
-@query("src7_reference_tiles", "SELECT 'd' || seq_id AS chrom, i AS tile_idx, substr(seq, i * 128 + 1, 128) AS seq FROM seqs, range(0, 4) r(i) WHERE i * 128 < length(seq)", "seqs")
+@query("src7_reference_tiles", "SELECT chrom, i AS tile_idx, substr(seq, i * 128 + 1, 128) AS seq FROM (SELECT 'd' || seq_id AS chrom, seq, unnest(range(0, (length(seq) - 1) // 128 + 1)) AS i FROM seqs)", "seqs")
 def _(spark, d):
     return readers.reference_tiles(v.seqs(spark, d).select(F.concat(F.lit("d"), F.col("seq_id").cast("string")).alias("chrom"), "seq"), 128)
 
@@ -232,19 +234,19 @@ def _(spark, d):
 
 
 # ---- ensembles and pairs ---------------------------------------------------------------------------
-MOVED = "CASE WHEN k >= 0 THEN repeat('N', k::INT) || substr(seq, 1, length(seq) - k) ELSE substr(seq, 1 - k) || repeat('N', -k::INT) END"
+MOVED = "CASE WHEN k >= 0 THEN repeat('N', least(k, length(seq))::INT) || substr(seq, 1, greatest(length(seq) - k, 0)) ELSE substr(seq, 1 - k) || repeat('N', least(-k, length(seq))::INT) END"
 
 
-@query("join8_augment_shifts_rc", f"WITH a AS (SELECT seq_id, k::INT AS shift, rc AS is_rc, {MOVED} AS seq FROM (SELECT * FROM seqs WHERE length(seq) > 2), (VALUES (-1), (0), (2)) s(k), (VALUES (true), (false)) r(rc)) SELECT seq_id, shift, is_rc, CASE WHEN is_rc THEN {RC} ELSE seq END AS seq FROM a", "seqs")
+@query("join8_augment_shifts_rc", f"WITH a AS (SELECT seq_id, k::INT AS shift, rc AS is_rc, {MOVED} AS seq FROM seqs, (VALUES (-1), (0), (2)) s(k), (VALUES (true), (false)) r(rc)) SELECT seq_id, shift, is_rc, CASE WHEN is_rc THEN {RC} ELSE seq END AS seq FROM a", "seqs")
 def _(spark, d):
-    return ensembles.augment_shifts_rc(v.seqs(spark, d).where("length(seq) > 2"), [-1, 0, 2]).select("seq_id", "shift", "is_rc", "seq")
+    return ensembles.augment_shifts_rc(v.seqs(spark, d), [-1, 0, 2]).select("seq_id", "shift", "is_rc", "seq")
 
 
-PAIRS = "SELECT a.gene_idx AS seq_id, a.target_idx AS i, b.target_idx AS j, a.y_true AS a, b.y_true AS b FROM mat a JOIN mat b ON a.gene_idx = b.gene_idx AND a.target_idx < 8 AND b.target_idx < 8"
+PAIRS = "SELECT a.gene_idx AS seq_id, a.target_idx AS i, b.target_idx AS j, a.y_true AS a, b.y_true AS b FROM mat a JOIN mat b ON a.gene_idx = b.gene_idx"
 
 
 def _bins(spark, d):
-    return v.mat(spark, d).where("target_idx < 8").select(F.col("gene_idx").alias("seq_id"), F.col("target_idx").alias("pos"), F.col("y_true").alias("value"))
+    return v.mat(spark, d).select(F.col("gene_idx").alias("seq_id"), F.col("target_idx").alias("pos"), F.col("y_true").alias("value"))
 
 
 for _name, _sql in (("mean", "(a + b) / 2"), ("max", "greatest(a, b)"), ("multiply", "a * b"), ("multiply1", "(a + 1) * (b + 1) - 1")):
@@ -267,9 +269,9 @@ def _(spark, d):
     return r6(pairs.symmetrize(p), "value")
 
 
-@query("join18_reverse_triangle", f"SELECT seq_id, 7 - j AS i, 7 - i AS j, round(a * b, 6) AS value FROM ({PAIRS}) WHERE j >= i + 2", "mat")
+@query("join18_reverse_triangle", f"SELECT seq_id, 31 - j AS i, 31 - i AS j, round(a * b, 6) AS value FROM ({PAIRS}) WHERE j >= i + 2", "mat")
 def _(spark, d):
-    return r6(pairs.reverse_triangle(pairs.pairwise_bins(_bins(spark, d), "multiply", 2), 8), "value")
+    return r6(pairs.reverse_triangle(pairs.pairwise_bins(_bins(spark, d), "multiply", 2), 32), "value")
 
 
 @query("agg24_attention_mean", "SELECT gene_idx AS seq_id, target_idx // 16 AS q, target_idx % 2 AS k, round(avg(y_true), 6) AS w FROM mat WHERE target_idx // 8 % 2 IN (0, 1) AND target_idx // 4 % 2 IN (1) AND target_idx // 2 % 2 IN (0, 1) GROUP BY ALL", "mat")

@@ -82,12 +82,14 @@ EPOCH_ROWS = "SELECT 'r' || run AS run, epoch, (epoch % 60)::INT AS secs, -0.000
 EPOCH_COLS = ["run", "epoch", "secs", "train_r", "valid_r", "valid_r2", "best"]
 
 
-@query("src8_scan_epoch_logs", EPOCH_ROWS + " WHERE run < 5", "epochs")
+@query("src8_scan_epoch_logs", EPOCH_ROWS.replace("'r' || run AS run", "'r' || run % 16 AS run"), "epochs")
 def _(spark, d):
+    """Sixteen log files hold the lines of all runs; a row's run is its file's name."""
     at = scratch(spark, "logs")
-    _lines(spark, d).where("run in ('r0', 'r1', 'r2', 'r3', 'r4')").repartition("run").write.partitionBy("run").text(at)
-    lines = spark.read.option("recursiveFileLookup", True).text(at).select("value", F.regexp_extract("_metadata.file_path", "run=([^/]+)/", 1).alias("run"))
-    return ex.parse_epoch_lines(lines).select(*EPOCH_COLS)
+    lines = _lines(spark, d).withColumn("run", F.concat(F.lit("r"), (F.substring("run", 2, 20).cast("long") % 16).cast("string")))
+    lines.repartition("run").write.partitionBy("run").text(at)
+    got = spark.read.option("recursiveFileLookup", True).text(at).select("value", F.regexp_extract("_metadata.file_path", "run=([^/]+)/", 1).alias("run"))
+    return ex.parse_epoch_lines(got).select(*EPOCH_COLS)
 
 
 @query("src8_parse_epoch_lines", EPOCH_ROWS, "epochs")
@@ -105,16 +107,16 @@ def _(spark, d):
 
 
 def _grid(spark, d):
-    """Kernel sizes are the part sizes up to 4, layers the return flags, a third list the line statuses."""
+    """Kernel sizes are the part sizes, layers the return flags, a third list the line statuses."""
     from pyspark.sql import Window
 
-    p = v.t(spark, d, "part").where("p_size <= 4").select(F.lit("kernel").alias("path"), F.col("p_size").cast("string").alias("value")).distinct()
+    p = v.t(spark, d, "part").select(F.lit("kernel").alias("path"), F.col("p_size").cast("string").alias("value")).distinct()
     li = v.t(spark, d, "lineitem")
     p = p.union(li.select(F.lit("layer"), "l_returnflag").distinct()).union(li.select(F.lit("head"), "l_linestatus").distinct())
     return p.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("value")) - 1)
 
 
-GRID_ROWS = """WITH k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT p_size::VARCHAR AS value FROM part WHERE p_size <= 4)),
+GRID_ROWS = """WITH k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT p_size::VARCHAR AS value FROM part)),
 l AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT l_returnflag AS value FROM lineitem)), h AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT l_linestatus AS value FROM lineitem)),
 g AS (SELECT 'exp_' || ((k.i * (SELECT count(*) FROM l) + l.i) * (SELECT count(*) FROM h) + h.i) || '_seed_' || s AS exp_name, s::INT AS seed, k.value AS kernel, l.value AS layer, h.value AS head FROM k, l, h, (VALUES (0), (1), (2)) x(s))
 """

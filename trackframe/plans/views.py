@@ -47,8 +47,8 @@ def ann(spark, d):
 
 
 def seqs(spark, d):
-    """The letters ACGTN of every document, 512 at most (the length is the windows' length of the domain)."""
-    return t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.substring(F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", "")), 1, 512).alias("seq")).where("length(seq) > 0")
+    """The letters ACGTN of every document."""
+    return t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", "")).alias("seq")).where("length(seq) > 0")
 
 
 def targets(spark, d):
@@ -86,7 +86,7 @@ SQL = {
     "tracks": "SELECT i::INT AS track_idx, vec_id AS gene_idx, embedding[8 * i + 1 : 8 * i + 8] AS bins FROM embeddings, range(0, 8) r(i)",
     "bed": "SELECT o_orderkey AS row_id, 'chr' || (o_custkey % 5) AS chrom, floor(o_totalprice)::BIGINT AS \"start\", floor(o_totalprice)::BIGINT + 1 + o_orderkey % 500 AS \"end\", CASE WHEN o_orderstatus = 'O' THEN '-' ELSE '+' END AS strand FROM orders",
     "ann": "SELECT DISTINCT 'chr' || (l_suppkey % 5) AS chrom, floor(l_extendedprice)::BIGINT AS \"start\", floor(l_extendedprice)::BIGINT + 50 + floor(l_quantity)::BIGINT AS \"end\", CASE WHEN l_linestatus = 'F' THEN '+' ELSE '-' END AS strand, l_returnflag AS feature FROM lineitem",
-    "seqs": "SELECT * FROM (SELECT doc_id AS seq_id, substr(upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')), 1, 512) AS seq FROM documents) WHERE length(seq) > 0",
+    "seqs": "SELECT * FROM (SELECT doc_id AS seq_id, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents) WHERE length(seq) > 0",
     "targets": "SELECT p_partkey AS target_idx, p_name || CASE p_partkey % 3 WHEN 1 THEN '+' WHEN 2 THEN '-' ELSE '' END AS identifier, p_partkey + CASE p_partkey % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS strand_pair, 1.0::DOUBLE + p_size % 4 AS scale, p_size::DOUBLE AS clip_soft, CASE WHEN contains(p_type, 'E') THEN 'sum_sqrt' ELSE 'sum' END AS sum_stat, p_brand AS description FROM part",
     "target_preds": "SELECT l_suppkey % 7 AS seq_id, l_partkey AS target_idx, max(l_quantity) AS y_pred FROM lineitem GROUP BY ALL",
     "seed_preds": "SELECT 'G' || l_partkey AS gene_id, l_linenumber AS target_idx, l_suppkey % 5 AS seed, avg(l_quantity) AS y_pred FROM lineitem GROUP BY ALL",
