@@ -23,11 +23,13 @@ from trackframe.llm.common import TwoGenerations, row_groups
 WINDOW, RUN = 20, 8
 NULL_ID = np.iinfo(np.int64).min
 #: Text bytes that a task hashes at once, and that a bucket of the index stands for.
-BLOCK_BYTES, BUCKET_BYTES = 10_000_000, 8_000_000
+BLOCK_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
 #: Odd multipliers for mixing.
 MIX = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(20).integers(2**61, 2**63, 8)]
 PARTS = {"doc_id": "<i8", "text_crc": "<u4", "per_doc": "<u4", "pos": "<u4", "length": "<u4", "anchor": "<u8", "tail": "<u4", "src_id": "<i8", "src_pos": "<u4"}
 
+FOUND = ("key_id", "text_crc", "pos", "length", "src_id", "src_pos")
+
 
 def mix(x: np.ndarray, k: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * MIX[k]
@@ -161,7 +163,7 @@ def look_up(parts: dict):
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key_id, text_crc, found): per document, the runs of its windows that occur earlier.
 
-    docs: key_id long (no null), text binary. found: array of (pos, length, src_id, src_pos) arrays.
+    docs: key_id long (no null), text binary. found: arrays (pos, length, src_id, src_pos), in order of pos.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -171,45 +173,57 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        cache = TwoGenerations(250_000, xxh64_intdigest)
+        cache = TwoGenerations(150_000, xxh64_intdigest)
         for rows in row_groups(batches, BLOCK_BYTES, lambda r: len(r[1])):
             for bucket, parts in index_block(rows, cache, window, buckets):
                 none = np.zeros(0, np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([parts.get(k, none).astype(t).tobytes()], pa.binary()) for k, t in PARTS.items())], ["bucket", *PARTS])
 
-    def search(batches):
-        import pyarrow as pa
-
-        def out(held):
-            parts = {k: [np.frombuffer(r[i + 1], t) for r in held] for i, (k, t) in enumerate(PARTS.items())}
-            if (found := look_up(parts)) is None:
-                return
-            order = np.lexsort((found[2], found[1], found[0]))
-            ids, crcs, *rest = (c[order] for c in found)
-            cuts = np.r_[runs(ids[1:] != ids[:-1], crcs[1:] != crcs[:-1]), len(ids)]
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(c.astype(np.int64))) for c in rest]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array(crcs[cuts[:-1]].astype(np.int64)), *lists], ["key_id", "text_crc", "pos", "length", "src_id", "src_pos"])
-
+    def by_key(batches, make):
+        """make(rows of a key) for rows sorted by their first column."""
         held: list = []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and held[-1][0] != row[0]:
-                    yield from out(held)
+                    yield from make(held)
                     held = []
                 held.append(row)
         if held:
-            yield from out(held)
+            yield from make(held)
+
+    def search(held):
+        import pyarrow as pa
+
+        parts = {k: [np.frombuffer(r[i + 1], t) for r in held] for i, (k, t) in enumerate(PARTS.items())}
+        if (found := look_up(parts)) is None:
+            return
+        # A row for each group of documents, not for each document: what comes back is a few large rows.
+        group = (mix(found[0].astype(np.uint64) ^ (found[1].astype(np.uint64) << np.uint64(32)), 2) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cuts = np.r_[runs(group[order][1:] != group[order][:-1]), len(order)]
+        data = [[c[order][a:b].astype(np.int64).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c in found]
+        yield pa.RecordBatch.from_arrays([pa.array(group[order][cuts[:-1]]), *(pa.array(c, pa.binary()) for c in data)], ["doc_group", *FOUND])
+
+    def gather(held):
+        import pyarrow as pa
+
+        ids, crcs, *rest = (np.concatenate([np.frombuffer(r[k + 1], np.int64) for r in held]) for k in range(len(FOUND)))
+        order = np.lexsort((rest[0], crcs, ids))
+        ids, crcs = ids[order], crcs[order]
+        cuts = np.r_[runs(ids[1:] != ids[:-1], crcs[1:] != crcs[:-1]), len(ids)]
+        lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(c[order])) for c in rest]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array(crcs[cuts[:-1]]), *lists], list(FOUND))
 
     index = docs.select("key_id", "text").mapInArrow(run, "bucket long, " + ", ".join(f"{k} binary" for k in PARTS))
     n = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    four = ("pos", "length", "src_id", "src_pos")
-    found = index.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "key_id long, text_crc long, " + ", ".join(f"{k} array<bigint>" for k in four))
-    return found.groupBy("key_id", "text_crc").agg(F.collect_list(F.struct(*four)).alias("found"))
+    hits = index.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: by_key(b, search), "doc_group long, " + ", ".join(f"{k} binary" for k in FOUND))
+    found = hits.repartition(n, "doc_group").sortWithinPartitions("doc_group").mapInArrow(lambda b: by_key(b, gather), "key_id long, text_crc long, " + ", ".join(f"{k} array<bigint>" for k in FOUND[2:]))
+    return found.select("key_id", "text_crc", F.struct(*FOUND[2:]).alias("found"))
 
 
-def parse(n_words: int, found: list, window: int) -> tuple[list[tuple], np.ndarray]:
+def parse(n_words: int, found: dict, window: int) -> tuple[list[tuple], np.ndarray]:
     """Greedy factors (start, words, src_id, src_start) of a document and a mask of its repeated words."""
-    pieces = sorted((p, n, d, s) for f in found for p, n, d, s in zip(f["pos"], f["length"], f["src_id"], f["src_pos"], strict=True))
+    pieces = zip(found["pos"], found["length"], found["src_id"], found["src_pos"], strict=True)
     factors, mask = [], np.zeros(n_words, bool)
     for pos, n, src, start in pieces:
         mask[pos : pos + n + window - 1] = True
@@ -220,11 +234,12 @@ def parse(n_words: int, found: list, window: int) -> tuple[list[tuple], np.ndarr
     return factors, mask
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, report: bool = True) -> DataFrame:
     """Remove words covered by a window of `window` words that starts earlier (smaller doc_id, or same document before).
 
     Every row of docs gives one row: its columns with `text` as the kept words joined by one space (the
-    text as it was where nothing goes), and n_words, n_removed, factors (start, words, src_id, src_start).
+    text as it was where nothing goes), and with `report` n_words, n_removed, factors (start, words, src_id,
+    src_start), which take the place of columns of these names.
     With `digest` only doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space).
     Windows are judged on the input. Null texts have no words; a null doc_id sorts before all and shows as
     the least long in factors; rows of one doc_id are one document, compared by their starts only, so that
@@ -232,7 +247,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFr
     """
     own = [c for c in docs.columns if c not in ("text", "doc_id")]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("key_id"), text.alias("text"), F.struct(F.col("doc_id"), F.col("text").isNull().alias("no_text"), *([] if digest else own)).alias("rest"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("key_id"), text.alias("text"), F.struct(F.col("doc_id"), F.col("text").isNull().alias("no_text_"), *([] if digest else own)).alias("rest"))
     found = repeated_windows(keyed, window)
     both = keyed.withColumn("text_crc", F.crc32("text")).join(found.hint("shuffle_hash"), ["key_id", "text_crc"], "left").select("text", "found", "rest")
 
@@ -265,5 +280,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFr
         return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     kind = both.schema["rest"].dataType.simpleString()
     made = both.mapInArrow(run, f"rest {kind}, new_text string, n_words_ long, n_removed_ long, factors_ array<struct<start:bigint,words:bigint,src_id:bigint,src_start:bigint>>")
-    kept = [F.col("new_text").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "factors")]
-    return made.select(*kept, F.col("n_words_").alias("n_words"), F.col("n_removed_").alias("n_removed"), F.col("factors_").alias("factors"))
+    new = {"n_words": "n_words_", "n_removed": "n_removed_", "factors": "factors_"} if report else {}
+    kept = [F.col("new_text").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in new]
+    return made.select(*kept, *(F.col(c).alias(k) for k, c in new.items()))
