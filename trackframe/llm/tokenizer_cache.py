@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import struct
-from itertools import filterfalse
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
@@ -44,9 +45,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cache = TwoGenerations(most)
         vocabulary = self.tokenizer.get_vocab()
-        #: Ids that end a word (or, by the other mark, begin one).
-        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edge[[i for p, i in vocabulary.items() if (p.endswith(self.EDGE) if self.at_end else p.startswith(self.EDGE))]] = True
+        #: Ids that end a word (or, by the other marks, begin one after a space or a line feed).
+        self.edges = {}
+        for first, mark in self.EDGES.items():
+            self.edges[first] = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.edges[first][[i for p, i in vocabulary.items() if (p.endswith(mark) if self.at_end else p.startswith(mark))]] = True
 
     def cut_end(self, piece):
         """A piece as what ends in an ASCII letter and the marks after it: a cut that the patterns make too.
@@ -75,10 +78,10 @@ class Encoder:
                         new.add(part)
                     else:
                         cache[part] = ids
-        words = [p for p in new if isinstance(p, bytes) and p.decode().isalpha()]
-        new.difference_update(words)
-        for at in range(0, len(words), 256):
-            new.update(self.learn_words(words[at : at + 256]))
+        for first, words in self.kinds(new).items():
+            new.difference_update(words)
+            for at in range(0, len(words), 256):
+                new.update(self.learn_words(first, words[at : at + 256]))
         todo = list(new)
         found = self.tokenizer.encode_batch_fast([self.stands_for(p).decode() for p in todo], add_special_tokens=False)
         for p, e in zip(todo, found, strict=True):
@@ -88,11 +91,23 @@ class Encoder:
             cache[p] = cache[core] + cache[marks]
         return [p for p, _, _ in ends]
 
-    def learn_words(self, words: list[bytes]) -> list[bytes]:
+    def kinds(self, pieces) -> dict[bytes, list[bytes]]:
+        """Pieces that are a word of letters, by what comes before the word: a space or a line feed."""
+        out: dict = {b" ": [], b"\n": []}
+        for p in pieces:
+            if isinstance(p, bytes):
+                if p[:1] == b"\n":
+                    if p[1:].decode().isalpha():
+                        out[b"\n"].append(p)
+                elif p.decode().isalpha():
+                    out[b" "].append(p)
+        return out
+
+    def learn_words(self, first: bytes, words: list[bytes]) -> list[bytes]:
         """Encode words of letters as one text, cut where ids begin or end a word; returns them if that fails."""
-        text = b" ".join(words).decode()
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.edge[ids]) + (1 if self.at_end else 0)
+        text = b"".join(words) if first == b"\n" else b" " + b" ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edges[first][ids]) + (1 if self.at_end else 0)
         if len(at) != len(words):
             return words
         raw, cuts = ids.tobytes(), (4 * at).tolist()
@@ -104,14 +119,20 @@ class Encoder:
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         out, at, cache = [], 0, self.cache
+        get = cache.get
         while at < len(texts):
-            cut, size, missing = [], 0, set()
+            cut, found, size, missing = [], [], 0, set()
             while at < len(texts) and size < 1_000_000:
-                cut.append(c := self.pieces(texts[at]))
-                missing.update(filterfalse(cache.__contains__, c))
+                cut.append(pieces := self.pieces(texts[at]))
+                found.append(ids := list(map(get, pieces)))
+                if None in ids:
+                    missing.update(compress(pieces, map(not_, ids)))
                 size, at = size + len(texts[at]), at + 1
             passing = self.learn(missing)
-            out += [b"".join(map(cache.__getitem__, c)) for c in cut]
+            for pieces, ids in zip(cut, found, strict=True):
+                if None in ids:
+                    ids = [get(p) if i is None else i for p, i in zip(pieces, ids, strict=True)]
+                out.append(b"".join(ids))
             for p in passing:
                 del cache[p]
             cache.turn()
@@ -124,7 +145,8 @@ class ByteLevelEncoder(Encoder):
     A piece of bytes stands for itself with a space before it, unless it begins with a line feed.
     """
 
-    EDGE, at_end = "Ġ", False
+    #: The byte-level letters of space and line feed.
+    EDGES, at_end = {b" ": "Ġ", b"\n": "Ċ"}, False
 
     #: The tokenizer's own white-space rule: a run leaves its last character to what follows.
     RUNS = re.compile(f" ?[^ \n{OTHER_SPACE}]+|[ \n{OTHER_SPACE}]+(?![^ \n{OTHER_SPACE}])|[ \n{OTHER_SPACE}]")
@@ -147,7 +169,7 @@ class ByteLevelEncoder(Encoder):
 class WordEncoder(Encoder):
     """For BPE that lower-cases and drops white space: any cut at a space or line feed is one of the tokenizer's own."""
 
-    EDGE, at_end = "</w>", True
+    EDGES, at_end = {b" ": "</w>"}, True
 
     def stands_for(self, piece) -> bytes:
         return piece[0] if isinstance(piece, tuple) else piece
