@@ -177,6 +177,26 @@ def test_op10(docs, plain, empty, monkeypatch):
     assert substring_dedup.dedup(empty, digest=True).count() == 0
 
 
+def test_op10_tells_windows_of_one_anchor_apart(spark, monkeypatch):
+    """Two texts around one shared run whose window hashes agree in their low 32 bits, found among many, are no repeat."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 1)
+    shared, n = [f"s{k}" for k in range(19)], 300_000
+    h = np.empty((n, 20), np.uint64)
+    h[:, 0] = [xxhash.xxh64_intdigest(f"x{i}".encode()) for i in range(n)]
+    h[:, 1:] = [xxhash.xxh64_intdigest(w.encode()) for w in shared]
+    anchor, whole = (a[::20] for a in substring_dedup.window_hashes(h.ravel(), 20))
+    anchors, times = np.unique(anchor, return_counts=True)
+    own = np.flatnonzero(anchor == anchors[times.argmax()])
+    seen, alike = {}, []
+    for i in own.tolist():
+        alike += [(j, i)] if (j := seen.setdefault(int(whole[i]) & 0xFFFFFFFF, i)) != i else []
+    assert alike
+    rows = [(2 * k + m, " ".join([f"x{i}", *shared, f"end{k}{m}"])) for k, pair in enumerate(alike[:1]) for m, i in enumerate(pair)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()
+    # The 19 shared words stay too: no 20 words of the two texts are equal.
+    assert [r.n_removed for r in got] == [0, 0]
+
+
 def test_factors_are_copies_and_columns_stay(docs, plain):
     got = substring_dedup.dedup(docs)
     assert [c for c in got.columns if c not in ("n_words", "n_removed", "factors")] == [c for c in docs.columns if c != "n_words"]

@@ -6,7 +6,7 @@ while neighbouring windows, which share an anchor, travel together. A lookup ans
 occurs first. A document is then parsed greedily from left to right: a factor starts at a word whose
 window occurs earlier, and runs on as long as the next window continues in the same source; where the
 source changes, the window across the factor boundary is looked up by itself. All words of a factor
-are a duplicate span.
+are a duplicate span. Windows are told apart by their 64-bit hashes, whatever anchor they share.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ NULL_ID = np.iinfo(np.int64).min
 BLOCK_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
 #: Odd multipliers for mixing.
 MIX = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(20).integers(2**61, 2**63, 8)]
-PARTS = {"doc_id": "<i8", "text_crc": "<u4", "per_doc": "<u4", "pos": "<u4", "length": "<u4", "anchor": "<u8", "tail": "<u4", "src_id": "<i8", "src_pos": "<u4"}
+PARTS = {"doc_id": "<i8", "text_crc": "<u4", "per_doc": "<u4", "pos": "<u4", "length": "<u4", "anchor": "<u8", "tail": "<u8", "src_id": "<i8", "src_pos": "<u4"}
 
 FOUND = ("key_id", "text_crc", "pos", "length", "src_id", "src_pos")
 
@@ -135,7 +135,7 @@ def look_up(parts: dict):
         pos = cat("pos", indexed).astype(np.int64)[run] + np.arange(n) - np.repeat(np.cumsum(length) - length, length)
         doc_of = np.repeat(np.arange(len(per)), per)[run]
         ids, crcs = cat("doc_id", indexed), cat("text_crc", indexed)
-        key = mix(cat("anchor", indexed)[run] ^ (cat("tail", indexed).astype(np.uint64) * MIX[3]), 4)
+        key = mix(cat("anchor", indexed)[run] ^ (cat("tail", indexed) * MIX[3]), 4)
         order = np.argsort(key)
         same = np.zeros(n, bool)
         same[1:] = key[order][1:] == key[order][:-1]
