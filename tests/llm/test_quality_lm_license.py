@@ -154,6 +154,15 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > sum(r.base_score for r in got) / sum(r.n_tokens for r in got) + 0.1
 
 
+def test_every_document_trains_the_network(spark):
+    words = [(f"w{i}".encode(), 9 - i) for i in range(8)]
+    spec = spark.sparkContext.broadcast(lm.Spec(words, 44, 8, np.zeros(lm.BUCKETS)))
+    first = lm.flat(lm.first_weights(spec.value))
+    for k in range(6):
+        train = spark.createDataFrame([(k, b"w1 w2 w3 w1 w2")], "key_id long, text binary").coalesce(1)
+        assert not np.array_equal(lm.flat(lm.learn_weights(train, spec)), first), k
+
+
 def test_licenses(spark, docs, empty, sf_dir):
     rows = [
         (1, "Intro. Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nx y\nSee the License for the specific language governing permissions and limitations under the License."),

@@ -7,8 +7,8 @@ words and of one unknown word a class sum to one. Untrained, the model equals th
 is truncated backpropagation on every partition from common weights, which are then averaged (weighted by
 tokens) and used for the next round. The state is carried across windows through the whole document.
 
-All counts are taken over all training documents. The network's weights are fitted on the training
-documents of ROUNDS in every SHARE hash classes (2 of 12), a share that grows with the corpus.
+All counts are taken over all training documents, and the network's weights are fitted on all of them too, each
+once: they are dealt by hash into ROUNDS classes, one a round.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from trackframe.llm.common import TwoGenerations, materialize, row_groups
 #: Words whose counts every task holds (bounded, about 30 bytes each); the rest are joined.
 FREQUENT = 300_000
 HEAD, CLASS_SIZE, BUCKETS = 2048, 64, 64
-HIDDEN, SPAN, BATCH = 16, 32, 64
-ROUNDS, SHARE = 2, 12
+HIDDEN, SPAN, BATCH = 16, 32, 192
+ROUNDS = 2
 RATE = 0.01
 END = b""
 NULL_ID = np.iinfo(np.int64).min
@@ -294,7 +294,7 @@ def learn_spec(vocabulary: DataFrame) -> Spec:
 
 
 def learn_weights(train: DataFrame, spec) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS rounds of training on every partition and averaging. spec: a broadcast Spec."""
+    """Weights after ROUNDS rounds of training on every partition and averaging, each document in one of them. spec: a broadcast Spec."""
     spark = train.sparkSession
     weights, chunk = first_weights(spec.value), 4096
     for k in range(ROUNDS):
@@ -327,7 +327,7 @@ def learn_weights(train: DataFrame, spec) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([w for w, _ in sums.values()]), pa.array([s.tobytes() for _, s in sums.values()], pa.binary())], ["chunk", "weight", "sums"])
 
         kind = "chunk int, weight double, sums binary"
-        chosen = train.where(F.crc32(F.concat(F.col("key_id").cast("string"), F.lit("sgd"))) % SHARE == k)
+        chosen = train.where(F.crc32(F.concat(F.col("key_id").cast("string"), F.lit("sgd"))) % ROUNDS == k)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         got = chosen.select("text").mapInArrow(run, kind).repartition(max(1, round(n**0.5))).mapInArrow(add, kind).repartition(n, "chunk").mapInArrow(add, kind).collect()
         if got:
