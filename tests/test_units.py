@@ -130,3 +130,13 @@ def test_empty_split_is_an_error(spark, tmp_path):
     writers.write_tsv(spark.createDataFrame([(1, "train")], "gene_idx long, split string"), f"file://{tmp_path}/t")
     with pytest.raises(ValueError, match="no rows"):
         readers.scan_targets(spark, f"file://{tmp_path}/t", "gene_idx long, split string", "test")
+
+
+def test_one_hot_queries_read_whole_sequences(spark, sf_dir):
+    from trackframe.plans import queries, views
+
+    letters = views.seqs(spark, sf_dir).selectExpr("sum(length(seq))").first()[0]
+    assert letters > 100 * views.seqs(spark, sf_dir).count()
+    for name in ("seq2_one_hot_whole", "seq5_one_hot_rc_whole"):
+        got = queries.queries()[name](spark, sf_dir).selectExpr("count(*)", "min(pos)", "max(pos)").first()
+        assert tuple(got)[:2] == (4 * letters, 0) and got[2] >= 100, name

@@ -49,11 +49,11 @@ def one_hot(seq: Column, n_value: float = 0.0) -> Column:
     return F.transform(F.split(F.upper(seq), ""), row)
 
 
-def one_hot_table(df: DataFrame, length: int | None = None, n_value: float = 0.0) -> DataFrame:
-    """(seq_id, pos, base, value): four rows a position."""
+def one_hot_table(df: DataFrame, length: int | None = None, n_value: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq_id, *keep, pos, base, value): four rows a position; whole sequences without `length`."""
     seq = fit_length(F.col("seq"), length) if length else F.col("seq")
-    rows = df.where(F.length("seq") > 0).select("seq_id", F.posexplode(one_hot(seq, n_value)).alias("pos", "row"))
-    return rows.select("seq_id", "pos", F.posexplode("row").alias("base", "value"))
+    rows = df.where(F.length("seq") > 0).select("seq_id", *keep, F.posexplode(one_hot(seq, n_value)).alias("pos", "row"))
+    return rows.select("seq_id", *keep, "pos", F.posexplode("row").alias("base", "value"))
 
 
 def decode_one_hot(rows: Column) -> Column:

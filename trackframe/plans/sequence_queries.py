@@ -53,6 +53,19 @@ def _(spark, d):
     return s.one_hot_reverse_complement(s.one_hot_table(v.seqs(spark, d), 100), F.lit(100)).select("seq_id", "pos", "base", "value")
 
 
+@query("seq2_one_hot_whole", """WITH p AS (SELECT seq_id, i::INT AS pos, substr(seq, i + 1, 1) AS c FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS i FROM seqs))
+SELECT seq_id, pos, b::INT AS base, CASE WHEN c = substr('ACGT', b + 1, 1) THEN 1.0 WHEN c IN ('A', 'C', 'G', 'T', '.') THEN 0.0 ELSE 0.25 END::DOUBLE AS value FROM p, range(0, 4) s(b)""", "seqs")
+def _(spark, d):
+    return s.one_hot_table(v.seqs(spark, d), None, 0.25)
+
+
+@query("seq5_one_hot_rc_whole", """WITH p AS (SELECT seq_id, i::INT AS pos, substr(reverse(translate(seq, 'ACGT', 'TGCA')), i + 1, 1) AS c FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS i FROM seqs))
+SELECT seq_id, pos, b::INT AS base, CASE WHEN c = substr('ACGT', b + 1, 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM p, range(0, 4) s(b)""", "seqs")
+def _(spark, d):
+    x = v.seqs(spark, d).withColumn("n", F.length("seq"))
+    return s.one_hot_reverse_complement(s.one_hot_table(x, keep=("n",)), F.col("n")).select("seq_id", "pos", "base", "value")
+
+
 DRAW = "('0x' || substr(md5(seq_id || '|3|11|{k}'), 1, 8))::BIGINT"
 
 
