@@ -140,3 +140,14 @@ def test_one_hot_queries_read_whole_sequences(spark, sf_dir):
     for name in ("seq2_one_hot_whole", "seq5_one_hot_rc_whole"):
         got = queries.queries()[name](spark, sf_dir).selectExpr("count(*)", "min(pos)", "max(pos)").first()
         assert tuple(got)[:2] == (4 * letters, 0) and got[2] >= 100, name
+
+
+def test_early_stop_stream_reads_files_dealt_by_run(spark, sf_dir, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trackframe.plans import queries, table_queries
+
+    monkeypatch.setattr(table_queries, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    assert queries.queries()["str3_stream_early_stop"](spark, sf_dir).count() > 0
+    at = spark.read.parquet(f"{tmp_path}/epochs").select("run", F.input_file_name().alias("file")).distinct().collect()
+    assert len(at) == len({r.run for r in at}) and len({r.file for r in at}) > 1

@@ -363,7 +363,8 @@ def _(spark, d):
 @query("str3_stream_early_stop", SCORED + "SELECT run, epoch, round(score, 8) AS score, best, unimproved, stop FROM t", "epochs")
 def _(spark, d):
     at = scratch(spark, "epochs")
-    v.epochs(spark, d).coalesce(1).write.parquet(at)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v.epochs(spark, d).repartition(n, "run").sortWithinPartitions("run", "epoch").write.parquet(at)
     stream = spark.readStream.schema("run long, epoch int, valid_r double, valid_r2 double").parquet(at)
     got = drained(streams.stream_early_stop(stream, 4, 2), spark, "append", "run long, epoch int, score double, best boolean, unimproved int, stop boolean")
     return got.withColumn("score", F.round("score", 8))
