@@ -61,8 +61,12 @@ def test_decoding_of_any_ids(ids):
 def test_cached_pieces_equal_the_library(kind, path, texts):
     encode, own = library(path), kind(path, 200)
     every = [*some_texts(3000), *texts.values(), "a <|endoftext|> b", "it's 5's, we'll. (x) abc1. q́ É́s ﬁ"]
-    for t, raw in zip(every, own.encode_many([t.encode() for t in every]), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == encode(t), t
+    every += [t.replace(" ", "\n") for t in every] + [t.replace(" ", "  ") for t in every] + [t.replace("\t", "   ").replace("e", "\n\n\n") for t in every] + [t + e for t in every for e in ("\n", "\n\n", "  ", "\t\n")]
+    rows = [t.encode() for t in every]
+    ids, sizes = own.encode_many(rows, 7)
+    assert own.count_many(rows).tolist() == (sizes - 1).tolist()
+    for t, own_ids in zip(every, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert own_ids.tolist() == [*encode(t), 7], t
 
 
 def test_op1(docs, plain, empty):
@@ -83,7 +87,13 @@ def test_op2(docs, plain, empty):
     for r in got:
         k = r.n_tokens
         assert (r.n_docs, r.docs_upto, r.docs_longer, r.tokens_longer, r.tokens_truncated, r.docs_total, r.tokens_total) == ((n == k).sum(), (n <= k).sum(), (n > k).sum(), n[n > k].sum(), np.minimum(n, k).sum(), len(n), n.sum())
-    assert token_counts.token_counts(empty, BYTES).count() == 0
+    totals = token_counts.token_counts(docs, BYTES).cache()
+    for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert token_counts.quantile(totals, share).first()[0] == min(k for k in n if (n <= k).sum() >= share * len(n))
+    for limit in (0, 1, 2, 17, 100, 10**7):
+        assert token_counts.truncated_total(totals, limit).first()[0] == np.minimum(n, limit).sum()
+    none = token_counts.token_counts(empty, BYTES)
+    assert none.count() == 0 and token_counts.quantile(none, 0.5).first()[0] is None and token_counts.truncated_total(none, 5).first()[0] is None
 
 
 def test_op6(docs, plain, empty):

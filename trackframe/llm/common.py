@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: By byte: ASCII letters; ASCII marks but the apostrophe, which begins contractions.
+LETTERS = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,35 @@ def row_groups(batches, bound: int, size):
         yield rows
 
 
+def distinct_pieces(marked: list[bytes], marks: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Cut buffers before every space (each must begin with one) and, with `marks`, between a letter and a mark.
+
+    Returns the distinct pieces (their space included), the piece numbers in order, and the pieces of each buffer.
+    """
+    import pyarrow as pa
+
+    big = b"".join(marked)
+    raw = np.frombuffer(big, np.uint8)
+    cut = raw == 32
+    if marks:
+        cut[1:] |= LETTERS[raw[:-1]] & MARKS[raw[1:]]
+    at = np.flatnonzero(cut)
+    cuts = np.append(at, len(big))
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(big)]).dictionary_encode()
+    ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked))))
+    own, cuts = pieces.dictionary, np.frombuffer(pieces.dictionary.buffers()[1], np.int64, len(pieces.dictionary) + 1).tolist()
+    raw = own.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pieces.indices.to_numpy(), np.diff(ends, prepend=0)
+
+
+def take_runs(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """values holds runs of these sizes; the runs that index names, one behind the other."""
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[index]
+    ends = np.cumsum(n)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - ends + n, n)]
+
+
 class TwoGenerations(dict):
     """A cache of at most 2 * `most` entries: a full young generation becomes the old one."""
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, open_windows: int = 64,
     A document is its whole text's ids (null: none) and end_id, so empty ones have one id. Each id is in one
     piece; pieces lie gapless in their sequence. Padding stands only in sequences whose length is no power
     of two: those that leave since nothing fits. Repeated rows and null doc_ids are packed like any other;
-    an empty table gives none. sequence_id is unique, not gapless. Memory: open_windows windows and a text.
+    an empty table gives none; other columns are ignored. sequence_id is unique, not gapless. Memory: open_windows
+    windows and a text in the first step, MERGED * open_windows windows in the second.
     """
 
     def line(sequence: int, pieces) -> list[tuple]:
@@ -81,18 +83,19 @@ def pack(docs: DataFrame, path: str, window: int = 2048, open_windows: int = 64,
 
         enc, part = loaded(WordEncoder, path), TaskContext.get().partitionId()
         held, made = OpenWindows(window, open_windows), part << 36
-        end = end_id.to_bytes(4, "little")
         names, kinds = [*COLUMNS, "ids"], [pa.int64()] * 7 + [pa.binary()]
         for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
-            out = []
-            for (doc, _), ids in zip(rows, enc.encode_many([t for _, t in rows]), strict=True):
-                ids += end
-                total = len(ids) // 4
+            out, begin = [], 0
+            every, sizes = enc.encode_many([t for _, t in rows], end_id)
+            every = memoryview(every.astype("<u4").tobytes())
+            for (doc, _), total in zip(rows, sizes.tolist(), strict=True):
+                ids = every[4 * begin : 4 * (begin + total)]
+                begin += total
                 whole = total - total % window
                 for at in range(0, whole, window):
                     out += line(made := made + 1, [(doc, at, total, ids[4 * at : 4 * (at + window)])])
                 if whole < total:
-                    for pieces in held.add(doc, whole, total, ids[4 * whole :]):
+                    for pieces in held.add(doc, whole, total, bytes(ids[4 * whole :])):
                         out += line(made := made + 1, pieces)
             if out:
                 yield batch(out, names, kinds)
@@ -102,13 +105,9 @@ def pack(docs: DataFrame, path: str, window: int = 2048, open_windows: int = 64,
     def merge(batches):
         import pyarrow as pa
 
-        out = []
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        by_group: dict = {}
-        for r in rows:
-            by_group.setdefault(r[-1], []).append(r)
-        for group, own in by_group.items():
-            own.sort(key=lambda r: (r[5], r[6]))
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for group, own in groupby(rows, key=lambda r: r[-1]):  # one group at a time: they come sorted
+            own, out = sorted(own, key=lambda r: (r[5], r[6])), []
             sizes = sizes_of(sum(r[2] for r in own), window)
             made, at, offset = -((group + 1) << 36), 0, 0
             for doc, start, length, _, total, _, _, ids, _ in own:
@@ -119,11 +118,10 @@ def pack(docs: DataFrame, path: str, window: int = 2048, open_windows: int = 64,
                     done, offset = done + take, offset + take
                     if offset == sizes[at]:
                         at, offset = at + 1, 0
-        if out:
             yield batch(out, COLUMNS, [pa.int64()] * 7)
 
     first = materialize(text_bytes(docs).mapInArrow(run, f"{PIECE}, ids binary"), "packed")
     rest = first.where("ids is not null").withColumn("merged", F.expr(f"sequence_id div {MERGED}"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = rest.repartition(n, "merged").mapInArrow(merge, PIECE)
+    merged = rest.repartition(n, "merged").sortWithinPartitions("merged").mapInArrow(merge, PIECE)
     return first.where("ids is null").select(*COLUMNS).union(merged)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import row_groups, text_bytes
+from trackframe.llm.common import materialize, row_groups, text_bytes
 from trackframe.llm.tokenizer_cache import ByteLevelEncoder, loaded
 
 #: Lengths a suffix sum window holds; totals of these spans are summed apart.
@@ -19,9 +19,9 @@ def encoded_lengths(docs: DataFrame, path: str, *more: str) -> DataFrame:
         import pyarrow as pa
 
         enc = loaded(ByteLevelEncoder, path)
-        for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
+        for rows in row_groups(batches, 8_000_000, lambda r: len(r[1])):
             doc, texts, *rest = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([len(i) // 4 for i in enc.encode_many(texts)], pa.int64()), *(pa.array(c, pa.string()) for c in rest)], ["doc_id", "n_tokens", *more])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(enc.count_many(texts)), *(pa.array(c, pa.string()) for c in rest)], ["doc_id", "n_tokens", *more])
 
     return text_bytes(docs, *(F.col(c).cast("string").alias(c) for c in more)).mapInArrow(run, "doc_id long, n_tokens long" + "".join(f", `{c}` string" for c in more))
 
@@ -54,6 +54,24 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     )
 
 
+def quantile(totals: DataFrame, share: float) -> DataFrame:
+    """One row, n_tokens: the least length that at least this share of all documents stay within; NULL of no documents."""
+    return totals.where(F.col("docs_upto") >= F.lit(float(share)) * F.col("docs_total")).agg(F.min("n_tokens").alias("n_tokens"))
+
+
+def truncated_total(totals: DataFrame, limit: int) -> DataFrame:
+    """One row, tokens: of all documents cut at `limit`, whatever the limit; NULL of no documents.
+
+    The greatest length up to the limit tells; with none, every document gives `limit` ids.
+    """
+    own = F.struct("n_tokens", (F.col("tokens_truncated") + (F.lit(limit) - F.col("n_tokens")) * F.col("docs_longer")).alias("tokens"))
+    return totals.agg(F.coalesce(F.max(F.when(F.col("n_tokens") <= limit, own))["tokens"], F.max("docs_total") * F.lit(limit)).cast("long").alias("tokens"))
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """context_totals of every row of docs (null text: length 0; repeated rows count each time)."""
-    return context_totals(length_histogram(encoded_lengths(docs, path)))
+    """context_totals of every row of docs (null text: length 0; repeated rows count each time).
+
+    Texts of any length are encoded whole; other columns are ignored; an empty table gives none. The
+    histogram, a row a length, is written to the shared folder, since its sums are taken in two steps.
+    """
+    return context_totals(materialize(length_histogram(encoded_lengths(docs, path)), "lengths"))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import row_groups, shared_dir, text_bytes
+from trackframe.llm.common import materialize, row_groups, shared_dir, text_bytes
 from trackframe.llm.tokenizer_cache import ByteLevelEncoder, loaded
 
 #: By control byte: the sizes of its four ids.
@@ -51,34 +51,56 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, n) over every row of docs, an end id a document."""
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(doc_id, n, ids) of every row of docs: its n ids, the end id included, as little-endian unsigned integers of one width."""
 
     def run(batches):
         import pyarrow as pa
 
-        enc, total = loaded(ByteLevelEncoder, path), np.zeros(0, np.int64)
-        for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
-            ids = np.frombuffer(b"".join(enc.encode_many([t for _, t in rows])), "<u4")
-            seen = np.bincount(np.append(ids, end_id), minlength=len(total))
-            seen[end_id] += len(rows) - 1
+        enc = loaded(ByteLevelEncoder, path)
+        for rows in row_groups(batches, 8_000_000, lambda r: len(r[1])):
+            ids, n = enc.encode_many([t for _, t in rows], end_id)
+            ends = np.r_[0, np.cumsum(n)] * enc.kind.itemsize
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(n), raw], ["doc_id", "n", "ids"])
+
+    return text_bytes(docs).mapInArrow(run, "doc_id long, n long, ids binary")
+
+
+def ids_of(rows: list[tuple]) -> np.ndarray:
+    """The ids of rows (n, ids) of `encoded`, one behind the other."""
+    n, raw = sum(r[0] for r in rows), b"".join(r[1] for r in rows)
+    return np.frombuffer(raw, f"<u{len(raw) // n}") if n else np.zeros(0, "<u2")
+
+
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """(id, n) over every row of encoded(...); a row an id and task is shuffled."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(0, np.int64)
+        for rows in row_groups(batches, 8_000_000, lambda r: len(r[1])):
+            seen = np.bincount(ids_of(rows), minlength=len(total))
             seen[: len(total)] += total
             total = seen
         if len(at := np.flatnonzero(total)):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    return text_bytes(docs).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, block_bytes: int = 4_000_000) -> None:
     """Write every row's ids (null text: none) and the end id to `out`/blocks and `out`/ranks.
 
-    The vocabulary, of fixed size, is all that passes through the driver. Documents are dealt by ranges of doc_id
-    (null first; equal ids in either order), so files are even whatever the sources' sizes. Spark's
-    writer commits each file, so that a lost executor leaves no half of one.
+    Each text is encoded once; its ids are written to the shared folder, ranked over the corpus and dealt by
+    ranges of doc_id (null first; equal ids in either order), so files are even whatever the sources' sizes. The
+    vocabulary, of fixed size, is all that passes through the driver. Spark's writer commits each file, so that a
+    lost executor leaves no half of one.
     """
     spark = docs.sparkSession
-    counted = sorted(((r["n"], r["id"]) for r in id_counts(docs, path, end_id).collect()), key=lambda r: (-r[0], r[1]))
+    tokens = materialize(encoded(docs, path, end_id), "ids")
+    counted = sorted(((r["n"], r["id"]) for r in id_counts(tokens).collect()), key=lambda r: (-r[0], r[1]))
     by_rank = np.array([i for _, i in counted], np.int64)
     rank_of = np.zeros(by_rank.max(initial=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -88,18 +110,17 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, block_by
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, rank, part = loaded(ByteLevelEncoder, path), held.value, TaskContext.get().partitionId()
-        end = end_id.to_bytes(4, "little")
-        for block, rows in enumerate(row_groups(batches, block_bytes, lambda r: len(r[1]) + 16)):
-            ids = [i + end for i in enc.encode_many([t for _, t in rows])]
-            control, data = encode_block(rank[np.frombuffer(b"".join(ids), "<u4")])
+        rank, part = held.value, TaskContext.get().partitionId()
+        for block, rows in enumerate(row_groups(batches, block_bytes, lambda r: len(r[2]) + 16)):
+            doc_ids, lengths, _ = zip(*rows, strict=True)
+            control, data = encode_block(rank[ids_of([r[1:] for r in rows])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([[d for d, _ in rows]], pa.list_(pa.int64())), pa.array([[len(i) // 4 for i in ids]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 ["part", "block", "doc_ids", "lengths", "control", "data"],
             )
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = text_bytes(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    dealt = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{out}/blocks")
     spark.createDataFrame([(i, int(d)) for i, d in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{out}/ranks")
 

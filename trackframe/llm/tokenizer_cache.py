@@ -1,23 +1,26 @@
-"""Whole-text encoding with a tokenizers file, by pieces that the tokenizer never merges across."""
+"""Whole-text encoding with a tokenizers file, by pieces that the tokenizer never merges across.
+
+The texts of a group stand in one buffer, which numpy cuts into pieces and Arrow reduces to the distinct ones. Only
+those are looked up, only new ones reach the tokenizer, and numpy writes out the ids of all pieces at once.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-import struct
-from itertools import compress
-from operator import not_
 
 import numpy as np
 
-from trackframe.llm.common import TwoGenerations
+from trackframe.llm.common import TwoGenerations, distinct_pieces, take_runs
 
 _LOADED: dict = {}
 
 #: White space as the tokenizers' patterns see it (Unicode White_Space), without space and line feed.
-OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0                　"
-#: ASCII marks that may follow a word.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes that no UTF-8 text holds: before a piece that stands for exactly itself; for a space and a line feed in one; an end id.
+EXACT, SPACE, FEED, END = b"\xff", b"\xfe", b"\xfd", b" \xfc"
+#: Pieces that are longer are not kept.
+LONGEST_KEPT = 200
 
 
 def loaded(kind, path: str, *args):
@@ -29,12 +32,12 @@ def loaded(kind, path: str, *args):
 
 
 class Encoder:
-    """Ids of whole texts (UTF-8 bytes) as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts (UTF-8 bytes).
 
-    Texts are cut where the tokenizer's own pre-tokenizer always cuts, and the ids of each distinct
-    piece are kept; the new pieces of a group of texts are encoded together. A piece is bytes, or a 1-tuple of
-    bytes that stand for exactly themselves. `most` bounds the cache, where a word is kept once, whatever marks
-    follow it; special tokens' strings are ordinary text.
+    Texts are cut where the tokenizer's own pre-tokenizer always cuts, and the ids of each distinct piece are
+    kept; new pieces are encoded together, as one text. A piece begins with the space that it was cut at, or with
+    the mark that follows a letter.
+    `most` bounds the cache; special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -43,136 +46,169 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # pieces reach it once; its own cache only costs time
         self.cache = TwoGenerations(most)
-        vocabulary = self.tokenizer.get_vocab()
-        #: Ids that end a word (or, by the other marks, begin one after a space or a line feed).
-        self.edges = {}
-        for first, mark in self.EDGES.items():
-            self.edges[first] = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.edges[first][[i for p, i in vocabulary.items() if (p.endswith(mark) if self.at_end else p.startswith(mark))]] = True
-
-    def cut_end(self, piece):
-        """A piece as what ends in an ASCII letter and the marks after it: a cut that the patterns make too.
-
-        Apostrophes, which begin contractions, are left alone.
-        """
-        if isinstance(piece, bytes):
-            core = piece.rstrip(MARKS)
-            if len(core) < len(piece) and core[-1:].isalpha():
-                return core, (piece[len(core) :],)
-        return piece, None
-
-    def learn(self, pieces: set) -> list:
-        """Put the pieces in the cache; returns those that need not stay."""
-        cache, old, new, ends = self.cache, self.cache.old, set(), []
-        for p in pieces:
-            if (ids := old.get(p)) is not None:
-                cache[p] = ids
-                continue
-            core, marks = self.cut_end(p)
-            if marks:
-                ends.append((p, core, marks))
-            for part in (core, marks):
-                if part is not None and part not in cache:
-                    if (ids := old.get(part)) is None:
-                        new.add(part)
-                    else:
-                        cache[part] = ids
-        for first, words in self.kinds(new).items():
-            new.difference_update(words)
-            for at in range(0, len(words), 256):
-                new.update(self.learn_words(first, words[at : at + 256]))
-        todo = list(new)
-        found = self.tokenizer.encode_batch_fast([self.stands_for(p).decode() for p in todo], add_special_tokens=False)
-        for p, e in zip(todo, found, strict=True):
-            ids = e.ids
-            cache[p] = struct.pack(f"<{len(ids)}I", *ids)
-        for p, core, marks in ends:
-            cache[p] = cache[core] + cache[marks]
-        return [p for p, _, _ in ends]
-
-    def kinds(self, pieces) -> dict[bytes, list[bytes]]:
-        """Pieces that are a word of letters, by what comes before the word: a space or a line feed."""
-        out: dict = {b" ": [], b"\n": []}
+        self.vocabulary = self.tokenizer.get_vocab()
+        #: Ids as they are kept, two bytes each where the vocabulary allows it.
+        self.kind = np.dtype("<u2" if max(self.vocabulary.values()) < 1 << 16 else "<u4")
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind) for e in found]
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new pieces: many as one text, the others by themselves."""
+        alone, kinds, out = [], {}, {}
         for p in pieces:
-            if isinstance(p, bytes):
-                if p[:1] == b"\n":
-                    if p[1:].decode().isalpha():
-                        out[b"\n"].append(p)
-                elif p.decode().isalpha():
-                    out[b" "].append(p)
+            kinds.setdefault(self.joins(p), []).append(p)
+        for kind, own in kinds.items():
+            for at in range(0, len(own), 1024):
+                some = own[at : at + 1024]
+                if kind:
+                    (ids,) = self.ids([self.as_one(kind, some)])
+                    begin, end = self.bounds(kind, ids)
+                    if len(begin) == len(some):
+                        raw, size = ids.tobytes(), self.kind.itemsize
+                        out.update(zip(some, (raw[a:b] for a, b in zip((begin * size).tolist(), (end * size).tolist(), strict=True)), strict=True))
+                        continue
+                alone += some
+        out.update(zip(alone, (i.tobytes() for i in self.ids(list(map(self.stands_for, alone)))), strict=True))
+        self.cache.update(out if max(map(len, out), default=0) <= LONGEST_KEPT else {p: i for p, i in out.items() if len(p) <= LONGEST_KEPT})
         return out
 
-    def learn_words(self, first: bytes, words: list[bytes]) -> list[bytes]:
-        """Encode words of letters as one text, cut where ids begin or end a word; returns them if that fails."""
-        text = b"".join(words) if first == b"\n" else b" " + b" ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.edges[first][ids]) + (1 if self.at_end else 0)
-        if len(at) != len(words):
-            return words
-        raw, cuts = ids.tobytes(), (4 * at).tolist()
-        cuts = [0, *cuts] if self.at_end else [*cuts, len(raw)]
-        if cuts[0] or cuts[-1] != len(raw):
-            return words
-        self.cache.update(zip(words, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-        return []
-
-    def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        out, at, cache = [], 0, self.cache
-        get = cache.get
-        while at < len(texts):
-            cut, found, size, missing = [], [], 0, set()
-            while at < len(texts) and size < 1_000_000:
-                cut.append(pieces := self.pieces(texts[at]))
-                found.append(ids := list(map(get, pieces)))
-                if None in ids:
-                    missing.update(compress(pieces, map(not_, ids)))
-                size, at = size + len(texts[at]), at + 1
-            passing = self.learn(missing)
-            for pieces, ids in zip(cut, found, strict=True):
-                if None in ids:
-                    ids = [get(p) if i is None else i for p, i in zip(pieces, ids, strict=True)]
-                out.append(b"".join(ids))
-            for p in passing:
-                del cache[p]
-            cache.turn()
-        return out
+    def look_up(self, texts: list[bytes], end_id: int | None):
+        """(ids of each distinct piece, piece numbers in text order, pieces of each text)."""
+        after = b"" if end_id is None else END
+        pieces, index, counts = distinct_pieces([self.mark(t) + after for t in texts], marks=True)
+        cache, old = self.cache, self.cache.old
+        found, new = list(map(cache.get, pieces)), []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            p = pieces[i]
+            if p == END:
+                found[i] = np.array([end_id], self.kind).tobytes()
+            elif (ids := old.get(p)) is not None:
+                found[i] = cache[p] = ids
+            else:
+                new.append(i)
+        learned = self.learn([pieces[i] for i in new])
+        for i in new:
+            found[i] = learned[pieces[i]]
+        cache.turn()
+        return found, index, counts
+
+    def encode_many(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, one text behind the other; how many each text has), with an end id a text if one is given."""
+        found, index, counts = self.look_up(texts, end_id)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        ids = take_runs(np.frombuffer(b"".join(found), self.kind), size, index)
+        return ids, sums_by_text(size[index], counts)
+
+    def count_many(self, texts: list[bytes]) -> np.ndarray:
+        """How many ids each text has."""
+        found, index, counts = self.look_up(texts, None)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        return sums_by_text(size[index], counts)
+
+
+def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the first counts[0] values, of the next counts[1] values, ..."""
+    total = np.r_[0, np.cumsum(values)]
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 class ByteLevelEncoder(Encoder):
     """For byte-level BPE whose pattern gives a single space to the word after it.
 
-    A piece of bytes stands for itself with a space before it, unless it begins with a line feed.
+    The tokenizer's white-space rule: a run of white space leaves its last character to what follows. So a single
+    space or line feed, and two of them, may be cut before each; only longer runs, runs with other
+    white space, and runs that end a text stand as exact pieces.
     """
 
-    #: The byte-level letters of space and line feed.
-    EDGES, at_end = {b" ": "Ġ", b"\n": "Ċ"}, False
+    def __init__(self, path: str, most: int = 600_000):
+        super().__init__(path, most)
+        self.begins = np.zeros(max(self.vocabulary.values()) + 1, bool)
+        # The byte-level letters of space and line feed.
+        self.begins[[i for p, i in self.vocabulary.items() if p[0] in "ĠĊ"]] = True
+
+    RUN = re.compile(f"[ \n{OTHER_SPACE}][ \n{OTHER_SPACE}]+")
+    OTHER = re.compile(f"[{OTHER_SPACE}]")
+    #: What other white space begins with in UTF-8, and white space that is doubled.
+    DOUBLED = [b"  ", b"\n\n", b" \n", b"\n ", *(c.encode() for c in OTHER_SPACE if c < "\x80")]
+    WIDE = sorted({c.encode()[:2] for c in OTHER_SPACE if c >= "\x80"})
+
+    def mark(self, text: bytes) -> bytes:
+        if any(map(text.__contains__, self.DOUBLED)) or not text.isascii() and any(map(text.__contains__, self.WIDE)):
+            text = self.with_runs(text.decode())
+        return b" " + EXACT + text.replace(b"\n", b" \n")
+
+    def with_runs(self, text: str) -> bytes:
+        """The text with its odd runs of white space as exact pieces."""
+        out, at = [], 0
+        for run in self.RUN.finditer(text):
+            begin, end = run.span()
+            if end - begin == 2 and end < len(text) and not self.OTHER.search(run[0]):
+                continue
+            out.append(text[at:begin].encode())
+            stays, last = (run[0], "") if end == len(text) else (run[0][:-1], run[0][-1])
+            out.append(b" " + EXACT + stays.encode().replace(b" ", SPACE).replace(b"\n", FEED))
+            out.append((b"" if last in " \n" else b" " + EXACT) + last.encode())
+            at = end
+        out.append(text[at:].encode())
+        return b"".join(out)
+
+    def joins(self, piece: bytes) -> str:
+        """How the piece may be encoded with others: 'begin' where its first id tells it from them, '' for alone."""
+        return "begin" if piece[:1] == b" " and piece[1:2] != EXACT and len(piece) > 1 and piece != b" \n" else ""
 
-    #: The tokenizer's own white-space rule: a run leaves its last character to what follows.
-    RUNS = re.compile(f" ?[^ \n{OTHER_SPACE}]+|[ \n{OTHER_SPACE}]+(?![^ \n{OTHER_SPACE}])|[ \n{OTHER_SPACE}]")
-    #: What any other white space holds in UTF-8, and white space that is doubled.
-    ODD = [b"  ", b"\n\n", b" \n", b"\n ", *sorted({c.encode()[:2] for c in OTHER_SPACE})]
+    def stands_for(self, piece: bytes) -> bytes:
+        if piece[:1] == b" " and piece[1:2] == EXACT:
+            return piece[2:].replace(SPACE, b" ").replace(FEED, b"\n")
+        return piece[1:] if piece[1:2] == b"\n" else piece
 
-    def stands_for(self, piece) -> bytes:
-        return piece[0] if isinstance(piece, tuple) else piece if piece[:1] == b"\n" else b" " + piece
+    def as_one(self, kind: str, pieces: list[bytes]) -> bytes:
+        return b"".join(pieces).replace(b" \n", b"\n")
 
-    def pieces(self, text: bytes) -> list:
-        if not text:
-            return []
-        if text[:1] in b" \n" or text[-1:] in b" \n" or any(map(text.__contains__, self.ODD)):
-            return [(p.encode(),) for p in self.RUNS.findall(text.decode())]
-        cut = text.replace(b"\n", b" \n").split(b" ")
-        cut[0] = (cut[0],)
-        return cut
+    def bounds(self, kind: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's ids begin and end: no id but a piece's first begins with a space or a line feed."""
+        at = np.flatnonzero(self.begins[ids])
+        return at, np.r_[at[1:], len(ids)]
 
 
 class WordEncoder(Encoder):
     """For BPE that lower-cases and drops white space: any cut at a space or line feed is one of the tokenizer's own."""
 
-    EDGES, at_end = {b" ": "</w>"}, True
+    #: A word of its own that stands between pieces which are encoded as one text.
+    BETWEEN = b"\x01"
 
-    def stands_for(self, piece) -> bytes:
-        return piece[0] if isinstance(piece, tuple) else piece
-
-    def pieces(self, text: bytes) -> list:
-        return text.lower().replace(b"\n", b" ").split(b" ")
+    def __init__(self, path: str, most: int = 600_000):
+        super().__init__(path, most)
+        a, *between, b = self.ids([b"a " + self.BETWEEN + b" a"])[0].tolist()
+        if a != b or len(between) != 1:
+            raise ValueError("no one id for the mark between pieces")
+        self.between = between[0]
+        self.ends = np.zeros(max(self.vocabulary.values()) + 1, bool)
+        self.ends[[i for p, i in self.vocabulary.items() if p.endswith("</w>")]] = True
+
+    def mark(self, text: bytes) -> bytes:
+        return b" " + text.lower().replace(b"\n", b" ")
+
+    def joins(self, piece: bytes) -> str:
+        """'end': a word of letters, whose last id ends it; 'mark': needs a mark behind it; '': alone."""
+        if piece[:1] == b" " and piece[1:].decode().isalpha():
+            return "end"
+        return "" if self.BETWEEN in piece else "mark"
+
+    def stands_for(self, piece: bytes) -> bytes:
+        return piece
+
+    def as_one(self, kind: str, pieces: list[bytes]) -> bytes:
+        return b"".join(pieces) if kind == "end" else (b" " + self.BETWEEN + b" ").join([*pieces, b""])
+
+    def bounds(self, kind: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if kind == "end":
+            end = np.flatnonzero(self.ends[ids]) + 1
+            return np.r_[0, end][: len(end)], end
+        end = np.flatnonzero(ids == self.between)
+        return np.r_[0, end + 1][: len(end)], end
