@@ -85,22 +85,27 @@ def test_binomial_tail_allows_some_rejections(spark):
         assert bool(cuts) == passes
 
 
+def words_of(text):
+    return [*text.lower().split(), b""]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     spec = lm.Spec([(b"w%d" % i, int(2000 / (i + 1)) + 1) for i in range(150)], 10_000, 300, rng.integers(1, 50, lm.BUCKETS).astype(float))
     weights = {k: (w + rng.normal(0, 0.3, w.shape)).astype(float) for k, w in lm.first_weights(spec).items()}
     net = lm.Network(spec, weights)
-    docs = sorted([rng.choice(np.r_[np.arange(150), lm.HEAD + np.arange(64)], rng.integers(3, 14)) for _ in range(5)], key=len, reverse=True)
-    inputs, targets, active = next(net.windows(docs, 20))
+    every = np.r_[np.arange(150), lm.HEAD + np.arange(lm.BUCKETS)]
+    inputs, targets, fresh = rng.choice(every, (9, 5)), rng.choice(every, (9, 5)), rng.random((9, 5)) < 0.2
+    active, h = np.array([5, 5, 5, 4, 4, 3, 3, 1, 1]), rng.normal(0, 0.3, (5, lm.HIDDEN))
+    works = np.arange(5) < active[:, None]
 
     def loss(p):
         own = lm.Network(spec, p)
-        states, _, _ = own.states(inputs, active, np.zeros((5, lm.HIDDEN)))
-        return -own.log_probs(states, np.concatenate([targets[:n, t] for t, n in enumerate(active.tolist())]))[0].mean()
+        return -own.log_probs(own.states(own.into(), inputs, fresh, active, h.copy())[works], targets[works])[0].mean()
 
     grads = {}
     net.adam = grads.update
-    net.train_window(inputs, targets, active, np.zeros((5, lm.HIDDEN)))
+    net.train_window(inputs, fresh, targets, active, h.copy())
     for k in weights:
         at = np.argmax(np.abs(grads[k]))
         up, down = ({n: w.copy() for n, w in weights.items()} for _ in range(2))
@@ -109,6 +114,17 @@ def test_gradients():
         assert abs(grads[k].flat[at] - (loss(up) - loss(down)) / 2e-5) < 1e-6
 
 
+def plain_states(p, codes):
+    """The states after each word, one document at a time, word by word."""
+    h, out, k = np.zeros(lm.HIDDEN), [], lm.HIDDEN
+    for code in [lm.HEAD + lm.BUCKETS, *codes[:-1]]:
+        x, hu = p["embed"][code].astype(float) @ p["w"] + p["b"], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(x[i : i + k] + hu[i : i + k]))) for i in (0, k))
+        h = z * h + (1 - z) * np.tanh(x[2 * k :] + r * hu[2 * k :])
+        out.append(h)
+    return np.array(out)
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     rng = np.random.default_rng(2)
     words = [(b"w%d" % i, 300 - i) for i in range(200)]
@@ -123,10 +139,51 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     logs, _ = net.log_probs(np.repeat(state, len(every), 0), every)
     assert abs(np.exp(logs).sum() - 1) < 1e-4  # head words and whole buckets; a bucket's words and one unknown share it
     assert abs(sum(sum((c + 1) for w, c in outside.items() if lm.bucket(w) == b) + 1 for b in range(lm.BUCKETS)) - (10 ** spec.tail_log).sum()) < 1e-6
-    doc = rng.choice(every, 300)
-    whole = net.score([doc])[0]
-    states, _, _ = net.states(np.r_[lm.HEAD + lm.BUCKETS, doc[:-1]][None], np.ones(300, int), np.zeros((1, lm.HIDDEN), np.float32))
-    assert abs(whole - net.log_probs(states, doc)[0].sum()) < 1e-2
+    docs = [rng.choice(every, n) for n in (300, 1, 40, 40, 7, 1200, 2)]
+    whole = net.score(np.concatenate(docs), np.array([len(d) for d in docs]))
+    for d, got in zip(docs, whole, strict=True):
+        assert abs(got - net.log_probs(plain_states(net.p, d).astype(np.float32), d)[0].sum()) < 1e-4 * len(d) + 1e-3
+
+
+def test_scores_of_whole_documents(docs, plain, monkeypatch):
+    """score_documents against a plain network, word by word, with the shares of words outside the head."""
+    monkeypatch.setattr(lm, "FREQUENT", 300)
+    count = Counter()
+    for d, t in plain:
+        if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
+            count.update(words_of(t.encode()))
+    kept = {}
+
+    def fixed(train, spec):
+        rng = np.random.default_rng(3)
+        kept["spec"], kept["weights"] = spec.value, {k: w + rng.normal(0, 0.2, w.shape).astype(np.float32) for k, w in lm.first_weights(spec.value).items()}
+        return kept["weights"]
+
+    monkeypatch.setattr(lm, "learn_weights", fixed)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect() if r.doc_id is not None}
+    spec, p = kept["spec"], kept["weights"]
+    place = {w: i for w, i in spec.place.items() if i < spec.head}
+    mass = Counter()
+    for w, c in count.items():
+        if w not in place:
+            mass[lm.bucket(w)] += c + 1
+    for d, t in plain:
+        if d is None:
+            continue
+        words = words_of(t.encode())
+        codes = [place.get(w, lm.HEAD + lm.bucket(w)) for w in words]
+        total = 0.0
+        for w, code, s in zip(words, codes, plain_states(p, codes), strict=True):
+            logits = s @ p["wc"] + p["bc"]
+            cls = code // lm.CLASS_SIZE if code < lm.HEAD else code - lm.HEAD + spec.classes
+            total += logits[cls] - np.log(np.exp(logits).sum())
+            if code < lm.HEAD:
+                lo = cls * lm.CLASS_SIZE
+                inner = p["wo"][lo : lo + lm.CLASS_SIZE] @ s + p["bo"][lo : lo + lm.CLASS_SIZE]
+                total += inner[code - lo] - np.log(np.exp(inner).sum())
+            else:
+                total += np.log((count[w] + 1) / (mass[lm.bucket(w)] + 1))
+        assert abs(got[d] - total / np.log(10)) < 1e-3 + 1e-5 * len(words), d
 
 
 def test_op5(docs, plain, empty, spark, monkeypatch):
@@ -135,9 +192,9 @@ def test_op5(docs, plain, empty, spark, monkeypatch):
     count = Counter()
     for d, t in plain:
         if not held(d):
-            count.update(lm.words_of(t.encode()))
+            count.update(words_of(t.encode()))
     n, v = sum(count.values()), len(count)
-    want = sorted((str(d), held(d), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for d, t in plain for w in [lm.words_of(t.encode())])
+    want = sorted((str(d), held(d), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for d, t in plain for w in [words_of(t.encode())])
     got = lm.score_documents(docs).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
@@ -159,7 +216,7 @@ def test_every_document_trains_the_network(spark):
     spec = spark.sparkContext.broadcast(lm.Spec(words, 44, 8, np.zeros(lm.BUCKETS)))
     first = lm.flat(lm.first_weights(spec.value))
     for k in range(6):
-        train = spark.createDataFrame([(k, b"w1 w2 w3 w1 w2")], "key_id long, text binary").coalesce(1)
+        train = spark.createDataFrame([(k, np.array([1, 2, 3, 1, 2], "<u2").tobytes())], "key_id long, codes binary").coalesce(1)
         assert not np.array_equal(lm.flat(lm.learn_weights(train, spec)), first), k
 
 

@@ -57,10 +57,10 @@ def row_groups(batches, bound: int, size):
         yield rows
 
 
-def distinct_pieces(marked: list[bytes], marks: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_pieces(marked: list[bytes], marks: bool = False, skip: int = 0) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Cut buffers before every space (each must begin with one) and, with `marks`, between a letter and a mark.
 
-    Returns the distinct pieces (their space included), the piece numbers in order, and the pieces of each buffer.
+    Returns the distinct pieces (their space included, but for `skip`), the piece numbers in order, and the pieces of each buffer.
     """
     import pyarrow as pa
 
@@ -75,7 +75,27 @@ def distinct_pieces(marked: list[bytes], marks: bool = False) -> tuple[list[byte
     ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked))))
     own, cuts = pieces.dictionary, np.frombuffer(pieces.dictionary.buffers()[1], np.int64, len(pieces.dictionary) + 1).tolist()
     raw = own.buffers()[2].to_pybytes()
-    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pieces.indices.to_numpy(), np.diff(ends, prepend=0)
+    return [raw[a + skip : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pieces.indices.to_numpy(), np.diff(ends, prepend=0)
+
+
+#: Byte table: what separates words, as a space.
+AS_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+END_WORD = b" \xfc"  # no UTF-8 text holds it
+
+
+def distinct_words(texts: list[bytes], end: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of texts: the distinct ones, their numbers in text order, the words of each text.
+
+    With `end` a text has one more word, b"", behind its last.
+    """
+    after = END_WORD if end else b""
+    words, index, counts = distinct_pieces([b" " + t.translate(AS_SPACE) + after for t in texts], skip=1)
+    if b"" in words:  # what stands between two spaces
+        stay = index != words.index(b"")
+        index, counts = index[stay], sums_of(stay.astype(np.int64), counts)
+    if end and texts:
+        words[words.index(END_WORD[1:])] = b""
+    return words, index, counts
 
 
 def take_runs(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -86,6 +106,14 @@ def take_runs(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.nd
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - ends + n, n)]
 
 
+def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the first counts[0] values, of the next counts[1] values, ...; each depends on its own values only."""
+    out, has = np.zeros(len(counts), values.dtype), counts > 0
+    if has.any():
+        out[has] = np.add.reduceat(values, (np.cumsum(counts) - counts)[has])
+    return out
+
+
 class TwoGenerations(dict):
     """A cache of at most 2 * `most` entries: a full young generation becomes the old one."""
 

@@ -15,20 +15,24 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from heapq import heapreplace
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import TwoGenerations, materialize, row_groups
+from trackframe.llm.common import distinct_words, materialize, row_groups, sums_of, take_runs
 
 #: Words whose counts every task holds (bounded, about 30 bytes each); the rest are joined.
 FREQUENT = 300_000
-HEAD, CLASS_SIZE, BUCKETS = 2048, 64, 64
-HIDDEN, SPAN, BATCH = 16, 32, 192
+HEAD, CLASS_SIZE, BUCKETS = 2048, 64, 32
+#: Units; words that gradients go back; streams trained, and scored, side by side; rows of a softmax at once.
+HIDDEN, SPAN, BATCH, STREAMS, ROWS = 16, 16, 512, 1024, 2048
 ROUNDS = 2
 RATE = 0.01
-END = b""
+#: Text bytes, and bytes of two-byte codes, of a group of documents that a task works on at once.
+GROUP_BYTES, CODE_BYTES = 12_000_000, 8_000_000
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -61,17 +65,13 @@ class Spec:
         self.class_bias = np.log(every / every.sum()).astype(np.float32)
         self.head_bias = np.log(counts[: self.head] + 1).astype(np.float32)
 
-    def codes(self, cache, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the frequent words or -1, input row: head place or HEAD + bucket)."""
-        both = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-        return (both >> 16) - 1, both & 0xFFFF
-
-    def cache(self) -> TwoGenerations:
-        def make(word: bytes) -> int:
-            at = self.place.get(word, -1)
-            return (at + 1) << 16 | (at if 0 <= at < self.head else HEAD + bucket(word))
-
-        return TwoGenerations(200_000, make)
+    def codes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the frequent words or -1, input row: head place or HEAD + bucket) of distinct words."""
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        row = np.where((place >= 0) & (place < self.head), place, 0)
+        at = np.flatnonzero((place < 0) | (place >= self.head))
+        row[at] = np.fromiter((HEAD + bucket(words[i]) for i in at.tolist()), np.int64, len(at))
+        return place, row
 
 
 def first_weights(spec: Spec) -> dict[str, np.ndarray]:
@@ -93,106 +93,113 @@ def shaped(values: np.ndarray, like: dict) -> dict[str, np.ndarray]:
 
 
 class Network:
+    """States and probabilities of windows. A window holds steps x streams; the first active[t] streams work at step t.
+
+    inputs, fresh, targets: (steps, streams): the word before (or the start), whether a document begins, the word.
+    """
+
     def __init__(self, spec: Spec, weights: dict[str, np.ndarray]):
         self.spec, self.p = spec, weights
         self.moments = None
 
-    def states(self, inputs: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool = False):
-        """Run a window: inputs (rows, steps); active: rows at work at each step (the first ones).
-
-        Returns the states of all working (step, row) places one below the other, the last h, and what backpropagation needs.
-        """
-        p, n3 = self.p, HIDDEN
-        into = p["embed"] @ p["w"] + p["b"]
-        out, kept = [], []
-        h = h.copy()
+    def into(self) -> np.ndarray:
+        return self.p["embed"] @ self.p["w"] + self.p["b"]
+
+    def states(self, into, inputs, fresh, active, h, kept: dict | None = None) -> np.ndarray:
+        """States after every step (steps, streams, HIDDEN); h, the streams' last states, is brought up to date."""
+        u, k = self.p["u"], HIDDEN
+        shape = (*inputs.shape, k)
+        out = np.zeros(shape, u.dtype)
+        stay = (~fresh[:, :, None]).astype(u.dtype)
+        if kept is not None:
+            kept.update({name: np.zeros(shape, u.dtype) for name in ("before", "z", "r", "new", "un")}, stay=stay)
         for t, n in enumerate(active.tolist()):
-            x, before = into[inputs[:n, t]], h[:n]
-            hu = before @ p["u"]
-            gate = sigmoid(x[:, : 2 * n3] + hu[:, : 2 * n3])
-            z, r, un = gate[:, :n3], gate[:, n3:], hu[:, 2 * n3 :]
-            new = np.tanh(x[:, 2 * n3 :] + r * un)
-            now = new + z * (before - new)
-            if keep:
-                kept.append((before.copy(), z, r, new, un))
-            h[:n] = now
-            out.append(now)
-        return np.concatenate(out), h, kept
+            x, before = into[inputs[t, :n]], h[:n] * stay[t, :n]
+            hu = before @ u
+            gate = sigmoid(x[:, : 2 * k] + hu[:, : 2 * k])
+            z, r, un = gate[:, :k], gate[:, k:], hu[:, 2 * k :]
+            new = np.tanh(x[:, 2 * k :] + r * un)
+            h[:n] = out[t, :n] = new + z * (before - new)
+            if kept is not None:
+                for name, value in (("before", before), ("z", z), ("r", r), ("new", new), ("un", un)):
+                    kept[name][t, :n] = value
+        return out
 
     def log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log P of the targets' classes and, for head words, of their places; with grads, d/d states of the mean loss."""
-        p, spec = self.p, self.spec
-        rows, m = np.arange(len(target)), len(target)
+        p, spec, m = self.p, self.spec, len(target)
         head = target < HEAD
         cls = np.where(head, target // CLASS_SIZE, target - HEAD + spec.classes)
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        picked = logits[rows, cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out = (picked - np.log(total)).astype(np.float64)
-        back = None
+        out, back = np.zeros(m), None
         if grads is not None:
-            logits /= total[:, None]
-            logits[rows, cls] -= 1
-            logits /= m
-            grads["wc"] = states.T @ logits
-            grads["bc"] = logits.sum(0)
-            grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-            back = logits @ p["wc"].T
+            back = np.zeros_like(states)
+            grads |= {name: np.zeros_like(p[name]) for name in ("wc", "bc", "wo", "bo")}
+
+        def softmax(rows, weights, bias, place):
+            """rows of states against one set of outputs, which stand in columns so that sums run along memory."""
+            s = states[rows]
+            logits = weights @ s.T
+            logits += bias[:, None]
+            if np.abs(weights).sum(1).max() + np.abs(bias).max() > 60:  # states lie within -1 and 1
+                logits -= logits.max(0)
+            own = np.arange(len(place))
+            picked = logits[place, own]
+            np.exp(logits, out=logits)
+            total = logits.sum(0)
+            out[rows] += picked - np.log(total)
+            if grads is None:
+                return None
+            logits /= total * m
+            logits[place, own] -= logits.dtype.type(1 / m)
+            back[rows] += logits.T @ weights
+            return logits @ s, logits.sum(1)
+
+        columns = np.ascontiguousarray(p["wc"].T)
+        for at in range(0, m, ROWS):
+            rows = slice(at, at + ROWS)
+            if (g := softmax(rows, columns, p["bc"], cls[rows])) is not None:
+                grads["wc"] += g[0].T
+                grads["bc"] += g[1]
         at = np.flatnonzero(head)
         at = at[np.argsort(cls[at], kind="stable")]
         cuts = np.searchsorted(cls[at], np.arange(spec.classes + 1))
         for c in range(spec.classes):
-            own = at[cuts[c] : cuts[c + 1]]
-            if not len(own):
-                continue
             lo, hi = c * CLASS_SIZE, min((c + 1) * CLASS_SIZE, spec.head)
-            s = states[own]
-            inner = s @ p["wo"][lo:hi].T + p["bo"][lo:hi]
-            inner -= inner.max(1, keepdims=True)
-            place = target[own] - lo
-            picked = inner[np.arange(len(own)), place]
-            np.exp(inner, out=inner)
-            total = inner.sum(1)
-            out[own] += picked - np.log(total)
-            if grads is not None:
-                inner /= total[:, None]
-                inner[np.arange(len(own)), place] -= 1
-                inner /= m
-                grads["wo"][lo:hi] = inner.T @ s
-                grads["bo"][lo:hi] = inner.sum(0)
-                back[own] += inner @ p["wo"][lo:hi]
+            for first in range(cuts[c], cuts[c + 1], ROWS):
+                rows = at[first : min(first + ROWS, cuts[c + 1])]
+                if (g := softmax(rows, p["wo"][lo:hi], p["bo"][lo:hi], target[rows] - lo)) is not None:
+                    grads["wo"][lo:hi] += g[0]
+                    grads["bo"][lo:hi] += g[1]
         return out, back
 
-    def train_window(self, inputs, targets, active, h):
-        """One step of truncated backpropagation; returns the state after the window."""
-        p, k = self.p, HIDDEN
-        states, last, kept = self.states(inputs, active, h, keep=True)
-        flat_target = np.concatenate([targets[:n, t] for t, n in enumerate(active.tolist())])
-        grads: dict = {}
-        _, back = self.log_probs(states, flat_target, grads)
-        ends = np.cumsum(active)
-        carry, du, das = np.zeros((0, k), np.float32), np.zeros_like(p["u"]), []
+    def train_window(self, inputs, fresh, targets, active, h) -> None:
+        """One step of truncated backpropagation; h becomes the state after the window."""
+        p, k, kept, grads = self.p, HIDDEN, {}, {}
+        states = self.states(self.into(), inputs, fresh, active, h, kept)
+        works = np.arange(inputs.shape[1]) < active[:, None]
+        if works.all():
+            works = slice(None), slice(None)
+        back = np.zeros_like(states)
+        own = self.log_probs(states[works].reshape(-1, k), targets[works].ravel(), grads)[1]
+        back[works] = own.reshape(back[works].shape)
+        before, z, r, new, un, stay = (kept[name] for name in ("before", "z", "r", "new", "un", "stay"))
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), un * r * (1 - r)
+        dhu, dan, carry, ut = np.zeros((*inputs.shape, 3 * k), z.dtype), np.zeros_like(states), np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         for t in range(len(active) - 1, -1, -1):
             n = active[t]
-            before, z, r, new, un = kept[t]
-            dh = back[ends[t] - n : ends[t]].copy()
-            dh[: len(carry)] += carry
-            dan = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dan * un * r * (1 - r)
-            dhu = np.concatenate([dz, dr, dan * r], 1)
-            du += before.T @ dhu
-            carry = dh * z + dhu @ p["u"].T
-            das.append(np.concatenate([dz, dr, dan], 1))
-        da = np.concatenate(das[::-1])
-        x = np.concatenate([inputs[:n, t] for t, n in enumerate(active.tolist())])
-        grads["u"], grads["b"], grads["w"] = du, da.sum(0), p["embed"][x].T @ da
-        grads["embed"] = np.zeros_like(p["embed"])
-        np.add.at(grads["embed"], x, da @ p["w"].T)
+            dh = back[t, :n] + carry[:n]
+            d, a = dhu[t, :n], dan[t, :n]
+            np.multiply(dh, to_new[t, :n], out=a)
+            np.multiply(dh, to_z[t, :n], out=d[:, :k])
+            np.multiply(a, to_r[t, :n], out=d[:, k : 2 * k])
+            np.multiply(a, r[t, :n], out=d[:, 2 * k :])
+            carry[:n] = (dh * z[t, :n] + d @ ut) * stay[t, :n]
+        da = np.concatenate([dhu[:, :, : 2 * k], dan], 2).reshape(-1, 3 * k)
+        x = inputs.ravel()
+        grads["u"] = before.reshape(-1, k).T @ dhu.reshape(-1, 3 * k)
+        grads["b"], grads["w"] = da.sum(0), p["embed"][x].T @ da
+        grads["embed"] = np.stack([np.bincount(x, column, len(p["embed"])) for column in p["w"] @ da.T], 1).astype(z.dtype)
         self.adam(grads)
-        return last
 
     def adam(self, grads: dict) -> None:
         if self.moments is None:
@@ -204,42 +211,69 @@ class Network:
             a, b = self.moments[k]
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
-            self.p[k] = self.p[k] - (rate * a / (np.sqrt(b) + 1e-6)).astype(np.float32)
-
-    def windows(self, docs: list[np.ndarray], span: int):
-        """Documents (targets' codes), longest first, as windows: (inputs, targets, active rows a step)."""
-        sizes = np.array([len(d) for d in docs])
-        for at in range(0, int(sizes[0]), span):
-            n = int((sizes > at).sum())
-            steps = min(span, int(sizes[0]) - at)
-            targets, inputs = np.zeros((n, steps), np.int64), np.zeros((n, steps), np.int64)
-            for i in range(n):
-                own = docs[i][at : at + steps]
-                targets[i, : len(own)] = own
-                inputs[i, 1 : len(own)] = own[:-1]
-                inputs[i, 0] = docs[i][at - 1] if at else HEAD + BUCKETS
-            yield inputs, targets, (sizes[:n, None] > at + np.arange(steps)).sum(0)
-
-    def train(self, docs: list[np.ndarray]) -> None:
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        for inputs, targets, active in self.windows(docs, SPAN):
-            h = self.train_window(inputs, targets, active, h[: len(inputs)])
-
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each document's classes and head places; docs longest first."""
-        h, total = np.zeros((len(docs), HIDDEN), np.float32), np.zeros(len(docs))
-        for inputs, targets, active in self.windows(docs, 64):
-            states, h, _ = self.states(inputs, active, h[: len(inputs)])
-            row = np.concatenate([np.arange(n) for n in active.tolist()])
-            logs, _ = self.log_probs(states, np.concatenate([targets[:n, t] for t, n in enumerate(active.tolist())]))
-            total[: len(inputs)] += np.bincount(row, logs, len(inputs))
-        return total
-
-
-def words_of(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
+            self.p[k] = self.p[k] - (rate * a / (np.sqrt(b) + 1e-6)).astype(self.p[k].dtype)
+
+    def train(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """Train once on documents' codes, one behind the other, cut into BATCH streams of one length.
+
+        The state is carried from window to window and starts anew with every document (and stream).
+        """
+        total = len(codes)
+        if not total:
+            return
+        n = max(1, min(BATCH, total // (64 * SPAN)))  # some tens of steps on small tables too
+        sizes = np.full(n, total // n) + (np.arange(n) < total % n)
+        starts, steps = np.cumsum(sizes) - sizes, int(sizes[0])
+        before, fresh = before_words(codes, counts)
+        h = np.zeros((n, HIDDEN), self.p["u"].dtype)
+        for at in range(0, steps, SPAN):
+            t = np.arange(at, min(at + SPAN, steps))
+            place = np.minimum(starts + t[:, None], total - 1)
+            self.train_window(before[place], fresh[place], codes[place], (sizes > t[:, None]).sum(1), h)
+
+    def score(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Natural log probability of each document's classes and head places; every count is 1 at least.
+
+        Whole documents are dealt to STREAMS streams, the longest first to the least filled.
+        """
+        n = min(STREAMS, len(counts))
+        if not n:
+            return np.zeros(0)
+        begin, fill, own = np.cumsum(counts) - counts, [(0, i) for i in range(n)], [[] for _ in range(n)]
+        for d in np.argsort(-counts, kind="stable").tolist():
+            size, i = fill[0]
+            heapreplace(fill, (size + int(counts[d]), i))
+            own[i].append(d)
+        own.sort(key=lambda docs: -int(counts[docs].sum()))
+        order = np.array([d for docs in own for d in docs])
+        place = take_runs(np.arange(len(codes)), counts, order)  # places in `codes` in the streams' order
+        before, fresh = (x[place] for x in before_words(codes, counts))
+        codes = codes[place]
+        sizes = np.array([int(counts[docs].sum()) for docs in own])
+        starts, steps = np.cumsum(sizes) - sizes, int(sizes[0])
+        h, logs, into, at = np.zeros((n, HIDDEN), self.p["u"].dtype), np.zeros(len(codes)), self.into(), 0
+        while at < steps:
+            most = int((sizes > at).sum())
+            t = np.arange(at, min(at + max(16, 16 * STREAMS // most), steps))
+            active = (sizes[:most] > t[:, None]).sum(1)
+            places = np.minimum(starts[:most] + t[:, None], len(codes) - 1)
+            works = np.arange(most) < active[:, None]
+            states = self.states(into, before[places], fresh[places], active, h)
+            places = places[works]
+            logs[places] = self.log_probs(states[works], codes[places])[0]
+            at += len(t)
+        out = np.zeros(len(counts))
+        out[order] = sums_of(logs, counts[order])
+        return out
+
+
+def before_words(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each (the start where a document begins), and where documents begin."""
+    fresh = np.zeros(len(codes), bool)
+    fresh[(np.cumsum(counts) - counts)[counts > 0]] = True
+    before = np.r_[HEAD + BUCKETS, codes[:-1]]
+    before[fresh] = HEAD + BUCKETS
+    return before, fresh
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -258,9 +292,11 @@ def word_counts(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
         seen: Counter = Counter()
-        for rows in row_groups(batches, 1_000_000, lambda r: len(r[0])):
-            for (text,) in rows:
-                seen.update(words_of(text))
+        for rows in row_groups(batches, 8_000_000, lambda r: len(r[0])):
+            words, index, _ = distinct_words([t.lower() for (t,) in rows], end=True)
+            for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
+                if n:
+                    seen[w] += n
             if len(seen) > 400_000:
                 yield out(seen)
                 seen = Counter()
@@ -293,8 +329,50 @@ def learn_spec(vocabulary: DataFrame) -> Spec:
     return Spec(words, n, v, mass)
 
 
+CODED = "doc_id long, key_id long, held_out boolean, crc long, n_tokens long, n_known long, base double, outside double, codes binary, word binary, k long"
+
+
+def encoded(docs: DataFrame, spec) -> DataFrame:
+    """CODED: a row a document with its words' input rows as two-byte codes and what the counts alone tell of it, and, from
+    the same pass, a row (key_id, crc, word, k) for each of its words that is not frequent. spec: a broadcast Spec."""
+    names = [c.split()[0] for c in CODED.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        s = spec.value
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
+        log_count, tail_log = np.append(s.log_count, 0.0), np.append(s.tail_log, 0.0)
+
+        def batch(n: int, cols: dict):
+            return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
+
+        for rows in row_groups(batches, GROUP_BYTES, lambda r: len(r[3])):
+            words, index, counts = distinct_words([r[3].lower() for r in rows], end=True)
+            place, row = s.codes(words)
+            # By distinct word: its own term of the base, and its term beside the network's.
+            base = log_count[place]
+            outside = np.where(row >= HEAD, base - tail_log[np.maximum(row - HEAD, -1)], 0.0)
+            doc, key, held, _, crc = zip(*rows, strict=True)
+            raw, ends = row.astype("<u2")[index].tobytes(), (2 * np.cumsum(counts)).tolist()
+            codes = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            own = {"doc_id": doc, "key_id": key, "held_out": held, "crc": crc, "n_tokens": counts, "n_known": sums_of((place >= 0)[index].astype(np.int64), counts), "base": sums_of(base[index], counts), "outside": sums_of(outside[index], counts)}
+            yield batch(len(rows), own | {"codes": codes})
+            rare = np.flatnonzero(place[index] < 0)
+            pair, k = np.unique(np.repeat(np.arange(len(rows)), counts)[rare] * len(words) + index[rare], return_counts=True)
+            key, crc = np.array(key), np.array(crc)
+            for at in range(0, len(pair), 200_000):
+                d, w = np.divmod(pair[at : at + 200_000], len(words))
+                yield batch(len(d), {"key_id": key[d], "crc": crc[d], "word": [words[i] for i in w.tolist()], "k": k[at : at + 200_000]})
+
+    return docs.select("doc_id", "key_id", "held_out", "text", "crc").mapInArrow(run, CODED)
+
+
 def learn_weights(train: DataFrame, spec) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS rounds of training on every partition and averaging, each document in one of them. spec: a broadcast Spec."""
+    """Weights after ROUNDS rounds of training on every partition and averaging, each document in one of them.
+
+    train: key_id, codes of `encoded`; spec: a broadcast Spec.
+    """
     spark = train.sparkSession
     weights, chunk = first_weights(spec.value), 4096
     for k in range(ROUNDS):
@@ -303,14 +381,13 @@ def learn_weights(train: DataFrame, spec) -> dict[str, np.ndarray]:
         def run(batches, begin=begin):
             import pyarrow as pa
 
-            own, cache, seen = Network(spec.value, {k: w.copy() for k, w in begin.value.items()}), spec.value.cache(), 0
-            for rows in row_groups(batches, 4_000_000, lambda r: len(r[0])):
-                docs = sorted((spec.value.codes(cache, words_of(t))[1] for (t,) in rows), key=len, reverse=True)
-                groups = [docs[i : i + BATCH] for i in range(0, len(docs), BATCH)]
-                for g in np.random.default_rng(len(docs)).permutation(len(groups)).tolist():
-                    own.train(groups[g])
-                seen += sum(map(len, docs))
-                cache.turn()
+            own, seen = Network(spec.value, {k: w.copy() for k, w in begin.value.items()}), 0
+            for rows in row_groups(batches, CODE_BYTES, lambda r: len(r[0])):
+                order = np.random.default_rng(len(rows)).permutation(len(rows)).tolist()
+                counts = np.array([len(rows[i][0]) // 2 for i in order])
+                codes = np.frombuffer(b"".join(rows[i][0] for i in order), "<u2").astype(np.int64)
+                own.train(codes, counts)
+                seen += len(codes)
             if seen:
                 parts = np.split(flat(own.p).astype(np.float64) * seen, range(chunk, flat(own.p).size, chunk))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "weight", "sums"])
@@ -329,7 +406,7 @@ def learn_weights(train: DataFrame, spec) -> dict[str, np.ndarray]:
         kind = "chunk int, weight double, sums binary"
         chosen = train.where(F.crc32(F.concat(F.col("key_id").cast("string"), F.lit("sgd"))) % ROUNDS == k)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        got = chosen.select("text").mapInArrow(run, kind).repartition(max(1, round(n**0.5))).mapInArrow(add, kind).repartition(n, "chunk").mapInArrow(add, kind).collect()
+        got = chosen.select("codes").mapInArrow(run, kind).repartition(max(1, round(n**0.5))).mapInArrow(add, kind).repartition(n, "chunk").mapInArrow(add, kind).collect()
         if got:
             weights = shaped(np.concatenate([np.frombuffer(r["sums"]) / r["weight"] for r in sorted(got, key=lambda r: r["chunk"])]), weights)
         begin.unpersist()
@@ -349,49 +426,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
     vocabulary = materialize(word_counts(train), "vocabulary")
     spec = spark.sparkContext.broadcast(learn_spec(vocabulary))
     n, v = spec.value.n, spec.value.v
-    weights = spark.sparkContext.broadcast(learn_weights(train, spec))
-
-    def rare(batches):
-        import pyarrow as pa
-
-        place = spec.value.place
-        for rows in row_groups(batches, 2_000_000, lambda r: len(r[1])):
-            out: list = []
-            for key, text, crc in rows:
-                out += [(w, key, crc, k) for w, k in Counter(w for w in words_of(text) if w not in place).items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["word", "key_id", "crc", "k"])
+    both = materialize(encoded(keyed.withColumn("crc", F.crc32("text")), spec), "codes")
+    coded = both.where("word is null").drop("word", "k")
+    weights = spark.sparkContext.broadcast(learn_weights(coded.where("not held_out"), spec))
+    names = [*coded.columns[:-1], "score"]
 
-    def neural(batches):
+    def scores(batches):
         import pyarrow as pa
 
-        s, net = spec.value, Network(spec.value, weights.value)
-        cache = s.cache()
-        names = ["doc_id", "key_id", "crc", "held_out", "n_tokens", "n_known", "base", "score"]
-        for rows in row_groups(batches, 12_000_000, lambda r: len(r[3])):
-            coded, out = [], []
-            for r in rows:
-                places, inputs = s.codes(cache, words_of(r[3]))
-                coded.append(inputs)
-                frequent = places >= 0
-                logs = s.log_count[places[frequent]]
-                tail = inputs >= HEAD
-                outside = s.log_count[places[frequent & tail]].sum() - s.tail_log[inputs[tail] - HEAD].sum()
-                out.append([r[0], r[1], r[4], r[2], len(inputs), int(frequent.sum()), float(logs.sum()), float(outside)])
-                if len(cache) > cache.most:
-                    cache.turn()
-            order = sorted(range(len(rows)), key=lambda i: -len(coded[i]))
-            for at in range(0, len(order), 512):
-                group = order[at : at + 512]
-                for i, x in zip(group, net.score([coded[i] for i in group]).tolist(), strict=True):
-                    out[i][7] += x / np.log(10)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    marked = keyed.withColumn("crc", F.crc32("text"))
-    found = marked.select("key_id", "text", "crc").mapInArrow(rare, "word binary, key_id long, crc long, k long").join(vocabulary, "word", "left")
-    known = found.where("n is not null").groupBy("key_id", "crc").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"))
-    scored = marked.select("doc_id", "key_id", "held_out", "text", "crc").mapInArrow(neural, "doc_id long, key_id long, crc long, held_out boolean, n_tokens long, n_known long, base double, score double")
+        net = Network(spec.value, weights.value)
+        for rows in row_groups(batches, CODE_BYTES, lambda r: len(r[-1])):
+            *own, codes = zip(*rows, strict=True)
+            counts = np.array([len(c) // 2 for c in codes])
+            own.append(net.score(np.frombuffer(b"".join(codes), "<u2").astype(np.int64), counts) / np.log(10) + np.array(own[-1]))
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, types, strict=True)], names)
+
+    found = both.where("word is not null").select("key_id", "crc", "word", "k").join(vocabulary, "word")
+    known = found.groupBy("key_id", "crc").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"))
+    scored = coded.mapInArrow(scores, CODED.split(", codes")[0] + ", score double")
     zero = lambda c: F.coalesce(c / F.col("copies"), F.lit(0))
     both = scored.withColumn("copies", F.count("*").over(Window.partitionBy("key_id", "crc"))).join(known, ["key_id", "crc"], "left")
     return both.select(

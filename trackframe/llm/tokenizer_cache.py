@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from trackframe.llm.common import TwoGenerations, distinct_pieces, take_runs
+from trackframe.llm.common import TwoGenerations, distinct_pieces, sums_of, take_runs
 
 _LOADED: dict = {}
 
@@ -102,20 +102,13 @@ class Encoder:
         found, index, counts = self.look_up(texts, end_id)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         ids = take_runs(np.frombuffer(b"".join(found), self.kind), size, index)
-        return ids, sums_by_text(size[index], counts)
+        return ids, sums_of(size[index], counts)
 
     def count_many(self, texts: list[bytes]) -> np.ndarray:
         """How many ids each text has."""
         found, index, counts = self.look_up(texts, None)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        return sums_by_text(size[index], counts)
-
-
-def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of the first counts[0] values, of the next counts[1] values, ..."""
-    total = np.r_[0, np.cumsum(values)]
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+        return sums_of(size[index], counts)
 
 
 class ByteLevelEncoder(Encoder):
