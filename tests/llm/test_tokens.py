@@ -49,6 +49,14 @@ def test_pieces_equal_the_library(model):
             assert model.decode(ids) == sp.decode(ids)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ab", "a", "etaoinsr", "éaß漢b"])
+def test_long_words_equal_the_library(model, letters):
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(len(letters))
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (60, 65, 66, 100, 500, 5000, 100_000)]
+    for w, raw in zip(words, model.encode_batch(words), strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == sp.encode(w)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31999)), max_size=12))
 def test_decoding_of_any_ids(ids):

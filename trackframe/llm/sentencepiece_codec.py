@@ -2,7 +2,8 @@
 
 The texts' distinct pieces are held as flat numpy symbol arrays. A round finds the smallest pair rank
 of every piece (a segmented minimum), merges its leftmost pairs in all pieces at once, and compacts the
-arrays; a piece leaves once no pair of it is in the vocabulary.
+arrays; a piece leaves once no pair of it is in the vocabulary. In long pieces all pairs merge that come
+first within the reach of the longest piece of the vocabulary.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ class PieceModel:
             model.ParseFromString(f.read())
         if model.trainer_spec.model_type != 2 or model.normalizer_spec.precompiled_charsmap or not model.trainer_spec.byte_fallback:
             raise ValueError("only BPE models with byte fallback and no normalisation")
+        if not model.normalizer_spec.add_dummy_prefix or model.normalizer_spec.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that put a space in front and keep all others")
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in normal):
             raise ValueError("a piece crosses a word or line boundary")
@@ -50,6 +53,8 @@ class PieceModel:
                 if a is not None and b is not None:
                     pairs[a * n + b] = i
                     parent[a], parent[b] = min(parent.get(a, NEVER), rank[i]), min(parent.get(b, NEVER), rank[i])
+        #: No piece has more letters, so that what happens further off cannot reach a pair before it merges.
+        self.reach = max(map(len, normal))
         self.n = n
         self.pair_key = np.array(sorted(pairs), np.int64)
         self.pair_id = np.array([pairs[k] for k in self.pair_key.tolist()], np.int64)
@@ -71,6 +76,37 @@ class PieceModel:
         hit = (self.pair_key[at] == key) & (a >= 0) & (b >= 0)
         return np.where(hit, self.pair_rank[at], NEVER), self.pair_id[at]
 
+    def nearby(self, values: np.ndarray) -> np.ndarray:
+        """The least value within `reach` places of each."""
+        edge = np.full(self.reach, values.max())
+        low, size, width = np.concatenate([edge, values, edge]), 1, 2 * self.reach + 1
+        while size < width:
+            step = min(size, width - size)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            size += step
+        return low
+
+    def foremost(self, rank: np.ndarray) -> np.ndarray:
+        """Places whose pair has no better one within `reach` symbols; of equal ones the leftmost.
+
+        Until such a pair merges, only a symbol grown from beyond could take one of its symbols; it would have to take
+        all between first, and be longer than any piece. So all these may merge at once, and where nothing that a merged
+        piece grows into comes before it, so may all equal pairs (of a run that overlaps, every second one from its start).
+        """
+        n = len(rank)
+        place = np.arange(n)
+        best = (rank == self.nearby(rank)) & (rank < NEVER)
+        start = np.maximum.accumulate(np.where(np.r_[True, rank[1:] != rank[:-1]], place, 0))
+        safe = best & self.safe[np.where(best, rank, 0)]
+        chosen = safe & best[start] & ((place - start) % 2 == 0)
+        if (other := best & ~safe).any():
+            order = np.minimum(rank, np.int64(1) << 21) << 40 | place
+            chosen |= other & (order == self.nearby(order))
+        return np.flatnonzero(chosen)
+
+    #: Symbols above which a piece merges more pairs a round than those of its least rank.
+    LONG = 64
+
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of each piece; every piece is encoded alone."""
         out: list = [None] * len(pieces)
@@ -104,13 +140,18 @@ class PieceModel:
                 if not len(sym):
                     break
                 starts = np.r_[0, np.cumsum(lengths)[:-1]]
-            best = rank == np.repeat(low, lengths)
+            owner = np.repeat(np.arange(len(low)), lengths)
+            long = lengths > self.LONG
+            best = rank == np.where(long, -1, low)[owner]
             at = np.flatnonzero(best)
-            owner = np.repeat(np.arange(len(low)), lengths)[at]
+            owner = owner[at]
             first = np.r_[True, owner[1:] != owner[:-1]]
             run = np.r_[True, (np.diff(at) != 1) | first[1:]]  # of overlapping pairs, every second one merges
             place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
             at = at[first | (self.safe[low[owner]] & (place % 2 == 0))]
+            if long.any():
+                own = np.flatnonzero(np.repeat(long, lengths))
+                at = np.sort(np.r_[at, own[self.foremost(rank[own])]])
             sym[at] = into[at]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
