@@ -177,6 +177,48 @@ def test_op10(docs, plain, empty, monkeypatch):
     assert substring_dedup.dedup(empty, digest=True).count() == 0
 
 
+def test_a_phrase_in_every_document(spark, monkeypatch):
+    """One 12-word phrase in all documents, whose windows differ: its anchor is hot, and the result the same."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    rng, phrase = random.Random(11), " ".join(f"common{k}" for k in range(12))
+    some = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{some(15)} {phrase} {some(15)}") for i in range(300)]
+    rows += [(1000 + i, some(5) + " " + rows[i][1][20:] + " " + some(3)) for i in range(0, 300, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot = substring_dedup.hot_anchors(docs.selectExpr("cast(text as binary) as text"), 20)
+    assert len(hot) and (np.diff(hot.astype(object)) > 0).all() and len(substring_dedup.hot_anchors(docs.selectExpr("cast(text as binary) as text"), 20, 1)) == 1
+    want = {k: (len(w), sum(m)) for k, w, m in slow_repeats(rows, 20)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup(docs, digest=True).collect()}
+    assert got == want and sum(m for _, m in want.values()) > 1000
+    # The windows of a hot anchor are dealt to many buckets.
+    hashed = [r for r in substring_dedup.index_block([(d, t.encode()) for d, t in rows], 20, 64, hot)]
+    plain = [r for r in substring_dedup.index_block([(d, t.encode()) for d, t in rows], 20, 64, hot[:0])]
+    most = lambda parts: max(sum(len(p.get("low", ())) for b, p in parts if b == own) for own in range(64))
+    assert most(hashed) * 3 < most(plain)
+
+
+def test_spans_of_factors_cover_the_repeated_windows():
+    """What the factors and the checks at their ends cover is what windows found earlier cover."""
+    rng = random.Random(2)
+    for _ in range(200):
+        n, window, pos, runs = 120, 5, 0, []
+        while pos < n - window:
+            pos += rng.randrange(0, 9)
+            length = rng.randrange(1, 12)
+            if pos + length + window - 1 > n:
+                break
+            runs.append((pos, length, rng.randrange(3), rng.randrange(50)))
+            pos += length
+        factors, spans = substring_dedup.parse(dict(zip(("pos", "length", "src_id", "src_pos"), zip(*runs, strict=True), strict=True)) if runs else {k: () for k in ("pos", "length", "src_id", "src_pos")}, window)
+        want = {w for p, k, _, _ in runs for w in range(p, p + k + window - 1)}
+        assert {w for a, b in spans for w in range(a, b)} == want
+        assert all(f[1] >= window for f in factors) and all(a[0] + a[1] <= b[0] for a, b in zip(factors, factors[1:], strict=False))
+        words = [str(i) for i in range(n)]
+        assert substring_dedup.kept_words(words, spans) == [w for i, w in enumerate(words) if i not in want]
+
+
 def test_op10_tells_windows_of_one_anchor_apart(spark, monkeypatch):
     """Two texts around one shared run whose window hashes agree in their low 32 bits, found among many, are no repeat."""
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 1)

@@ -4,9 +4,13 @@ The reference is every block of documents, indexed by its windows of `window` wo
 each window's anchor (the smallest hash of its 8-word runs), so that equal windows meet in one task
 while neighbouring windows, which share an anchor, travel together. A lookup answers where a window
 occurs first. A document is then parsed greedily from left to right: a factor starts at a word whose
-window occurs earlier, and runs on as long as the next window continues in the same source; where the
-source changes, the window across the factor boundary is looked up by itself. All words of a factor
-are a duplicate span. Windows are told apart by their 64-bit hashes, whatever anchor they share.
+window occurs earlier, runs on as long as the next window continues in the same source, and the next factor is
+sought behind its end. Factors have `window` words or more and are duplicate spans; the windows
+that cross a factor's end are checked by their own lookups, and add theirs. Windows are told apart by the 64-bit hash of
+their anchor and 48 further bits of their own hash.
+
+An anchor that many windows of a block share, such as a frequent phrase's, is hot: its windows are dealt out by
+their own hashes, so that no task gets a frequent phrase whole. Which anchors are hot is found in a pass of its own.
 """
 
 from __future__ import annotations
@@ -18,15 +22,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import TwoGenerations, row_groups
+from trackframe.llm.common import distinct_words, row_groups
 
 WINDOW, RUN = 20, 8
 NULL_ID = np.iinfo(np.int64).min
 #: Text bytes that a task hashes at once, and that a bucket of the index stands for.
 BLOCK_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
+#: Windows of a block that make an anchor hot; anchors treated so at most (8 bytes each in every task; which ones
+#: are chosen changes nothing but where windows meet); partitions at most, which then hold several buckets.
+HOT, MOST_HOT, MOST_PARTITIONS = 64, 1_000_000, 20_000
 #: Odd multipliers for mixing.
 MIX = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(20).integers(2**61, 2**63, 8)]
-PARTS = {"doc_id": "<i8", "text_crc": "<u4", "per_doc": "<u4", "pos": "<u4", "length": "<u4", "anchor": "<u8", "tail": "<u8", "src_id": "<i8", "src_pos": "<u4"}
+PARTS = {"doc_id": "<i8", "text_crc": "<u4", "per_doc": "<u4", "pos": "<u4", "length": "<u4", "anchor": "<u8", "low": "<u4", "high": "<u2", "src_id": "<i8", "src_pos": "<u4"}
 
 FOUND = ("key_id", "text_crc", "pos", "length", "src_id", "src_pos")
 
@@ -71,17 +78,43 @@ def runs(*breaks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
-def index_block(rows: list, cache, window: int, buckets: int):
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of every word, words of each text)."""
+    from xxhash import xxh64_intdigest
+
+    words, index, sizes = distinct_words(texts)
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))[index], sizes
+
+
+def hot_anchors(docs: DataFrame, window: int, most: int = MOST_HOT) -> np.ndarray:
+    """Sorted anchors that HOT windows or more of one block have; of too many, those with most windows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in row_groups(batches, BLOCK_BYTES, lambda r: len(r[0])):
+            hashed, sizes = hashed_words([t for (t,) in rows])
+            if len(hashed) < window:
+                continue
+            anchor, whole = window_hashes(hashed, window)
+            left = np.repeat(np.cumsum(sizes), sizes)[: len(whole)] - np.arange(len(whole))
+            anchor, n = np.unique(anchor[left >= window], return_counts=True)
+            at = np.flatnonzero(n >= HOT)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(n[at])], ["anchor", "n"])
+
+    found = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    got = found.orderBy(F.desc("n"), "anchor").limit(most).select("anchor").toArrow().column(0)
+    return np.sort(got.to_numpy().astype(np.int64).view(np.uint64))
+
+
+def index_block(rows: list, window: int, buckets: int, hot: np.ndarray):
     """Rows of the index from one block of documents: (bucket, {part: array}).
 
     Of a window found several times in the block only the first is sent; the others are known to be
     repeats, and travel as such (src_id, src_pos), in runs. So a passage in very many documents costs one row a block.
     """
     rows = sorted({(d, zlib.crc32(t)): t for d, t in rows}.items(), key=lambda r: r[0])
-    words = [t.split() for _, t in rows]
-    sizes = np.array([len(w) for w in words], np.int64)
-    hashed = np.concatenate([np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)) for w in words]) if rows else np.zeros(0, np.uint64)
-    cache.turn()
+    hashed, sizes = hashed_words([t for _, t in rows])
     if len(hashed) < window:
         return
     doc = np.repeat(np.arange(len(rows)), sizes)
@@ -112,12 +145,19 @@ def index_block(rows: list, cache, window: int, buckets: int):
             yield int(bucket[chosen[0]]), {"doc_id": ids[d[w[s]]], "text_crc": crcs[d[w[s]]], "per_doc": np.diff(np.r_[s, len(w)]), "pos": p[w], "length": length[chosen]} | {k: f(w, own[inside]) for k, f in more.items()}
 
     if len(own := np.flatnonzero(~again)):
-        begin = runs(np.diff(at[own]) != 1, d[own][1:] != d[own][:-1], anchor[own][1:] != anchor[own][:-1])
-        yield from send(own, begin, (mix(anchor[own[begin]], 5) % np.uint64(buckets)).astype(np.int64), {"anchor": lambda w, i: anchor[w], "tail": lambda w, i: whole[i]})
+        a = anchor[own]
+        where = mix(a, 5)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, a), len(hot) - 1)] == a
+            where = np.where(is_hot, key[own], where)
+        where = (where % np.uint64(buckets)).astype(np.int64)
+        begin = runs(np.diff(at[own]) != 1, d[own][1:] != d[own][:-1], a[1:] != a[:-1], where[1:] != where[:-1])
+        yield from send(own, begin, where[begin], {"anchor": lambda w, i: anchor[w], "low": lambda w, i: whole[i].astype(np.uint32), "high": lambda w, i: (whole[i] >> np.uint64(32)).astype(np.uint16)})
     if len(own := np.flatnonzero(again)):
         src = first[own]
         begin = runs(np.diff(at[own]) != 1, d[own][1:] != d[own][:-1], np.diff(at[src]) != 1, d[src][1:] != d[src][:-1])
-        yield from send(own, begin, d[own[begin]] % buckets, {"src_id": lambda w, i: ids[d[first[w]]], "src_pos": lambda w, i: p[first[w]]})
+        of_doc = mix(ids.astype(np.uint64) ^ (crcs.astype(np.uint64) << np.uint64(32)), 2)
+        yield from send(own, begin, (of_doc[d[own[begin]]] % np.uint64(buckets)).astype(np.int64), {"src_id": lambda w, i: ids[d[first[w]]], "src_pos": lambda w, i: p[first[w]]})
 
 
 def look_up(parts: dict):
@@ -135,7 +175,7 @@ def look_up(parts: dict):
         pos = cat("pos", indexed).astype(np.int64)[run] + np.arange(n) - np.repeat(np.cumsum(length) - length, length)
         doc_of = np.repeat(np.arange(len(per)), per)[run]
         ids, crcs = cat("doc_id", indexed), cat("text_crc", indexed)
-        key = mix(cat("anchor", indexed)[run] ^ (cat("tail", indexed) * MIX[3]), 4)
+        key = mix(cat("anchor", indexed)[run] ^ ((cat("low", indexed) | cat("high", indexed).astype(np.uint64) << np.uint64(32)) * MIX[3]), 4)
         order = np.argsort(key)
         same = np.zeros(n, bool)
         same[1:] = key[order][1:] == key[order][:-1]
@@ -168,14 +208,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    hot = spark.sparkContext.broadcast(hot_anchors(docs, window))
 
     def run(batches):
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
-        cache = TwoGenerations(150_000, xxh64_intdigest)
         for rows in row_groups(batches, BLOCK_BYTES, lambda r: len(r[1])):
-            for bucket, parts in index_block(rows, cache, window, buckets):
+            for bucket, parts in index_block(rows, window, buckets, hot.value):
                 none = np.zeros(0, np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([parts.get(k, none).astype(t).tobytes()], pa.binary()) for k, t in PARTS.items())], ["bucket", *PARTS])
 
@@ -215,23 +254,45 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array(crcs[cuts[:-1]]), *lists], list(FOUND))
 
     index = docs.select("key_id", "text").mapInArrow(run, "bucket long, " + ", ".join(f"{k} binary" for k in PARTS))
-    n = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(min(buckets, MOST_PARTITIONS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits = index.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: by_key(b, search), "doc_group long, " + ", ".join(f"{k} binary" for k in FOUND))
     found = hits.repartition(n, "doc_group").sortWithinPartitions("doc_group").mapInArrow(lambda b: by_key(b, gather), "key_id long, text_crc long, " + ", ".join(f"{k} array<bigint>" for k in FOUND[2:]))
     return found.select("key_id", "text_crc", F.struct(*FOUND[2:]).alias("found"))
 
 
-def parse(n_words: int, found: dict, window: int) -> tuple[list[tuple], np.ndarray]:
-    """Greedy factors (start, words, src_id, src_start) of a document and a mask of its repeated words."""
-    pieces = zip(found["pos"], found["length"], found["src_id"], found["src_pos"], strict=True)
-    factors, mask = [], np.zeros(n_words, bool)
-    for pos, n, src, start in pieces:
-        mask[pos : pos + n + window - 1] = True
-        if factors and factors[-1][2] == src and pos == factors[-1][0] + (run := factors[-1][1] - window + 1) and start == factors[-1][3] + run:
-            factors[-1] = (factors[-1][0], factors[-1][1] + n, src, factors[-1][3])
+def parse(found: dict, window: int) -> tuple[list[tuple], list[tuple]]:
+    """Greedy factors (start, words, src_id, src_start) of a document, and the spans (start, end) of its repeated words.
+
+    found: the runs of windows that occur earlier, in order. A factor begins at the first such window behind the
+    last factor, and goes on while the next window continues in the same source. Of the windows
+    before a factor's end that do not lie inside it, those found are spans too.
+    """
+    factors, spans, end = [], [], 0
+    whole: list = []
+    for pos, n, src, start in zip(found["pos"], found["length"], found["src_id"], found["src_pos"], strict=True):
+        if whole and whole[-1][2] == src and whole[-1][0] + whole[-1][1] == pos and whole[-1][3] + whole[-1][1] == start:
+            whole[-1][1] += n
         else:
-            factors.append((pos, n + window - 1, src, start))
-    return factors, mask
+            whole.append([pos, n, src, start])
+    for pos, n, src, start in whole:
+        if pos < end:  # these windows cross the last factor's end
+            spans.append((pos, min(pos + n, end) + window - 1))
+        first = max(pos, end)
+        if first < pos + n:
+            end = pos + n + window - 1
+            factors.append((first, end - first, src, start + first - pos))
+            spans.append((first, end))
+    return factors, spans
+
+
+def kept_words(words: list, spans: list[tuple]) -> list:
+    """The words outside the spans, which are in order of their starts."""
+    out, at = [], 0
+    for start, end in spans:
+        if start > at:
+            out += words[at:start]
+        at = max(at, end)
+    return out + words[at:]
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, report: bool = True) -> DataFrame:
@@ -258,13 +319,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, report: b
             out, texts = [], []
             for text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.split()
-                factors, mask = parse(len(words), hits, window) if hits else ([], None)
-                kept = words if mask is None else [words[i] for i in np.flatnonzero(~mask)]
+                factors, spans = parse(hits, window) if hits else ([], [])
+                kept = kept_words(words, spans)
                 if digest:
                     out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
                 else:
                     out.append((len(words), len(words) - len(kept), [dict(zip(("start", "words", "src_id", "src_start"), f, strict=True)) for f in factors]))
-                    texts.append((text if mask is None else b" ".join(kept)).decode())
+                    texts.append((b" ".join(kept) if spans else text).decode())
             rest = b.column(2)
             cols = list(zip(*out, strict=True)) or [[], [], []]
             if digest:
