@@ -92,8 +92,8 @@ def insert_bases(seq: Column, pos: Column, insert: Column) -> Column:
 
 
 def set_base(seq: Column, pos: Column, base: Column) -> Column:
-    """Replace one base; NULL for a letter outside ACGT."""
-    return F.when(base.isin(*BASES), F.overlay(seq, base, (pos + 1).cast("int"), F.lit(1)))
+    """Replace the base at pos (0-based); NULL for a letter outside ACGT or a place outside the sequence."""
+    return F.when(base.isin(*BASES) & (pos >= 0) & (pos < F.length(seq)), F.overlay(seq, base, (pos + 1).cast("int"), F.lit(1)))
 
 
 def stochastic_augment(df: DataFrame, epoch: int, seed: int, shift_max: int = 3, symmetric: bool = True) -> DataFrame:

@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 def rank_within(df: DataFrame, parts: list[str], key: str, seed: int | str = 0, name: str = "rank") -> DataFrame:
     """A 1-based rank in md5(key|seed) order inside `parts`, exact and the same on every run.
 
-    Rows are numbered inside 4096 hash buckets of each part; the buckets' sizes, a small table, give each its
-    first number. No task holds a whole part.
+    Rows are numbered inside 65,536 hash buckets of each part (1.5 million rows a bucket at 10**11); the buckets'
+    sizes, a small table, give each its first number. No task holds a whole part. Other columns may have any name.
     """
+    free = "rank_"  # before the names of helper columns, so that none clashes with one of df
+    while any(c.startswith(free) for c in df.columns):
+        free = "_" + free
+    hash_, bucket, b, n, own, first = (f"{free}{c}_" for c in ("hash", "bucket", "b", "n", "own", "first"))
     h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    marked = df.withColumn("hash_", h).withColumn("bucket_", F.substring("hash_", 1, 3))
-    sizes = marked.groupBy(*parts, "bucket_").agg(F.count("*").alias("n_"))
-    before = Window.partitionBy(*parts).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(*(F.col(p).alias(f"{p}_") for p in parts), F.col("bucket_").alias("b_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
-    own = F.row_number().over(Window.partitionBy(*parts, "bucket_").orderBy("hash_", key))
-    on = F.col("bucket_") == F.col("b_")
+    marked = df.withColumn(hash_, h).withColumn(bucket, F.substring(hash_, 1, 4))
+    sizes = marked.groupBy(*parts, bucket).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*parts).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(*(F.col(p).alias(f"{free}{p}") for p in parts), F.col(bucket).alias(b), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    on = F.col(bucket) == F.col(b)
     for p in parts:
-        on = on & F.col(p).eqNullSafe(F.col(f"{p}_"))
-    out = marked.withColumn("own_", own).join(firsts, on).withColumn(name, (F.col("own_") + F.col("first_")).cast("long"))
-    return out.drop("hash_", "bucket_", "b_", "own_", "first_", *(f"{p}_" for p in parts))
+        on = on & F.col(p).eqNullSafe(F.col(f"{free}{p}"))
+    numbered = marked.withColumn(own, F.row_number().over(Window.partitionBy(*parts, bucket).orderBy(hash_, key)))
+    out = numbered.join(firsts, on).withColumn(name, (F.col(own) + F.col(first)).cast("long"))
+    return out.drop(hash_, bucket, b, own, first, *(f"{free}{p}" for p in parts))
 
 
 def tile_of(x: Column, size: int) -> Column:
@@ -61,13 +65,14 @@ def overlap_join(windows: DataFrame, features: DataFrame, mode: str = "overlap",
 def fetch_windows(windows: DataFrame, tiles: DataFrame, tile_size: int) -> DataFrame:
     """windows(row_id, chrom, start, end) with `seq` from tiles(chrom, tile_idx, seq), upper case.
 
-    What lies left of 0 or right of the reference is N. One equi join on (chrom, tile).
+    What lies left of 0, right of the reference or in a tile that is missing is N. One equi join on (chrom, tile).
     """
     need = windows.where("end > start").withColumn("tile_idx", F.explode(F.expr(f"sequence(floor(greatest(start, 0) / {tile_size}), greatest(floor((end - 1) / {tile_size}), floor(greatest(start, 0) / {tile_size})))")))
     hit = need.join(tiles.select("chrom", F.col("tile_idx").cast("long").alias("tile_idx"), F.col("seq").alias("tile_seq")), ["chrom", "tile_idx"], "left")
     lo = F.greatest(F.col("start") - F.col("tile_idx") * tile_size, F.lit(0)).cast("int")
     hi = F.least(F.col("end") - F.col("tile_idx") * tile_size, F.lit(tile_size)).cast("int")
-    piece = F.coalesce(F.substring("tile_seq", lo + 1, F.greatest(hi - lo, F.lit(0))), F.lit(""))
+    size = F.greatest(hi - lo, F.lit(0))
+    piece = F.rpad(F.coalesce(F.substring("tile_seq", lo + 1, size), F.lit("")), size, "N")
     got = hit.groupBy("row_id", "chrom", "start", "end").agg(F.sort_array(F.collect_list(F.struct("tile_idx", piece.alias("p")))).alias("ps"))
     return got.select("row_id", "chrom", "start", "end", pad_with_n(F.upper(F.array_join(F.transform("ps", lambda e: e["p"]), "")), F.col("start"), (F.col("end") - F.col("start")).cast("int")).alias("seq"))
 

@@ -74,13 +74,18 @@ def override_params(experiments: DataFrame, base: DataFrame) -> DataFrame:
     """(exp_name, path, value): base(path, value) with the values of experiments(exp_name, path, value) in their place."""
     names = experiments.select("exp_name").distinct()
     own = experiments.select("exp_name", "path", F.col("value").alias("own"))
-    return names.crossJoin(F.broadcast(base)).join(own, ["exp_name", "path"], "left").select("exp_name", "path", F.coalesce("own", "value").alias("value"))
+    return names.crossJoin(base).join(own, ["exp_name", "path"], "left").select("exp_name", "path", F.coalesce("own", "value").alias("value"))
 
 
 def pending_experiments(configs: DataFrame, log: DataFrame) -> DataFrame:
     return configs.join(log.where("status = 'success'"), "exp_name", "left_anti")
 
 
+def experiments_with_config(log: DataFrame, configs: DataFrame) -> DataFrame:
+    """Log entries with the configuration of their name; what has none is left out."""
+    return log.join(configs, "exp_name")
+
+
 def merge_experiment_log(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """The newest entry of each experiment."""
     both = old.unionByName(new)

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 NO_VARIANCE, NO_DEVIATION, NO_TOTAL, THRESHOLDS = 1e-12, 1e-10, 1e-10, 200
 
 
-def moment_sums(t: str = "y_true", p: str = "y_pred") -> list[Column]:
-    """The mergeable state of pearson and r2: six sums."""
+def pair(t: str = "y_true", p: str = "y_pred") -> tuple[Column, Column]:
+    """Both values as doubles, NULL where either is."""
     a, b = F.col(t).cast("double"), F.col(p).cast("double")
-    return [F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n"), F.sum(a).alias("st"), F.sum(b).alias("sp"), F.sum(a * a).alias("stt"), F.sum(b * b).alias("spp"), F.sum(a * b).alias("stp")]
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, a), F.when(both, b)
+
+
+def moment_sums(t: str = "y_true", p: str = "y_pred") -> list[Column]:
+    """The mergeable state of pearson and r2: six sums over the rows that have both values."""
+    a, b = pair(t, p)
+    return [F.count(a).alias("n"), F.sum(a).alias("st"), F.sum(b).alias("sp"), F.sum(a * a).alias("stt"), F.sum(b * b).alias("spp"), F.sum(a * b).alias("stp")]
 
 
 def pearson_of_sums() -> Column:
@@ -41,8 +48,8 @@ def summarize(metrics: DataFrame, *names: str) -> DataFrame:
 
 def by_gene(obs: DataFrame, key: str = "gene_idx") -> DataFrame:
     """key, pearsonr, r2 across targets, within [-1, 1]; NULL where truth or prediction is constant."""
-    spread = lambda c: F.stddev_pop(c) < NO_DEVIATION
-    s = obs.groupBy(key).agg(*moment_sums(), spread("y_true").alias("flat_t"), spread("y_pred").alias("flat_p"))
+    flat_t, flat_p = (F.stddev_pop(c) < NO_DEVIATION for c in pair())
+    s = obs.groupBy(key).agg(*moment_sums(), flat_t.alias("flat_t"), flat_p.alias("flat_p"))
     flat = F.col("flat_t") | F.col("flat_p")
     total = F.col("stt") - F.try_divide(F.col("st") * F.col("st"), F.col("n"))
     bound = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
@@ -56,7 +63,9 @@ def average_rank(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 
 def spearman_by_gene(obs: DataFrame, key: str = "gene_idx") -> DataFrame:
-    ranked = average_rank(average_rank(obs, key, "y_true", "rt"), key, "y_pred", "rp")
+    t, p = pair()  # rows without one of both rank below all others, and are left out of the sums
+    both = obs.withColumn("y_true", t).withColumn("y_pred", p)
+    ranked = average_rank(average_rank(both, key, "y_true", "rt"), key, "y_pred", "rp").withColumn("rt", F.when(F.col("y_true").isNotNull(), F.col("rt")))
     s = ranked.groupBy(key).agg(*moment_sums("rt", "rp"), (F.min("y_pred") == F.max("y_pred")).alias("flat"))
     return s.select(key, F.when(~F.col("flat"), pearson_of_sums()).alias("spearmanr"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,8 @@ def fold_change(coverage: DataFrame, targets: DataFrame) -> DataFrame:
     total = mean.groupBy("target_idx").agg(F.sum(F.when(F.col("kind") == "mut", F.col("v"))).alias("mut"), F.sum(F.when(F.col("kind") == "wt", F.col("v"))).alias("wt"))
     change = total.select("target_idx", F.try_divide("mut", "wt").alias("change")).join(targets, "target_idx")
     return change.groupBy("description").agg(F.round(F.avg("change"), 4).alias("fold_change")).orderBy("fold_change", "description")
+
+
+def order_by_fold_change(changes: DataFrame) -> DataFrame:
+    """(description, fold_change) with `place` from 1 by ascending fold change, ties by description; a row a description."""
+    return changes.withColumn("place", F.row_number().over(Window.orderBy("fold_change", "description")).cast("long"))

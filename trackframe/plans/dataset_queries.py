@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackframe.operators import dist, ensembles, matrix, splits, targets
+from trackframe.operators import dist, ensembles, joins, matrix, splits, targets
 from trackframe.plans import views as v
 from trackframe.plans.metric_queries import r6
 from trackframe.plans.registry import query
@@ -21,10 +21,9 @@ def _(spark, d):
     return x.select("num_genes", F.col("num_bins").cast("int"), F.col("num_tracks").cast("int"), "agree")
 
 
-@query("agg26_target_coverage_stats", "SELECT count(DISTINCT gene_idx) AS num_seqs, count(DISTINCT track_idx) FILTER (list_max(list_transform(bins, lambda x: abs(x))) > 0.2) AS num_targets FROM tracks", "tracks")
+@query("agg26_target_coverage_stats", "SELECT count(DISTINCT gene_idx) AS num_seqs, count(DISTINCT track_idx) FILTER (list_max(list_transform(bins, lambda x: abs(x))) > 0) AS num_targets FROM tracks", "tracks")
 def _(spark, d):
-    high = F.exists("bins", lambda x: F.abs(x.cast("double")) > 0.2)
-    return v.tracks(spark, d).agg(F.countDistinct("gene_idx").alias("num_seqs"), F.countDistinct(F.when(high, F.col("track_idx"))).alias("num_targets"))
+    return joins.coverage_stats(v.tracks(spark, d))
 
 
 @query("prj4_wide_to_long", "SELECT p_partkey, name, value::DOUBLE AS value FROM (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) UNPIVOT (value FOR name IN (size, price))")
@@ -107,18 +106,17 @@ def _(spark, d):
     return v.t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(20)
 
 
-@query("join1_features_with_labels", "SELECT vec_id AS gene_idx, len(embedding)::INT AS n_features, label::DOUBLE AS y_true, 0::BIGINT AS unmatched FROM embeddings")
+@query("join1_features_with_labels", "SELECT vec_id AS gene_idx, len(embedding)::INT AS n_features, label::DOUBLE AS y_true FROM embeddings")
 def _(spark, d):
     e = v.t(spark, d, "embeddings")
     feats, labels = e.select(F.col("vec_id").alias("gene_idx"), F.size("embedding").alias("n_features")), e.select(F.col("vec_id").alias("gene_idx"), F.col("label").cast("double").alias("y_true"))
-    lost = feats.join(labels, "gene_idx", "full_outer").agg(F.count_if(F.col("n_features").isNull() | F.col("y_true").isNull()).alias("unmatched"))
-    return feats.join(labels, "gene_idx").crossJoin(F.broadcast(lost))
+    return joins.features_with_labels(feats, labels)
 
 
 @query("join2_preds_with_targets", "SELECT gene_idx, target_idx, round(y_pred - y_true, 6) AS error FROM mat", "mat")
 def _(spark, d):
     m = v.mat(spark, d)
-    both = m.select("gene_idx", "target_idx", "y_pred").join(m.select("gene_idx", "target_idx", "y_true"), ["gene_idx", "target_idx"])
+    both = joins.preds_with_targets(m.select("gene_idx", "target_idx", "y_pred"), m.select("gene_idx", "target_idx", "y_true"), ["gene_idx", "target_idx"])
     return r6(both.select("gene_idx", "target_idx", (F.col("y_pred") - F.col("y_true")).alias("error")), "error")
 
 
@@ -126,7 +124,7 @@ def _(spark, d):
 def _(spark, d):
     g = genes(spark, d)
     ids = splits.split_by_chromosome(g.where("gene_idx % 10 <> 0"), "3", "4").select("gene_idx", F.concat(F.lit("ID"), "gene_idx").alias("id"), "split")
-    return g.join(ids, "gene_idx", "left").select("gene_idx", F.coalesce("id", F.concat(F.lit("Gene_"), (F.col("gene_idx") + 1).cast("string"))).alias("GeneID"), "split")
+    return joins.attach_gene_ids(g, ids).select("gene_idx", "GeneID", "split")
 
 
 @query("join6_with_target_info", "SELECT seq_id, target_idx, y_pred, scale, clip_soft, sum_stat FROM target_preds JOIN targets USING (target_idx)", "target_preds targets")
@@ -205,18 +203,18 @@ def _(spark, d):
     return r6(ensembles.ensemble_average(v.seed_preds(spark, d), ["gene_id"]), "y_pred")
 
 
-PIVOT = "SELECT gene_id, " + ", ".join(f"round(avg(y_pred) FILTER (target_idx = {k}), 6) AS target_{k}_mean, round(stddev_pop(y_pred) FILTER (target_idx = {k}), 6) AS target_{k}_std" for k in (1, 2)) + ", " + ", ".join(f"round(max(y_pred) FILTER (target_idx = {k} AND seed = {m}), 6) AS target_{k}_seed_{m}" for k in (1, 2) for m in (0, 1)) + " FROM seed_preds GROUP BY gene_id"
+PIVOT = "SELECT gene_id, " + ", ".join(f"round(avg(y_pred) FILTER (target_idx = {k}), 6) AS target_{k}_mean, round(stddev_pop(y_pred) FILTER (target_idx = {k}), 6) AS target_{k}_std" for k in range(1, 8)) + ", " + ", ".join(f"round(max(y_pred) FILTER (target_idx = {k} AND seed = {m}), 6) AS target_{k}_seed_{m}" for k in range(1, 8) for m in range(5)) + " FROM seed_preds GROUP BY gene_id"
 
 
 @query("agg30_pivot_predictions", PIVOT, "seed_preds")
 def _(spark, d):
-    p = ensembles.pivot_predictions(v.seed_preds(spark, d), [1, 2], [0, 1])
+    p = ensembles.pivot_predictions(v.seed_preds(spark, d), list(range(1, 8)), list(range(5)))
     return r6(p, *p.columns[1:])
 
 
 @query("snk7_write_wide_predictions", PIVOT.replace("SELECT gene_id", "SELECT gene_id AS geneID"), "seed_preds")
 def _(spark, d):
-    p = writers.arrange_predictions(ensembles.pivot_predictions(v.seed_preds(spark, d), [1, 2], [0, 1]))
+    p = writers.arrange_predictions(ensembles.pivot_predictions(v.seed_preds(spark, d), list(range(1, 8)), list(range(5))))
     return r6(p, *p.columns[1:])
 
 
@@ -256,7 +254,7 @@ def _(spark, d):
 
 @query("set2_distinct_names", "SELECT DISTINCT p_brand AS description FROM part")
 def _(spark, d):
-    return v.targets(spark, d).select("description").distinct()
+    return joins.distinct_names(v.targets(spark, d), "description")
 
 
 @query("dist_rank_within", "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || '|3'), o_orderkey) AS rank FROM orders")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackframe.operators import losses, matrix, metrics
+from trackframe.operators import joins, losses, matrix, metrics
 from trackframe.plans import views as v
 from trackframe.plans.registry import query
 
@@ -17,6 +17,20 @@ def r6(df, *cols):
     return df.select(*(F.round(c, 6).alias(c) if c in cols else c for c in df.columns))
 
 
+#: Some truths and some predictions are missing; only rows with both count.
+HOLES = "SELECT target, CASE WHEN y_true % 7 <> 0 THEN y_true END AS y_true, CASE WHEN y_true % 5 <> 0 THEN y_pred END AS y_pred FROM obs"
+
+
+def holes(spark, d):
+    y = F.col("y_true")
+    return v.obs(spark, d).select("target", F.when(y % 7 != 0, y).alias("y_true"), F.when(y % 5 != 0, F.col("y_pred")).alias("y_pred"))
+
+
+@query("agg1_metrics_with_missing_values", f"WITH h AS (SELECT * FROM ({HOLES}) WHERE y_true IS NOT NULL AND y_pred IS NOT NULL) SELECT target, n, round({R}, 6) AS pearsonr, round({R2}, 6) AS r2 FROM ({SUMS.format(k='target', t='h')})", "obs")
+def _(spark, d):
+    return r6(metrics.by_target(holes(spark, d), ["target"]), "pearsonr", "r2")
+
+
 @query("agg1_pearson_by_target", f"SELECT target, n, round({R}, 6) AS pearsonr FROM ({SUMS.format(k='target', t='obs')})", "obs")
 def _(spark, d):
     return r6(metrics.by_target(v.obs(spark, d), ["target"]).select("target", "n", "pearsonr"), "pearsonr")
@@ -165,7 +179,7 @@ def _(spark, d):
 
 @query("agg16_target_sum", "SELECT gene_idx, round(sum(y_pred), 6) AS value FROM mat WHERE target_idx IN (1, 5, 9) GROUP BY gene_idx", "mat")
 def _(spark, d):
-    return r6(v.mat(spark, d).where(F.col("target_idx").isin(1, 5, 9)).groupBy("gene_idx").agg(F.sum("y_pred").alias("value")), "value")
+    return r6(joins.target_sum(v.mat(spark, d), [1, 5, 9], ["gene_idx"]), "value")
 
 
 @query("agg17_length_sum", "SELECT seq_id, target_idx, round(sum(y_pred), 6) AS value FROM pos_counts GROUP BY ALL", "pos_counts")

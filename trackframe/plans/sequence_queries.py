@@ -33,7 +33,7 @@ SHIFT = "CASE WHEN seq_id % 7 >= 3 THEN repeat('N', least(seq_id % 7 - 3, length
 _column("seq6_shift_sequence", SHIFT.replace("length(seq) - (seq_id % 7 - 3)", "greatest(length(seq) - (seq_id % 7 - 3), 0)"), lambda q: s.shift_sequence(q, (F.col("seq_id") % 7 - 3).cast("int")))
 _column("seq7_delete_bases", "rpad(substr(seq, 1, 5) || substr(seq, 9), length(seq)::INT, 'N')", lambda q: s.delete_bases(q, F.lit(5), F.lit(3)))
 _column("seq8_insert_bases", "substr(substr(seq, 1, 5) || 'TTAA' || substr(seq, 6), 1, length(seq))", lambda q: s.insert_bases(q, F.lit(5), F.lit("TTAA")))
-_column("seq9_set_base", "CASE WHEN length(seq) > 4 THEN substr(seq, 1, 4) || 'G' || substr(seq, 6) ELSE seq || 'G' END", lambda q: s.set_base(q, F.lit(4), F.lit("G")))
+_column("seq9_set_base", "CASE WHEN length(seq) > 4 THEN substr(seq, 1, 4) || 'G' || substr(seq, 6) END", lambda q: s.set_base(q, F.lit(4), F.lit("G")))
 _column("prj3_pad_with_n", "rpad(repeat('N', (seq_id % 5)::INT) || seq, 600, 'N')", lambda q: dist.pad_with_n(q, -(F.col("seq_id") % 5), F.lit(600)))
 
 
@@ -85,10 +85,27 @@ def _(spark, d):
     return s.saturation_variants(v.seqs(spark, d), 10, 14)
 
 
-@query("seq12_shuffle_variants")
+NUMBER = "('0x' || substr(md5(seq_id || '|' || pos || '|' || sample || '|' || {i} || '|0'), 1, 8))::BIGINT"
+PAIRS = "list_filter(list_concat([CASE WHEN sample % 2 = 1 THEN substr(p, 1, 1) ELSE '' END], list_transform(range(0, (length(substr(p, 1 + sample % 2)) + 1) // 2), lambda j: substr(substr(p, 1 + sample % 2), 2 * j + 1, 2))), lambda x: x <> '')"
+SHUFFLED = "array_to_string(list_transform(list_sort(list_transform({blocks}, lambda x, i: {{'h': {number}, 'i': i, 'x': x}})), lambda e: e.x), '')".replace("{number}", NUMBER.format(i="(i - 1)"))
+DRAWN = {
+    "random": f"array_to_string(list_transform(range(0, length(p)), lambda i: substr('ACGT', ({NUMBER.format(i='i')} % 4 + 1)::INT, 1)), '')",
+    "mono": SHUFFLED.format(blocks="list_filter(string_split(p, ''), lambda x: x <> '')"),
+    "dinuc": SHUFFLED.format(blocks=PAIRS),
+}
+
+
+def shuffled(mode: str, samples: int) -> str:
+    """SQL of shuffle_variants over [10, 13) with windows of 6."""
+    return f"""SELECT seq_id, pos, sample, substr(seq, 1, lo) || {DRAWN[mode]} || substr(seq, hi + 2) AS mut_seq, seq FROM (SELECT *, substr(seq, lo + 1, hi - lo + 1) AS p FROM (
+SELECT seq_id, seq, i::INT AS pos, k::INT AS sample, greatest(i - 3, 0)::INT AS lo, least(i + 3, length(seq) - 1)::INT AS hi FROM seqs, range(10, 13) r(i), range(0, {samples}) q(k) WHERE i < length(seq)))"""
+
+
+@query("seq12_shuffle_variants", " UNION ALL ".join(f"SELECT seq_id, pos, sample, mut_seq, '{m}' AS mode FROM ({shuffled(m, 2)})" for m in DRAWN), "seqs")
 def _(spark, d):
     x = v.seqs(spark, d)
-    return s.shuffle_variants(x, 10, 13, 6, 2, "dinuc").withColumn("mode", F.lit("dinuc")).union(s.shuffle_variants(x, 10, 13, 6, 2, "random").withColumn("mode", F.lit("random")))
+    modes = [s.shuffle_variants(x, 10, 13, 6, 2, m).withColumn("mode", F.lit(m)) for m in ("random", "mono", "dinuc")]
+    return modes[0].union(modes[1]).union(modes[2])
 
 
 @query("seq13_base_names", "SELECT DISTINCT gene_id || '.Rp' AS gene, gene_id AS base, true AS is_reverse, 'exp_' || target_idx AS experiment FROM seed_preds", "seed_preds")
@@ -115,8 +132,9 @@ def letter_score(seq):
 
 def _deltas(spark, d):
     x = v.seqs(spark, d)
-    mut = s.saturation_variants(x, 10, 14).withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).select("seq_id", "pos", "base", "fold", (letter_score(F.col("mut_seq")) * (F.col("fold") + 1)).alias("score_mut"))
-    wild = x.select("seq_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), letter_score(F.col("seq")).alias("w")).select("seq_id", "fold", (F.col("w") * (F.col("fold") + 1)).alias("score_wt"))
+    folds = F.explode(F.array(F.lit(0), F.lit(1))).alias("fold")  # a variant is scored once, then taken to its folds
+    mut = s.saturation_variants(x, 10, 14).select("seq_id", "pos", "base", letter_score(F.col("mut_seq")).alias("m")).select("*", folds).select("seq_id", "pos", "base", "fold", (F.col("m") * (F.col("fold") + 1)).alias("score_mut"))
+    wild = x.select("seq_id", letter_score(F.col("seq")).alias("w")).select("*", folds).select("seq_id", "fold", (F.col("w") * (F.col("fold") + 1)).alias("score_wt"))
     return variants.variant_deltas(wild, mut, ["seq_id", "fold"])
 
 
@@ -133,11 +151,11 @@ def _(spark, d):
     return r6(variants.ism_importance(_deltas(spark, d)), "importance")
 
 
-@query("agg32_shuffle_importance")
+@query("agg32_shuffle_importance", f"SELECT seq_id, pos, round(avg({GC.replace('(x', '(seq')} - {GC.replace('(x', '(mut_seq')}), 6) AS importance FROM ({shuffled('random', 3)}) GROUP BY ALL", "seqs")
 def _(spark, d):
     x = v.seqs(spark, d)
     mut = s.shuffle_variants(x, 10, 13, 6, 3, "random").select("seq_id", "pos", letter_score(F.col("mut_seq")).alias("score_mut"))
-    return variants.shuffle_importance(variants.variant_deltas(x.select("seq_id", letter_score(F.col("seq")).alias("score_wt")), mut, ["seq_id"]))
+    return r6(variants.shuffle_importance(variants.variant_deltas(x.select("seq_id", letter_score(F.col("seq")).alias("score_wt")), mut, ["seq_id"])), "importance")
 
 
 SCORES = "SELECT gene_idx AS seq_id, target_idx // 4 AS pos, target_idx % 4 AS base, y_true AS value, CASE WHEN y_pred > 0 THEN 1.0 ELSE 0.0 END AS one_hot FROM mat"
@@ -168,11 +186,14 @@ def _(spark, d):
     return r6(variants.score_bounds(m.select(F.col("y_true").alias("value")), m.select(F.col("y_pred").alias("value"))), "low", "high")
 
 
-@query("agg25_fold_change_by_group", """WITH c AS (SELECT target_idx, seed, l_q, CASE WHEN seed % 2 = 0 THEN 'wt' ELSE 'mut' END AS kind FROM (SELECT l_linenumber AS target_idx, l_suppkey % 5 AS seed, l_partkey % 16 AS bin, avg(l_quantity) AS l_q FROM lineitem GROUP BY ALL)),
+FOLD_CHANGE = """WITH c AS (SELECT target_idx, seed, l_q, CASE WHEN seed % 2 = 0 THEN 'wt' ELSE 'mut' END AS kind FROM (SELECT l_linenumber AS target_idx, l_suppkey % 5 AS seed, l_partkey % 16 AS bin, avg(l_quantity) AS l_q FROM lineitem GROUP BY ALL)),
 m AS (SELECT kind, target_idx, bin, avg(v) AS v FROM (SELECT CASE WHEN l_suppkey % 5 % 2 = 0 THEN 'wt' ELSE 'mut' END AS kind, l_suppkey % 5 AS fold, l_linenumber AS target_idx, l_partkey % 16 AS bin, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) GROUP BY ALL),
-s AS (SELECT target_idx, sum(v) FILTER (kind = 'mut') / sum(v) FILTER (kind = 'wt') AS change FROM m GROUP BY target_idx)
-SELECT 'group' || target_idx % 3 AS description, round(avg(change), 4) AS fold_change FROM s GROUP BY ALL""")
-def _(spark, d):
+s AS (SELECT target_idx, sum(v) FILTER (kind = 'mut') / sum(v) FILTER (kind = 'wt') AS change FROM m GROUP BY target_idx),
+x AS (SELECT 'group' || target_idx % 3 AS description, round(avg(change), 4) AS fold_change FROM s GROUP BY ALL)
+"""
+
+
+def _fold_change(spark, d):
     li = v.t(spark, d, "lineitem")
     fold = F.col("l_suppkey") % 5
     cov = li.groupBy(F.when(fold % 2 == 0, "wt").otherwise("mut").alias("kind"), fold.alias("fold"), F.col("l_linenumber").alias("target_idx"), (F.col("l_partkey") % 16).alias("bin_idx")).agg(F.avg("l_quantity").alias("value"))
@@ -180,12 +201,14 @@ def _(spark, d):
     return variants.fold_change(cov, names)
 
 
-@query("sort2_order_by_fold_change", "SELECT l_returnflag AS description, round(avg(l_discount), 4) AS fold_change, row_number() OVER (ORDER BY round(avg(l_discount), 4), l_returnflag) AS place FROM lineitem GROUP BY 1")
+@query("agg25_fold_change_by_group", FOLD_CHANGE + "SELECT * FROM x")
 def _(spark, d):
-    from pyspark.sql import Window
+    return _fold_change(spark, d)
 
-    x = v.t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("description")).agg(F.round(F.avg("l_discount"), 4).alias("fold_change"))
-    return x.withColumn("place", F.row_number().over(Window.orderBy("fold_change", "description")).cast("long"))
+
+@query("sort2_order_by_fold_change", FOLD_CHANGE + "SELECT *, row_number() OVER (ORDER BY fold_change, description) AS place FROM x")
+def _(spark, d):
+    return variants.order_by_fold_change(_fold_change(spark, d))
 
 
 # ---- intervals ------------------------------------------------------------------------------------

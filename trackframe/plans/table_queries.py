@@ -20,16 +20,20 @@ from trackframe.streaming import streams
 
 def scratch(spark, name: str) -> str:
     """A new folder that driver and executors share; one of this machine only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/trackframe-shared"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("the session names no shared folder in spark.checkpoint.dir")
+        at = "file:///tmp/trackframe-shared"
     return f"{at.rstrip('/')}/trackframe/{name}-{uuid.uuid4().hex}"
 
 
 def drained(stream, spark, mode: str, schema: str, key: list[str] | None = None):
-    """What a stream over finished input wrote; with `key`, its last row of each."""
+    """What a stream over finished input wrote, batch by batch; with `key`, its last row of each."""
     out = scratch(spark, "stream")
 
     def put(batch, number):
-        batch.withColumn("batch_", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch_={number}")  # a batch that is tried again replaces its own rows
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     got = spark.read.schema(f"{schema}, batch_ long").parquet(out)
@@ -88,8 +92,7 @@ def _(spark, d):
     at = scratch(spark, "logs")
     lines = _lines(spark, d).withColumn("run", F.concat(F.lit("r"), (F.substring("run", 2, 20).cast("long") % 16).cast("string")))
     lines.repartition("run").write.partitionBy("run").text(at)
-    got = spark.read.option("recursiveFileLookup", True).text(at).select("value", F.regexp_extract("_metadata.file_path", "run=([^/]+)/", 1).alias("run"))
-    return ex.parse_epoch_lines(got).select(*EPOCH_COLS)
+    return readers.scan_epoch_logs(spark, at).select(*EPOCH_COLS)
 
 
 @query("src8_parse_epoch_lines", EPOCH_ROWS, "epochs")
@@ -141,7 +144,7 @@ def _(spark, d):
 @query("join11_experiments_with_config", GRID_ROWS + "SELECT exp_name, kernel, seed * 0.5::DOUBLE AS valid_r FROM g WHERE seed < 2")
 def _(spark, d):
     g = _experiments(spark, d)
-    return g.where("seed < 2").select("exp_name", (F.col("seed") * F.lit(0.5)).alias("valid_r")).join(g.select("exp_name", "kernel"), "exp_name").select("exp_name", "kernel", "valid_r")
+    return ex.experiments_with_config(g.where("seed < 2").select("exp_name", (F.col("seed") * F.lit(0.5)).alias("valid_r")), g.select("exp_name", "kernel")).select("exp_name", "kernel", "valid_r")
 
 
 @query("prj16_override_params", GRID_ROWS + "SELECT exp_name, path, CASE path WHEN 'model.kernel' THEN kernel WHEN 'train.seed' THEN seed::VARCHAR ELSE base END AS value FROM g, (VALUES ('model.kernel', '9'), ('train.seed', '0'), ('train.rate', '1e-4')) b(path, base)")
@@ -172,10 +175,10 @@ def _(spark, d):
     return r6(x, *x.columns[1:])
 
 
-@query("sort1_rank_experiments", f"SELECT base, valid_r_mean FROM ({REPORT}) ORDER BY valid_r_mean DESC, base LIMIT 10", "epochs")
+@query("sort1_rank_experiments", f"SELECT base, valid_r_mean FROM ({REPORT}) ORDER BY valid_r_mean DESC, base", "epochs")
 def _(spark, d):
     x = _report(spark, d)
-    return ex.rank_experiments(r6(x, "valid_r_mean")).select("base", "valid_r_mean").limit(10)
+    return ex.rank_experiments(r6(x, "valid_r_mean")).select("base", "valid_r_mean")
 
 
 @query("snk8_write_experiment_report", f"SELECT base AS experiment, valid_r_mean, valid_r_std, 'k' AS grid_kernel FROM ({REPORT})", "epochs")
@@ -202,7 +205,9 @@ SHEET = ["p_name", "p_brand", "p_type"]
 def _(spark, d):
     p = v.t(spark, d, "part")
     sheet = p.select("p_partkey", *SHEET, F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    meta, labels = readers.split_sheet(sheet, "p_partkey", 3)
+    at = scratch(spark, "sheet")
+    writers.write_tsv(sheet, at)
+    meta, labels = readers.scan_expression_sheet(spark, at, "p_partkey", 3)
     return labels.join(meta.select("gene_idx", "p_brand"), "gene_idx").select("gene_idx", "target_idx", "target_name", "y_true", "p_brand")
 
 
@@ -271,13 +276,13 @@ def _(spark, d):
     return readers.keyed_matrix(m).select("id", F.col("features")[0].alias("q"))
 
 
-@query("src11_scan_prediction_table", "SELECT gene_id, CASE target_idx WHEN 1 THEN 'tissue_1' ELSE 'tissue_2' END AS tissue, round(avg(y_pred), 6) AS y_pred FROM seed_preds WHERE target_idx IN (1, 2) GROUP BY ALL", "seed_preds")
+@query("src11_scan_prediction_table", "SELECT gene_id, 'tissue_' || target_idx AS tissue, round(avg(y_pred), 6) AS y_pred FROM seed_preds GROUP BY ALL", "seed_preds")
 def _(spark, d):
     s = v.seed_preds(spark, d)
-    wide = s.groupBy(F.col("gene_id").alias("geneID"), "seed").agg(*(F.max(F.when(F.col("target_idx") == k, F.col("y_pred"))).alias(f"tissue_{k}") for k in (1, 2)))
+    wide = s.groupBy(F.col("gene_id").alias("geneID"), "seed").agg(*(F.max(F.when(F.col("target_idx") == k, F.col("y_pred"))).alias(f"tissue_{k}") for k in range(1, 8)))
     at = scratch(spark, "wide")
     writers.write_tsv(wide.drop("seed"), at)
-    long = readers.prediction_table(readers.scan_tsv(spark, at, "geneID string, tissue_1 double, tissue_2 double"))
+    long = readers.prediction_table(readers.scan_tsv(spark, at, "geneID string, " + ", ".join(f"tissue_{k} double" for k in range(1, 8))))
     return r6(long.where("y_pred is not null").groupBy("gene_id", "tissue").agg(F.avg("y_pred").alias("y_pred")), "y_pred")
 
 
@@ -286,6 +291,19 @@ def _(spark, d):
     return readers.profile_table(v.t(spark, d, "embeddings")).drop("kind")
 
 
+@query("src12_first_values", "SELECT 'vec_id' AS \"column\", string_agg(vec_id, ', ' ORDER BY vec_id) AS first FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5) UNION ALL SELECT 'label', string_agg(label, ', ' ORDER BY vec_id) FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5)")
+def _(spark, d):
+    return readers.first_values(v.t(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+
+
+@query("src12_first_files", "SELECT count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders")
+def _(spark, d):
+    """All files of a folder that was written in several."""
+    at = scratch(spark, "files")
+    v.t(spark, d, "orders").select("o_orderkey").repartition(3).write.parquet(at)
+    return readers.first_files(spark, at, 3).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+
+
 @query("snk2_write_targets_table", "SELECT o_orderkey AS gene_idx, o_orderpriority, o_orderstatus AS split FROM orders")
 def _(spark, d):
     o = v.t(spark, d, "orders")
@@ -294,31 +312,31 @@ def _(spark, d):
     return readers.scan_tsv(spark, at, "gene_idx long, o_orderpriority string, split string")
 
 
-@query("snk3_write_statistics", "SELECT count(*) AS num_genes, count(*) FILTER (label NOT IN (3, 4)) AS train_seqs, count(*) FILTER (label = 4) AS valid_seqs, count(*) FILTER (label = 3) AS test_seqs, 8::BIGINT AS num_bins, 'chromosome' AS split_method, 'a,b' AS target_names FROM embeddings")
+@query("snk3_write_statistics", "SELECT count(*) AS num_genes, count(*) FILTER (label NOT IN (3, 4)) AS train_seqs, count(*) FILTER (label = 4) AS valid_seqs, count(*) FILTER (label = 3) AS test_seqs, 8::BIGINT AS num_bins, 'chromosome' AS split_method, 'a,b' AS target_names, 0.8::DOUBLE AS train_ratio, 0.1::DOUBLE AS valid_ratio, 0.1::DOUBLE AS test_ratio, '3' AS test_chrom, '4' AS valid_chrom FROM embeddings")
 def _(spark, d):
     from trackframe.operators.splits import split_by_chromosome
 
     g = v.t(spark, d, "embeddings").select(F.col("vec_id").alias("gene_idx"), F.col("label").alias("chrom"))
     at = scratch(spark, "facts")
-    writers.write_statistics(writers.statistics(split_by_chromosome(g, "3", "4"), 8, 8, ["a", "b"], "chromosome"), at)
-    got = spark.read.schema("num_genes long, train_seqs long, valid_seqs long, test_seqs long, num_bins long, split_method string, target_names array<string>").json(at)
+    writers.write_statistics(writers.statistics(split_by_chromosome(g, "3", "4"), 8, 8, ["a", "b"], "chromosome", (0.8, 0.1, 0.1), ("3", "4")), at)
+    got = spark.read.schema("num_genes long, train_seqs long, valid_seqs long, test_seqs long, num_bins long, split_method string, target_names array<string>, train_ratio double, valid_ratio double, test_ratio double, test_chrom string, valid_chrom string").json(at)
     return got.withColumn("target_names", F.array_join("target_names", ","))
 
 
-@query("snk4_write_bedgraph", 'SELECT \'preds\' AS kind, k::INT AS target_idx, chrom, "start" + b * 128 AS "start", "start" + (b + 1) * 128 AS "end", row_id % 1000 / 4.0 + k AS value FROM bed, range(0, 2) r(b), range(0, 2) s(k)', "bed")
+@query("snk4_write_bedgraph", 'SELECT \'preds\' AS kind, k::INT AS target_idx, chrom, "start" + b * 128 AS "start", "start" + (b + 1) * 128 AS "end", printf(\'%.2f\', (row_id % 1000 / 4.0 + k)::DOUBLE) AS value FROM bed, range(0, 2) r(b), range(0, 2) s(k)', "bed")
 def _(spark, d):
     x = v.bed(spark, d).withColumn("bin_idx", F.explode(F.expr("sequence(0, 1)"))).withColumn("target_idx", F.explode(F.expr("sequence(0, 1)")))
     at = scratch(spark, "graph")
     writers.write_bedgraph(x.select(F.lit("preds").alias("kind"), "chrom", "start", "bin_idx", "target_idx", (F.col("row_id") % 1000 / 4 + F.col("target_idx")).alias("value")), at, 128)
-    got = spark.read.csv(at, sep="\t", schema="chrom string, start long, end long, value double, kind string, target_idx int")
+    got = spark.read.csv(at, sep="\t", schema="chrom string, start long, end long, value string, kind string, target_idx int")
     return got.select("kind", "target_idx", "chrom", "start", "end", "value")
 
 
-@query("snk5_write_metric_table", f"SELECT target, n, round({R}, 5) AS pearsonr, round({R2}, 5) AS r2 FROM ({SUMS.format(k='target', t='obs')})", "obs")
+@query("snk5_write_metric_table", f"SELECT target, n, printf('%.5f', round({R}, 5)) AS pearsonr, printf('%.5f', round({R2}, 5)) AS r2 FROM ({SUMS.format(k='target', t='obs')})", "obs")
 def _(spark, d):
     at = scratch(spark, "metrics")
     writers.write_metric_table(metrics.by_target(v.obs(spark, d), ["target"]), at, ["target"])
-    return readers.scan_tsv(spark, at, "target string, n long, pearsonr double, r2 double")
+    return readers.scan_tsv(spark, at, "target string, n long, pearsonr string, r2 string")
 
 
 @query("snk6_write_prediction_matrix", "SELECT gene_idx, round(sum(y_pred), 5) AS p, round(sum(y_true), 5) AS t FROM mat GROUP BY gene_idx", "mat")
@@ -328,15 +346,15 @@ def _(spark, d):
     return spark.read.schema("gene_idx long, target_idx int, y_pred double, y_true double").parquet(at).groupBy("gene_idx").agg(F.round(F.sum("y_pred"), 5).alias("p"), F.round(F.sum("y_true"), 5).alias("t"))
 
 
-@query("seq15_format_fixed", "SELECT DISTINCT l_discount, round(l_discount * 1.5, 2) AS two, round(l_discount / 7, 5) AS five FROM lineitem")
+@query("seq15_format_fixed", "SELECT DISTINCT l_discount, printf('%.2f', round(l_discount * 1.5, 2)) AS two, printf('%.5f', round(l_discount / 7, 5)) AS five FROM lineitem")
 def _(spark, d):
-    return v.t(spark, d, "lineitem").select("l_discount").distinct().select("l_discount", F.round(F.col("l_discount") * 1.5, 2).alias("two"), F.round(F.col("l_discount") / 7, 5).alias("five"))
+    return v.t(spark, d, "lineitem").select("l_discount").distinct().select("l_discount", writers.fixed(F.col("l_discount") * 1.5, 2).alias("two"), writers.fixed(F.col("l_discount") / 7, 5).alias("five"))
 
 
 # ---- streams ---------------------------------------------------------------------------------------------
 def _stream(spark, d, table: str):
     kind = v.t(spark, d, table).schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, d, table))
+    return spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(_folder(spark, d, table))
 
 
 def _folder(spark, d, table: str) -> str:
@@ -364,8 +382,10 @@ def _(spark, d):
 def _(spark, d):
     at = scratch(spark, "epochs")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v.epochs(spark, d).repartition(n, "run").sortWithinPartitions("run", "epoch").write.parquet(at)
-    stream = spark.readStream.schema("run long, epoch int, valid_r double, valid_r2 double").parquet(at)
+    # Three times files arrive: early, middle and late epochs; the runs' states are carried from one to the next.
+    for part in ("epoch < 4", "epoch between 4 and 9", "epoch > 9"):
+        v.epochs(spark, d).where(part).repartition(n, "run").sortWithinPartitions("run", "epoch").write.mode("append").parquet(at)
+    stream = spark.readStream.schema("run long, epoch int, valid_r double, valid_r2 double").option("maxFilesPerTrigger", n).parquet(at)
     got = drained(streams.stream_early_stop(stream, 4, 2), spark, "append", "run long, epoch int, score double, best boolean, unimproved int, stop boolean")
     return got.withColumn("score", F.round("score", 8))
 
@@ -373,8 +393,8 @@ def _(spark, d):
 @query("str4_stream_epoch_logs", EPOCH_ROWS.replace("'r' || run AS run, ", ""), "epochs")
 def _(spark, d):
     at = scratch(spark, "lines")
-    _lines(spark, d).select("value").write.text(at)
-    got = drained(streams.stream_epoch_logs(spark, at), spark, "append", "run string, epoch int, secs int, train_loss double, train_r double, train_r2 double, valid_loss double, valid_r double, valid_r2 double, best boolean")
+    _lines(spark, d).select("value").repartition(3).write.text(at)
+    got = drained(streams.stream_epoch_logs(spark, at, 1), spark, "append", "run string, epoch int, secs int, train_loss double, train_r double, train_r2 double, valid_loss double, valid_r double, valid_r2 double, best boolean")
     return got.select(*EPOCH_COLS[1:])
 
 

@@ -13,15 +13,19 @@ def file_name() -> F.Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
+def source_name() -> F.Column:
+    """The name of the file a row is from, or of the folder whose part files Spark wrote."""
+    return F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*part-[^/]*$", ""), "/"), -1)
+
+
 def scan_tracks(spark: SparkSession, path: str) -> DataFrame:
     """(track_idx, gene_idx, bins) of a folder with one Parquet file or folder a track, numbered in natural order of names.
 
     Rows: gene_idx long, bins array<float>. A name is what follows `path` in the file's own.
     """
     raw = spark.read.schema("gene_idx long, bins array<float>").option("recursiveFileLookup", True).parquet(path)
-    name = F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*part-[^/]*$", ""), "/"), -1)
-    named = raw.select("gene_idx", "bins", name.alias("track"))
-    return named.join(F.broadcast(natural_index(named, "track", "track_idx")), "track").select("track_idx", "gene_idx", "bins")
+    named = raw.select("gene_idx", "bins", source_name().alias("track"))
+    return named.join(natural_index(named, "track", "track_idx"), "track").select("track_idx", "gene_idx", "bins")
 
 
 def detect_dimensions(tracks: DataFrame) -> DataFrame:
@@ -39,6 +43,12 @@ def split_sheet(sheet: DataFrame, index: str, n_meta: int = 7) -> tuple[DataFram
     return sheet.select(F.col(index).alias("gene_idx"), *meta), long.select(F.col(index).alias("gene_idx"), F.element_at(places, F.col("target_name")).alias("target_idx"), "target_name", F.col("y_true").cast("double").alias("y_true"))
 
 
+def scan_expression_sheet(spark: SparkSession, path: str, index: str, n_meta: int = 7, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """split_sheet of a delimited sheet with a header line, whose names the label columns' targets get."""
+    sheet = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
+    return split_sheet(sheet.withColumn(index, F.col(index).cast("long")), index, n_meta)
+
+
 def extract_label_columns(df: DataFrame, first: int = 7) -> DataFrame:
     return df.select(df.columns[first:])
 
@@ -93,8 +103,9 @@ def reference_tiles(seqs: DataFrame, size: int) -> DataFrame:
 
 
 def scan_epoch_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Epoch rows of all logs of a folder; the run is the file's name."""
-    return parse_epoch_lines(spark.read.text(path).select("value", F.regexp_replace(file_name(), r"\.log$", "").alias("run")))
+    """Epoch rows of all logs of a folder; the run is the name of the file, <run>.log, or of its folder, run=<run>."""
+    run = F.regexp_replace(F.regexp_replace(source_name(), r"\.log$", ""), "^run=", "")
+    return parse_epoch_lines(spark.read.option("recursiveFileLookup", True).text(path).select("value", run.alias("run")))
 
 
 def scan_shards(spark: SparkSession, path: str, split: str | None = None, columns: list[str] | None = None, pattern: str | None = None) -> DataFrame:
@@ -117,6 +128,23 @@ def prediction_table(wide: DataFrame, gene: str = "geneID") -> DataFrame:
     return wide.unpivot([gene], [c for c in wide.columns if c != gene], "tissue", "y_pred").withColumnRenamed(gene, "gene_id")
 
 
+def first_files(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The rows of the first n files of a Parquet folder, by name."""
+    df = spark.read.parquet(path)
+    names = [r[0] for r in df.select(F.col("_metadata.file_name").alias("name")).distinct().orderBy("name").limit(n).collect()]
+    return df.where(F.col("_metadata.file_name").isin(names))
+
+
+def first_values(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """(column, first): the values of the first n rows by `order`, as text joined by ', '; of arrays their first n elements."""
+    text = lambda c, k: F.concat(F.lit("["), F.array_join(F.transform(F.slice(c, 1, n), lambda x: F.round(x, 4).cast("string")), " "), F.lit("]")) if k.startswith("array") else F.col(c).cast("string")
+    rows = df.orderBy(order).limit(n).select(F.struct(F.col(order).alias("o_"), *(text(c, k).alias(f"c{i}") for i, (c, k) in enumerate(df.dtypes))).alias("row"))
+    each = rows.agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    joined = lambda i: F.array_join(F.transform("rows", lambda r: F.coalesce(r[f"c{i}"], F.lit("NULL"))), ", ")
+    one = F.array(*(F.struct(F.lit(c).alias("column"), joined(i).alias("first")) for i, c in enumerate(df.columns)))
+    return each.select(F.explode(one).alias("x")).select("x.*")
+
+
 def profile_table(df: DataFrame) -> DataFrame:
     """(column, kind, rows, non_null, min_size, max_size, id_like) of every column; sizes of arrays and strings."""
     size = lambda c, k: F.size(c) if k.startswith("array") else F.length(F.col(c).cast("string"))

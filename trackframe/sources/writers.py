@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.operators.splits import shards
@@ -14,6 +14,11 @@ def write_split_shards(examples: DataFrame, path: str, size: int = 64, key: str
     numbered.repartition("split", "shard").sortWithinPartitions("split", "shard").write.partitionBy("split").parquet(path)
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """A number as text with that many digits behind the point (halves away from zero)."""
+    return F.format_string(f"%.{digits}f", F.round(F.col(value) if isinstance(value, str) else value, digits).cast("double"))
+
+
 def write_tsv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     (df.orderBy(*order) if order else df).write.csv(path, sep="\t", header=True)
 
@@ -23,10 +28,15 @@ def write_targets_table(meta: DataFrame, split: DataFrame, path: str, key: str =
     write_tsv(meta.join(split.select(key, "split"), key), path, [key])
 
 
-def statistics(examples: DataFrame, num_bins: int, num_tracks: int, target_names: list[str], method: str) -> DataFrame:
-    """One row of facts about a dataset; split_method is the one that was used."""
+def statistics(examples: DataFrame, num_bins: int, num_tracks: int, target_names: list[str], method: str, ratios: tuple[float, float, float] | None = None, chromosomes: tuple[str, str] | None = None) -> DataFrame:
+    """One row of facts about a dataset; split_method is the one that was used.
+
+    With `ratios` also train_, valid_ and test_ratio; with `chromosomes` also test_chrom and valid_chrom.
+    """
     n = lambda s: F.count_if(F.col("split") == s).alias(f"{s}_seqs")
-    return examples.agg(F.count("*").alias("num_genes"), n("train"), n("valid"), n("test")).select("*", F.lit(num_bins).alias("num_bins"), F.lit(num_tracks).alias("num_tracks"), F.lit(method).alias("split_method"), F.lit(len(target_names)).alias("num_targets"), F.array(*map(F.lit, target_names)).alias("target_names"))
+    more = [F.lit(float(r)).alias(f"{s}_ratio") for s, r in zip(("train", "valid", "test"), ratios or (), strict=False)]
+    more += [F.lit(c).alias(f"{s}_chrom") for s, c in zip(("test", "valid"), chromosomes or (), strict=False)]
+    return examples.agg(F.count("*").alias("num_genes"), n("train"), n("valid"), n("test")).select("*", F.lit(num_bins).alias("num_bins"), F.lit(num_tracks).alias("num_tracks"), F.lit(method).alias("split_method"), F.lit(len(target_names)).alias("num_targets"), F.array(*map(F.lit, target_names)).alias("target_names"), *more)
 
 
 def write_statistics(facts: DataFrame, path: str) -> None:
@@ -34,9 +44,9 @@ def write_statistics(facts: DataFrame, path: str) -> None:
 
 
 def bedgraph(values: DataFrame, pool_width: int, targets: list[int] | None = None) -> DataFrame:
-    """(kind, target_idx, chrom, start, end, value) of values(kind, chrom, start, bin_idx, target_idx, value), 2 decimals."""
+    """(kind, target_idx, chrom, start, end, value) of values(kind, chrom, start, bin_idx, target_idx, value), the value as text with 2 decimals."""
     v = values.where(F.col("target_idx").isin(targets)) if targets is not None else values
-    return v.select("kind", "target_idx", "chrom", (F.col("start") + F.col("bin_idx") * pool_width).alias("start"), (F.col("start") + (F.col("bin_idx") + 1) * pool_width).alias("end"), F.round("value", 2).alias("value"))
+    return v.select("kind", "target_idx", "chrom", (F.col("start") + F.col("bin_idx") * pool_width).alias("start"), (F.col("start") + (F.col("bin_idx") + 1) * pool_width).alias("end"), fixed("value", 2).alias("value"))
 
 
 def write_bedgraph(values: DataFrame, path: str, pool_width: int, targets: list[int] | None = None) -> None:
@@ -45,8 +55,9 @@ def write_bedgraph(values: DataFrame, path: str, pool_width: int, targets: list[
 
 
 def write_metric_table(metrics: DataFrame, path: str, order: list[str]) -> None:
-    rounded = [F.round(c, 5).alias(c) if k == "double" else F.col(c) for c, k in metrics.dtypes]
-    write_tsv(metrics.select(*rounded), path, order)
+    """Numbers with a fraction are written with 5 decimals."""
+    text = [fixed(c, 5).alias(c) if k in ("double", "float") else F.col(c) for c, k in metrics.dtypes]
+    write_tsv(metrics.select(*text), path, order)
 
 
 def write_prediction_matrix(preds: DataFrame, path: str) -> None:
@@ -83,6 +94,6 @@ def arrange_report(report: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def write_experiment_report(report: DataFrame, path: str, metrics: list[str]) -> None:
-    arrange_report(report, metrics).coalesce(1).write.csv(path, header=True)
+    arrange_report(report, metrics).write.csv(path, header=True)
 
 

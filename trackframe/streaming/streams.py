@@ -55,6 +55,6 @@ def stream_early_stop(epochs: DataFrame, min_epochs: int, patience: int) -> Data
     return epochs.groupBy("run").applyInPandasWithState(step, f"run {kind}, epoch int, score double, best boolean, unimproved int, stop boolean", "best double, best_epoch int, seen int", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_epoch_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Epoch rows of log files as they appear in a folder."""
-    return parse_epoch_lines(spark.readStream.text(path).select("value", F.regexp_replace(file_name(), r"\.log$", "").alias("run")))
+def stream_epoch_logs(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """Epoch rows of log files as they appear in a folder, at most `files` of them a micro-batch."""
+    return parse_epoch_lines(spark.readStream.option("maxFilesPerTrigger", files).text(path).select("value", F.regexp_replace(file_name(), r"\.log$", "").alias("run")))
