@@ -109,8 +109,46 @@ def test_similar_groups(spark, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_forest_joins_by_the_nearest_links():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = 30
+        a, b = (rng.integers(0, n, 60) for _ in range(2))
+        stay = a != b
+        a, b, d = a[stay], b[stay], rng.integers(0, 9, stay.sum())
+        own = simhash.forest(n, a, b, d)
+        for most in range(9):  # the same groups at every distance
+            near, mine = d <= most, d[own] <= most
+            assert (common.min_labels(n, a[near], b[near]) == common.min_labels(n, a[own][mine], b[own][mine])).all()
+
+
+def test_similar_groups_against_all_pairs(spark):
+    """Near copies around the similarity of 0.8: no group joins what no chain of pairs at 0.8 joins, few links are missed."""
+    rng, rows = random.Random(12), []
+    for i in range(120):
+        w = [f"t{rng.randrange(9000)}" for _ in range(300)]
+        rows.append((10 * i, " ".join(w)))
+        for k in range(1, 4):
+            near = list(w)
+            for at in rng.sample(range(300), rng.randrange(1, 11)):
+                near[at] = f"new{rng.randrange(9000)}"
+            rows.append((10 * i + k, " ".join(near)))
+    rows += [(5000 + k, rows[0][1]) for k in range(30)] + [(6000, ""), (6001, None), (6002, "one two"), (6003, "one two")]
+    sets = {d: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for d, t in rows for w in [(t or "").split()]}
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    ids = sorted(sets)
+    links = [(x, y) for x in ids for y in ids if x < y and (x // 10 == y // 10 or max(x, y) >= 5000) and alike(x, y)]
+    want = reachable(ids, links)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    kept = [(x, y) for x, y in links if got[x] == got[y]]
+    assert all(want[d] == want[got[d]] for d in ids)  # nothing is joined that is not alike
+    assert len(kept) >= 0.97 * len(links) and got[6001] == 6000 and got[6003] == 6002 and all(got[5000 + k] == got[0] for k in range(30))
+
+
 def test_keep_one_keeps_columns(docs):
     assert simhash.keep_one(docs).columns == docs.columns
+    odd = docs.withColumn("gone_", F.lit(1)).withColumn("keys", F.lit(2))
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(odd).count() == simhash.keep_one(docs).count()
     ids = [r.doc_id for r in simhash.keep_one(docs).collect()]
     assert 3 in ids and 44 not in ids and 45 not in ids and 5 in ids
 

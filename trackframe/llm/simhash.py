@@ -21,6 +21,9 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="
 #: Odd multipliers for mixing.
 MIX = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(3).integers(2**61, 2**63, 16)]
 LANE = (np.arange(8) * 256)[None, :]
+#: Of similar_groups: words of a fingerprint; keys of a text, and least hashes a key tells; forests of links verified.
+WORDS, BANDS, ROWS, FORESTS = 8, 10, 4, 2
+SEEDS = np.random.default_rng(4).integers(0, 2**63, BANDS * ROWS).astype(np.uint64)
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -53,15 +56,29 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(majority(shingle_hashes(text, shingle, seed))[0])
 
 
-def wide_fingerprint(text: bytes, words: int, shingle: int = 5) -> bytes:
-    """Further fingerprints of the same shingles, each from its own mixing of their hashes, one behind the other."""
-    h, out = np.unique(shingle_hashes(text, shingle)), []
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """Further fingerprints of distinct shingle hashes, each from its own mixing of them, one behind the other."""
+    out = []
     for k in range(words):
-        x = (h ^ MIX[k % len(MIX)]) * (MIX[(k + 1) % len(MIX)] + np.uint64(2 * k))
+        x = (hashes ^ MIX[k % len(MIX)]) * (MIX[(k + 1) % len(MIX)] + np.uint64(2 * k))
         out.append(majority((x ^ (x >> np.uint64(31))) * MIX[0]))
     return np.concatenate(out).tobytes()
 
 
+def meeting_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a shingle set; each tells ROWS of its least hashes under as many mixings. Two sets agree on a key
+    with the ROWS-th power of their similarity, whatever the size of the table."""
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        x = (hashes[None, at : at + 4096] ^ SEEDS[:, None]) * MIX[1]
+        np.minimum(low, ((x ^ (x >> np.uint64(29))) * MIX[2]).min(1), out=low)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * MIX[3]
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (signed long with the fingerprint's bits) of every row of docs."""
 
@@ -147,74 +164,112 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def bands_for(n: int, similarity: float, missed: float = 0.03) -> tuple[int, int]:
-    """(bits a band, bands) for n documents: few chance meetings a bucket, and at most `missed` of pairs at the similarity lost."""
-    width = max(12, int(np.ceil(np.log2(max(n, 1) + 1))) - 4)
-    return width, int(np.ceil(np.log(1 / missed) / (1 - differing_share(similarity)) ** width))
+def forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Places of links that join what all links a-b of n nodes join, the nearest first (Boruvka's minimum spanning forest)."""
+    order = np.argsort(distance, kind="stable")
+    label, chosen = np.arange(n), np.zeros(0, np.int64)
+    while len(order := order[label[a[order]] != label[b[order]]]):
+        own = np.r_[label[a[order]], label[b[order]]]
+        # The first of each label's links, in order of (distance, place).
+        by = np.argsort(np.r_[np.arange(len(order)), np.arange(len(order))], kind="stable")
+        _, first = np.unique(own[by], return_index=True)
+        chosen = np.union1d(chosen, order[by[first] % len(order)])
+        label = min_labels(n, a[chosen], b[chosen])
+    return chosen
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 1024) -> DataFrame:
-    """(doc_id, component_id) of every row of docs: groups of texts whose shingle sets are `similarity` alike or more.
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, fp (fingerprint of WORDS words), keys (BANDS, none of a text without words) and grams (its distinct
+    shingles' hashes, 32 bits each, ascending) of every row of docs."""
 
-    The similarity is read from long SimHash fingerprints (1024 bits at least), whose differing bits tell the
-    angle between the sets; pairs up to one standard error below it are taken, so that most at the similarity
-    are. Texts that agree on all bits of one band meet, and are compared bit-sliced. The bands' number grows with the
-    table, so that the share of pairs that never meet stays the same at any size.
-    """
-    width, bands = bands_for(docs.count(), similarity)
-    words = max(16, -(-width * bands // 64))
-    bits, share = 64 * words, differing_share(similarity)
-    radius = int(bits * share + np.sqrt(bits * share * (1 - share)))
-
-    def mark(batches):
+    def run(batches):
         import pyarrow as pa
 
         for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([wide_fingerprint(r[1], words, shingle) for r in rows], pa.binary())], ["doc_id", "fp"])
+            out = []
+            for doc, text in rows:
+                h = np.unique(shingle_hashes(text, shingle))
+                out.append((doc, wide_fingerprint(h, WORDS), meeting_keys(h).tolist() if len(h) else [], np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "fp", "keys", "grams"])
 
-    def deal(batches):
+    return text_bytes(docs).mapInArrow(run, "doc_id long, fp binary, keys array<bigint>, grams binary")
+
+
+def verified(links: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose shingle sets are `similarity` alike or more."""
+
+    def run(batches):
         import pyarrow as pa
 
-        weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            for k in range(bands):
-                key = (bits[:, k * width : (k + 1) * width].astype(np.uint64) * weight).sum(1, dtype=np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, k, np.int32)), pa.array(key), b.column(0), b.column(1)], ["band", "key", "rep", "fp"])
+        for t in batches:
+            a, b, x, y = (c.to_pylist() for c in t.columns)
+            keep = []
+            for i, (g, h) in enumerate(zip(x, y, strict=True)):
+                both = np.frombuffer(g, "<u4"), np.frombuffer(h, "<u4")
+                shared = len(np.intersect1d(*both, assume_unique=True))
+                if shared >= similarity * (len(both[0]) + len(both[1]) - shared) - 1e-9:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    sets = sketched.where("doc_id is not null")
+    x = links.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
+    return x.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 1024) -> DataFrame:
+    """(doc_id, component_id) of every row of docs: groups of texts whose shingle sets are `similarity` alike or more.
+
+    Texts that share a key meet, in numbers that do not grow with the table, and are compared bit-sliced by
+    SimHash fingerprints of 512 bits, with a radius 2.5 standard errors beyond the similarity's; of what lies within,
+    the nearest links that join the same texts, twice over, are checked by the shingles themselves.
+    Texts of one fingerprint are one node (all 512 bits agree only where nearly all shingles do).
+    """
+    bits, share = 64 * WORDS, differing_share(similarity)
+    radius = int(bits * share + 2.5 * np.sqrt(bits * share * (1 - share)))
 
     def compare(batches):
         import pyarrow as pa
 
-        for t, starts in stream_groups(batches, ["band", "key", "tile_a", "tile_b"], 20_000):
+        for t, starts in stream_groups(batches, ["key", "tile_a", "tile_b"], 20_000):
             rep = t.column("rep").to_numpy()
             order = np.lexsort((rep, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
             rep = rep[order]
             fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(len(rep), -1)[order]
             a, b = links_of(fp, starts, radius)
-            label = min_labels(len(rep), a, b)
-            to = np.flatnonzero(label != np.arange(len(rep)))
-            if len(to):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[to]), pa.array(rep[label[to]])], ["a", "b"])
-
-    marked = materialize(text_bytes(docs).mapInArrow(mark, "doc_id long, fp binary"), "wide")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    dealt = distinct.where("rep is not null").select("rep", "fp").mapInArrow(deal, "band int, key long, rep long, fp binary")
-    links = tiles(dealt, ["band", "key"], "rep", tile).select("band", "key", "tile_a", "tile_b", "rep", "fp").mapInArrow(compare, "a long, b long").distinct()
+            for _ in range(FORESTS):
+                distance = np.concatenate([np.bitwise_count(fp[a[i : i + 100_000]] ^ fp[b[i : i + 100_000]]).sum(1) for i in range(0, len(a), 100_000)] or [np.zeros(0)])
+                chosen = forest(len(rep), a, b, distance)
+                if not len(chosen):
+                    break
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a[chosen]]), pa.array(rep[b[chosen]])], ["a", "b"])
+                rest = np.setdiff1d(np.arange(len(a)), chosen, assume_unique=True)
+                a, b = a[rest], b[rest]
+
+    sketched = materialize(sketches(docs, shingle), "sketches")
+    distinct = sketched.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("m"), F.min("doc_id").alias("rep"))
+    # A null id sorts first in the structs' minimum: the keys are those of a text of the same fingerprint all the same.
+    distinct = materialize(distinct.select("fp", "rep", F.col("m.keys").alias("keys")), "distinct")
+    dealt = distinct.where("rep is not null").select("rep", "fp", F.explode("keys").alias("key"))
+    found = tiles(dealt, ["key"], "rep", tile).select("key", "tile_a", "tile_b", "rep", "fp").mapInArrow(compare, "a long, b long").distinct()
+    links = materialize(verified(materialize(found, "near"), sketched, similarity), "similar")
     groups = connected_components(links)
     to = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return marked.join(to, "fp").select("doc_id", "component_id")
+    return sketched.select("doc_id", "fp").join(to, "fp").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their similar_groups, with all their columns.
+    """The rows of docs with the smallest doc_id of their similar_groups, with all their columns, whatever their names.
 
-    Rows without doc_id stay only if no row with an id is alike; rows of one doc_id are one document.
+    Rows without doc_id stay only if no row with an id is alike; rows of one doc_id are one document. Texts of any
+    length are read whole.
     """
+    name = "gone_"
+    while name in docs.columns:
+        name += "_"
     groups = similar_groups(docs, similarity, shingle)
-    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("gone_")), "left_anti")
+    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
