@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -265,6 +266,7 @@ def test_licenses(spark, docs, empty, sf_dir):
     got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
     assert [got[i].license for i in range(1, 8)] == ["apache-2.0-header", "mit", "cc-by-nc-4.0", None, None, None, "apache-2.0"]
     assert got[1].sentence_ids == "apache-name apache-use apache-copy apache-limits" and got[7].sentence_ids == "apache-limits apache-name" and got[5].n_sentences == 0
+    assert [got[i].licenses for i in (1, 4)] == ["apache-2.0-header apache-2.0", ""]
     assert licenses.license_scan(docs).count() == docs.count() and licenses.license_scan(empty).count() == 0
     con = duckdb.connect()
     con.register("documents", df.toPandas())
@@ -273,6 +275,30 @@ def test_licenses(spark, docs, empty, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+HEADERS = {
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.',
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+}
+
+
+def test_license_headers_wrapped_and_unwrapped(spark):
+    rows = [(i, f"Some file\n\n{t}\n\ncode") for i, t in enumerate(HEADERS.values())]
+    rows += [(100 + i, re.sub(r"(?<!\n)\n *(?![\n ])", " ", t)) for i, t in enumerate(HEADERS.values())]
+    rows += [(200, "words\nLicensed under CC BY 4.0\nmore words\n" + HEADERS["gpl-2.0"] + "\nAll rights reserved"), (201, "x. Licensed under the MIT license\nand so on")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    assert [got[i].license for i in range(len(HEADERS))] == list(HEADERS) and [got[100 + i].license for i in range(len(HEADERS))] == list(HEADERS)
+    assert got[200].licenses == "gpl-2.0 cc-by-4.0 proprietary" and got[201].license == "mit"
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(map(key, con.sql(licenses.ORACLE).fetchall())) == sorted(map(key, got.values()))
+
+
 def test_pipeline(spark, docs, sf_dir):
     """Every stage keeps the columns, and the last packs what the others kept."""
     now = docs

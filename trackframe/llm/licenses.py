@@ -1,42 +1,107 @@
 """Licence scans by sentence rules; DataFrame and SQL operations only.
 
 Each sentence of a text is normalised and looked up among known licence sentences; the identifiers found,
-in order, are matched against ordered rules, most specific first.
+in order, are matched against ordered rules, most specific first. A line break inside a paragraph is white
+space, so that wrapped headers are read; a line that is a known sentence by itself stands for itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifier -> normalised licence sentence (lower case, letters and digits, single spaces).
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+_CC = "this work is licensed under a creative commons {} 4 0 international license"
+_HOPE = "this {} is distributed in the hope that it will be useful but without any warranty"
+#: Normalised licence sentence (lower case, letters and digits, single spaces) -> identifier.
 SENTENCES = {
-    "apache-name": "licensed under the apache license version 2 0",
-    "apache-use": "you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at",
-    "apache-limits": "see the license for the specific language governing permissions and limitations under the license",
-    "mit-name": "released under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": "the software is provided as is without warranty of any kind express or implied",
-    "gpl3-name": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
-    "bync-name": "licensed under cc by nc 4 0",
-    "by-name": "licensed under cc by 4 0",
-    "bysa-name": "licensed under cc by sa 4 0",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "rights": "all rights reserved",
+    "licensed under the apache license version 2 0": "apache-name",
+    "licensed under the apache license version 2 0 the license": "apache-name",
+    "apache license version 2 0 january 2004": "apache-title",
+    "apache license version 2 0 january 2004 http www apache org licenses": "apache-title",
+    "you may not use this file except in compliance with the license": "apache-use",
+    "you may obtain a copy of the license at": "apache-copy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-basis",
+    "see the license for the specific language governing permissions and limitations under the license": "apache-limits",
+    "released under the mit license": "mit-name",
+    "licensed under the mit license": "mit-name",
+    "the mit license": "mit-name",
+    "the mit license mit": "mit-name",
+    "mit license": "mit-name",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied": "as-is",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liable",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
+    "this work is licensed under the gnu general public license version 3": "gpl3-name",
+    "this work is licensed under the gnu general public license version 2": "gpl2-name",
+    "this program is free software": "gnu-free",
+    "this library is free software": "gnu-free",
+    _GNU.format("general public license"): "gpl-terms",
+    _GNU.format("general public license") + " either version 3 of the license or at your option any later version": "gpl3-terms",
+    _GNU.format("lesser general public license"): "lgpl-terms",
+    _GNU.format("lesser general public license") + " either version 3 of the license or at your option any later version": "lgpl3-terms",
+    _GNU.format("affero general public license") + " either version 3 of the license or at your option any later version": "agpl3-terms",
+    "either version 2 of the license or at your option any later version": "gnu-2",
+    "either version 2 1 of the license or at your option any later version": "gnu-2.1",
+    "either version 3 of the license or at your option any later version": "gnu-3",
+    _HOPE.format("program"): "gnu-hope",
+    _HOPE.format("library"): "gnu-hope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gnu-implied",
+    "see the gnu general public license for more details": "gpl-details",
+    "see the gnu lesser general public license for more details": "lgpl-details",
+    "see the gnu affero general public license for more details": "agpl-details",
+    "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "boost software license version 1 0 august 17th 2003": "boost-title",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-terms",
+    "licensed under cc by nc 4 0": "bync-name",
+    "licensed under cc by 4 0": "by-name",
+    "licensed under cc by sa 4 0": "bysa-name",
+    _CC.format("attribution"): "by-name",
+    _CC.format("attribution sharealike"): "bysa-name",
+    _CC.format("attribution noncommercial"): "bync-name",
+    "all rights reserved": "rights",
 }
 #: Ordered rules: (licence, class, identifiers that must come in this order).
 RULES = [
     ("apache-2.0-header", "permissive", ["apache-name", "apache-use", "apache-copy", "apache-limits"]),
     ("mit-text", "permissive", ["mit-grant", "mit-notice", "as-is"]),
-    ("gpl-3.0-header", "copyleft", ["gpl-free", "gpl-hope"]),
+    ("bsd-3-clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("bsd-2-clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("agpl-3.0", "copyleft", ["agpl3-terms"]),
+    ("lgpl-2.1", "copyleft", ["gnu-free", "lgpl-terms", "gnu-2.1"]),
+    ("lgpl-3.0", "copyleft", ["lgpl3-terms"]),
+    ("lgpl-3.0", "copyleft", ["gnu-free", "lgpl-terms", "gnu-3"]),
+    ("gpl-2.0", "copyleft", ["gnu-free", "gpl-terms", "gnu-2"]),
+    ("gpl-3.0-header", "copyleft", ["gnu-free", "gpl3-terms"]),
+    ("gpl-3.0-header", "copyleft", ["gnu-free", "gpl-terms", "gnu-3"]),
+    ("gpl-3.0-header", "copyleft", ["gnu-free", "gnu-hope"]),
+    ("mpl-2.0", "copyleft", ["mpl-terms", "mpl-2"]),
+    ("isc", "permissive", ["isc-grant"]),
+    ("zlib", "permissive", ["zlib-as-is", "zlib-grant"]),
+    ("boost-1.0", "permissive", ["boost-title"]),
+    ("epl-2.0", "copyleft", ["epl-terms"]),
+    ("unlicense", "public-domain", ["unlicense"]),
     ("apache-2.0", "permissive", ["apache-name"]),
+    ("apache-2.0", "permissive", ["apache-title"]),
     ("mit", "permissive", ["mit-name"]),
     ("mit", "permissive", ["mit-grant"]),
     ("gpl-3.0", "copyleft", ["gpl3-name"]),
+    ("gpl-2.0", "copyleft", ["gpl2-name"]),
     ("cc-by-nc-4.0", "non-commercial", ["bync-name"]),
     ("cc-by-sa-4.0", "copyleft", ["bysa-name"]),
     ("cc-by-4.0", "permissive", ["by-name"]),
@@ -44,8 +109,8 @@ RULES = [
     ("proprietary", "restricted", ["rights"]),
 ]
 #: Every known sentence holds one of these words, so texts without any have no licence sentence.
-KEYS = ("licen", "permission", "warranty", "software", "rights", "redistribution")
-assert all(any(k in s for k in KEYS) for s in SENTENCES.values())
+KEYS = ("licen", "permission", "warranty", "software", "rights", "redistribution", "mozilla", "mpl", "warranties")
+assert all(any(k in s for k in KEYS) for s in SENTENCES)
 
 
 def _matched(rule: list[str]) -> str:
@@ -53,40 +118,56 @@ def _matched(rule: list[str]) -> str:
     return "%" + "%".join(f" {i} " for i in rule) + "%"
 
 
+def _normal(s: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, sentence_ids, license, license_class of every row of docs.
+    """doc_id, n_sentences, sentence_ids, license, license_class, licenses of every row of docs.
 
-    A sentence ends at a line's end or at . ! ? before white space or the text's end. sentence_ids are the known ones
-    in text order, space-joined ('' for none). license is the first rule that matches, NULL for none. Null texts have
-    no sentence; repeated rows repeat; a null doc_id stays null; an empty table gives none. Each row is judged
-    alone, so nothing is shuffled.
+    A sentence ends at . ! ? : ; before white space or the text's end, at a blank line, and at the ends of a line or part
+    of one that is a known sentence by itself; other line ends are white space. sentence_ids are the known ones in
+    text order, space-joined ('' for none). licenses are all whose rules match, in the rules' order, space-joined;
+    license is the first, NULL for none: of rules that tie, the earlier. Null texts have no sentence; repeated rows repeat; a null
+    doc_id stays null; other columns are ignored; texts of any length are read whole; an empty table gives
+    none. Each row is judged alone, so nothing is shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    by_text = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    sentences = F.filter(F.split(text, r"\n|[.!?](?=[ \t\r\n]|$)"), lambda s: s.rlike("[A-Za-z0-9]"))
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.transform(F.filter(normal, lambda s: s.isin(*SENTENCES.values())), lambda s: F.element_at(by_text, s))
+    by_text = F.create_map(*(F.lit(x) for s, i in SENTENCES.items() for x in (s, i)))
+    known = lambda s: s.isin(*SENTENCES)
+    lines = F.split(F.regexp_replace(text, r"[.!?:;](?=[ \t\r\n]|\z)", "\n\n"), "\n")
     may = F.lit(False)
     for k in KEYS:
         may = may | F.contains(F.lower(text), F.lit(k))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(sentences).cast("long").alias("n_sentences"), F.when(may, F.array_join(known, "  ")).otherwise(F.lit("")).alias("ids"))
+    # Lines that are known by themselves are set apart; texts that can hold none need no such step.
+    apart = F.transform(lines, lambda x: F.when(known(_normal(x)), F.concat(F.lit("\n"), x, F.lit("\n"))).otherwise(x))
+    joined = F.array_join(F.when(may, apart).otherwise(lines), "\n")
+    sentences = F.filter(F.split(joined, "\n[ \t\r]*\n"), lambda s: s.rlike("[A-Za-z0-9]"))
+    ids = F.transform(F.filter(F.transform(sentences, _normal), known), lambda s: F.element_at(by_text, s))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(sentences).cast("long").alias("n_sentences"), F.when(may, F.array_join(ids, "  ")).otherwise(F.lit("")).alias("ids"))
     spaced = F.concat(F.lit(" "), F.col("ids"), F.lit(" "))
-    name, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for lic, cls, rule in reversed(RULES):
-        hit = spaced.like(_matched(rule))
-        name, kind = F.when(hit, F.lit(lic)).otherwise(name), F.when(hit, F.lit(cls)).otherwise(kind)
-    return found.select("doc_id", "n_sentences", F.replace("ids", F.lit("  "), F.lit(" ")).alias("sentence_ids"), name.alias("license"), kind.alias("license_class"))
+    every = F.array_distinct(F.array_compact(F.array(*(F.when(spaced.like(_matched(rule)), F.lit(lic)) for lic, _, rule in RULES))))
+    kind = F.lit(None).cast("string")
+    for _, cls, rule in reversed(RULES):
+        kind = F.when(spaced.like(_matched(rule)), F.lit(cls)).otherwise(kind)
+    return found.select("doc_id", "n_sentences", F.replace("ids", F.lit("  "), F.lit(" ")).alias("sentence_ids"), F.get(every, F.lit(0)).alias("license"), kind.alias("license_class"), F.array_join(every, " ").alias("licenses"))
 
 
 def _oracle() -> str:
-    known = ", ".join(f"'{s}': '{i}'" for i, s in SENTENCES.items())
+    known = ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items())
+    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     case = lambda k: "CASE " + " ".join(f"WHEN ' ' || ids || ' ' LIKE '{_matched(r[2])}' THEN '{r[k]}'" for r in RULES) + " END"
+    names = list(dict.fromkeys(r[0] for r in RULES))
+    hit = lambda name: " OR ".join(f"' ' || ids || ' ' LIKE '{_matched(r[2])}'" for r in RULES if r[0] == name)
+    every = ", ".join(f"CASE WHEN {hit(name)} THEN '{name}' END" for name in names)
     return f"""
-WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[.!?]([ \\t\\r\\n]|$)', chr(10) || '\\1', 'g'), chr(10)),
-  lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS s FROM documents),
-k AS (SELECT doc_id, len(s) AS n_sentences, array_to_string(list_filter(list_transform(s,
-  lambda x: map {{{known}}}[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL), '  ') AS ids FROM s)
-SELECT doc_id, n_sentences, replace(ids, '  ', ' ') AS sentence_ids, {case(0)} AS license, {case(1)} AS license_class FROM k"""
+WITH m AS (SELECT map {{{known}}} AS m),
+l AS (SELECT doc_id, m, list_transform(string_split(regexp_replace(coalesce(text, ''), '[.!?:;]([ \t\r\n]|\\z)', chr(10) || chr(10) || '\1', 'g'), chr(10)),
+  lambda x: CASE WHEN m[{normal('x')}] IS NOT NULL THEN chr(10) || x || chr(10) ELSE x END) AS l FROM documents, m),
+s AS (SELECT doc_id, m, list_filter(string_split_regex(array_to_string(l, chr(10)), '\n[ \t\r]*\n'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS s FROM l),
+k AS (SELECT doc_id, len(s) AS n_sentences, array_to_string(list_filter(list_transform(s, lambda x: m[{normal('x')}]), lambda x: x IS NOT NULL), '  ') AS ids FROM s)
+SELECT doc_id, n_sentences, replace(ids, '  ', ' ') AS sentence_ids, {case(0)} AS license, {case(1)} AS license_class,
+  array_to_string(list_filter([{every}], lambda x: x IS NOT NULL), ' ') AS licenses FROM k"""
 
 
 ORACLE = _oracle()

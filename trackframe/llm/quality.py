@@ -166,9 +166,9 @@ r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([
 s AS (SELECT rid, doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   {count("#*$%&|<>")} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   len(l) AS n_lines, {count(upper)} AS n_upper, {count("!?")} AS n_exclaim, md5(t) AS key FROM w LEFT JOIN r USING (rid)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {shares} FROM s),
+f AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {shares} FROM s),
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-t AS (SELECT stratum, key, min(quality) AS quality, {", ".join(f"max({r}) AS {r}" for r in RULES)} FROM f JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY stratum, key),
+t AS MATERIALIZED (SELECT stratum, key, min(quality) AS quality, {", ".join(f"max({r}) AS {r}" for r in RULES)} FROM f JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY stratum, key),
 c AS (SELECT stratum, rule, cutoff, count(*) FILTER (quality = 0 AND {value} > cutoff) AS bad, bad - {BAD_PER_GOOD} * count(*) FILTER (quality = 1 AND {value} > cutoff) AS merit
   FROM t, (VALUES {tests}) AS v(rule, cutoff) WHERE key < '8' GROUP BY ALL),
 p AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY merit DESC, rule) AS place
