@@ -189,6 +189,29 @@ def test_op7_recall_through_the_trees(spark, monkeypatch):
     assert sum(got.values()) >= 0.9 * sum(true.values()) > 0
 
 
+def test_leaves_stay_small_beyond_the_sample():
+    """With a sample of few rows for very many vectors, leaves stay near LEAF and near vectors still share one."""
+    rng = np.random.default_rng(3)
+    for n in (20_000, 80_000):
+        x = rng.normal(size=(n, 48))
+        near = x[:2000] + rng.normal(size=(2000, 48)) * 0.2
+        x = np.concatenate([x, near])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sample = x[rng.choice(len(x), 300, replace=False)]
+        trees, first = [], 0
+        for _ in range(embedding_neardup.TREES):
+            tree, first = embedding_neardup.grow(sample, len(x) / len(sample), rng, first)
+            trees.append(tree)
+        row, leaf = embedding_neardup.leaves(trees, x)
+        sizes = np.bincount(leaf)
+        assert (sizes.astype(float) ** 2).sum() / sizes.sum() < 4 * embedding_neardup.LEAF  # the mean leaf a vector meets
+        by_row = [set() for _ in range(len(x))]
+        for r, k in zip(row.tolist(), leaf.tolist(), strict=True):
+            by_row[r].add(k)
+        close = [(i, n + i) for i in range(2000) if x[i] @ x[n + i] >= 0.95]
+        assert len(close) > 500 and sum(bool(by_row[i] & by_row[j]) for i, j in close) >= 0.97 * len(close)
+
+
 def slow_repeats(rows, window):
     first = {}
     for d, t in sorted(rows, key=lambda r: r[0]):

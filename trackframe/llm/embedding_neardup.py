@@ -3,7 +3,9 @@
 Every tree splits the vectors at random directions, again and again; vectors near a split go down both
 sides (spill overlap). Vectors that share a leaf of any tree are compared in double precision, and what
 reaches the cosine is a link. The splits are fitted on a bounded sample; every vector goes through
-every tree. A leaf that stays large, such as thousands of near copies, is dealt out in tiles.
+every tree. Where a leaf's sample is used up before the leaf is small, the tree goes on below it: each further
+level is a random direction of its own, cut at the median of the leaf's sample, so that leaves stay small at any
+number of vectors. A leaf that stays large, such as thousands of near copies, is dealt out in tiles.
 """
 
 from __future__ import annotations
@@ -14,22 +16,30 @@ from pyspark.sql import functions as F
 
 from trackframe.llm.common import connected_components, materialize, min_labels, stream_groups, tiles
 
-TREES, LEAF, SPILL = 4, 512, 0.03
+TREES, LEAF, SPILL = 6, 512, 0.015
 #: Vectors the splits are fitted on, at most; directions tried for a split; the share that a split may spill.
 SAMPLE, TRIES, MOST_SPILLED = 20_000, 4, 0.35
+#: Levels below a leaf's sample at most, and their spill; vector lengths with trees of their own at most.
+LEVELS, DEEP_SPILL, LENGTHS = 30, 0.0075, 8
 TILE = 1024
 
 
-def grow(unit: np.ndarray, per_row: float, rng: np.random.Generator, first: int) -> tuple[list, int]:
-    """A tree over sample rows that stand for `per_row` vectors each: nodes (direction, cut, below, above) or a leaf number."""
+def grow(unit: np.ndarray, per_row: float, rng: np.random.Generator, first: int) -> tuple[tuple, int]:
+    """A tree over sample rows that stand for `per_row` vectors each: (nodes, deep), the next free leaf number.
+
+    A node is (direction, cut, below, above) or a leaf (number, cuts along the directions of `deep`, NaN for a level
+    that would spill too much); a leaf takes 2 ** levels numbers.
+    """
     nodes: list = []
+    deep = rng.normal(size=(LEVELS, unit.shape[1]))
+    deep /= np.linalg.norm(deep, axis=1, keepdims=True)
 
     def node(rows: np.ndarray) -> int:
         nonlocal first
         at = len(nodes)
         nodes.append(None)
-        best = None
-        if len(rows) * per_row > LEAF and len(rows) >= 16:
+        best, size = None, len(rows) * per_row
+        if size > LEAF and len(rows) >= 16:
             directions = rng.normal(size=(TRIES, unit.shape[1]))
             directions /= np.linalg.norm(directions, axis=1, keepdims=True)
             for d in directions:
@@ -39,9 +49,13 @@ def grow(unit: np.ndarray, per_row: float, rng: np.random.Generator, first: int)
                 k = int(np.argmin(spilled))
                 if best is None or spilled[k] < best[0]:
                     best = (spilled[k], d, float(cuts[k]))
-        if best is None or best[0] > MOST_SPILLED * len(rows):  # small enough, or too tight to part
-            nodes[at] = first
-            first += 1
+        if best is None or best[0] > MOST_SPILLED * len(rows):  # small enough, used up, or too tight to part
+            levels = min(LEVELS, int(np.ceil(np.log2(size / LEAF)))) if best is None and size > LEAF and len(rows) > 1 else 0
+            p = unit[rows] @ deep[:levels].T
+            cuts = np.median(p, 0) if levels else np.zeros(0)
+            cuts[(np.abs(p - cuts) <= DEEP_SPILL).mean(0) > MOST_SPILLED] = np.nan
+            nodes[at] = (first, cuts[~np.isnan(cuts)], np.flatnonzero(~np.isnan(cuts)))
+            first += 1 << len(nodes[at][1])
             return at
         _, d, cut = best
         p = unit[rows] @ d
@@ -50,19 +64,28 @@ def grow(unit: np.ndarray, per_row: float, rng: np.random.Generator, first: int)
         return at
 
     node(np.arange(len(unit)))
-    return nodes, first
+    return (nodes, deep), first
 
 
 def leaves(trees: list, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of every leaf that each row reaches."""
     rows_out, leaf_out = [], []
-    for nodes in trees:
+    for nodes, deep in trees:
         stack = [(0, np.arange(len(unit)))]
         while stack:
             at, rows = stack.pop()
-            if isinstance(nodes[at], int):
-                rows_out.append(rows)
-                leaf_out.append(np.full(len(rows), nodes[at]))
+            if not len(rows):
+                continue
+            if len(nodes[at]) == 3:
+                number, cuts, levels = nodes[at]
+                code, who = np.zeros(len(rows), np.int64), np.arange(len(rows))
+                p = unit[rows] @ deep[levels].T
+                for k, cut in enumerate(cuts.tolist()):
+                    own = p[who, k]
+                    below, above = own <= cut + DEEP_SPILL, own >= cut - DEEP_SPILL
+                    code, who = np.r_[2 * code[below], 2 * code[above] + 1], np.r_[who[below], who[above]]
+                rows_out.append(rows[who])
+                leaf_out.append(number + code)
                 continue
             d, cut, below, above = nodes[at]
             p = unit[rows] @ d
@@ -90,17 +113,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     long = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0
     v = v.withColumn("sound", F.coalesce(sound & F.coalesce(F.when(sound, long), F.lit(False)), F.lit(False)))
     classes = materialize(v.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "vectors")
-    n = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
-    sizes = [len(x) for x in sample]
-    dim = max(set(sizes), key=sizes.count) if sizes else 0
-    x = np.array([s for s in sample if len(s) == dim], np.float64).reshape(-1, max(dim, 1))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    forest, first, rng = [], 0, np.random.default_rng(7)
-    for _ in range(TREES):
-        tree, first = grow(x, n / max(1, len(x)), rng, first)
-        forest.append(tree)
-    held = spark.sparkContext.broadcast(forest)
+    sizes = classes.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()
+    forests, first, rng = {}, 0, np.random.default_rng(7)
+    for dim, n in sizes:
+        sample = classes.where(F.size("embedding") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().column(0)
+        x = _vectors(sample)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forests[dim] = []
+        for _ in range(TREES):
+            tree, first = grow(x, n / len(x), rng, first)
+            forests[dim].append(tree)
+    held = spark.sparkContext.broadcast(forests)
 
     def route(batches):
         import pyarrow as pa
@@ -109,7 +132,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
             if not b.num_rows:
                 continue
             vec = _vectors(b.column(0))
-            row, leaf = leaves(held.value, vec / np.linalg.norm(vec, axis=1, keepdims=True))
+            row, leaf = leaves(held.value[vec.shape[1]], vec / np.linalg.norm(vec, axis=1, keepdims=True))
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
@@ -150,11 +173,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
                 out.append((rep[to], links[to].astype(np.int64), rep[label[to]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["rep", "links", "least"])
 
-    usual = classes.where(F.size("embedding") == dim).select("embedding", "rep", "m")
-    routed = usual.mapInArrow(route, "leaf long, rep long, m long, paths array<bigint>, embedding array<float>")
-    # Vectors of other lengths have a leaf a length to themselves, outside the trees.
-    odd = classes.where(F.size("embedding") != dim).select((-F.size("embedding")).cast("long").alias("leaf"), "rep", "m", F.expr("array(cast(-size(embedding) as bigint))").alias("paths"), "embedding")
-    routed = materialize(routed.union(odd), "leaves")
+    columns, kind = ["embedding", "rep", "m"], classes.schema["embedding"].dataType.simpleString()
+    # Vectors of a length too rare for trees of its own have a leaf to themselves.
+    routed = classes.where(~F.size("embedding").isin([d for d, _ in sizes])).select((-F.size("embedding")).cast("long").alias("leaf"), "rep", "m", F.expr("array(cast(-size(embedding) as bigint))").alias("paths"), "embedding")
+    for dim, _ in sizes:
+        routed = routed.union(classes.where(F.size("embedding") == dim).select(*columns).mapInArrow(route, f"leaf long, rep long, m long, paths array<bigint>, embedding {kind}"))
+    routed = materialize(routed, "leaves")
     met = tiles(routed, ["leaf"], "rep", TILE).select("leaf", "tile_a", "tile_b", "chunk", "rep", "m", "paths", "embedding")
     found = materialize(met.mapInArrow(compare, "rep long, links long, least long"), "found")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
