@@ -21,20 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the session names none (tests on one machine), a folder of our own is set.
+    Where a session on one machine names none (tests), a folder of that machine is set; on a cluster that is an error.
     """
     at = spark.conf.get(CHECKPOINT, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"the session names no shared folder in {CHECKPOINT}")
         at = "file:///tmp/trackframe-shared"
         spark.conf.set(CHECKPOINT, at)
     return at.rstrip("/")
 
 
+def for_the_session(spark: SparkSession, at: str) -> None:
+    """Have a folder that was written go when the driver ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives a lost executor."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives a lost executor.
+
+    The table goes with the session.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/trackframe/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    for_the_session(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize, row_groups, shared_dir, text_bytes
+from trackframe.llm.common import for_the_session, materialize, row_groups, shared_dir, text_bytes
 from trackframe.llm.tokenizer_cache import ByteLevelEncoder, loaded
 
 #: By control byte: the sizes of its four ids.
@@ -161,4 +161,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Write all rows of docs to files in the shared folder and return what is read back from them."""
     out = f"{shared_dir(docs.sparkSession)}/trackframe/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, out)
+    for_the_session(docs.sparkSession, out)
     return read_tokens(docs.sparkSession, out)
