@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders written while a list is here (see `recorded`).
+_RECORD: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """A list of the folders written inside; they may be dropped once what was made of them is written elsewhere."""
+    _RECORD.append([])
+    try:
+        yield _RECORD[-1]
+    finally:
+        _RECORD.pop()
+
+
+def _folder(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    for at in folders:
+        path, store = _folder(spark, at)
+        store.delete(path, True)
+    folders.clear()
+
+
 def for_the_session(spark: SparkSession, at: str) -> None:
     """Have a folder that was written go when the driver ends."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, store = _folder(spark, at)
+    store.deleteOnExit(path)
+    if _RECORD:
+        _RECORD[-1].append(at)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
