@@ -91,8 +91,9 @@ def certified_cutoffs(marked: DataFrame, labels: DataFrame, stats: str = "stats"
     best = lambda rule, cuts: F.array_max(F.filter(F.array(*(merit(rule, c) for c in cuts)), lambda x: (x["bad"] > 0) & (x["merit"] >= 0)))
     picked = trials.where("chosen_on").groupBy("stratum").agg(*(best(r, cuts).alias(r) for r, (_, cuts) in RULES.items()))
     ranked = F.array_sort(F.filter(F.array(*(F.struct((-F.col(r)["merit"]).alias("m"), F.lit(r).alias("rule"), F.col(r)["cutoff"].alias("cutoff")) for r in sorted(RULES))), lambda x: x["cutoff"].isNotNull()))
-    picked = picked.select("stratum", ranked.alias("ranked"))
-    strata = trials.select("stratum").distinct().count()  # a row a language
+    picked = materialize(picked.select("stratum", ranked.alias("ranked")), "picked")  # a row a language
+    strata = trials.select("stratum").distinct().count()
+    picked = F.broadcast(picked) if strata <= 10_000 else picked  # so that no task gets the texts of a language whole
     first = lambda r: F.coalesce(F.get(F.filter(F.transform("ranked", lambda x, i: F.struct(x["rule"].alias("rule"), x["cutoff"].alias("cutoff"), (i + 1).alias("at"))), lambda x: (x["rule"] == r) & (F.col(r) > x["cutoff"])), F.lit(0))["at"], F.lit(len(RULES) + 1))
     held = trials.where("not chosen_on and quality = 1").join(picked, "stratum").withColumn("at", F.least(*map(first, RULES)))
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("at") <= k + 1) for k in range(len(RULES)))).alias("rejected"))
