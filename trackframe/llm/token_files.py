@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, block_by
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{out}/blocks")
+    dealt.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(f"{out}/blocks")
     spark.createDataFrame([(i, int(d)) for i, d in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{out}/ranks")
 
 
