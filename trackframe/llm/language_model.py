@@ -416,7 +416,7 @@ def learn_weights(train: DataFrame, spec) -> dict[str, np.ndarray]:
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
-    Whole texts are scored. Null texts are empty (their end is their one token); a null doc_id is never held out;
+    Whole texts of any length are scored, in memory in proportion to the longest. Null texts are empty (their end is their one token); a null doc_id is never held out;
     repeated rows are scored alike; extra columns are ignored; with no training document every word is
     unknown; an empty table gives none.
     """

@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     Rows of equal fingerprint are one node of the graph, so large groups of copies are counted before any
     shuffle. A null or empty text has fingerprint zero and links like any other. A null doc_id keeps a
     null id and takes part only by its fingerprint's group (component null if no row of it has an id).
-    Repeated rows repeat; extra columns are ignored; an empty table gives none.
+    Repeated rows repeat; extra columns are ignored; texts of any length are read whole; an empty table gives none.
     """
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")

@@ -158,7 +158,12 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Write all rows of docs to files in the shared folder and return what is read back from them."""
+    """Write all rows of docs to files in the shared folder and return what is read back from them: doc_id, start, n_tokens, ids_crc32.
+
+    Null texts have the end id alone; rows without doc_id come first; rows of one doc_id stand in either order and
+    each has its own start; texts of any length are encoded whole, in memory in proportion to the longest; other columns are
+    ignored; an empty table gives none.
+    """
     out = f"{shared_dir(docs.sparkSession)}/trackframe/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, out)
     for_the_session(docs.sparkSession, out)
