@@ -67,14 +67,21 @@ def fetch_windows(windows: DataFrame, tiles: DataFrame, tile_size: int) -> DataF
 
     What lies left of 0, right of the reference or in a tile that is missing is N. One equi join on (chrom, tile).
     """
-    need = windows.where("end > start").withColumn("tile_idx", F.explode(F.expr(f"sequence(floor(greatest(start, 0) / {tile_size}), greatest(floor((end - 1) / {tile_size}), floor(greatest(start, 0) / {tile_size})))")))
-    hit = need.join(tiles.select("chrom", F.col("tile_idx").cast("long").alias("tile_idx"), F.col("seq").alias("tile_seq")), ["chrom", "tile_idx"], "left")
+    first = f"floor(greatest(start, 0) / {tile_size})"
+    last = f"greatest(floor((end - 1) / {tile_size}), {first})"
+    seqs = tiles.select("chrom", F.col("tile_idx").cast("long").alias("tile_idx"), F.col("seq").alias("tile_seq"))
     lo = F.greatest(F.col("start") - F.col("tile_idx") * tile_size, F.lit(0)).cast("int")
     hi = F.least(F.col("end") - F.col("tile_idx") * tile_size, F.lit(tile_size)).cast("int")
     size = F.greatest(hi - lo, F.lit(0))
     piece = F.rpad(F.coalesce(F.substring("tile_seq", lo + 1, size), F.lit("")), size, "N")
-    got = hit.groupBy("row_id", "chrom", "start", "end").agg(F.sort_array(F.collect_list(F.struct("tile_idx", piece.alias("p")))).alias("ps"))
-    return got.select("row_id", "chrom", "start", "end", pad_with_n(F.upper(F.array_join(F.transform("ps", lambda e: e["p"]), "")), F.col("start"), (F.col("end") - F.col("start")).cast("int")).alias("seq"))
+    of_window = lambda s: pad_with_n(F.upper(s), F.col("start"), (F.col("end") - F.col("start")).cast("int")).alias("seq")
+    key = ["row_id", "chrom", "start", "end"]
+    hits = lambda need: need.select(*key, "tile_idx").join(seqs, ["chrom", "tile_idx"], "left")
+    # Only windows over several tiles, the few, are put together from pieces.
+    sound = windows.where("end > start")
+    within = hits(sound.where(f"{first} = {last}").withColumn("tile_idx", F.expr(f"cast({first} as bigint)"))).select(*key, of_window(piece))
+    across = hits(sound.where(f"{first} < {last}").withColumn("tile_idx", F.explode(F.expr(f"sequence({first}, {last})")))).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("tile_idx", piece.alias("p")))).alias("ps"))
+    return within.union(across.select(*key, of_window(F.array_join(F.transform("ps", lambda e: e["p"]), ""))))
 
 
 def pad_with_n(seq: Column, start: Column, length: Column) -> Column:
