@@ -124,13 +124,14 @@ AS_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 END_WORD = b" \xfc"  # no UTF-8 text holds it
 
 
-def distinct_words(texts: list[bytes], end: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_words(texts: list[bytes], end: bool = False, table: bytes = AS_SPACE) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of texts: the distinct ones, their numbers in text order, the words of each text.
 
-    With `end` a text has one more word, b"", behind its last.
+    With `end` a text has one more word, b"", behind its last. Another byte table gives other words: what stands
+    between spaces once it is applied.
     """
     after = END_WORD if end else b""
-    words, index, counts = distinct_pieces([b" " + t.translate(AS_SPACE) + after for t in texts], skip=1)
+    words, index, counts = distinct_pieces([b" " + t.translate(table) + after for t in texts], skip=1)
     if b"" in words:  # what stands between two spaces
         stay = index != words.index(b"")
         index, counts = index[stay], sums_of(stay.astype(np.int64), counts)

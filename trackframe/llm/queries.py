@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.llm import centroids, embedding_neardup, language_model, licenses, packing, pattern_packing, quality, sentencepiece_codec, simhash, substring_dedup, token_counts, token_files
+from trackframe.llm import centroids, embedding_neardup, language_model, licenses, packing, pattern_packing, quality, ranked_search, sentencepiece_codec, simhash, substring_dedup, token_counts, token_files
 from trackframe.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -66,8 +70,8 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_simhash, op4_quality_rules, op5_language_model, op6_packing, op7_embedding_neardup, op8_license_scan, op9_token_files, op10_substring_dedup, op12_pattern_packing, op13_centroids)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_simhash, op4_quality_rules, op5_language_model, op6_packing, op7_embedding_neardup, op8_license_scan, op9_token_files, op10_substring_dedup, op11_ranked_search, op12_pattern_packing, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE, "op8_license_scan": licenses.ORACLE, "op13_centroids": centroids.ORACLE}
+    return {"op4_quality_rules": quality.ORACLE, "op8_license_scan": licenses.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op13_centroids": centroids.ORACLE}
