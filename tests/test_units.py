@@ -172,3 +172,56 @@ def test_missing_tiles_and_values(spark):
     assert ranked.columns == [*odd.columns, "rank"] and sorted(r["rank"] for r in ranked.collect()) == list(range(1, 21))
     with pytest.raises(ValueError):
         joins.features_with_labels(odd.select("id"), odd.select("id").limit(3), "id")
+
+
+def test_repeated_windows_are_fetched_each(spark):
+    """Equal lines over two tiles give equal rows; other columns, null places and strands are kept; empty intervals give ''."""
+    from trackframe.operators import dist
+
+    tiles = spark.createDataFrame([("c", 0, "A" * 128), ("c", 1, "C" * 100)], "chrom string, tile_idx long, seq string")
+    rows = [(1, "c", 100, 160, "+", "x"), (1, "c", 100, 160, "+", "y"), (1, "c", 100, 160, "-", "x"), (1, "c", 100, 160, "+", "x"), (2, None, 1, 5, "+", "z"), (3, "c", 7, 7, "-", "z"), (4, "c", None, 5, "+", "z"), (5, "c", 220, 232, "-", "w")]
+    windows = spark.createDataFrame(rows, "row_id long, chrom string, start long, end long, strand string, tile_idx string").repartition(3)
+    got = dist.fetch_windows(windows, tiles, 128, strand="strand")
+    assert got.columns == [*windows.columns, "seq"]
+    seq = {1: "A" * 28 + "C" * 32, 2: None, 3: "", 4: None, 5: "CCCCCCCC" + "NNNN"}
+    want = [(*r, s.strip() if (s := seq[r[0]]) is not None and r[4] == "+" else s and s[::-1].translate(str.maketrans("ACGT", "TGCA"))) for r in rows]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_only_needed_tiles_are_shuffled(spark):
+    """Tiles are held against the tiles that windows need before they are dealt out by chromosome and tile."""
+    from trackframe.operators import dist
+
+    tiles = readers.reference_tiles(spark.createDataFrame([("c", "ACGT" * 5000)], "chrom string, seq string"), 10)
+    windows = spark.createDataFrame([(i, "c", i, i + 25) for i in range(5)], "row_id long, chrom string, start long, end long")
+    plan = dist.fetch_windows(windows, tiles, 10)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("tile_seq")]
+    assert "BroadcastHashJoin [mark" in plan and "LeftSemi" in plan and "Window" not in scan
+    mark = lambda df: df.select(F.pmod(F.xxhash64("chrom", F.col("tile_idx").cast("long")), F.lit(dist.TILE_HASHES)).alias("m"))
+    need = mark(spark.createDataFrame([("c", i) for i in range(3)], "chrom string, tile_idx long"))
+    assert mark(tiles).join(need, "m", "left_semi").count() < 10
+
+
+def test_long_intervals_lie_in_few_bins(spark):
+    import random
+
+    from trackframe.operators import dist
+
+    kind = "row long, chrom string, start long, end long"
+    rng = random.Random(3)
+
+    def some(n, longest):
+        return [(i, rng.choice("cd"), x := rng.randint(-(10**7), 10**8), x + int(10 ** rng.uniform(0, longest))) for i in range(n)]
+
+    a, b = some(150, 8), [*some(150, 9), (900, "c", 5, 5), (901, "d", None, 7), (902, None, 1, 9), (903, "c", 0, 10**8)]
+    wide = spark.createDataFrame(b, kind)
+    levels = spark.createDataFrame([(list(range(dist.LEVELS)),)], "levels array<int>")
+    dealt = dist._bins(wide.where("end > start").selectExpr("row", "start AS y_from", "end AS y_to").withColumn("y_level", dist.level_of(F.col("y_to") - F.col("y_from"), 4096)), "y", levels, 4096)
+    assert max(r["count"] for r in dealt.groupBy("row").count().collect()) <= 2 * dist.LEVELS
+    meets = {"overlap": lambda w, f: w[2] < f[3] and f[2] < w[3] and f[2] < f[3], "endpoint": lambda w, f: w[2] <= f[2] <= w[3] or w[2] <= f[3] <= w[3]}
+    for mode, test in meets.items():
+        got = dist.overlap_join(spark.createDataFrame(a, kind), wide, mode).select("w_row", "f_row").collect()
+        full = [(w[0], f[0]) for w in a for f in b if w[1] == f[1] and f[2] is not None and test(w, f)]
+        if mode == "endpoint":
+            full += [(w[0], 901) for w in a if w[1] == "d" and w[2] <= 7 <= w[3]]
+        assert sorted(map(tuple, got)) == sorted(full), mode

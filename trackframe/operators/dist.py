@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.functions.sequences import strand_sequence
+
 
 def rank_within(df: DataFrame, parts: list[str], key: str, seed: int | str = 0, name: str = "rank") -> DataFrame:
     """A 1-based rank in md5(key|seed) order inside `parts`, exact and the same on every run.
@@ -29,13 +31,33 @@ def rank_within(df: DataFrame, parts: list[str], key: str, seed: int | str = 0,
     return out.drop(hash_, bucket, b, own, first, *(f"{free}{p}" for p in parts))
 
 
-def tile_of(x: Column, size: int) -> Column:
-    return F.floor(x / size)
+#: Bins are this many times wider on each level; levels.
+WIDER, LEVELS = 8, 12
+
+
+def bin_of(x: Column, level: Column, size: int) -> Column:
+    """The bin of a position on a level; level 0 has bins of `size`."""
+    return F.floor(x / (F.lit(size) * F.pow(F.lit(WIDER), level)).cast("long"))
+
+
+def level_of(length: Column, size: int) -> Column:
+    """The first level whose bins are as wide as the length (the last one for all that is longer)."""
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(length <= size * WIDER**k, F.lit(k)).otherwise(out)
+    return out
 
 
-def _tiles(start: Column, end: Column, size: int) -> Column:
-    """All tiles of [start, end), which must not be empty."""
-    return F.sequence(tile_of(start, size), tile_of(end - 1, size))
+def _bins(df: DataFrame, side: str, levels: DataFrame, size: int) -> DataFrame:
+    """A row for each bin of [from, to) on its own level and on those of `levels` (one row, an array) above: two a level at most."""
+    start, end, level, on, bin_ = (f"{side}_{c}" for c in ("from", "to", "level", "on", "bin"))
+    up = F.array_union(F.array(level), F.filter("levels", lambda k: k > F.col(level)))
+    dealt = df.crossJoin(F.broadcast(levels)).withColumn(on, F.explode(up)).drop("levels")
+    return dealt.withColumn(bin_, F.explode(F.sequence(bin_of(F.col(start), F.col(on), size), bin_of(F.col(end) - 1, F.col(on), size))))
+
+
+def _levels(df: DataFrame, level: Column) -> DataFrame:
+    return df.agg(F.collect_set(level).alias("levels"))
 
 
 def overlap_join(windows: DataFrame, features: DataFrame, mode: str = "overlap", size: int = 4096) -> DataFrame:
@@ -43,45 +65,71 @@ def overlap_join(windows: DataFrame, features: DataFrame, mode: str = "overlap",
 
     mode 'overlap': the half-open intervals share a base. 'endpoint': the feature's start or end lies in
     [window start, window end], as the reference tests it (features that span the whole window are missed).
-    Both sides are dealt by (chrom, tile), and a pair is given out in one of its tiles only. Columns come back as
-    w_* and f_*.
+    An interval has the level whose bins are as wide as it is long, so that it touches two of them at most; a pair meets on the
+    higher of its two levels, in the bin where the later start lies. A row is dealt to its own level and to the higher ones
+    that occur on the other side: never more than 2 * LEVELS rows, however long it is, and what meets on a
+    level is mostly what overlaps. Empty intervals and rows without a place join nothing. Columns come back as w_* and f_*.
     """
-    w = windows.where("end > start").select(*(F.col(c).alias(f"w_{c}") for c in windows.columns))
+    w = windows.where("end >= start" if mode == "endpoint" else "end > start").select(*(F.col(c).alias(f"w_{c}") for c in windows.columns))
     f = features.select(*(F.col(c).alias(f"f_{c}") for c in features.columns))
     if mode == "overlap":
-        w = w.withColumn("tile", F.explode(_tiles(F.col("w_start"), F.col("w_end"), size)))
-        f = f.where("f_end > f_start").withColumn("tile", F.explode(_tiles(F.col("f_start"), F.col("f_end"), size)))
-        test = (F.col("w_start") < F.col("f_end")) & (F.col("f_start") < F.col("w_end")) & (F.col("tile") == tile_of(F.greatest("w_start", "f_start"), size))
+        w = w.withColumn("x_from", F.col("w_start")).withColumn("x_to", F.col("w_end"))
+        f = f.where("f_end > f_start").withColumn("y_from", F.col("f_start")).withColumn("y_to", F.col("f_end"))
+        test = (F.col("w_start") < F.col("f_end")) & (F.col("f_start") < F.col("w_end"))
     elif mode == "endpoint":
+        w = w.withColumn("x_from", F.col("w_start")).withColumn("x_to", F.col("w_end") + 1)
+        # Both ends as points; the end counts only where the start lies outside.
+        f = f.withColumn("y_point", F.explode(F.array(F.struct(F.lit(False).alias("last"), F.col("f_start").alias("at")), F.struct(F.lit(True).alias("last"), F.col("f_end").alias("at")))))
+        f = f.where("y_point.at is not null").withColumn("y_from", F.col("y_point.at")).withColumn("y_to", F.col("y_point.at") + 1)
         inside = lambda x: F.col(x).between(F.col("w_start"), F.col("w_end"))
-        w = w.withColumn("tile", F.explode(_tiles(F.col("w_start"), F.col("w_end") + 1, size)))
-        f = f.withColumn("tile", F.explode(F.array_distinct(F.array(tile_of(F.col("f_start"), size), tile_of(F.col("f_end"), size)))))
-        test = (inside("f_start") | inside("f_end")) & (F.col("tile") == F.when(inside("f_start"), tile_of(F.col("f_start"), size)).otherwise(tile_of(F.col("f_end"), size)))
+        test = inside("y_from") & (~F.col("y_point.last") | ~F.coalesce(inside("f_start"), F.lit(False)))
     else:
         raise ValueError(f"mode {mode}")
-    return w.join(f.withColumnRenamed("tile", "f_tile"), (F.col("w_chrom") == F.col("f_chrom")) & (F.col("tile") == F.col("f_tile")) & test).drop("tile", "f_tile")
+    x_level, y_level = level_of(F.col("x_to") - F.col("x_from"), size), level_of(F.col("y_to") - F.col("y_from"), size)
+    dealt_w = _bins(w.withColumn("x_level", x_level), "x", _levels(f, y_level), size)
+    dealt_f = _bins(f.withColumn("y_level", y_level), "y", _levels(w, x_level), size)
+    once = (F.col("x_on") == F.greatest("x_level", "y_level")) & (F.col("x_bin") == bin_of(F.greatest("x_from", "y_from"), F.col("x_on"), size))
+    met = dealt_w.join(dealt_f, (F.col("w_chrom") == F.col("f_chrom")) & (F.col("x_on") == F.col("y_on")) & (F.col("x_bin") == F.col("y_bin")) & test & once)
+    return met.select(*(f"w_{c}" for c in windows.columns), *(f"f_{c}" for c in features.columns))
+
+
+#: Hash values that stand for the tiles that are needed; their set, which is broadcast, is never larger.
+TILE_HASHES = 1 << 20
+
 
+def fetch_windows(windows: DataFrame, tiles: DataFrame, tile_size: int, strand: str | None = None) -> DataFrame:
+    """Every row of windows(chrom, start, end, ...), all its columns kept, with `seq` from tiles(chrom, tile_idx, seq), upper case.
 
-def fetch_windows(windows: DataFrame, tiles: DataFrame, tile_size: int) -> DataFrame:
-    """windows(row_id, chrom, start, end) with `seq` from tiles(chrom, tile_idx, seq), upper case.
+    What lies left of 0, right of the reference or in a tile that is missing is N. With `strand`, the name of a column of
+    windows, rows whose strand is '-' get the reverse complement. Repeated rows have a row each; an interval without bases gives '',
+    one without chrom, start or end NULL; a column `seq` of windows is replaced.
 
-    What lies left of 0, right of the reference or in a tile that is missing is N. One equi join on (chrom, tile).
+    Each distinct interval is fetched once and joined back, so that a window that stands in very many rows costs one fetch, and
+    Spark can split that join where its rows are many. Of the tiles only those go to the shuffle whose hash is
+    among those of the tiles that are needed. Only intervals over several tiles are put together from pieces.
     """
     first = f"floor(greatest(start, 0) / {tile_size})"
     last = f"greatest(floor((end - 1) / {tile_size}), {first})"
+    span = windows.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("chrom is not null and end > start").distinct()
+    need = span.withColumn("several", F.expr(f"{first} < {last}")).withColumn("tile_idx", F.explode(F.expr(f"sequence({first}, {last})")))
+    mark = F.pmod(F.xxhash64("chrom", "tile_idx"), F.lit(TILE_HASHES)).alias("mark")
     seqs = tiles.select("chrom", F.col("tile_idx").cast("long").alias("tile_idx"), F.col("seq").alias("tile_seq"))
+    seqs = seqs.withColumn("mark", mark).join(F.broadcast(need.select(mark).distinct()), "mark", "left_semi").drop("mark")
     lo = F.greatest(F.col("start") - F.col("tile_idx") * tile_size, F.lit(0)).cast("int")
     hi = F.least(F.col("end") - F.col("tile_idx") * tile_size, F.lit(tile_size)).cast("int")
     size = F.greatest(hi - lo, F.lit(0))
     piece = F.rpad(F.coalesce(F.substring("tile_seq", lo + 1, size), F.lit("")), size, "N")
-    of_window = lambda s: pad_with_n(F.upper(s), F.col("start"), (F.col("end") - F.col("start")).cast("int")).alias("seq")
-    key = ["row_id", "chrom", "start", "end"]
-    hits = lambda need: need.select(*key, "tile_idx").join(seqs, ["chrom", "tile_idx"], "left")
-    # Only windows over several tiles, the few, are put together from pieces.
-    sound = windows.where("end > start")
-    within = hits(sound.where(f"{first} = {last}").withColumn("tile_idx", F.expr(f"cast({first} as bigint)"))).select(*key, of_window(piece))
-    across = hits(sound.where(f"{first} < {last}").withColumn("tile_idx", F.explode(F.expr(f"sequence({first}, {last})")))).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("tile_idx", piece.alias("p")))).alias("ps"))
-    return within.union(across.select(*key, of_window(F.array_join(F.transform("ps", lambda e: e["p"]), ""))))
+    hits = need.join(seqs, ["chrom", "tile_idx"], "left").select("chrom", "start", "end", "several", "tile_idx", piece.alias("p"))
+    key = ["chrom", "start", "end"]
+    within = hits.where("not several").select(*key, F.col("p").alias("seq"))
+    across = hits.where("several").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("tile_idx", "p"))).alias("ps"))
+    fetched = within.union(across.select(*key, F.array_join(F.transform("ps", lambda e: e["p"]), "").alias("seq")))
+    whole = pad_with_n(F.upper("seq"), F.col("start"), (F.col("end") - F.col("start")).cast("int"))
+    fetched = fetched.select(*(F.col(c).alias(f"{c}_of_") for c in key), whole.alias("seq_of_"))
+    seq = F.when(F.col("end") <= F.col("start"), F.lit("")).otherwise(F.col("seq_of_"))
+    out = windows.join(fetched, [F.col(c) == F.col(f"{c}_of_") for c in key], "left")
+    seq = strand_sequence(seq, F.col(strand)) if strand else seq
+    return out.select(*(c for c in windows.columns if c.lower() != "seq"), seq.alias("seq"))
 
 
 def pad_with_n(seq: Column, start: Column, length: Column) -> Column:

@@ -247,6 +247,19 @@ def _overlap(mode, test):
         return dist.overlap_join(v.bed(spark, d), v.ann(spark, d), mode).select("w_row_id", "w_chrom", "w_start", "w_end", "f_start", "f_end", "f_strand", "f_feature")
 
 
+LONG_FEATURES = """SELECT 'chr' || (o_custkey % 5) AS chrom, floor(o_totalprice)::BIGINT - pow(10, o_orderkey % 9)::BIGINT AS "start", floor(o_totalprice)::BIGINT + pow(10, o_orderkey % 9)::BIGINT AS "end", o_orderkey AS feature FROM orders WHERE o_orderkey % 8 = 0"""
+
+
+@query("join4_interval_overlap_long", f"""SELECT f.feature, count(*) AS n, sum(b.row_id)::BIGINT AS rows_sum, min(b."start") AS first FROM bed b JOIN ({LONG_FEATURES}) f ON f.chrom = b.chrom AND f."start" < b."end" AND b."start" < f."end" GROUP BY f.feature""", "bed")
+def _(spark, d):
+    """Features of 2 to 2 * 10**8 bases."""
+    o = v.t(spark, d, "orders").where("o_orderkey % 8 = 0")
+    far, at = F.pow(F.lit(10), F.col("o_orderkey") % 9).cast("long"), F.floor("o_totalprice")
+    f = o.select(F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chrom"), (at - far).alias("start"), (at + far).alias("end"), F.col("o_orderkey").alias("feature"))
+    met = dist.overlap_join(v.bed(spark, d).select("row_id", "chrom", "start", "end"), f)
+    return met.groupBy(F.col("f_feature").alias("feature")).agg(F.count("*").alias("n"), F.sum("w_row_id").alias("rows_sum"), F.min("w_start").alias("first"))
+
+
 _overlap("overlap", 'a."start" < b."end" AND b."start" < a."end"')
 _overlap("endpoint", '(a."start" BETWEEN b."start" AND b."end" OR a."end" BETWEEN b."start" AND b."end")')
 
@@ -256,12 +269,37 @@ def _(spark, d):
     return readers.reference_tiles(v.seqs(spark, d).select(F.concat(F.lit("d"), F.col("seq_id").cast("string")).alias("chrom"), "seq"), 128)
 
 
-@query("join5_fetch_windows", """WITH w AS (SELECT seq_id AS row_id, seq, seq_id % 50 - 20 AS s, seq_id % 50 + 180 AS e FROM seqs)
-SELECT row_id, 'd' || row_id AS chrom, s AS "start", e AS "end", rpad(repeat('N', greatest(-s, 0)::INT) || substr(seq, (greatest(s, 0) + 1)::INT, (e - greatest(s, 0))::INT), 200, 'N') AS seq FROM w""", "seqs")
-def _(spark, d):
+def _reference(spark, d):
+    """Every sequence as a chromosome of its own, in tiles."""
     x = v.seqs(spark, d).withColumn("chrom", F.concat(F.lit("d"), F.col("seq_id").cast("string")))
+    return x, readers.reference_tiles(x.select("chrom", "seq"), 128)
+
+
+FETCHED = "rpad(repeat('N', greatest(-s, 0)::INT) || substr(seq, (greatest(s, 0) + 1)::INT, greatest(e - greatest(s, 0), 0)::INT), (e - s)::INT, 'N')"
+
+
+@query("join5_fetch_windows", f"""WITH w AS (SELECT seq_id AS row_id, seq, seq_id % 50 - 20 AS s, seq_id % 50 + 180 AS e FROM seqs)
+SELECT row_id, 'd' || row_id AS chrom, s AS "start", e AS "end", {FETCHED} AS seq FROM w""", "seqs")
+def _(spark, d):
+    x, tiles = _reference(spark, d)
     w = x.select(F.col("seq_id").alias("row_id"), "chrom", (F.col("seq_id") % 50 - 20).alias("start"), (F.col("seq_id") % 50 + 180).alias("end"))
-    return dist.fetch_windows(w, readers.reference_tiles(x.select("chrom", "seq"), 128), 128)
+    return dist.fetch_windows(w, tiles, 128)
+
+
+# Lines of a BED file over the sequences: several lines hold the same interval, on either strand; some lie over three tiles, some outside.
+LINES = "SELECT o_orderkey AS line, o_orderkey % 40 AS seq_id, o_custkey % 3 * 150 - 100 AS s, o_custkey % 3 * 150 - 100 + 90 * (o_orderkey % 4) AS e, CASE WHEN o_orderstatus = 'O' THEN '-' ELSE '+' END AS strand, o_orderpriority AS name FROM orders"
+
+
+@query("join5_fetch_windows_repeated", f"""WITH w AS (SELECT l.*, q.seq FROM ({LINES}) l LEFT JOIN seqs q USING (seq_id)), f AS (SELECT *, CASE WHEN e > s THEN {FETCHED.replace('(seq,', "(coalesce(seq, ''),")} ELSE '' END AS fetched FROM w)
+SELECT line, 'd' || seq_id AS chrom, s AS "start", e AS "end", strand, name, CASE WHEN strand = '-' THEN {RC.replace('seq', 'fetched')} ELSE fetched END AS seq FROM f""", "seqs")
+def _(spark, d):
+    o = v.t(spark, d, "orders")
+    start = F.col("o_custkey") % 3 * 150 - 100
+    lines = o.select(
+        F.col("o_orderkey").alias("line"), F.concat(F.lit("d"), (F.col("o_orderkey") % 40).cast("string")).alias("chrom"), start.alias("start"), (start + 90 * (F.col("o_orderkey") % 4)).alias("end"),
+        F.when(F.col("o_orderstatus") == "O", "-").otherwise("+").alias("strand"), F.col("o_orderpriority").alias("name"),
+    )
+    return dist.fetch_windows(lines, _reference(spark, d)[1], 128, strand="strand")
 
 
 @query("set1_concat_annotations", 'SELECT chrom, "start", "end", strand, feature, NULL::BIGINT AS row_id FROM ann UNION ALL SELECT chrom, "start", "end", strand, NULL, row_id FROM bed', "ann bed")
