@@ -28,8 +28,8 @@ from trackframe.llm.common import materialize, row_groups, text_bytes
 from trackframe.llm.tokenizer_cache import WordEncoder, loaded
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Bins of lengths; pieces of a pattern at most.
-BINS, MOST = 64, 3
+#: Bins of lengths; pieces of a pattern at most; words whose ids a task keeps (twice as many at most).
+BINS, MOST, CACHED = 64, 3, 250_000
 
 
 def patterns(total: int, most: int) -> list[tuple[int, ...]]:
@@ -190,7 +190,7 @@ def cut(docs: DataFrame, path: str, window: int, end_id: int, keep_ids: bool) ->
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part, seen = loaded(WordEncoder, path), TaskContext.get().partitionId(), [0] * (window + 1)
+        enc, part, seen = loaded(WordEncoder, path, CACHED), TaskContext.get().partitionId(), [0] * (window + 1)
         for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
             every, sizes = enc.encode_many([t for _, t in rows], end_id)
             raw, begin, out, ids = memoryview(every.astype("<u4").tobytes()), 0, [], []
