@@ -243,5 +243,5 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 1, keep_i
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     extra = ["ids"] * keep_ids
-    numbered = pieces.join(firsts, ["length", "part"]).select(*NAMES, *extra, (F.col("first") + F.col("n_before")).alias("number"))
+    numbered = pieces.join(firsts.hint("merge"), ["length", "part"]).select(*NAMES, *extra, (F.col("first") + F.col("n_before")).alias("number"))
     return numbered.mapInArrow(place, PIECE + ", ids binary" * keep_ids + ", sequence_id long, offset long").select(*NAMES, "sequence_id", "offset", *extra)
