@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.functions.sequences import reverse_complement, shift_sequence
+from trackframe.operators.ordered import box_stats
 
 
 def augment_shifts_rc(seqs: DataFrame, shifts: list[int], pad: str = "N") -> DataFrame:
@@ -32,12 +33,8 @@ def seed_sample_std(preds: DataFrame, gene: str = "gene_id") -> DataFrame:
 
 
 def seed_box_stats(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles, mean and whiskers (the outermost values within 1.5 interquartile ranges)."""
-    box = preds.groupBy(*keys).agg(F.percentile("y_pred", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("y_pred").alias("mean"))
-    box = box.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean")
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = preds.join(box, keys).where(F.col("y_pred").between(F.col("q1") - reach, F.col("q3") + reach))
-    return inside.groupBy(*keys, "q1", "median", "q3", "mean").agg(F.min("y_pred").alias("low"), F.max("y_pred").alias("high"))
+    """Quartiles, mean and whiskers (the outermost values within 1.5 interquartile ranges); a key of any size is spread over tasks."""
+    return box_stats(preds, keys, "y_pred")
 
 
 def pivot_predictions(preds: DataFrame, targets: list[int], seeds: list[int], gene: str = "gene_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.operators.ordered import exact_quantiles
+
 
 def wide_to_long(df: DataFrame, ids: list[str], columns: list[str], name: str = "target", value: str = "value") -> DataFrame:
     return df.unpivot(ids, columns, name, value)
@@ -62,9 +64,12 @@ def pool_bins(df: DataFrame, width: int, keys: list[str], pos: str = "pos") -> D
 
 
 def quantile_scale(df: DataFrame, keys: list[str], q: float, exact: bool = True) -> DataFrame:
-    """Values over the q-quantile of their keys; exact, or sketched for very long groups."""
-    of = F.percentile("value", F.lit(q)) if exact else F.percentile_approx("value", q, 10_000)
-    return df.join(df.groupBy(*keys).agg(of.alias("scale_")), keys).withColumn("value", F.try_divide(F.col("value").cast("double"), F.col("scale_"))).drop("scale_")
+    """Values over the q-quantile of their keys; exact by narrowed histograms, or sketched."""
+    if exact:
+        of = exact_quantiles(df, keys, "value", [q]).select(*keys, F.col("q")[0].alias("scale_"))
+    else:
+        of = df.groupBy(*keys).agg(F.percentile_approx("value", q, 10_000).alias("scale_"))
+    return df.join(of, keys).withColumn("value", F.try_divide(F.col("value").cast("double"), F.col("scale_"))).drop("scale_")
 
 
 def pad_ends(df: DataFrame, keys: list[str], length: int, pad: int, pos: str = "pos") -> DataFrame:

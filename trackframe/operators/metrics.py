@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.operators import ordered
+
 #: Predicted variance that counts as none; per-gene deviation and total that count as none; AUC thresholds.
 NO_VARIANCE, NO_DEVIATION, NO_TOTAL, THRESHOLDS = 1e-12, 1e-10, 1e-10, 200
 
@@ -70,15 +72,28 @@ def spearman_by_gene(obs: DataFrame, key: str = "gene_idx") -> DataFrame:
     return s.select(key, F.when(~F.col("flat"), pearson_of_sums()).alias("spearmanr"))
 
 
+def spearman(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, spearmanr of rows with both values, for keys of any size, such as whole targets; NULL where one side is constant."""
+    t, p = pair()
+    both = obs.select(*keys, t.alias("y_true"), p.alias("y_pred")).where("y_true is not null and y_pred is not null")
+    ranked = ordered.average_rank(ordered.average_rank(both, keys, "y_true", "rt"), keys, "y_pred", "rp")
+    s = ranked.groupBy(*keys).agg(*moment_sums("rt", "rp"), (F.min("y_pred") == F.max("y_pred")).alias("flat"))
+    return s.select(*keys, F.when(~F.col("flat"), pearson_of_sums()).alias("spearmanr"))
+
+
 def gene_summary(genes: DataFrame) -> DataFrame:
     """One row: means over genes that have a value, how many are constant, and the share that has one."""
     return genes.agg(F.count("*").alias("n_genes"), F.count_if("constant").alias("n_constant"), F.avg("pearsonr").alias("pearsonr_mean"), F.avg("r2").alias("r2_mean"), (100.0 * F.count("pearsonr") / F.count("*")).alias("valid_percent"))
 
 
 def roc_buckets(obs: DataFrame, key: str = "target") -> DataFrame:
-    """(key, bucket, pos, neg): how many thresholds i / (THRESHOLDS - 1) lie below the prediction, summed before the shuffle."""
+    """(key, bucket, pos, neg): how many thresholds i / (THRESHOLDS - 1) lie below the prediction, summed before the shuffle.
+
+    Rows without truth or prediction count for nothing.
+    """
     bucket = F.greatest(F.lit(0), F.ceil(F.col("y_pred") * (THRESHOLDS - 1)) - 1).cast("int")
-    return obs.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("y_true").cast("long")).alias("pos"), F.sum(1 - F.col("y_true").cast("long")).alias("neg"))
+    both = obs.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    return both.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("y_true").cast("long")).alias("pos"), F.sum(1 - F.col("y_true").cast("long")).alias("neg"))
 
 
 def reverse_cumulative(buckets: DataFrame, key: str = "target") -> DataFrame:

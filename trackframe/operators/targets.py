@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.operators.ordered import running_sum
+
 
 def with_target_info(preds: DataFrame, targets: DataFrame) -> DataFrame:
     return preds.join(targets, "target_idx")
@@ -55,11 +57,12 @@ def score_transform(num: Column, den: Column | None = None, pseudo: float = 0.0,
 def strand_groups(targets: DataFrame) -> DataFrame:
     """Adds group_id: the output row of each target when strand pairs are merged, in target order.
 
-    A group ends at a target that is its own pair or ends in '-'. The targets' table is a small dimension.
+    A group ends at a target that is its own pair or ends in '-'; how many ends lie before a target is a running sum dealt
+    out by ranges of target_idx.
     """
-    ends = F.when((F.col("strand_pair") == F.col("target_idx")) | F.endswith("identifier", F.lit("-")), 1).otherwise(0)
-    before = Window.orderBy("target_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return targets.withColumn("group_id", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("long"))
+    end = F.when((F.col("strand_pair") == F.col("target_idx")) | F.endswith("identifier", F.lit("-")), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    summed = running_sum(targets, [], "target_idx", "group_id", F.coalesce(end, F.lit(0)))
+    return summed.withColumn("group_id", F.col("group_id") - F.coalesce(end, F.lit(0)))
 
 
 def merge_strand_pairs(preds: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

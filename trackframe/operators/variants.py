@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.operators.ordered import running_sum
+
 
 def variant_deltas(wild: DataFrame, mutants: DataFrame, keys: list[str]) -> DataFrame:
     """Score of the wild type less that of each mutant."""
@@ -44,5 +46,5 @@ def fold_change(coverage: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def order_by_fold_change(changes: DataFrame) -> DataFrame:
-    """(description, fold_change) with `place` from 1 by ascending fold change, ties by description; a row a description."""
-    return changes.withColumn("place", F.row_number().over(Window.orderBy("fold_change", "description")).cast("long"))
+    """(description, fold_change) with `place` from 1 by ascending fold change, ties by description; dealt out by ranges of the change."""
+    return running_sum(changes, [], "fold_change", "place", ties=("description",))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackframe.operators import joins, losses, matrix, metrics
+from trackframe.operators import joins, losses, matrix, metrics, ordered
 from trackframe.plans import views as v
 from trackframe.plans.registry import query
 
@@ -92,6 +92,28 @@ def _(spark, d):
     return r6(metrics.auprc(v.clf(spark, d)), "auprc")
 
 
+# A third of the predictions and some truths are missing: those rows count for nothing.
+HOLES = "SELECT target, CASE WHEN k % 7 = 0 THEN NULL ELSE y_true END AS y_true, CASE WHEN k % 3 = 0 THEN NULL ELSE y_pred END AS y_pred FROM (SELECT l_returnflag AS target, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS y_true, l_quantity / 51 AS y_pred, l_orderkey AS k FROM lineitem)"
+FULL_ROWS = CURVE.replace("FROM clf", f"FROM ({HOLES}) WHERE y_true IS NOT NULL AND y_pred IS NOT NULL")
+
+
+def _holes(spark, d):
+    k = F.col("l_orderkey")
+    li = v.t(spark, d, "lineitem")
+    return li.select(F.col("l_returnflag").alias("target"), F.when(k % 7 != 0, F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("y_true"), F.when(k % 3 != 0, F.col("l_quantity") / 51).alias("y_pred"))
+
+
+@query("agg7_auroc_with_missing_values", FULL_ROWS + "SELECT target, round(sum((fp - fu) / an * (tp + tu) / ap / 2), 6) AS auroc FROM e GROUP BY target")
+def _(spark, d):
+    return r6(metrics.auroc(_holes(spark, d)), "auroc")
+
+
+@query("agg8_auprc_with_missing_values", FULL_ROWS + """, s AS (SELECT *, tp + fp AS p, tu + fu AS u, coalesce((tp - tu) / nullif(tp + fp - tu - fu, 0), 0) AS slope FROM e)
+SELECT target, round(sum(slope * (tp - tu + (tu - slope * u) * CASE WHEN u > 0 THEN ln(p / u) ELSE 0 END) / ap), 6) AS auprc FROM s GROUP BY target""")
+def _(spark, d):
+    return r6(metrics.auprc(_holes(spark, d)), "auprc")
+
+
 @query("win7_reverse_cumulative", CURVE + "SELECT target, bucket, tp::BIGINT AS tp, fp::BIGINT AS fp, tu::BIGINT AS tp_up, fu::BIGINT AS fp_up FROM e", "clf")
 def _(spark, d):
     return metrics.reverse_cumulative(metrics.roc_buckets(v.clf(spark, d))).select("target", "bucket", "tp", "fp", "tp_up", "fp_up")
@@ -102,6 +124,29 @@ def _(spark, d):
     return metrics.average_rank(v.mat(spark, d), "gene_idx", "y_true", "rank").select("gene_idx", "target_idx", F.col("rank").cast("double"))
 
 
+@query("win4_average_rank_whole", "SELECT l_orderkey, l_linenumber, l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS rank FROM lineitem")
+def _(spark, d):
+    """Three keys with all rows, fifty values: ranked by counted values."""
+    return ordered.average_rank(v.t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", "rank").drop("l_quantity")
+
+
+@query("agg5_spearman_by_target", """SELECT target, round(corr(a, b), 6) AS spearmanr FROM (SELECT target, rank() OVER (PARTITION BY target ORDER BY y_true) + (count(*) OVER (PARTITION BY target, y_true) - 1) / 2.0 AS a,
+rank() OVER (PARTITION BY target ORDER BY y_pred) + (count(*) OVER (PARTITION BY target, y_pred) - 1) / 2.0 AS b FROM obs) GROUP BY target""", "obs")
+def _(spark, d):
+    return r6(metrics.spearman(v.obs(spark, d), ["target"]), "spearmanr")
+
+
+@query("agg15_exact_quantiles", "SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.01), 6) AS q01, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.999), 6) AS q999 FROM lineitem GROUP BY l_returnflag")
+def _(spark, d):
+    q = ordered.exact_quantiles(v.t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.999])
+    return r6(q.select("l_returnflag", "n", *(F.col("q")[i].alias(c) for i, c in enumerate(("q01", "q50", "q999")))), "q01", "q50", "q999")
+
+
+@query("win6_running_sum", """SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM lineitem""")
+def _(spark, d):
+    return ordered.running_sum(v.t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "upto", F.col("l_quantity").cast("long"), ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "upto")
+
+
 def _loss(name, sql, views, make):
     query(name, f"SELECT round(loss, 4) AS loss FROM ({sql})", views)(lambda spark, d: make(spark, d).select(F.round("loss", 4).alias("loss")))
 
