@@ -372,22 +372,45 @@ def _(spark, d):
     return r6(got, "pearsonr", "r2")
 
 
+@query("str1_stream_metrics_by_epoch", f"SELECT epoch, target, n, round({R}, 6) AS pearsonr, round({R2}, 6) AS r2 FROM ({SUMS.format(k='epoch, target', t='(SELECT l_linenumber AS epoch, l_returnflag AS target, l_quantity AS y_true, l_extendedprice / 2000 AS y_pred FROM lineitem)')})")
+def _(spark, d):
+    """Seven epochs arrive one after the other, the last rows of each together with the first of the next but one."""
+    at, e = scratch(spark, "epochs"), "l_linenumber"
+    for k in range(1, 10):
+        v.t(spark, d, "lineitem").where(f"({e} = {k} and l_orderkey % 3 > 0) or ({e} = {k - 2} and l_orderkey % 3 = 0)").select("l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice").coalesce(2).write.mode("append").parquet(at)
+    li = spark.readStream.schema("l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double").option("maxFilesPerTrigger", 2).parquet(at)
+    obs = li.select(F.col(e).cast("long").alias("epoch"), F.col("l_returnflag").alias("target"), F.col("l_quantity").alias("y_true"), (F.col("l_extendedprice") / 2000).alias("y_pred"))
+    got = drained(streams.stream_metrics_by_epoch(obs, ["target"], keep=2), spark, "update", "epoch long, target string, n long, pearsonr double, r2 double", ["epoch", "target"])
+    return r6(got, "pearsonr", "r2")
+
+
 @query("str2_stream_scoring", "SELECT vec_id, 'sum' AS model, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS y_pred FROM embeddings")
 def _(spark, d):
     got = drained(streams.stream_scoring(_stream(spark, d, "embeddings"), {"sum": lambda x: x.sum(1)}, "vec_id", "embedding"), spark, "append", "vec_id long, model string, y_pred array<double>")
     return got.select("vec_id", "model", F.round(F.col("y_pred")[0], 4).alias("y_pred"))
 
 
-@query("str3_stream_early_stop", SCORED + "SELECT run, epoch, round(score, 8) AS score, best, unimproved, stop FROM t", "epochs")
-def _(spark, d):
-    at = scratch(spark, "epochs")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Three times files arrive: early, middle and late epochs; the runs' states are carried from one to the next.
-    for part in ("epoch < 4", "epoch between 4 and 9", "epoch > 9"):
+TRACE = "run long, epoch int, score double, best boolean, unimproved int, stop boolean, late boolean"
+
+
+def _early_stop(spark, d, parts: tuple[str, ...]):
+    """The trace of epochs whose files arrive part by part; the runs' states are carried from one to the next."""
+    at, n = scratch(spark, "epochs"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in parts:
         v.epochs(spark, d).where(part).repartition(n, "run").sortWithinPartitions("run", "epoch").write.mode("append").parquet(at)
     stream = spark.readStream.schema("run long, epoch int, valid_r double, valid_r2 double").option("maxFilesPerTrigger", n).parquet(at)
-    got = drained(streams.stream_early_stop(stream, 4, 2), spark, "append", "run long, epoch int, score double, best boolean, unimproved int, stop boolean")
-    return got.withColumn("score", F.round("score", 8))
+    return drained(streams.stream_early_stop(stream, 4, 2), spark, "append", TRACE).withColumn("score", F.round("score", 8))
+
+
+@query("str3_stream_early_stop", SCORED + "SELECT run, epoch, round(score, 8) AS score, best, unimproved, stop FROM t", "epochs")
+def _(spark, d):
+    return _early_stop(spark, d, ("epoch < 4", "epoch between 4 and 9", "epoch > 9")).where("not late").drop("late")
+
+
+@query("str3_stream_out_of_order", SCORED + "SELECT run, epoch, round(score, 8) AS score, best, unimproved, stop, false AS late FROM t", "epochs")
+def _(spark, d):
+    """Late epochs come first, then every other one of the rest, and at last what fills the gaps."""
+    return _early_stop(spark, d, ("epoch > 9", "epoch <= 9 and epoch % 2 = 0", "epoch <= 9 and epoch % 2 = 1"))
 
 
 @query("str4_stream_epoch_logs", EPOCH_ROWS.replace("'r' || run AS run, ", ""), "epochs")

@@ -19,40 +19,77 @@ def stream_metrics(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.groupBy(*keys).agg(*moment_sums()).select(*keys, "n", pearson_of_sums().alias("pearsonr"), r2_of_sums().alias("r2"))
 
 
+def stream_metrics_by_epoch(obs: DataFrame, keys: list[str], epoch: str = "epoch", keep: int = 1) -> DataFrame:
+    """epoch, keys, n, pearsonr, r2 so far of obs(epoch, keys, y_true, y_pred); output mode update, or append for closed epochs only.
+
+    Every epoch starts anew. The epoch is the stream's event time: once a batch has brought epoch e, the sums of all epochs before
+    e - keep leave the state, so that it holds keep + 1 epochs however long the stream runs. Rows of epochs that have left are
+    dropped; the query's progress counts them (numRowsDroppedByWatermark). Rows without an epoch are left out.
+    """
+    at = F.timestamp_seconds(F.col(epoch).cast("long"))
+    timed = obs.where(F.col(epoch).isNotNull()).select(at.alias("at_"), *keys, "y_true", "y_pred").withWatermark("at_", f"{keep} seconds")
+    sums = timed.groupBy("at_", *keys).agg(*moment_sums())
+    return sums.select(F.unix_seconds("at_").alias(epoch), *keys, "n", pearson_of_sums().alias("pearsonr"), r2_of_sums().alias("r2"))
+
+
 def stream_scoring(examples: DataFrame, models: dict[str, Callable], key: str, features: str) -> DataFrame:
     """Scores appended as examples arrive."""
     return score_batches(examples, models, key, features)
 
 
-def stream_early_stop(epochs: DataFrame, min_epochs: int, patience: int) -> DataFrame:
-    """(run, epoch, score, best, unimproved, stop) as epochs(run, epoch, valid_r, valid_r2) arrive; append mode.
+def stream_early_stop(epochs: DataFrame, min_epochs: int, patience: int, first: int = 1, wait_ms: int | None = None) -> DataFrame:
+    """(run, epoch, score, best, unimproved, stop, late) as epochs(run, epoch, valid_r, valid_r2) arrive in any order; append mode.
 
-    The state of a run is its best score, that epoch and the last epoch seen. Rows of a micro-batch are sorted by epoch; those not after the last
-    seen are dropped.
+    A run's epochs are judged one by one from `first` on. One that comes early is held in the run's state until those before it are
+    there, so the trace is that of all epochs in order, whatever the order of files and batches. The state is the best
+    score, that epoch, the epoch that is next, and what is held: nothing, where epochs come in order.
+
+    With `wait_ms`, a run that has heard nothing for so many milliseconds stops waiting for what is missing and goes on
+    with what it holds. What comes for an epoch that has been judged, or is held already, is given out as `late`, with its score and nothing
+    else; so each row of the input gives a row. Rows without epoch are late ones too.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
     def step(key: tuple, frames: Iterator, state: GroupState):
         import pandas as pd
 
-        best, best_epoch, seen = state.get if state.exists else (float("-inf"), -1, -1)
-        rows = pd.concat(list(frames)).sort_values("epoch")
-        out = []
-        for epoch, r, r2 in zip(rows["epoch"], rows["valid_r"], rows["valid_r2"], strict=True):
-            if epoch <= seen:
-                continue
-            score = r + r2 / 4
+        best, best_epoch, due, *held = state.get if state.exists else (float("-inf"), first - 1, first, [], [])
+        held, out = dict(zip(*map(list, held), strict=True)), []
+
+        def judge(epoch: int):
+            nonlocal best, best_epoch, due
+            score = held.pop(epoch)
             better = bool(score > best)
             if better:
-                best, best_epoch = score, int(epoch)
-            seen = int(epoch)
-            out.append((key[0], seen, score, better, seen - best_epoch, seen >= min_epochs and seen - best_epoch > patience))
-        state.update((float(best), int(best_epoch), seen))
+                best, best_epoch = score, epoch
+            due = epoch + 1
+            out.append((key[0], epoch, score, better, epoch - best_epoch, epoch >= min_epochs and epoch - best_epoch > patience, False))
+
+        if state.hasTimedOut:
+            for epoch in sorted(held):
+                judge(epoch)
+        else:
+            for rows in frames:
+                for epoch, r, r2 in zip(rows["epoch"], rows["valid_r"], rows["valid_r2"], strict=True):
+                    score = float(r + r2 / 4)
+                    if pd.isna(epoch) or epoch < due or epoch in held:
+                        out.append((key[0], None if pd.isna(epoch) else int(epoch), score, None, None, None, True))
+                    else:
+                        held[int(epoch)] = score
+            while due in held:
+                judge(due)
+        state.update((float(best), int(best_epoch), int(due), list(held), list(held.values())))
+        if wait_ms is not None and held:
+            state.setTimeoutDuration(wait_ms)
         if out:
-            yield pd.DataFrame(out, columns=["run", "epoch", "score", "best", "unimproved", "stop"])
+            kinds = {"epoch": "Int32", "best": "boolean", "unimproved": "Int32", "stop": "boolean"}
+            yield pd.DataFrame(out, columns=["run", "epoch", "score", "best", "unimproved", "stop", "late"]).astype(kinds)
 
     kind = epochs.schema["run"].dataType.simpleString()
-    return epochs.groupBy("run").applyInPandasWithState(step, f"run {kind}, epoch int, score double, best boolean, unimproved int, stop boolean", "best double, best_epoch int, seen int", "append", GroupStateTimeout.NoTimeout)
+    held = "best double, best_epoch int, due int, held array<int>, scores array<double>"
+    return epochs.groupBy("run").applyInPandasWithState(step, f"run {kind}, epoch int, score double, best boolean, unimproved int, stop boolean, late boolean", held, "append", timeout)
 
 
 def stream_epoch_logs(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
