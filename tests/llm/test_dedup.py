@@ -260,6 +260,20 @@ def test_a_phrase_in_every_document(spark, monkeypatch):
     assert most(hashed) * 3 < most(plain)
 
 
+def test_what_is_frequent_over_all_blocks_only_is_hot(spark, monkeypatch):
+    """A phrase with some ten windows in each of 500 blocks is found, and dealt out; words that are as frequent in one block are not."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 1)  # a text is a block
+    rng, phrase = random.Random(3), " ".join(f"common{k}" for k in range(12))
+    some = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"{some(15)} {phrase} {some(15)}" for _ in range(500)]
+    hot = substring_dedup.hot_anchors(spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(4), 20)
+    assert 1 <= len(hot) <= 6
+    anchors = [set(substring_dedup.window_hashes(substring_dedup.hashed_words([t.encode()])[0], 20)[0].tolist()) for t in texts]
+    assert all(any(a in own for own in anchors[:50]) for a in hot.tolist()) and sum(not set(hot.tolist()).isdisjoint(own) for own in anchors) > 400
+    where = {b for i, t in enumerate(texts) for b, _ in substring_dedup.index_block([(i, t.encode())], 20, 64, hot)}
+    assert len(where) == 64
+
+
 def test_spans_of_factors_cover_the_repeated_windows():
     """What the factors and the checks at their ends cover is what windows found earlier cover."""
     rng = random.Random(2)

@@ -33,18 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Folders written while a list is here (see `recorded`).
-_RECORD: list[list[str]] = []
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-@contextmanager
-def recorded():
-    """A list of the folders written inside; they may be dropped once what was made of them is written elsewhere."""
-    _RECORD.append([])
-    try:
-        yield _RECORD[-1]
-    finally:
-        _RECORD.pop()
+def free_name(name: str, df: DataFrame) -> str:
+    """A name that begins like `name` and with which no column of df begins, in whatever case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
+#: Folders written while a list is here (see `last_stays`).
+_WRITTEN: list[list[str]] = []
 
 
 def _folder(spark: SparkSession, at: str):
@@ -52,19 +54,24 @@ def _folder(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def drop(spark: SparkSession, folders: list[str]) -> None:
-    for at in folders:
-        path, store = _folder(spark, at)
-        store.delete(path, True)
-    folders.clear()
+@contextmanager
+def last_stays(spark: SparkSession):
+    """Of the tables that are materialized inside, only the last, the result, is left at the end; what it was made of goes."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for at in _WRITTEN.pop()[:-1]:
+            path, store = _folder(spark, at)
+            store.delete(path, True)
 
 
 def for_the_session(spark: SparkSession, at: str) -> None:
     """Have a folder that was written go when the driver ends."""
     path, store = _folder(spark, at)
     store.deleteOnExit(path)
-    if _RECORD:
-        _RECORD[-1].append(at)
+    if _WRITTEN:
+        _WRITTEN[-1].append(at)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -15,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize
+from trackframe.llm.common import free_name, last_stays, materialize, quoted
 
 RISK, CONFIDENCE_LOSS = 0.02, 0.05
 #: A cutoff must reject at least this many labelled bad documents for each good one.
 BAD_PER_GOOD = 10
+#: Labelled doc_ids that are sent to the tasks at most; more are joined.
+MOST_SENT = 1_000_000
 #: Rule: (share as SQL over the statistics, cutoffs).
 RULES = {
     "symbols": ("n_symbols / n_words", (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)),
@@ -112,9 +114,7 @@ def _cutoff(rule: str) -> F.Column:
 
 def judge(marked: DataFrame, cutoffs: DataFrame, stats: str = "stats", name: str = "verdict") -> DataFrame:
     """marked with `name`, a struct of base_failed and kept (never null); its own columns may have any other name."""
-    free = "judge_"
-    while any(c.startswith(free) for c in marked.columns):
-        free += "_"
+    free = free_name("judge_", marked)
     cuts = cutoffs.select(F.col("stratum").alias(f"{free}s"), F.struct(*RULES).alias(f"{free}c"))
     n = cutoffs.limit(10_001).count()  # a row a language: broadcast only after this check
     both = marked.join(F.broadcast(cuts) if n <= 10_000 else cuts, stratum() == F.col(f"{free}s"), "left")
@@ -139,13 +139,20 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that quality_report keeps, with all their columns, whatever their names."""
-    name = "stats_"
-    while any(c.startswith(name) for c in docs.columns):
-        name += "_"
-    marked = materialize(with_stats(docs, name), "quality")
-    cutoffs = materialize(certified_cutoffs(marked.select("doc_id", "lang", name), labels, name), "cutoffs")
-    return judge(marked, cutoffs, name, f"{name}verdict").where(f"`{name}verdict`.kept").select(*docs.columns)
+    """The rows of docs that quality_report keeps, with all their columns, whatever their names.
+
+    The cutoffs are learned, and written, before; of the texts only the labelled ones are read for that. The verdicts are found
+    as the result is read, so that no copy of the texts is made.
+    """
+    spark, name = docs.sparkSession, free_name("stats_", docs)
+    ids = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("labelled_id")).distinct()
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    trained = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("labelled_id"), "left_semi")
+    with last_stays(spark):
+        marked = materialize(with_stats(trained).select("doc_id", "lang", "stats"), "quality")
+        cutoffs = materialize(certified_cutoffs(marked, labels), "cutoffs")
+    verdict = f"{name}verdict"
+    return judge(with_stats(docs, name), cutoffs, name, verdict).where(f"{quoted(verdict)}.kept").select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def _oracle() -> str:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import connected_components, materialize, min_labels, row_groups, stream_groups, text_bytes, tiles
+from trackframe.llm.common import connected_components, free_name, last_stays, materialize, min_labels, row_groups, stream_groups, text_bytes, tiles
 
 RADIUS, BLOCKS = 2, 5
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -261,14 +261,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of docs with the smallest doc_id of their similar_groups, with all their columns, whatever their names.
 
-    Rows without doc_id stay only if no row with an id is alike; rows of one doc_id are one document. Texts of any
+    Which rows go is found, and written, before; the result reads docs once more. Rows without doc_id stay only if no row with an id is alike; rows of one doc_id are one document. Texts of any
     length are read whole.
     """
-    name = "gone_"
-    while name in docs.columns:
-        name += "_"
-    groups = similar_groups(docs, similarity, shingle)
-    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)).distinct()
+    name = free_name("gone_", docs)
+    with last_stays(docs.sparkSession):
+        groups = similar_groups(docs, similarity, shingle)
+        gone = materialize(groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)).distinct(), "gone")
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 

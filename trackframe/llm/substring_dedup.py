@@ -6,11 +6,12 @@ while neighbouring windows, which share an anchor, travel together. A lookup ans
 occurs first. A document is then parsed greedily from left to right: a factor starts at a word whose
 window occurs earlier, runs on as long as the next window continues in the same source, and the next factor is
 sought behind its end. Factors have `window` words or more and are duplicate spans; the windows
-that cross a factor's end are checked by their own lookups, and add theirs. Windows are told apart by the 64-bit hash of
-their anchor and 48 further bits of their own hash.
+that cross a factor's end are checked by their own lookups, and add theirs. Windows that meet are told apart by 64 bits,
+mixed from the hash of their anchor and 48 bits of their own.
 
-An anchor that many windows of a block share, such as a frequent phrase's, is hot: its windows are dealt out by
-their own hashes, so that no task gets a frequent phrase whole. Which anchors are hot is found in a pass of its own.
+An anchor that many windows share, such as a frequent phrase's, is hot: its windows are dealt out by
+their own hashes, so that no task gets a frequent phrase whole. Which anchors are hot is found in a pass of its own, which
+counts a share of all blocks' windows and sums the counts.
 """
 
 from __future__ import annotations
@@ -21,16 +22,17 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from trackframe.llm.common import distinct_words, row_groups
+from trackframe.llm.common import distinct_words, free_name, quoted, row_groups
 
 WINDOW, RUN = 20, 8
 NULL_ID = np.iinfo(np.int64).min
 #: Text bytes that a task hashes at once, and that a bucket of the index stands for.
 BLOCK_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
-#: Windows of a block that make an anchor hot; anchors treated so at most (8 bytes each in every task; which ones
-#: are chosen changes nothing but where windows meet); partitions at most, which then hold several buckets.
-HOT, MOST_HOT, MOST_PARTITIONS = 64, 1_000_000, 20_000
+#: Of how many windows a block counts one; windows of all blocks that make an anchor hot; anchors treated so at most (8 bytes each in
+#: every task; which ones are chosen changes nothing but where windows meet); partitions at most, which then hold several buckets.
+SHARE, HOT, MOST_HOT, MOST_PARTITIONS = 128, 3072, 1_000_000, 20_000
 #: Odd multipliers for mixing.
 MIX = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(20).integers(2**61, 2**63, 8)]
 PARTS = {"doc_id": "<i8", "text_crc": "<u4", "per_doc": "<u4", "pos": "<u4", "length": "<u4", "anchor": "<u8", "low": "<u4", "high": "<u2", "src_id": "<i8", "src_pos": "<u4"}
@@ -87,7 +89,11 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hot_anchors(docs: DataFrame, window: int, most: int = MOST_HOT) -> np.ndarray:
-    """Sorted anchors that HOT windows or more of one block have; of too many, those with most windows."""
+    """Sorted anchors that about HOT windows or more of all blocks have; of too many, those with most windows.
+
+    A block counts one window in SHARE, chosen by the window's hash and the block's, so that what is frequent over all
+    blocks shows in the sum however few of its windows each block has, and the sums are small.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -98,11 +104,14 @@ def hot_anchors(docs: DataFrame, window: int, most: int = MOST_HOT) -> np.ndarra
                 continue
             anchor, whole = window_hashes(hashed, window)
             left = np.repeat(np.cumsum(sizes), sizes)[: len(whole)] - np.arange(len(whole))
-            anchor, n = np.unique(anchor[left >= window], return_counts=True)
-            at = np.flatnonzero(n >= HOT)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(n[at])], ["anchor", "n"])
-
-    found = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+            block = np.bitwise_xor.reduce(hashed[:: max(1, len(hashed) // 1000)])
+            counted = (left >= window) & (mix(whole ^ block, 1) % np.uint64(SHARE) == 0)
+            # Like the index, which sends a window once a block.
+            _, first = np.unique(whole[counted], return_index=True)
+            at, n = np.unique(anchor[counted][first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+    found = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * SHARE >= HOT)
     got = found.orderBy(F.desc("n"), "anchor").limit(most).select("anchor").toArrow().column(0)
     return np.sort(got.to_numpy().astype(np.int64).view(np.uint64))
 
@@ -306,9 +315,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, report: b
     the least long in factors; rows of one doc_id are one document, compared by their starts only, so that
     repeated rows get the same result. Texts of any length are indexed whole. An empty table gives none.
     """
-    own = [c for c in docs.columns if c not in ("text", "doc_id")]
+    own = [c for c in docs.columns if c.lower() not in ("text", "doc_id")]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("key_id"), text.alias("text"), F.struct(F.col("doc_id"), F.col("text").isNull().alias("no_text_"), *([] if digest else own)).alias("rest"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("key_id"), text.alias("text"), F.struct(F.col("doc_id"), F.col("text").isNull().alias(free_name("no_text_", docs)), *([] if digest else [F.col(quoted(c)) for c in own])).alias("rest"))
     found = repeated_windows(keyed, window)
     both = keyed.withColumn("text_crc", F.crc32("text")).join(found.hint("shuffle_hash"), ["key_id", "text_crc"], "left").select("text", "found", "rest")
 
@@ -339,8 +348,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, report: b
 
     if digest:
         return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    kind = both.schema["rest"].dataType.simpleString()
-    made = both.mapInArrow(run, f"rest {kind}, new_text string, n_words_ long, n_removed_ long, factors_ array<struct<start:bigint,words:bigint,src_id:bigint,src_start:bigint>>")
+    factor = "array<struct<start:bigint,words:bigint,src_id:bigint,src_start:bigint>>"
+    kind = StructType([both.schema["rest"], *StructType.fromDDL(f"new_text string, n_words_ long, n_removed_ long, factors_ {factor}")])
+    made = both.mapInArrow(run, kind)
     new = {"n_words": "n_words_", "n_removed": "n_removed_", "factors": "factors_"} if report else {}
-    kept = [F.col("new_text").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in new]
+    kept = [F.col("new_text").alias(c) if c.lower() == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c.lower() not in new]
     return made.select(*kept, *(F.col(c).alias(k) for k, c in new.items()))
