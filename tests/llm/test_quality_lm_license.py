@@ -299,6 +299,46 @@ def test_license_headers_wrapped_and_unwrapped(spark):
     assert sorted(map(key, con.sql(licenses.ORACLE).fetchall())) == sorted(map(key, got.values()))
 
 
+_GPL = "This {} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}{} as published by\nthe Free Software Foundation{}\n\nThis {} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\nGNU {} for more details."
+#: Texts as they are found, and what a reader would say they are under; nothing else may be listed.
+FOUND = [
+    (_GPL.format("program", "General Public License", "", "; either version 2 of the License, or\n(at your option) any later version.", "program", "General Public License"), "gpl-2.0"),
+    (_GPL.format("program", "General Public License", " version 2", ".", "program", "General Public License"), "gpl-2.0-only"),
+    ("This program is free software; you can redistribute it and/or modify it\nunder the terms and conditions of the GNU General Public License,\nversion 2, as published by the Free Software Foundation.", "gpl-2.0-only"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.", "gpl-2.0-only"),
+    (_GPL.format("program", "General Public License", "", ", either version 3 of the License, or\n(at your option) any later version.", "program", "General Public License"), "gpl-3.0-header"),
+    (_GPL.format("library", "Lesser General Public License", "", "; either\nversion 2.1 of the License, or (at your option) any later version.", "library", "Lesser General Public License"), "lgpl-2.1"),
+    (_GPL.format("program", "Affero General Public License", "", ", either version 3 of the License, or\n(at your option) any later version.", "program", "Affero General Public License"), "agpl-3.0"),
+    (HEADERS["bsd-3-clause"].replace("the copyright holder nor", "Foo Bar Corporation nor"), "bsd-3-clause"),
+    (HEADERS["bsd-3-clause"].replace("the copyright holder nor", "Example, Inc. nor").replace("3. Neither", "3) Neither"), "bsd-3-clause"),
+    (HEADERS["bsd-3-clause"][: HEADERS["bsd-3-clause"].index("3. Neither")], "bsd-2-clause"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", "gpl-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "cc-by-sa-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd-4.0"),
+    ("## License\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "mit"),
+    ("The code is released under the terms of the Apache License, Version 2.0 and\nnothing else", "apache-2.0"),
+    ("Code is distributed under the BSD 3-Clause License.", "bsd-3-clause"),
+    ("// SPDX-License-Identifier: GPL-2.0-only\n#include <x.h>", "gpl-2.0-only"),
+    ("# SPDX-License-Identifier: Apache-2.0\nimport os", "apache-2.0"),
+    ("/* SPDX-License-Identifier: MIT */\nint x;", "mit"),
+    ("BSD 3-Clause License\n\nCopyright (c) 2020", "bsd-3-clause"),
+    (HEADERS["gpl-2.0"] + "\n\n" + HEADERS["lgpl-2.1"], "lgpl-2.1 gpl-2.0"),
+    ("We like free software. This program is free software. It is distributed in the hope that it will be useful.", ""),
+    ("You must not use the name of MIT. The license of this program is under review. Permission denied. 2. Version 2", ""),
+    ("This file is distributed under the same license as the package.", ""),
+]
+
+
+def test_licenses_as_they_are_found(spark):
+    df = spark.createDataFrame([(i, f"{t}\n\nmore words here") for i, (t, _) in enumerate(FOUND)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    assert [(i, got[i].licenses) for i in range(len(FOUND))] == [(i, names) for i, (_, names) in enumerate(FOUND)]
+    assert all(got[i].license == (names.split(" ")[0] or None) and (got[i].license_class is None) == (not names) for i, (_, names) in enumerate(FOUND))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(map(key, con.sql(licenses.ORACLE).fetchall())) == sorted(map(key, got.values()))
+
+
 def test_pipeline(spark, docs, sf_dir):
     """Every stage keeps the columns, and the last packs what the others kept."""
     now = docs
