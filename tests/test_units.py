@@ -225,3 +225,82 @@ def test_long_intervals_lie_in_few_bins(spark):
         if mode == "endpoint":
             full += [(w[0], 901) for w in a if w[1] == "d" and w[2] <= 7 <= w[3]]
         assert sorted(map(tuple, got)) == sorted(full), mode
+
+
+def test_tracks_with_other_genes_are_an_error(spark, tmp_path):
+    kind = "gene_idx long, bins array<float>"
+    for name, genes in (("h5_0", range(6)), ("h5_2", range(6)), ("h5_10", [0, 1, 2, 3, 4, 9])):
+        spark.createDataFrame([(g, [1.0]) for g in genes], kind).write.parquet(f"file://{tmp_path}/tracks/{name}")
+    with pytest.raises(ValueError, match=r"2 with 6 genes \(h5_0, h5_2\); 1 with 6 genes \(h5_10\)"):
+        readers.scan_tracks(spark, f"file://{tmp_path}/tracks")
+    assert readers.scan_tracks(spark, f"file://{tmp_path}/tracks", check=False).count() == 18
+
+
+def test_labels_that_lack_genes_are_an_error(spark):
+    from trackframe.operators import joins
+
+    f = spark.createDataFrame([(1, "a"), (2, "b")], "gene_idx long, x string")
+    assert joins.features_with_labels(f, f.withColumnRenamed("x", "y")).count() == 2
+    for other, told in (([(1, "a")], "2 rows of features for 1"), ([(1, "a"), (3, "c")], "2 keys without"), ([(1, "a"), (None, "c")], "2 keys without")):
+        with pytest.raises(ValueError, match=told):
+            joins.features_with_labels(f, spark.createDataFrame(other, "gene_idx long, y string"))
+
+
+def test_edited_bases_are_counted_in_the_same_pass(spark):
+    rows = [(1, "ACGT", 1, "G"), (2, "ACGT", 1, "n"), (3, "ACGT", 4, "A"), (4, "ACGT", -1, None), (5, None, 0, "C")]
+    df, seen = s.set_bases_counted(spark.createDataFrame(rows, "id long, seq string, p int, b string"), F.col("p"), F.col("b"), "out")
+    assert {r.id: r.out for r in df.collect()} == {1: "AGGT", 2: None, 3: None, 4: None, 5: None}
+    assert seen.get == {"rows": 5, "invalid_letters": 2, "outside": 3}
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.text("ACGTN", min_size=1, max_size=12), st.lists(st.integers(-15, 15), min_size=1, max_size=5))
+def test_encoded_shifts_agree(spark, text, shifts):
+    """The packed form, the long form and the shifted letters give the same rows."""
+    df = spark.createDataFrame([(i, text, k) for i, k in enumerate(shifts)], "seq_id long, seq string, by int").withColumn("n", F.length("seq"))
+    packed = {r.seq_id: r.rows for r in df.select("seq_id", s.shift_packed(s.one_hot(F.col("seq")), F.col("by"), 0.25).alias("rows")).collect()}
+    long = {(r.seq_id, r.pos, r.base): r.value for r in s.shift_table(s.one_hot_table(df, keep=("by", "n")), "by", "n").collect()}
+    assert len(long) == 4 * len(text) * len(shifts)
+    for i, k in enumerate(shifts):
+        for p in range(len(text)):
+            letter = text[p - k] if 0 <= p - k < len(text) else None
+            want = [0.25] * 4 if letter is None else [float(letter == b) for b in "ACGT"]
+            assert packed[i][p] == want == [long[i, p, b] for b in range(4)]
+
+
+def test_sampled_letters_are_bases(spark):
+    df = spark.createDataFrame([(1, "ACGTNNNN.x"), (2, "NNNN")], "seq_id long, seq string")
+    rows = {r.seq_id: r.rows for r in df.select("seq_id", s.one_hot_sampled(F.col("seq"), F.col("seq_id"), 3).alias("rows")).collect()}
+    assert rows[1][:4] == [[float(i == b) for b in range(4)] for i in range(4)] and rows[1][8] == [0.0] * 4
+    assert all(sum(r) == 1 for i in (4, 5, 6, 7, 9) for r in [rows[1][i]]) and all(sum(r) == 1 for r in rows[2])
+
+
+def test_window_variants_are_the_sequences_near_the_change(spark):
+    text = "ACGTNacgtAC"
+    for reach in (0, 2, 50):
+        got = {(r.pos, r.base): r for r in s.window_variants(spark.createDataFrame([(1, text)], "seq_id long, seq string"), reach).collect()}
+        assert len(got) == 30
+        for (p, b), r in got.items():
+            low, up = max(0, p - reach), text.upper()
+            assert (r.ref, r.wild, r.mutant) == (up[p], up[low : p + reach + 1], (up[:p] + b + up[p + 1 :])[low : p + reach + 1])
+
+
+def test_feature_shards_give_back_matrices(spark, tmp_path):
+    tracks = spark.createDataFrame([(t, g, [float(10 * g + t + 0.1 * b) for b in range(3)]) for t in range(4) for g in range(10)], "track_idx int, gene_idx long, bins array<float>")
+    labels = spark.createDataFrame([(g, k, float(g - k)) for g in range(10) for k in range(2)], "gene_idx long, target_idx int, y_true double")
+    parts = spark.createDataFrame([(g, "test" if g > 7 else "train") for g in range(10)], "gene_idx long, split string")
+    writers.write_feature_shards(tracks, labels, parts, f"file://{tmp_path}/a", size=3)
+    rows = {r.gene_idx: r for r in readers.scan_feature_shards(spark, f"file://{tmp_path}/a").collect()}
+    assert sorted(rows) == list(range(10)) and {r.gene_idx for r in readers.scan_feature_shards(spark, f"file://{tmp_path}/a", "test").collect()} == {8, 9}
+    for g, r in rows.items():
+        assert r.targets == [g, g - 1.0] and [[round(x, 3) for x in row] for row in r.features] == [[round(10 * g + t + 0.1 * b, 3) for t in range(4)] for b in range(3)]
+    assert len({(r.split, r.shard) for r in rows.values()}) == 4
+    with pytest.raises(ValueError, match="different shapes"):
+        writers.write_feature_shards(tracks.where("not (gene_idx = 4 and track_idx = 2)"), labels, parts, f"file://{tmp_path}/b", size=3)
+
+
+def test_what_queries_write_goes_with_the_session(spark):
+    from trackframe.plans import table_queries
+
+    at = table_queries.scratch(spark, "x")
+    assert spark.sparkContext.applicationId in at and at != table_queries.scratch(spark, "x")

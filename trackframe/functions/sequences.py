@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: The alphabet in index order, and its complement.
@@ -49,13 +49,21 @@ def one_hot(seq: Column, n_value: float = 0.0) -> Column:
     return F.transform(F.split(F.upper(seq), ""), row)
 
 
-def one_hot_table(df: DataFrame, length: int | None = None, n_value: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(seq_id, *keep, pos, base, value): four rows a position; whole sequences without `length`."""
+def one_hot_table(df: DataFrame, length: int | None = None, n_value: float = 0.0, keep: tuple[str, ...] = (), sample: int | None = None) -> DataFrame:
+    """(seq_id, *keep, pos, base, value): four rows a position; whole sequences without `length`. With `sample`, a seed, unknown letters
+    are drawn bases, by seq_id and position."""
     seq = fit_length(F.col("seq"), length) if length else F.col("seq")
-    rows = df.where(F.length("seq") > 0).select("seq_id", *keep, F.posexplode(one_hot(seq, n_value)).alias("pos", "row"))
+    packed = one_hot(seq, n_value) if sample is None else one_hot_sampled(seq, F.col("seq_id"), sample)
+    rows = df.where(F.length("seq") > 0).select("seq_id", *keep, F.posexplode(packed).alias("pos", "row"))
     return rows.select("seq_id", *keep, "pos", F.posexplode("row").alias("base", "value"))
 
 
+def one_hot_sampled(seq: Column, key: Column, seed: int = 0) -> Column:
+    """array<array<double>> of four indicators, every other letter as a base drawn from (key, position, seed); '.' (padding) is all zero."""
+    codes = F.transform(F.split(F.upper(seq), ""), lambda c, i: F.when(c == ".", 4).when(F.instr(F.lit(BASES), c) > 0, F.instr(F.lit(BASES), c) - 1).otherwise(F.pmod(hash_number(key, i, seed), F.lit(4))))
+    return F.transform(codes, lambda c: F.array(*(F.when(c == b, 1.0).otherwise(0.0) for b in range(4))))
+
+
 def decode_one_hot(rows: Column) -> Column:
     """Letters of indicator rows; a row without a one is N."""
     letter = lambda r: F.coalesce(F.get(F.array(*map(F.lit, BASES)), F.nullif(F.array_position(r, 1.0), F.lit(0)).cast("int") - 1), F.lit("N"))
@@ -80,6 +88,26 @@ def shift_sequence(seq: Column, by: Column, pad: str = "N") -> Column:
     return F.when(by >= 0, F.concat(fill, F.substring(seq, F.lit(1), (size - k).cast("int")))).otherwise(F.concat(F.substring(seq, (k + 1).cast("int"), size), fill))
 
 
+def shift_packed(rows: Column, by: Column, fill: float = 0.25) -> Column:
+    """Encoded rows shifted right by a positive, left by a negative number of positions; what is laid bare holds `fill` in each base."""
+    size = F.size(rows)
+    k = F.least(F.abs(by), size).cast("int")
+    bare = F.array_repeat(F.array_repeat(F.lit(float(fill)), F.coalesce(F.size(F.get(rows, F.lit(0))), F.lit(4))), k)
+    return F.when(by >= 0, F.concat(bare, F.slice(rows, F.lit(1), size - k))).otherwise(F.concat(F.slice(rows, k + 1, size), bare))
+
+
+def shift_table(long: DataFrame, by: str, length: str, fill: float = 0.25, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """shift_packed on the long form (keys, pos, base, value), where columns `by` and `length` hold each sequence's shift and length.
+
+    Each row moves by itself; what would leave its sequence at one end stands for the position laid bare at the other, whose rows hold `fill`: so
+    nothing is grouped or joined. Shifts beyond the length lay every position bare.
+    """
+    to, n = F.col("pos") + F.col(by), F.col(length)
+    bare = (to < 0) | (to >= n) | (F.abs(F.col(by)) >= n)
+    value = F.when(bare, F.lit(float(fill))).otherwise(F.col("value"))
+    return long.select(*keys, F.pmod(to, n).cast("int").alias("pos"), "base", value.alias("value"))
+
+
 def delete_bases(seq: Column, pos: Column, count: Column, pad: str = "N") -> Column:
     """Remove `count` bases from pos (0-based) and pad the right end to the old length."""
     size = F.length(seq)
@@ -96,6 +124,28 @@ def set_base(seq: Column, pos: Column, base: Column) -> Column:
     return F.when(base.isin(*BASES) & (pos >= 0) & (pos < F.length(seq)), F.overlay(seq, base, (pos + 1).cast("int"), F.lit(1)))
 
 
+def set_bases_counted(df: DataFrame, pos: Column, base: Column, out: str = "seq") -> tuple[DataFrame, Observation]:
+    """df with `out`, its seq with `base` at pos as set_base has it, and an observation of the same pass: `rows`, `invalid_letters` (bases other
+    than A, C, G, T, or none) and `outside` (places outside their sequence). `get` waits for the first action."""
+    seen = Observation()
+    letter, place = F.coalesce(base.isin(*BASES), F.lit(False)), F.coalesce((pos >= 0) & (pos < F.length("seq")), F.lit(False))
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~letter).alias("invalid_letters"), F.count_if(~place).alias("outside"))
+    return counted.withColumn(out, set_base(F.col("seq"), pos, base)), seen
+
+
+def window_variants(df: DataFrame, reach: int) -> DataFrame:
+    """(seq_id, pos, ref, base, wild, mutant): every single-base change of whole sequences, as the letters up to `reach` on both sides of it.
+
+    For scorers that see no further than `reach`: the difference of the two windows' scores is that of the sequences, and a variant
+    holds 2 * reach + 1 letters instead of a copy of its sequence. Letters other than A, C, G, T are not changed.
+    """
+    at = df.select("seq_id", F.upper("seq").alias("seq")).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos")).where(F.substring("seq", F.col("pos") + 1, F.lit(1)).isin(*BASES))
+    first = F.greatest(F.col("pos") - reach, F.lit(0))
+    near = at.select("seq_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(1)).alias("ref"), F.substring("seq", first + 1, F.col("pos") + reach + 1 - first).alias("wild"), (F.col("pos") - first + 1).alias("at"))
+    each = near.withColumn("base", F.explode(F.array(*map(F.lit, BASES)))).where("base <> ref")
+    return each.select("seq_id", "pos", "ref", "base", "wild", F.overlay("wild", "base", F.col("at"), F.lit(1)).alias("mutant"))
+
+
 def stochastic_augment(df: DataFrame, epoch: int, seed: int, shift_max: int = 3, symmetric: bool = True) -> DataFrame:
     """Adds is_rc, shift and aug_seq, drawn from (seq_id, epoch, seed): every epoch differs, every run agrees."""
     low, width = (-shift_max, 2 * shift_max + 1) if symmetric else (0, shift_max + 1)

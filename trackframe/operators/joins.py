@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def features_with_labels(features: DataFrame, labels: DataFrame, key: str = "gene_idx") -> DataFrame:
     """features joined with labels by key; an error if their numbers differ or a key lacks its partner."""
-    n, m = features.count(), labels.count()
+    side = lambda df, a, b: df.select(F.col(key).alias("key"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    each = side(features, 1, 0).union(side(labels, 0, 1)).groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n, m, lost = each.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "ab"), F.count_if((F.col("a") == 0) | (F.col("b") == 0) | F.col("key").isNull())).first()
     if n != m:
         raise ValueError(f"{n} rows of features for {m} of labels")
-    one = F.lit(1)
-    sides = features.select(key, one.alias("a")).join(labels.select(F.col(key).alias("other"), one.alias("b")), F.col(key) == F.col("other"), "full_outer")
-    if lost := sides.where("a is null or b is null").count():
+    if lost:
         raise ValueError(f"{lost} keys without a partner")
     return features.join(labels, key)
 

@@ -21,6 +21,17 @@ def long_to_array(df: DataFrame, ids: list[str], pos: str = "pos", value: str =
     return df.groupBy(*ids).agg(F.transform(F.sort_array(F.collect_list(F.struct(pos, value))), lambda e: e[value]).alias(out))
 
 
+def downcast(df: DataFrame, *columns: str, kind: str = "float") -> DataFrame:
+    """Columns, numbers or arrays of them, in single precision (or another kind)."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.col(c).cast(f"array<{kind}>" if kinds[c].startswith("array") else kind) for c in columns})
+
+
+def length_sum(df: DataFrame, keys: list[str], value: str = "y_pred") -> DataFrame:
+    """Sum over all positions of a sequence and target."""
+    return df.groupBy(*keys).agg(F.sum(value).alias("value"))
+
+
 def transpose_packed(rows: Column) -> Column:
     """array<array> with rows and columns exchanged; [] for no row."""
     width = F.size(F.get(rows, F.lit(0)))

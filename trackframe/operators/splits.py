@@ -28,6 +28,11 @@ def shuffle_rank(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return rank_within(df, [], key, f"{seed}|{epoch}", "position")
 
 
+def take(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows, in the order of columns if given: each task sends n at most."""
+    return (df.orderBy(*order) if order else df).limit(n)
+
+
 def shards(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     """Adds shard: `size` rows of a split each, in hash order."""
     return rank_within(df, ["split"], key, seed, "rank_").withColumn("shard", F.floor((F.col("rank_") - 1) / size)).drop("rank_")

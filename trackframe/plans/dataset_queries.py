@@ -103,7 +103,7 @@ def _(spark, d):
 
 @query("sort5_take", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
 def _(spark, d):
-    return v.t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(20)
+    return splits.take(v.t(spark, d, "orders").select("o_orderkey", "o_totalprice"), 20, "o_orderkey")
 
 
 @query("join1_features_with_labels", "SELECT vec_id AS gene_idx, len(embedding)::INT AS n_features, label::DOUBLE AS y_true FROM embeddings")
@@ -150,6 +150,14 @@ _undo("prj20_score_log_odds", "CASE WHEN y_pred < 60 THEN ln((y_pred / 60) / (1
 _undo("prj22_threshold_and_clip", "CASE WHEN y_pred < 20 THEN 0 ELSE least(greatest(y_pred, 0), 45) END", lambda p, s, c, t: matrix.clip(matrix.floor_below(p, 20.0), 45.0))
 _undo("prj25_downcast", "(y_pred / 7)::FLOAT::DOUBLE", lambda p, s, c, t: (p / 7).cast("float").cast("double"))
 
+
+@query("prj25_downcast_columns", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / 7)::FLOAT::DOUBLE)), 5) AS total, (label / 7)::FLOAT::DOUBLE AS label FROM embeddings")
+def _(spark, d):
+    e = v.t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / 7).alias("embedding"), (F.col("label") / 7).alias("label"))
+    small = matrix.downcast(e, "embedding", "label")
+    return small.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"), F.col("label").cast("double").alias("label"))
+
+
 GROUPS = "SELECT *, coalesce(sum(CASE WHEN strand_pair = target_idx OR identifier LIKE '%-' THEN 1 ELSE 0 END) OVER (ORDER BY target_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS group_id FROM targets"
 
 

@@ -229,7 +229,7 @@ def _(spark, d):
 
 @query("agg17_length_sum", "SELECT seq_id, target_idx, round(sum(y_pred), 6) AS value FROM pos_counts GROUP BY ALL", "pos_counts")
 def _(spark, d):
-    return r6(v.pos_counts(spark, d).groupBy("seq_id", "target_idx").agg(F.sum("y_pred").alias("value")), "value")
+    return r6(matrix.length_sum(v.pos_counts(spark, d), ["seq_id", "target_idx"]), "value")
 
 
 @query("agg18_position_aggregate", """WITH m AS (SELECT seq_id, pos, avg(y_pred) AS v FROM pos_counts GROUP BY ALL)

@@ -66,6 +66,46 @@ def _(spark, d):
     return s.one_hot_reverse_complement(s.one_hot_table(x, keep=("n",)), F.col("n")).select("seq_id", "pos", "base", "value")
 
 
+@query("seq2_one_hot_sampled", """WITH p AS (SELECT seq_id, i::INT AS pos, substr(seq, i + 1, 1) AS c FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS i FROM seqs)),
+k AS (SELECT seq_id, pos, CASE WHEN strpos('ACGT', c) = 0 THEN ('0x' || substr(md5(seq_id || '|' || pos || '|5'), 1, 8))::BIGINT % 4 ELSE strpos('ACGT', c) - 1 END AS code FROM p)
+SELECT seq_id, pos, b::INT AS base, CASE WHEN code = b THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM k, range(0, 4) s(b)""", "seqs")
+def _(spark, d):
+    return s.one_hot_table(v.seqs(spark, d), sample=5)
+
+
+@query("seq6_shift_table", """WITH p AS (SELECT seq_id, seq, unnest(range(0, length(seq))) AS i, seq_id % 7 - 3 AS k FROM seqs)
+SELECT seq_id, i::INT AS pos, b::INT AS base, CASE WHEN i - k < 0 OR i - k >= length(seq) THEN 0.25 WHEN substr(seq, (i - k + 1)::INT, 1) = substr('ACGT', b + 1, 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM p, range(0, 4) s(b)""", "seqs")
+def _(spark, d):
+    x = v.seqs(spark, d).withColumn("by", F.col("seq_id") % 7 - 3).withColumn("n", F.length("seq"))
+    return s.shift_table(s.one_hot_table(x, keep=("by", "n")), "by", "n").select("seq_id", "pos", "base", "value")
+
+
+@query("seq6_shift_packed", """WITH p AS (SELECT seq_id, length(seq) AS n, CASE WHEN seq_id % 7 >= 3 THEN repeat('x', least(seq_id % 7 - 3, length(seq))::INT) || substr(seq, 1, greatest(length(seq) - (seq_id % 7 - 3), 0)) ELSE substr(seq, 3 - seq_id % 7 + 1) || repeat('x', least(3 - seq_id % 7, length(seq))::INT) END AS q FROM seqs)
+SELECT seq_id, n::INT AS size, regexp_replace(q, '[^ACGT]', 'N', 'g') AS letters, (length(q) - length(replace(q, 'x', ''))) * 2.0 + length(regexp_replace(q, '[^ACGT]', '', 'g'))::DOUBLE AS total FROM p""", "seqs")
+def _(spark, d):
+    """Laid bare positions hold a half in each base."""
+    moved = v.seqs(spark, d).select("seq_id", s.shift_packed(s.one_hot(F.col("seq")), F.col("seq_id") % 7 - 3, 0.5).alias("rows"))
+    return moved.select("seq_id", F.size("rows").alias("size"), s.decode_one_hot(F.col("rows")).alias("letters"), F.aggregate(F.flatten("rows"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+EDITS = "SELECT seq_id, seq, seq_id % 300 AS p, substr('ACGTNX', (seq_id % 6 + 1)::INT, 1) AS b FROM seqs"
+
+
+@query("seq9_set_bases_counted", f"""WITH e AS ({EDITS})
+SELECT seq_id, CASE WHEN b IN ('A', 'C', 'G', 'T') AND p < length(seq) THEN substr(seq, 1, p::INT) || b || substr(seq, (p + 2)::INT) END AS value,
+  (SELECT count(*) FROM e WHERE b IN ('N', 'X')) AS invalid_letters, (SELECT count(*) FROM e WHERE p >= length(seq)) AS outside FROM e""", "seqs")
+def _(spark, d):
+    """A third of the letters are none; what was counted as the result was written stands beside it."""
+    from trackframe.plans.table_queries import scratch
+
+    base = F.substring(F.lit("ACGTNX"), (F.col("seq_id") % 6 + 1).cast("int"), F.lit(1))
+    edited, seen = s.set_bases_counted(v.seqs(spark, d), (F.col("seq_id") % 300).cast("int"), base, "value")
+    at = scratch(spark, "edited")
+    edited.select("seq_id", "value").write.parquet(at)
+    told = seen.get
+    return spark.read.schema("seq_id long, value string").parquet(at).select("seq_id", "value", *(F.lit(told[c]).alias(c) for c in ("invalid_letters", "outside")))
+
+
 DRAW = "('0x' || substr(md5(seq_id || '|3|11|{k}'), 1, 8))::BIGINT"
 
 
@@ -151,6 +191,17 @@ def _(spark, d):
     return r6(variants.ism_importance(_deltas(spark, d)), "importance")
 
 
+WEIGHT = "CASE {} WHEN 'G' THEN 2.0 WHEN 'C' THEN 1.0 WHEN 'A' THEN 0.5 ELSE 0.0 END"
+
+
+@query("agg31_ism_importance_whole", f"""WITH p AS (SELECT seq_id, pos, substr(seq, pos + 1, 1) AS ref FROM (SELECT seq_id, seq, unnest(range(0, length(seq)))::INT AS pos FROM seqs))
+SELECT seq_id, pos, round(sum({WEIGHT.format('ref')} - {WEIGHT.format('b')}) / 4, 6) AS importance FROM p, (VALUES ('A'), ('C'), ('G'), ('T')) w(b) WHERE ref IN ('A', 'C', 'G', 'T') AND b <> ref GROUP BY ALL""", "seqs")
+def _(spark, d):
+    """Every position of every sequence, scored by the five letters on either side."""
+    change = s.window_variants(v.seqs(spark, d), 5).select("seq_id", "pos", F.lit(0).alias("fold"), (letter_score(F.col("wild")) - letter_score(F.col("mutant"))).alias("delta"))
+    return r6(variants.ism_importance(change), "importance")
+
+
 @query("agg32_shuffle_importance", f"SELECT seq_id, pos, round(avg({GC.replace('(x', '(seq')} - {GC.replace('(x', '(mut_seq')}), 6) AS importance FROM ({shuffled('random', 3)}) GROUP BY ALL", "seqs")
 def _(spark, d):
     x = v.seqs(spark, d)

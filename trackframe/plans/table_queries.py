@@ -25,7 +25,14 @@ def scratch(spark, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("the session names no shared folder in spark.checkpoint.dir")
         at = "file:///tmp/trackframe-shared"
-    return f"{at.rstrip('/')}/trackframe/{name}-{uuid.uuid4().hex}"
+    # One folder a session, which goes with it.
+    own = f"{at.rstrip('/')}/trackframe/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def drained(stream, spark, mode: str, schema: str, key: list[str] | None = None):
@@ -264,6 +271,16 @@ def _(spark, d):
     return readers.scan_shards(spark, _shards(spark, d), None, ["gene_idx", "split", "shard"])
 
 
+@query("snk1_write_feature_shards", """SELECT vec_id AS gene_idx, label % 3 = 0 AS held_out, b::INT AS bin, t::INT AS track, embedding[8 * t + b + 1] AS value, embedding[61 + b % 4]::DOUBLE AS target FROM embeddings, range(0, 8) r(t), range(0, 8) s(b)""")
+def _(spark, d):
+    """Eight tracks of eight bins and four targets a gene, written and read as matrices [bins][tracks]."""
+    e, at = v.t(spark, d, "embeddings"), scratch(spark, "features")
+    labels = e.select(F.col("vec_id").alias("gene_idx"), F.posexplode(F.slice("embedding", 61, 4)).alias("target_idx", "y_true"))
+    writers.write_feature_shards(v.tracks(spark, d), labels, e.select(F.col("vec_id").alias("gene_idx"), F.when(F.col("label") % 3 == 0, "test").otherwise("train").alias("split")), at)
+    rows = readers.scan_feature_shards(spark, at).select("gene_idx", (F.col("split") == "test").alias("held_out"), "targets", F.posexplode("features").alias("bin", "row"))
+    return rows.select("gene_idx", "held_out", "bin", F.get("targets", F.col("bin") % 4).cast("double").alias("target"), F.posexplode("row").alias("track", "value"))
+
+
 @query("src9_scan_shards", f"SELECT gene_idx, o_totalprice FROM ({SHARDS}) s JOIN orders ON gene_idx = o_orderkey WHERE split = 'F'")
 def _(spark, d):
     return readers.scan_shards(spark, _shards(spark, d), "F", ["gene_idx", "o_totalprice"])
@@ -273,7 +290,9 @@ def _(spark, d):
 def _(spark, d):
     x = v.t(spark, d, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
     m = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), F.encode(F.concat(F.lit("g"), F.col("l_partkey").cast("string")), "UTF-8").alias("id"), F.array("q").alias("features"))
-    return readers.keyed_matrix(m).select("id", F.col("features")[0].alias("q"))
+    at = scratch(spark, "matrix")
+    m.write.parquet(at)
+    return readers.scan_keyed_matrix(spark, at).select("id", F.col("features")[0].alias("q"))
 
 
 @query("src11_scan_prediction_table", "SELECT gene_id, 'tissue_' || target_idx AS tissue, round(avg(y_pred), 6) AS y_pred FROM seed_preds GROUP BY ALL", "seed_preds")

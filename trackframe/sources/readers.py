@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,25 @@ def source_name() -> F.Column:
     return F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*part-[^/]*$", ""), "/"), -1)
 
 
-def scan_tracks(spark: SparkSession, path: str) -> DataFrame:
+def check_tracks(named: DataFrame) -> None:
+    """An error that names tracks of named(track, gene_idx) whose genes are not those of the first, by their number and a hash of the set."""
+    each = named.groupBy("track").agg(F.count("*").alias("n"), F.sum(F.xxhash64("gene_idx").cast("decimal(38,0)")).alias("h"))
+    kinds = each.groupBy("n", "h").agg(F.count("*").alias("tracks"), F.sort_array(F.slice(F.sort_array(F.collect_list("track")), 1, 5)).alias("some")).orderBy(F.desc("tracks"), "some").limit(5).collect()
+    if len(kinds) > 1:
+        told = "; ".join(f"{k['tracks']} with {k['n']} genes ({', '.join(k['some'])})" for k in kinds)
+        raise ValueError(f"tracks do not hold the same genes: {told}")
+
+
+def scan_tracks(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """(track_idx, gene_idx, bins) of a folder with one Parquet file or folder a track, numbered in natural order of names.
 
-    Rows: gene_idx long, bins array<float>. A name is what follows `path` in the file's own.
+    Rows: gene_idx long, bins array<float>. A name is what follows `path` in the file's own. Unless `check` is off, tracks that do not hold the
+    same genes are an error; the check reads the genes' column alone.
     """
     raw = spark.read.schema("gene_idx long, bins array<float>").option("recursiveFileLookup", True).parquet(path)
     named = raw.select("gene_idx", "bins", source_name().alias("track"))
+    if check:
+        check_tracks(named.select("track", "gene_idx"))
     return named.join(natural_index(named, "track", "track_idx"), "track").select("track_idx", "gene_idx", "bins")
 
 
@@ -123,15 +137,30 @@ def keyed_matrix(df: DataFrame) -> DataFrame:
     return df.withColumn("id", name).groupBy("id").agg(F.max_by("features", "row_idx").alias("features"))
 
 
+def scan_keyed_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """keyed_matrix of the Parquet files of a folder: row_idx long, id binary, features array<double>."""
+    return keyed_matrix(spark.read.schema("row_idx long, id binary, features array<double>").parquet(path))
+
+
+def scan_feature_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Rows of write_feature_shards, of one split if given: gene_idx, features [bins][tracks], targets, shard, split; an error where the shapes are
+    not those that the schema file tells."""
+    shape = spark.read.schema("num_bins int, num_tracks int, num_targets int").json(f"{path}/_shape").first()
+    rows = scan_shards(spark, f"{path}/shards", split)
+    sound = (F.size("features") == shape["num_bins"]) & F.forall("features", lambda r: F.size(r) == shape["num_tracks"]) & (F.size("targets") == shape["num_targets"])
+    told = F.concat(F.lit(f"not {shape['num_bins']} bins of {shape['num_tracks']} tracks and {shape['num_targets']} targets: gene "), F.col("gene_idx").cast("string"))
+    return rows.withColumn("features", F.when(sound, F.col("features")).otherwise(F.raise_error(told)))
+
+
 def prediction_table(wide: DataFrame, gene: str = "geneID") -> DataFrame:
     """(gene_id, tissue, y_pred) of a wide table with several rows a gene."""
     return wide.unpivot([gene], [c for c in wide.columns if c != gene], "tissue", "y_pred").withColumnRenamed(gene, "gene_id")
 
 
 def first_files(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The rows of the first n files of a Parquet folder, by name."""
+    """The rows of the first n files of a Parquet folder, by name; the folder is listed, not read, to find them."""
     df = spark.read.parquet(path)
-    names = [r[0] for r in df.select(F.col("_metadata.file_name").alias("name")).distinct().orderBy("name").limit(n).collect()]
+    names = sorted({unquote(f).rsplit("/", 1)[-1] for f in df.inputFiles()})[:n]
     return df.where(F.col("_metadata.file_name").isin(names))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.operators.matrix import transpose_packed
 from trackframe.operators.splits import shards
 
 
@@ -14,6 +15,28 @@ def write_split_shards(examples: DataFrame, path: str, size: int = 64, key: str
     numbered.repartition("split", "shard").sortWithinPartitions("split", "shard").write.partitionBy("split").parquet(path)
 
 
+def feature_matrix(tracks: DataFrame) -> DataFrame:
+    """(gene_idx, features) of tracks(track_idx, gene_idx, bins): array<array<float>> [bins][tracks], tracks in order of track_idx."""
+    rows = tracks.groupBy("gene_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("track_idx", "bins"))), lambda t: t["bins"]).alias("rows"))
+    return rows.select("gene_idx", transpose_packed(F.col("rows")).cast("array<array<float>>").alias("features"))
+
+
+def write_feature_shards(tracks: DataFrame, labels: DataFrame, splits: DataFrame, path: str, size: int = 64, seed: int = 0) -> None:
+    """Examples for training: each gene's tracks as a matrix [bins][tracks] and its targets, single precision, in shards of `size` genes by split.
+
+    tracks(track_idx, gene_idx, bins), labels(gene_idx, target_idx, y_true), splits(gene_idx, split). The shards are in `path`/shards, the
+    numbers of bins, tracks and targets, as JSON, in `path`/_shape; matrices of different shapes are an error, and nothing is told of them.
+    """
+    targets = labels.groupBy("gene_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("target_idx", "y_true"))), lambda t: t["y_true"]).cast("array<float>").alias("targets"))
+    examples = feature_matrix(tracks).join(targets, "gene_idx").join(splits.select("gene_idx", "split"), "gene_idx")
+    write_split_shards(examples, f"{path}/shards", size, "gene_idx", seed)
+    written = examples.sparkSession.read.parquet(f"{path}/shards").select(F.size("features").alias("num_bins"), F.size(F.get("features", F.lit(0))).alias("num_tracks"), F.size("targets").alias("num_targets"))
+    shapes = written.distinct().limit(2).collect()
+    if len(shapes) > 1:
+        raise ValueError(f"examples of different shapes: {shapes}")
+    written.distinct().coalesce(1).write.json(f"{path}/_shape")
+
+
 def fixed(value: Column | str, digits: int) -> Column:
     """A number as text with that many digits behind the point (halves away from zero)."""
     return F.format_string(f"%.{digits}f", F.round(F.col(value) if isinstance(value, str) else value, digits).cast("double"))
