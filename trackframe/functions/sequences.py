@@ -133,16 +133,25 @@ def set_bases_counted(df: DataFrame, pos: Column, base: Column, out: str = "seq"
     return counted.withColumn(out, set_base(F.col("seq"), pos, base)), seen
 
 
+#: Letters of a piece that a long sequence is cut into.
+PIECE = 256
+
+
 def window_variants(df: DataFrame, reach: int) -> DataFrame:
     """(seq_id, pos, ref, base, wild, mutant): every single-base change of whole sequences, as the letters up to `reach` on both sides of it.
 
     For scorers that see no further than `reach`: the difference of the two windows' scores is that of the sequences, and a variant
     holds 2 * reach + 1 letters instead of a copy of its sequence. Letters other than A, C, G, T are not changed.
     """
-    at = df.select("seq_id", F.upper("seq").alias("seq")).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos")).where(F.substring("seq", F.col("pos") + 1, F.lit(1)).isin(*BASES))
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    near = at.select("seq_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(1)).alias("ref"), F.substring("seq", first + 1, F.col("pos") + reach + 1 - first).alias("wild"), (F.col("pos") - first + 1).alias("at"))
-    each = near.withColumn("base", F.explode(F.array(*map(F.lit, BASES)))).where("base <> ref")
+    # A sequence is cut into pieces, with what lies around them, and those into windows: nothing carries a copy of the whole.
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / PIECE).cast("int")), lambda k: F.substring(F.upper("seq"), F.greatest(k * PIECE - reach, F.lit(0)) + 1, F.lit(PIECE + reach) + F.least(k * PIECE, F.lit(reach))))
+    pieces = df.where(F.length("seq") > 0).select("seq_id", F.posexplode(cut).alias("piece", "part")).withColumn("left", F.least(F.col("piece") * PIECE, F.lit(reach)))
+    at = lambda i: F.substring("part", F.col("left") + i + 1, F.lit(1))
+    inside = lambda i: F.least(F.col("left") + i, F.lit(reach))
+    near = lambda i: F.substring("part", F.col("left") + i - inside(i) + 1, inside(i) + reach + 1)
+    n = F.least(F.length("part") - F.col("left"), F.lit(PIECE))
+    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.col("piece") * PIECE + i).alias("pos"), at(i).alias("ref"), near(i).alias("wild"), (inside(i) + 1).alias("at")))
+    each = pieces.select("seq_id", F.inline(F.filter(windows, lambda w: w["ref"].isin(*BASES)))).withColumn("base", F.explode(F.array(*map(F.lit, BASES)))).where("base <> ref")
     return each.select("seq_id", "pos", "ref", "base", "wild", F.overlay("wild", "base", F.col("at"), F.lit(1)).alias("mutant"))
 
 

@@ -24,7 +24,8 @@ def _height(x: Column) -> Column:
 def cells(x: Column) -> tuple[Column, Column]:
     """(coarse, fine) cell of a number: x <= y gives coarse(x) <= coarse(y), and fine(x) <= fine(y) where those are equal."""
     at = F.floor(_height(x) * (COARSE * FINE))
-    odd = lambda c: F.when(x.isNull(), F.lit(NULL_CELL)).when(F.isnan(x.cast("double")), F.lit(NAN_CELL)).otherwise(c)
+    # Never NULL to the optimizer either: a filter that it infers from a join would keep equal parts of a plan from being computed once.
+    odd = lambda c: F.coalesce(F.when(F.isnan(x.cast("double")), F.lit(NAN_CELL)).otherwise(c), F.lit(NULL_CELL))
     return odd(F.floor(at / FINE)), odd(F.pmod(at, F.lit(FINE)))
 
 
