@@ -326,3 +326,26 @@ def test_factors_are_copies_and_columns_stay(docs, plain):
     plain_out = substring_dedup.dedup(docs, report=False)
     assert plain_out.columns == docs.columns
     assert {r.doc_id: r.text for r in plain_out.collect()}[41] == " \n\t " and plain_out.where("doc_id = 60").first().text is None
+
+
+def test_vectors_of_many_lengths_and_magnitudes(spark, monkeypatch):
+    """Twelve lengths, all common or none, and components whose squares are no doubles: as by brute force, on vectors scaled to 1."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for dim in range(2, 14):
+        middle = rng.normal(size=(12, dim))
+        for k in range(48):
+            v = middle[k % 12] + rng.normal(size=dim) * (0.02 if k < 24 else 0.4)
+            rows.append((len(rows), (v * 10.0 ** rng.choice([0, 200, -200, 307, -300])).tolist()))
+    rows += [(len(rows) + k, v) for k, v in enumerate([[0.0] * 5, [5e-324, 0.0], [1e308, 0.0], [1.7e308] * 3, [1e-310] * 3, [], None])]
+    units = [None if not v or not any(v) else (lambda x: x / np.linalg.norm(x))(np.array(v) / np.abs(v).max()) for _, v in rows]
+    links = [[j for j, b in enumerate(units) if j != i and a is not None and b is not None and len(a) == len(b) and float(a @ b) >= 0.95] for i, a in enumerate(units)]
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min([label[i], *(label[j] for j in own)]) for i, own in enumerate(links)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for rare in (256, 20):
+        monkeypatch.setattr(embedding_neardup, "RARE", rare)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_neardup.near_duplicates(df).collect()}
+        assert got == {i: (len(own), label[i]) for i, own in enumerate(links)}
+    assert len(links[-6]) + len(links[-5]) > 0

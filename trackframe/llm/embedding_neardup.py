@@ -19,9 +19,10 @@ from trackframe.llm.common import connected_components, materialize, min_labels,
 TREES, LEAF, SPILL = 6, 512, 0.015
 #: Vectors the splits are fitted on, at most; directions tried for a split; the share that a split may spill.
 SAMPLE, TRIES, MOST_SPILLED = 20_000, 4, 0.35
-#: Levels below a leaf's sample at most, and their spill; vector lengths with trees of their own at most.
-LEVELS, DEEP_SPILL, LENGTHS = 30, 0.0075, 8
-TILE = 1024
+#: Levels below a leaf's sample at most, and their spill.
+LEVELS, DEEP_SPILL = 30, 0.0075
+#: Rows of a tile; lengths with more distinct vectors than RARE have trees of their own, all others one leaf each.
+TILE, RARE = 1024, 256
 
 
 def grow(unit: np.ndarray, per_row: float, rng: np.random.Generator, first: int) -> tuple[tuple, int]:
@@ -93,6 +94,12 @@ def leaves(trees: list, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
+def unit_vectors(vec: np.ndarray) -> np.ndarray:
+    """Rows over their length. A row is scaled by a power of two first, which is exact, so that no square is too large or too small."""
+    scaled = np.ldexp(vec, -np.frexp(np.abs(vec).max(1, initial=0.0))[1][:, None])
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def _vectors(column) -> np.ndarray:
     values = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
@@ -102,7 +109,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding), whatever else it holds.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows
-    without vec_id (component null, not kept) or vectors of different lengths. Equal vectors are counted as
+    without vec_id (component null, not kept) or vectors of different lengths; components of any magnitude count. Equal vectors are counted as
     one node before the shuffle and link with each other; repeated rows count as vectors of their own.
     An empty table gives none. Pairs are links only at the cosine or above; a pair is found if it shares a leaf
     of one of the trees, and counted in the first of these.
@@ -110,15 +117,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    long = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0
-    v = v.withColumn("sound", F.coalesce(sound & F.coalesce(F.when(sound, long), F.lit(False)), F.lit(False)))
+    v = v.withColumn("sound", F.coalesce(sound & F.exists("embedding", lambda x: x != 0), F.lit(False)))
     classes = materialize(v.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "vectors")
-    sizes = classes.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()
+    sizes = classes.groupBy(F.size("embedding").alias("size")).count().where(F.col("count") > RARE).orderBy("size").collect()
     forests, first, rng = {}, 0, np.random.default_rng(7)
     for dim, n in sizes:
         sample = classes.where(F.size("embedding") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().column(0)
-        x = _vectors(sample)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_vectors(_vectors(sample))
         forests[dim] = []
         for _ in range(TREES):
             tree, first = grow(x, n / len(x), rng, first)
@@ -128,17 +133,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     def route(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            vec = _vectors(b.column(0))
-            row, leaf = leaves(held.value[vec.shape[1]], vec / np.linalg.norm(vec, axis=1, keepdims=True))
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
-            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
-            paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf, pa.int64()))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *(b.column(k).take(at) for k in (1, 2)), paths.take(at), b.column(0).take(at)], ["leaf", "rep", "m", "paths", "embedding"])
+        for whole in batches:
+            lengths = whole.column(0).value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                b = whole.take(pa.array(np.flatnonzero(lengths == dim)))
+                if dim in held.value:
+                    row, leaf = leaves(held.value[dim], unit_vectors(_vectors(b.column(0))))
+                else:  # few vectors of this length: one leaf
+                    row, leaf = np.arange(b.num_rows), np.full(b.num_rows, -dim)
+                order = np.lexsort((leaf, row))
+                row, leaf = row[order], leaf[order]
+                ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+                paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf, pa.int64()))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *(b.column(k).take(at) for k in (1, 2)), paths.take(at), b.column(0).take(at)], ["leaf", "rep", "m", "paths", "embedding"])
 
     def compare(batches):
         import pyarrow as pa
@@ -151,8 +159,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
                 order = np.argsort(rep)
                 g, rep = g.take(pa.array(order)), rep[order]
                 m, chunk, leaf = g.column("m").to_numpy(), g.column("chunk").to_numpy(), g.column("leaf")[0].as_py()
-                vec = _vectors(g.column("embedding"))
-                vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+                vec = unit_vectors(_vectors(g.column("embedding")))
                 a_tile, b_tile = g.column("tile_a")[0].as_py(), g.column("tile_b")[0].as_py()
                 ia, ib = np.flatnonzero(chunk == a_tile), np.flatnonzero(chunk == b_tile)
                 near = vec[ia] @ vec[ib].T >= cosine
@@ -174,11 +181,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["rep", "links", "least"])
 
     columns, kind = ["embedding", "rep", "m"], classes.schema["embedding"].dataType.simpleString()
-    # Vectors of a length too rare for trees of its own have a leaf to themselves.
-    routed = classes.where(~F.size("embedding").isin([d for d, _ in sizes])).select((-F.size("embedding")).cast("long").alias("leaf"), "rep", "m", F.expr("array(cast(-size(embedding) as bigint))").alias("paths"), "embedding")
-    for dim, _ in sizes:
-        routed = routed.union(classes.where(F.size("embedding") == dim).select(*columns).mapInArrow(route, f"leaf long, rep long, m long, paths array<bigint>, embedding {kind}"))
-    routed = materialize(routed, "leaves")
+    routed = materialize(classes.select(*columns).mapInArrow(route, f"leaf long, rep long, m long, paths array<bigint>, embedding {kind}"), "leaves")
     met = tiles(routed, ["leaf"], "rep", TILE).select("leaf", "tile_a", "tile_b", "chunk", "rep", "m", "paths", "embedding")
     found = materialize(met.mapInArrow(compare, "rep long, links long, least long"), "found")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
