@@ -250,13 +250,13 @@ def _answer(docs: DataFrame, texts: list[str], most: int) -> DataFrame | None:
     if not queries.terms:
         return None
     blocks = materialize(index(docs, queries.terms), "signatures")
-    n_docs, n_terms = blocks.agg(F.sum(F.size("ids")), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    rows = blocks.where("width is not null").select("ids", "no_id", "sizes", "width", "slices")
+    n_docs, n_terms = rows.agg(F.sum(F.size("ids")), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     df = blocks.where("at is not null").select(F.explode(F.arrays_zip("at", "df")).alias("e")).groupBy("e.at").agg(F.sum("e.df")).collect()
     if not df:
         return None
     queries.weigh(n_docs, n_terms, dict(df))
     held = spark.sparkContext.broadcast(queries)
-    rows = blocks.where("width is not null").select("ids", "no_id", "sizes", "width", "slices")
 
     def each_block(batches):
         for b in batches:
