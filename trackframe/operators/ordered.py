@@ -46,28 +46,29 @@ def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _narrowed(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
-    """Cells of (by..., cell, n, base, ranks) that hold one of the ranks, with their own first number and ranks."""
+    """Cells of (by..., cell, n, base, ranks, facts) that hold one of the ranks, with their own first number and ranks."""
     first = (F.col("base") + F.coalesce(F.sum("n").over(_before(*by, order=cell)), F.lit(0))).alias("first")
     own = F.filter("ranks", lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("n")))
-    return counts.select("*", first).withColumn("ranks", own).where(F.size("ranks") > 0).select("k", *[b for b in by if b != "k"], cell, F.col("first").alias("base"), "ranks")
+    return counts.select("*", first).withColumn("ranks", own).where(F.size("ranks") > 0).select(*by, cell, F.col("first").alias("base"), "ranks", "facts")
 
 
 def _quantiles(values: DataFrame, shares: list[float]) -> DataFrame:
-    """(k, n, q) of counted_values."""
+    """(k, n, mean, q) of counted_values; a key's number of values and mean (`facts`) travel with the cells that are looked into."""
     whole = Window.partitionBy("k")
-    place = lambda p: F.lit(float(p)) * (F.col("total") - 1)
+    total = F.col("facts.total")
+    place = lambda p: F.lit(float(p)) * (total - 1)
     ranks = F.array_distinct(F.array(*(to(place(p)).cast("long") for p in shares for to in (F.floor, F.ceil))))
-    coarse = values.groupBy("k", "c").agg(F.sum("n").alias("n")).withColumn("total", F.sum("n").over(whole)).withColumn("ranks", ranks).withColumn("base", F.lit(0).cast("long"))
-    totals = coarse.groupBy("k").agg(F.first("total").alias("total"))
+    facts = F.struct(F.sum("n").over(whole).alias("total"), (F.sum("s").over(whole) / F.sum("n").over(whole)).alias("mean"))
+    coarse = values.groupBy("k", "c").agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("s")).withColumn("facts", facts).withColumn("ranks", ranks).withColumn("base", F.lit(0).cast("long"))
     wanted = _narrowed(coarse, ["k"], "c")
-    fine = values.join(wanted, ["k", "c"]).groupBy("k", "c", "f", "base", "ranks").agg(F.sum("n").alias("n"))
+    fine = values.join(wanted, ["k", "c"]).groupBy("k", "c", "f", "base", "ranks", "facts").agg(F.sum("n").alias("n"))
     wanted = _narrowed(fine, ["k", "c"], "f")
-    found = _narrowed(values.join(wanted, ["k", "c", "f"]), ["k", "c", "f"], "x").select("k", "x", F.explode("ranks").alias("rank"))
-    at = found.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at")).join(totals, "k")
+    found = _narrowed(values.join(wanted, ["k", "c", "f"]), ["k", "c", "f"], "x").select("k", "x", "facts", F.explode("ranks").alias("rank"))
+    at = found.groupBy("k").agg(F.first("facts").alias("facts"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
     value = lambda p, to: F.col("at")[to(place(p)).cast("long")]
     # Between two ranks in proportion; equal neighbours, infinite ones too, are taken as they are.
     between = lambda p: F.when(value(p, F.floor) == value(p, F.ceil), value(p, F.floor)).otherwise(value(p, F.floor) + (place(p) - F.floor(place(p))) * (value(p, F.ceil) - value(p, F.floor)))
-    return at.select("k", F.col("total").alias("n"), F.array(*map(between, shares)).alias("q"))
+    return at.select("k", total.alias("n"), F.col("facts.mean").alias("mean"), F.array(*map(between, shares)).alias("q"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
@@ -91,17 +92,16 @@ def box_stats(df: DataFrame, keys: list[str], value: str, whiskers: float = 1.5)
     Whole cells between the whiskers' ends give their least and greatest value; only in the two cells of the ends are values looked at.
     """
     values = counted_values(df, keys, value)
-    box = _quantiles(values, [0.25, 0.5, 0.75]).select("k", *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))))
+    box = _quantiles(values, [0.25, 0.5, 0.75]).select("k", "mean", *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))))
     reach = F.lit(float(whiskers)) * (F.col("q3") - F.col("q1"))
     box = box.withColumn("from", F.col("q1") - reach).withColumn("to", F.col("q3") + reach)
     box = box.withColumn("c_from", cells(F.col("from"))[0]).withColumn("c_to", cells(F.col("to"))[0])
-    held = values.groupBy("k", "c").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum(F.col("x") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    held = values.groupBy("k", "c").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     inside = held.join(box, "k").where((F.col("c") > F.col("c_from")) & (F.col("c") < F.col("c_to"))).select("k", "low", "high")
     ends = box.select("k", "from", "to", F.explode(F.array_distinct(F.array("c_from", "c_to"))).alias("c"))
     edge = values.join(ends, ["k", "c"]).where(F.col("x").between(F.col("from"), F.col("to"))).groupBy("k", "c").agg(F.min("x").alias("low"), F.max("x").alias("high")).drop("c")
     outer = inside.union(edge).groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    mean = held.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return box.join(mean, "k").join(outer, "k").select(*(F.col(f"k.{_quoted(c)}").alias(c) for c in keys), "q1", "median", "q3", "mean", "low", "high")
+    return box.join(outer, "k").select(*(F.col(f"k.{_quoted(c)}").alias(c) for c in keys), "q1", "median", "q3", "mean", "low", "high")
 
 
 def running_sum(df: DataFrame, parts: list[str], order: str, name: str, amount: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
