@@ -285,6 +285,28 @@ def test_window_variants_are_the_sequences_near_the_change(spark):
             assert (r.ref, r.wild, r.mutant) == (up[p], up[low : p + reach + 1], (up[:p] + b + up[p + 1 :])[low : p + reach + 1])
 
 
+def test_window_variants_of_a_range_over_pieces(spark):
+    texts = {1: "ACGTNACCGGTTTGA" * 40, 2: "ACG", 3: "A" * s.PIECE, 4: "", 5: None, 6: "C" * (s.PIECE + 1)}
+    df = spark.createDataFrame(list(texts.items()), "seq_id long, seq string")
+    for start, end in ((0, None), (10, 14), (s.PIECE - 2, s.PIECE + 2), (s.PIECE, 2 * s.PIECE), (2 * s.PIECE + 5, None), (5000, 5001)):
+        got = sorted((r.seq_id, r.pos, r.base, r.wild, r.mutant) for r in s.window_variants(df, 3, start, end).collect())
+        want = [
+            (i, p, b, t[max(0, p - 3) : p + 4], (t[:p] + b + t[p + 1 :])[max(0, p - 3) : p + 4])
+            for i, t in texts.items() if t for p in range(start, min(len(t), end or len(t))) if t[p] in "ACGT" for b in "ACGT" if b != t[p]
+        ]
+        assert got == sorted(want)
+
+
+def test_window_shuffles_are_the_shuffled_sequences_near_the_position(spark):
+    texts = {1: "ACGTNACCGGTTTGA" * 20, 2: "ACGTA", 3: "G", 4: "", 5: None}
+    df = spark.createDataFrame(list(texts.items()), "seq_id long, seq string")
+    for mode, reach, start, end in (("random", 0, 0, 400), ("mono", 4, s.PIECE - 3, s.PIECE + 3), ("dinuc", 2, 0, 12)):
+        whole = {(r.seq_id, r.pos, r.sample): r.mut_seq for r in s.shuffle_variants(df, start, end, 6, 2, mode, 5).collect()}
+        near = {(r.seq_id, r.pos, r.sample): (r.wild, r.mutant) for r in s.window_shuffles(df, 6, 2, mode, 5, reach, start, end).collect()}
+        cut = lambda t, p: t[max(0, p - 3 - reach) : p + 4 + reach]  # noqa: E731, B023
+        assert whole and near == {(i, p, k): (cut(texts[i], p), cut(m, p)) for (i, p, k), m in whole.items()}
+
+
 def test_feature_shards_give_back_matrices(spark, tmp_path):
     tracks = spark.createDataFrame([(t, g, [float(10 * g + t + 0.1 * b) for b in range(3)]) for t in range(4) for g in range(10)], "track_idx int, gene_idx long, bins array<float>")
     labels = spark.createDataFrame([(g, k, float(g - k)) for g in range(10) for k in range(2)], "gene_idx long, target_idx int, y_true double")

@@ -137,22 +137,44 @@ def set_bases_counted(df: DataFrame, pos: Column, base: Column, out: str = "seq"
 PIECE = 256
 
 
-def window_variants(df: DataFrame, reach: int) -> DataFrame:
-    """(seq_id, pos, ref, base, wild, mutant): every single-base change of whole sequences, as the letters up to `reach` on both sides of it.
+def windows_at(df: DataFrame, reach: int, start: int = 0, end: int | None = None) -> DataFrame:
+    """(seq_id, pos, ref, near, at): for each position of [start, end), all without `end`, the letters up to `reach` on both sides of it and its place among them, from 1.
 
-    For scorers that see no further than `reach`: the difference of the two windows' scores is that of the sequences, and a variant
-    holds 2 * reach + 1 letters instead of a copy of its sequence. Letters other than A, C, G, T are not changed.
+    A sequence is cut into pieces, with what lies around them, and those into windows: nothing carries a copy of the whole.
     """
-    # A sequence is cut into pieces, with what lies around them, and those into windows: nothing carries a copy of the whole.
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / PIECE).cast("int")), lambda k: F.substring(F.upper("seq"), F.greatest(k * PIECE - reach, F.lit(0)) + 1, F.lit(PIECE + reach) + F.least(k * PIECE, F.lit(reach))))
-    pieces = df.where(F.length("seq") > 0).select("seq_id", F.posexplode(cut).alias("piece", "part")).withColumn("left", F.least(F.col("piece") * PIECE, F.lit(reach)))
-    at = lambda i: F.substring("part", F.col("left") + i + 1, F.lit(1))
+    stop = F.length("seq") if end is None else F.least(F.length("seq"), F.lit(end))
+    numbers = F.sequence(F.lit(start // PIECE), F.floor((stop - 1) / PIECE).cast("int"))
+    cut = F.transform(numbers, lambda k: F.struct(k.alias("piece"), F.substring(F.upper("seq"), F.greatest(k * PIECE - reach, F.lit(0)) + 1, F.lit(PIECE + reach) + F.least(k * PIECE, F.lit(reach))).alias("part"), (stop - k * PIECE).alias("n")))
+    pieces = df.where((F.length("seq") > start) & (stop > start)).select("seq_id", F.inline(cut)).withColumn("left", F.least(F.col("piece") * PIECE, F.lit(reach)))
     inside = lambda i: F.least(F.col("left") + i, F.lit(reach))
     near = lambda i: F.substring("part", F.col("left") + i - inside(i) + 1, inside(i) + reach + 1)
-    n = F.least(F.length("part") - F.col("left"), F.lit(PIECE))
-    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.col("piece") * PIECE + i).alias("pos"), at(i).alias("ref"), near(i).alias("wild"), (inside(i) + 1).alias("at")))
-    each = pieces.select("seq_id", F.inline(F.filter(windows, lambda w: w["ref"].isin(*BASES)))).withColumn("base", F.explode(F.array(*map(F.lit, BASES)))).where("base <> ref")
-    return each.select("seq_id", "pos", "ref", "base", "wild", F.overlay("wild", "base", F.col("at"), F.lit(1)).alias("mutant"))
+    places = F.sequence(F.greatest(F.lit(start) - F.col("piece") * PIECE, F.lit(0)), F.least(F.col("n"), F.lit(PIECE)) - 1)
+    windows = F.transform(places, lambda i: F.struct((F.col("piece") * PIECE + i).alias("pos"), F.substring("part", F.col("left") + i + 1, F.lit(1)).alias("ref"), near(i).alias("near"), (inside(i) + 1).alias("at")))
+    return pieces.select("seq_id", F.inline(windows))
+
+
+def window_variants(df: DataFrame, reach: int, start: int = 0, end: int | None = None) -> DataFrame:
+    """(seq_id, pos, ref, base, wild, mutant): every single-base change at the positions of [start, end), as the letters up to `reach` on both sides of it.
+
+    For scorers that see no further than `reach`: the difference of the two windows' scores is that of the sequences, and a variant
+    holds 2 * reach + 1 letters instead of a copy of its sequence. Letters other than A, C, G, T are not changed.
+    """
+    each = windows_at(df, reach, start, end).where(F.col("ref").isin(*BASES)).withColumn("base", F.explode(F.array(*map(F.lit, BASES)))).where("base <> ref")
+    return each.select("seq_id", "pos", "ref", "base", F.col("near").alias("wild"), F.overlay("near", "base", F.col("at"), F.lit(1)).alias("mutant"))
+
+
+def window_shuffles(df: DataFrame, window: int, samples: int, mode: str = "mono", seed: int = 0, reach: int = 0, start: int = 0, end: int | None = None) -> DataFrame:
+    """(seq_id, pos, sample, wild, mutant): shuffle_variants at the positions of [start, end), as the randomised window and up to `reach` letters on both sides of it.
+
+    The same draws as shuffle_variants has of an upper-case sequence, without its copy of the sequence for each position and sample; for scorers
+    that see no further than `reach`.
+    """
+    half = window // 2
+    at = windows_at(df, half + reach, start, end).select("seq_id", "pos", "near", "at", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    lo = F.greatest(F.col("at") - half, F.lit(1))  # the window's first letter, among those near
+    at = at.withColumn("lo", lo).withColumn("p", F.substring("near", lo, F.col("at") + half - lo + 1))
+    mutant = F.concat(F.substring("near", F.lit(1), F.col("lo") - 1), randomised(mode, seed), F.substring("near", F.col("lo") + F.length("p"), F.length("near")))
+    return at.select("seq_id", "pos", "sample", F.col("near").alias("wild"), mutant.alias("mutant"))
 
 
 def stochastic_augment(df: DataFrame, epoch: int, seed: int, shift_max: int = 3, symmetric: bool = True) -> DataFrame:
@@ -164,34 +186,36 @@ def stochastic_augment(df: DataFrame, epoch: int, seed: int, shift_max: int = 3,
 
 
 def saturation_variants(df: DataFrame, start: int, end: int) -> DataFrame:
-    """(seq_id, pos, ref, base, mut_seq): the other bases at each position of [start, end) that holds one of ACGT."""
-    at = df.where(F.least(F.length("seq"), F.lit(end)) > start).select("seq_id", "seq", F.explode(F.expr(f"sequence({start}, least(length(seq), {end}) - 1)")).alias("pos"))
+    """(seq_id, pos, ref, base, mut_seq): the other bases at each position of [start, end) that holds one of ACGT. No rows come from a null sequence."""
+    at = df.where((F.length("seq") > start) & (F.lit(end) > start)).select("seq_id", "seq", F.explode(F.expr(f"sequence({start}, least(length(seq), {end}) - 1)")).alias("pos"))
     at = at.withColumn("ref", F.substring("seq", F.col("pos") + 1, F.lit(1))).where(F.col("ref").isin(*BASES))
     out = at.withColumn("base", F.explode(F.array(*map(F.lit, BASES)))).where("base <> ref")
     return out.select("seq_id", "pos", "ref", "base", set_base(F.col("seq"), F.col("pos"), F.col("base")).alias("mut_seq"))
 
 
+def randomised(mode: str, seed: int) -> Column:
+    """The letters `p` randomised by a hash of (seq_id, pos, sample, block, seed), as shuffle_variants describes it."""
+    keyed = lambda x, i: F.struct(hash_number(F.col("seq_id"), F.col("pos"), F.col("sample"), i, seed).alias("h"), i.alias("i"), x.alias("x"))
+    if mode == "random":
+        return F.array_join(F.transform(F.split("p", ""), lambda x, i: F.substring(F.lit(BASES), (hash_number(F.col("seq_id"), F.col("pos"), F.col("sample"), i, seed) % 4).cast("int") + 1, F.lit(1))), "")
+    blocks = F.split("p", "")
+    if mode == "dinuc":
+        head = F.when(F.col("sample") % 2 == 1, F.substring("p", 1, 1)).otherwise(F.lit(""))
+        blocks = F.filter(F.concat(F.array(head), F.split(F.regexp_replace(F.expr("substring(p, if(sample % 2 = 1, 2, 1))"), "(..)", "$1 "), " ")), lambda x: x != "")
+    return F.array_join(F.transform(F.array_sort(F.transform(blocks, keyed)), lambda e: e["x"]), "")
+
+
 def shuffle_variants(df: DataFrame, start: int, end: int, window: int, samples: int, mode: str = "mono", seed: int = 0) -> DataFrame:
     """(seq_id, pos, sample, mut_seq): the window around each position randomised `samples` times.
 
     mode: 'random' draws bases, 'mono' shuffles letters, 'dinuc' shuffles pairs of letters, whose pairing
-    starts one letter later in odd samples. Orders come from a hash of (seq_id, pos, sample, block).
+    starts one letter later in odd samples. Orders come from a hash of (seq_id, pos, sample, block). No rows come from a null sequence.
     """
-    at = df.where(F.least(F.length("seq"), F.lit(end)) > start).select("seq_id", "seq", F.explode(F.expr(f"sequence({start}, least(length(seq), {end}) - 1)")).alias("pos"))
+    at = df.where((F.length("seq") > start) & (F.lit(end) > start)).select("seq_id", "seq", F.explode(F.expr(f"sequence({start}, least(length(seq), {end}) - 1)")).alias("pos"))
     at = at.withColumn("sample", F.explode(F.expr(f"sequence(0, {samples} - 1)")))
     at = at.withColumn("lo", F.greatest(F.col("pos") - window // 2, F.lit(0))).withColumn("hi", F.least(F.col("pos") + window // 2, F.length("seq") - 1))
-    part = F.substring("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)
-    if mode == "dinuc":
-        head = F.when(F.col("sample") % 2 == 1, F.substring(part, 1, 1)).otherwise(F.lit(""))
-        blocks = F.filter(F.concat(F.array(head), F.split(F.regexp_replace(F.expr("substring(p, if(sample % 2 = 1, 2, 1))"), "(..)", "$1 "), " ")), lambda x: x != "")
-    else:
-        blocks = F.split("p", "")
-    keyed = lambda x, i: F.struct(hash_number(F.col("seq_id"), F.col("pos"), F.col("sample"), i, seed).alias("h"), i.alias("i"), x.alias("x"))
-    at = at.withColumn("p", part)
-    drawn = F.transform(F.array_sort(F.transform(blocks, keyed)), lambda e: e["x"])
-    if mode == "random":
-        drawn = F.transform(F.split("p", ""), lambda x, i: F.substring(F.lit(BASES), (hash_number(F.col("seq_id"), F.col("pos"), F.col("sample"), i, seed) % 4).cast("int") + 1, F.lit(1)))
-    return at.select("seq_id", "pos", "sample", F.concat(F.substring("seq", F.lit(1), F.col("lo")), F.array_join(drawn, ""), F.substring("seq", F.col("hi") + 2, F.length("seq"))).alias("mut_seq"))
+    at = at.withColumn("p", F.substring("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
+    return at.select("seq_id", "pos", "sample", F.concat(F.substring("seq", F.lit(1), F.col("lo")), randomised(mode, seed), F.substring("seq", F.col("hi") + 2, F.length("seq"))).alias("mut_seq"))
 
 
 def base_experiment(name: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.operators.ordered import running_sum
@@ -13,6 +15,11 @@ def variant_deltas(wild: DataFrame, mutants: DataFrame, keys: list[str]) -> Data
     return mutants.join(wild, keys).withColumn("delta", F.col("score_wt") - F.col("score_mut"))
 
 
+def window_deltas(windows: DataFrame, score: Callable[[Column], Column]) -> DataFrame:
+    """variant_deltas of `wild` and `mutant` windows, which `delta` replaces: both scores come from one row, so nothing is joined or shuffled."""
+    return windows.withColumn("delta", score(F.col("wild")) - score(F.col("mutant"))).drop("wild", "mutant")
+
+
 def ism_importance(deltas: DataFrame) -> DataFrame:
     """Per position, the deltas over four bases (the reference's is 0), averaged over folds."""
     fold = deltas.groupBy("seq_id", "pos", "fold").agg((F.sum("delta") / 4).alias("d"))

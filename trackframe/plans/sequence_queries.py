@@ -188,7 +188,10 @@ def _(spark, d):
 
 @query("agg31_ism_importance", f"{DELTAS} SELECT seq_id, pos, round(avg(x), 6) AS importance FROM (SELECT seq_id, pos, fold, sum(delta) / 4 AS x FROM dl GROUP BY ALL) GROUP BY ALL", "seqs")
 def _(spark, d):
-    return r6(variants.ism_importance(_deltas(spark, d)), "importance")
+    """Both scores of a variant come from one row, which is then taken to its folds."""
+    change = variants.window_deltas(s.window_variants(v.seqs(spark, d), 5, 10, 14), letter_score)
+    folds = change.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold")).withColumn("delta", F.col("delta") * (F.col("fold") + 1))
+    return r6(variants.ism_importance(folds), "importance")
 
 
 WEIGHT = "CASE {} WHEN 'G' THEN 2.0 WHEN 'C' THEN 1.0 WHEN 'A' THEN 0.5 ELSE 0.0 END"
@@ -198,15 +201,14 @@ WEIGHT = "CASE {} WHEN 'G' THEN 2.0 WHEN 'C' THEN 1.0 WHEN 'A' THEN 0.5 ELSE 0.0
 SELECT seq_id, pos, round(sum({WEIGHT.format('ref')} - {WEIGHT.format('b')}) / 4, 6) AS importance FROM p, (VALUES ('A'), ('C'), ('G'), ('T')) w(b) WHERE ref IN ('A', 'C', 'G', 'T') AND b <> ref GROUP BY ALL""", "seqs")
 def _(spark, d):
     """Every position of every sequence, scored by the five letters on either side."""
-    change = s.window_variants(v.seqs(spark, d), 5).select("seq_id", "pos", F.lit(0).alias("fold"), (letter_score(F.col("wild")) - letter_score(F.col("mutant"))).alias("delta"))
+    change = variants.window_deltas(s.window_variants(v.seqs(spark, d), 5), letter_score).withColumn("fold", F.lit(0))
     return r6(variants.ism_importance(change), "importance")
 
 
 @query("agg32_shuffle_importance", f"SELECT seq_id, pos, round(avg({GC.replace('(x', '(seq')} - {GC.replace('(x', '(mut_seq')}), 6) AS importance FROM ({shuffled('random', 3)}) GROUP BY ALL", "seqs")
 def _(spark, d):
-    x = v.seqs(spark, d)
-    mut = s.shuffle_variants(x, 10, 13, 6, 3, "random").select("seq_id", "pos", letter_score(F.col("mut_seq")).alias("score_mut"))
-    return r6(variants.shuffle_importance(variants.variant_deltas(x.select("seq_id", letter_score(F.col("seq")).alias("score_wt")), mut, ["seq_id"])), "importance")
+    change = variants.window_deltas(s.window_shuffles(v.seqs(spark, d), 6, 3, "random", start=10, end=13), letter_score)
+    return r6(variants.shuffle_importance(change), "importance")
 
 
 SCORES = "SELECT gene_idx AS seq_id, target_idx // 4 AS pos, target_idx % 4 AS base, y_true AS value, CASE WHEN y_pred > 0 THEN 1.0 ELSE 0.0 END AS one_hot FROM mat"
