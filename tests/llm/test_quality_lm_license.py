@@ -239,6 +239,19 @@ def test_op5(docs, plain, empty, spark, monkeypatch):
     assert [(r.n_known, r.train_tokens, r.base_score) for r in lm.score_documents(only).limit(1).collect()] == [(0, 0, 0.0)]
 
 
+def test_rows_of_one_doc_id_and_text_stay_apart(spark, monkeypatch):
+    """Repeated rows, most of them without doc_id, over several partitions: each has its own joined words, once."""
+    monkeypatch.setattr(lm, "FREQUENT", 2)
+    rows = [(None, "alpha beta gamma")] * 30 + [(None, "beta delta delta")] * 3 + [(7, "alpha beta gamma")] * 2 + [(8, None), (8, None)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    count = Counter(w for d, t in rows if not held(d) for w in words_of((t or "").encode()))
+    n, v = sum(count.values()), len(count)
+    want = sorted((str(d), len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for d, t in rows for w in [words_of((t or "").encode())])
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert len({(r.doc_id, round(r.base_score, 6), round(r.score, 3)) for r in got}) == 4
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     """Two languages that share no word: the state tells which one a document is in."""
     rng = random.Random(1)

@@ -19,7 +19,7 @@ from heapq import heapreplace
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.llm.common import distinct_words, materialize, row_groups, sums_of, take_runs
@@ -329,18 +329,21 @@ def learn_spec(vocabulary: DataFrame) -> Spec:
     return Spec(words, n, v, mass)
 
 
-CODED = "doc_id long, key_id long, held_out boolean, text_hash long, n_tokens long, n_known long, base double, outside double, codes binary, word binary, k long"
+CODED = "doc_id long, key_id long, held_out boolean, doc_row long, n_tokens long, n_known long, base double, outside double, codes binary, word binary, k long"
 
 
 def encoded(docs: DataFrame, spec) -> DataFrame:
     """CODED: a row a document with its words' input rows as two-byte codes and what the counts alone tell of it, and, from
-    the same pass, a row (key_id, text_hash, word, k) for each of its words that is not frequent. spec: a broadcast Spec."""
+    the same pass, a row (doc_row, word, k) for each of its words that is not frequent. doc_row numbers the rows of docs by their partition and
+    their place in it, so that rows with one doc_id, or none, and one text stay apart: it holds where the result is written, as a task's
+    two kinds of rows are committed together. spec: a broadcast Spec."""
     names = [c.split()[0] for c in CODED.split(", ")]
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        s = spec.value
+        s, at_row = spec.value, TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
         log_count, tail_log = np.append(s.log_count, 0.0), np.append(s.tail_log, 0.0)
 
@@ -353,19 +356,20 @@ def encoded(docs: DataFrame, spec) -> DataFrame:
             # By distinct word: its own term of the base, and its term beside the network's.
             base = log_count[place]
             outside = np.where(row >= HEAD, base - tail_log[np.maximum(row - HEAD, -1)], 0.0)
-            doc, key, held, _, hashed = zip(*rows, strict=True)
+            doc, key, held, _ = zip(*rows, strict=True)
+            doc_row = at_row + np.arange(len(rows))
+            at_row += len(rows)
             raw, ends = row.astype("<u2")[index].tobytes(), (2 * np.cumsum(counts)).tolist()
             codes = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            own = {"doc_id": doc, "key_id": key, "held_out": held, "text_hash": hashed, "n_tokens": counts, "n_known": sums_of((place >= 0)[index].astype(np.int64), counts), "base": sums_of(base[index], counts), "outside": sums_of(outside[index], counts)}
+            own = {"doc_id": doc, "key_id": key, "held_out": held, "doc_row": doc_row, "n_tokens": counts, "n_known": sums_of((place >= 0)[index].astype(np.int64), counts), "base": sums_of(base[index], counts), "outside": sums_of(outside[index], counts)}
             yield batch(len(rows), own | {"codes": codes})
             rare = np.flatnonzero(place[index] < 0)
             pair, k = np.unique(np.repeat(np.arange(len(rows)), counts)[rare] * len(words) + index[rare], return_counts=True)
-            key, hashed = np.array(key), np.array(hashed)
             for at in range(0, len(pair), 200_000):
                 d, w = np.divmod(pair[at : at + 200_000], len(words))
-                yield batch(len(d), {"key_id": key[d], "text_hash": hashed[d], "word": [words[i] for i in w.tolist()], "k": k[at : at + 200_000]})
+                yield batch(len(d), {"doc_row": doc_row[d], "word": [words[i] for i in w.tolist()], "k": k[at : at + 200_000]})
 
-    return docs.select("doc_id", "key_id", "held_out", "text", "text_hash").mapInArrow(run, CODED)
+    return docs.select("doc_id", "key_id", "held_out", "text").mapInArrow(run, CODED)
 
 
 def learn_weights(train: DataFrame, spec) -> dict[str, np.ndarray]:
@@ -426,7 +430,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     vocabulary = materialize(word_counts(train), "vocabulary")
     spec = spark.sparkContext.broadcast(learn_spec(vocabulary))
     n, v = spec.value.n, spec.value.v
-    both = materialize(encoded(keyed.withColumn("text_hash", F.xxhash64("text")), spec), "codes")
+    both = materialize(encoded(keyed, spec), "codes")
     coded = both.where("word is null").drop("word", "k")
     weights = spark.sparkContext.broadcast(learn_weights(coded.where("not held_out"), spec))
     names = [*coded.columns[:-1], "score"]
@@ -442,12 +446,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, types, strict=True)], names)
 
-    found = both.where("word is not null").select("key_id", "text_hash", "word", "k").join(vocabulary, "word")
-    known = found.groupBy("key_id", "text_hash").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"))
+    found = both.where("word is not null").select("doc_row", "word", "k").join(vocabulary, "word")
+    known = found.groupBy("doc_row").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"))
     scored = coded.mapInArrow(scores, CODED.split(", codes")[0] + ", score double")
-    zero = lambda c: F.coalesce(c / F.col("copies"), F.lit(0))
-    both = scored.withColumn("copies", F.count("*").over(Window.partitionBy("key_id", "text_hash"))).join(known, ["key_id", "text_hash"], "left")
-    return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero(F.col("rare_known"))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero(F.col("rare_log")) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), (F.col("score") + zero(F.col("rare_log"))).alias("score"),
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return scored.join(known, "doc_row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("rare_log") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), (F.col("score") + zero("rare_log")).alias("score"),
     )
