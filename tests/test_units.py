@@ -227,6 +227,31 @@ def test_long_intervals_lie_in_few_bins(spark):
         assert sorted(map(tuple, got)) == sorted(full), mode
 
 
+def test_overlap_totals_equal_the_pairs_totals(spark):
+    import random
+
+    from trackframe.operators import dist
+
+    rng = random.Random(4)
+
+    def some(n, longest):
+        return [(i % 40, rng.choice("cd"), x := rng.randint(-300, 3000), x + int(10 ** rng.uniform(0, longest))) for i in range(n)]
+
+    a = [*some(120, 2), (7, "c", 50, 50), (8, None, 0, 9), (9, "d", 4, None), (None, "c", 10, 90)]
+    b = [*some(80, 4), (50, "c", 90, 95), (51, "c", 60, 60), (52, None, 0, 10**6), (53, "d", None, 9), (54, "d", 10**9, 10**9 + 1), (None, "d", 0, 99)]
+    kind = "row long, chrom string, start long, end long"
+    want = {}
+    for w in a:
+        for f in b:
+            if None not in (*w[1:], *f[1:]) and w[1] == f[1] and w[2] < f[3] and f[2] < w[3] and w[2] < w[3] and f[2] < f[3]:
+                n, rows, first = want.get(f[0], (0, 0, w[2]))
+                want[f[0]] = (n + 1, rows + (w[0] or 0), min(first, w[2]))
+    got = dist.overlap_totals(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), ["row"], {"rows": "row"})
+    assert got.columns == ["row", "n", "rows", "first"]
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want and len(want) > 30
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "NestedLoop" not in plan
+
+
 def test_tracks_with_other_genes_are_an_error(spark, tmp_path):
     kind = "gene_idx long, bins array<float>"
     for name, genes in (("h5_0", range(6)), ("h5_2", range(6)), ("h5_10", [0, 1, 2, 3, 4, 9])):
