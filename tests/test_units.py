@@ -252,6 +252,19 @@ def test_overlap_totals_equal_the_pairs_totals(spark):
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "NestedLoop" not in plan
 
 
+def test_crowded_short_intervals_share_small_bins(spark):
+    """A bin holds about what overlaps, not thousands of short intervals side by side."""
+    import inspect
+
+    from trackframe.operators import dist
+
+    size = inspect.signature(dist.overlap_join).parameters["size"].default
+    rows = spark.range(20_000).selectExpr("id AS row", "id * 5 % 100000 AS y_from", "id * 5 % 100000 + 75 AS y_to").withColumn("y_level", dist.level_of(F.col("y_to") - F.col("y_from"), size))
+    levels = spark.createDataFrame([([0, 1, 2],)], "levels array<int>")
+    dealt = dist._bins(rows, "y", levels, size)
+    assert max(r["count"] for r in dealt.groupBy("y_on", "y_bin").count().collect()) <= 300
+
+
 def test_tracks_with_other_genes_are_an_error(spark, tmp_path):
     kind = "gene_idx long, bins array<float>"
     for name, genes in (("h5_0", range(6)), ("h5_2", range(6)), ("h5_10", [0, 1, 2, 3, 4, 9])):
