@@ -349,3 +349,17 @@ def test_vectors_of_many_lengths_and_magnitudes(spark, monkeypatch):
         got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_neardup.near_duplicates(df).collect()}
         assert got == {i: (len(own), label[i]) for i, own in enumerate(links)}
     assert len(links[-6]) + len(links[-5]) > 0
+
+
+def test_similar_groups_lose_no_link_at_the_threshold(spark):
+    """500 pairs of exactly 0.8 (40 of 50 shingles), each with no other text alike; a passage that all pairs share stands in some texts."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, rows = words(60), []
+    for i in range(500):
+        x = words(44)
+        rows += [(2 * i, " ".join(x + words(5))), (2 * i + 1, " ".join(x + words(5)))]
+    rows += [(2000 + i, " ".join(words(30) + common)) for i in range(60)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [i for i in range(500) if got[2 * i + 1] != 2 * i] == []
+    assert all(got[d] == d for d in range(2000, 2060))

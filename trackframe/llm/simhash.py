@@ -217,13 +217,78 @@ def verified(links: DataFrame, sketched: DataFrame, similarity: float) -> DataFr
     return x.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def frequent_shingles(docs: DataFrame, shingle: int = 5) -> np.ndarray:
+    """Hashes of shingles that very many texts hold, ascending: at most 2 ** 16, the most frequent of a 16th of the documents.
+
+    They only settle the order of `rare_shingles`, which any order serves.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(shingle_hashes(r[1], shingle)) for r in rows]).view(np.int64))], ["h"])
+
+    counts = text_bytes(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(run, "h long").groupBy("h").count().where("count >= 16")
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(1 << 16).collect()], np.int64).view(np.uint64))
+
+
+def rare_shingles(docs: DataFrame, similarity: float, shingle: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, size (distinct shingles) and first (hashes of so many of them, those of `frequent` last, else by hash) of every text with a word.
+
+    Two sets of that similarity share at least similarity * size of each, so they share one of the first size - similarity * size + 1 of each.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
+            out = []
+            for doc, text in rows:
+                h = np.unique(shingle_hashes(text, shingle))
+                often = np.isin(h, frequent, assume_unique=True)
+                most = len(h) - max(1, int(np.ceil(similarity * len(h) - 1e-9))) + 1
+                out.append((doc, len(h), np.r_[h[~often], h[often]][:most].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["doc_id", "size", "first"])
+
+    return text_bytes(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, size int, first array<bigint>").where("size > 0")
+
+
+def missing_pairs(docs: DataFrame, groups: DataFrame, similarity: float, shingle: int, tile: int) -> DataFrame:
+    """Pairs (a, b) of groups(rep, component_id) in different components, among them all that are `similarity` alike or more.
+
+    They meet by the shingles that must be shared (see `rare_shingles`), of which only those matter that two components hold; crowded ones are dealt out in tiles.
+    """
+    first = rare_shingles(docs, similarity, shingle, frequent_shingles(docs, shingle)).withColumnRenamed("doc_id", "rep")
+    dealt = materialize(first.join(groups, "rep"), "first").select("rep", "component_id", "size", F.explode("first").alias("key")).distinct()
+    live = materialize(dealt.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high").select("key"), "live")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for t, starts in stream_groups(batches, ["key", "tile_a", "tile_b"], 20_000):
+            rep, component, size = (t.column(c).to_numpy() for c in ("rep", "component_id", "size"))
+            found = []
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                for k in range(i, j - 1):
+                    ok = (component[k + 1 : j] != component[k]) & (np.minimum(size[k + 1 : j], size[k]) >= similarity * np.maximum(size[k + 1 : j], size[k]) - 1e-9)
+                    if ok.any():
+                        other = rep[k + 1 : j][ok]
+                        found.append(np.stack([np.minimum(other, rep[k]), np.maximum(other, rep[k])]))
+            if found:
+                a, b = np.unique(np.concatenate(found, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return tiles(dealt.join(live, "key"), ["key"], "rep", tile).select("key", "tile_a", "tile_b", "rep", "component_id", "size").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 1024) -> DataFrame:
     """(doc_id, component_id) of every row of docs: groups of texts whose shingle sets are `similarity` alike or more.
 
     Texts that share a key meet, in numbers that do not grow with the table, and are compared bit-sliced by
     SimHash fingerprints of 512 bits, with a radius 2.5 standard errors beyond the similarity's; of what lies within,
-    the nearest links that join the same texts, twice over, are checked by the shingles themselves.
-    Texts of one fingerprint are one node (all 512 bits agree only where nearly all shingles do).
+    the nearest links that join the same texts, twice over, are checked by the shingles themselves. These groups are right but may
+    lack a link; so all pairs of different groups that can be alike (see `missing_pairs`) are checked too. Texts of the same shingles are one node.
     """
     bits, share = 64 * WORDS, differing_share(similarity)
     radius = int(bits * share + 2.5 * np.sqrt(bits * share * (1 - share)))
@@ -246,16 +311,19 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
                 rest = np.setdiff1d(np.arange(len(a)), chosen, assume_unique=True)
                 a, b = a[rest], b[rest]
 
-    sketched = materialize(sketches(docs, shingle), "sketches")
-    distinct = sketched.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("m"), F.min("doc_id").alias("rep"))
-    # A null id sorts first in the structs' minimum: the keys are those of a text of the same fingerprint all the same.
-    distinct = materialize(distinct.select("fp", "rep", F.col("m.keys").alias("keys")), "distinct")
+    sketched = materialize(sketches(docs, shingle).withColumn("own", F.xxhash64("grams")), "sketches")
+    distinct = sketched.groupBy("fp", "own").agg(F.min(F.struct("doc_id", "keys")).alias("m"), F.min("doc_id").alias("rep"))
+    # A null id sorts first in the structs' minimum: the keys are those of a text of the same shingles all the same.
+    distinct = materialize(distinct.select("fp", "own", "rep", F.col("m.keys").alias("keys")), "distinct")
     dealt = distinct.where("rep is not null").select("rep", "fp", F.explode("keys").alias("key"))
     found = tiles(dealt, ["key"], "rep", tile).select("key", "tile_a", "tile_b", "rep", "fp").mapInArrow(compare, "a long, b long").distinct()
     links = materialize(verified(materialize(found, "near"), sketched, similarity), "similar")
     groups = connected_components(links)
-    to = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return sketched.select("doc_id", "fp").join(to, "fp").select("doc_id", "component_id")
+    of_rep = distinct.where("rep is not null").select("rep").distinct().join(groups, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component_id", "rep").alias("component_id"))
+    more = materialize(verified(materialize(missing_pairs(docs, materialize(of_rep, "found"), similarity, shingle, tile), "missing"), sketched, similarity), "similar")
+    groups = connected_components(links.union(more))
+    to = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", "own", F.coalesce("component_id", "rep").alias("component_id"))
+    return sketched.select("doc_id", "fp", "own").join(to, ["fp", "own"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
