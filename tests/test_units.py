@@ -364,3 +364,21 @@ def test_what_queries_write_goes_with_the_session(spark):
 
     at = table_queries.scratch(spark, "x")
     assert spark.sparkContext.applicationId in at and at != table_queries.scratch(spark, "x")
+
+
+def test_filter_features_brings_no_feature_to_one_task(spark):
+    ann = spark.createDataFrame([("c", 0, 70, "+", "R"), ("c", 0, 70, "+", "R"), ("c", 0, 70, "-", "R"), ("c", 0, 200, "-", "A"), ("c", 5, 60, "-", "A")], "chrom string, start long, end long, strand string, feature string").distinct()
+    settings = spark.createDataFrame([("R", "+", 60, 90), ("A", None, 0, 70)], "feature string, strand string, min_length long, max_length long")
+    got = intervals.filter_features(ann, settings)
+    assert sorted((r.feature, r.end) for r in got.collect()) == [("A", 60), ("R", 70)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join LeftSemi")  # the rows are filtered before they are made distinct
+
+
+def test_wide_rows_are_made_where_a_gene_is_whole(spark):
+    rows = [("a", 1, 0, 2.0), ("a", 1, 1, 4.0), ("a", 2, 0, None), ("b", 9, 0, 1.0), (None, 1, 1, 5.0), (None, 1, 1, 7.0)]
+    got = ensembles.pivot_predictions(spark.createDataFrame(rows, "gene_id string, target_idx int, seed int, y_pred double"), [1, 2], [0, 1])
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == {"a": (3.0, 1.0, None, None, 2.0, 4.0, None, None), "b": (None,) * 8, None: (6.0, 1.0, None, None, None, 7.0, None, None)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert "of_target" not in exchanges[0] and all("max_" not in line and "max#" not in line for line in exchanges) and "REPARTITION_BY_COL" in exchanges[0]

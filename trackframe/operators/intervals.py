@@ -28,10 +28,13 @@ def bin_coordinates(start: Column, bin_idx: Column, width: int) -> tuple[Column,
 
 
 def filter_features(ann: DataFrame, settings: DataFrame) -> DataFrame:
-    """Rows of ann that match a row of settings(feature, strand or NULL, min_length, max_length); settings is small."""
+    """Rows of ann that match a row of settings(feature, strand or NULL, min_length, max_length); settings is small.
+
+    It is broadcast, so that no feature's rows meet in one task and a distinct before it is made of the rows that match only.
+    """
     size = F.col("a.end") - F.col("a.start")
     on = (F.col("a.feature") == F.col("s.feature")) & (F.col("s.strand").isNull() | (F.col("s.strand") == F.col("a.strand"))) & size.between(F.col("s.min_length"), F.col("s.max_length"))
-    return ann.alias("a").join(settings.alias("s"), on, "left_semi")
+    return ann.alias("a").join(F.broadcast(settings.alias("s")), on, "left_semi")
 
 
 def concat_annotations(a: DataFrame, b: DataFrame) -> DataFrame:
