@@ -38,11 +38,21 @@ def seed_box_stats(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pivot_predictions(preds: DataFrame, targets: list[int], seeds: list[int], gene: str = "gene_id") -> DataFrame:
-    """gene, then target_<k>_mean and _std, then target_<k>_seed_<m>; the lists are given, in their order."""
-    is_target = lambda k: F.col("target_idx") == k
-    value = lambda k, m: F.max(F.when(is_target(k) & (F.col("seed") == m), F.col("y_pred"))).alias(f"target_{k}_seed_{m}")
-    stats = [f(F.when(is_target(k), F.col("y_pred"))).alias(f"target_{k}_{n}") for k in targets for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    return preds.groupBy(gene).agg(*stats, *(value(k, m) for k in targets for m in seeds))
+    """gene, then target_<k>_mean and _std, then target_<k>_seed_<m>; the lists are given, in their order.
+
+    Rows are first summed by gene and target, which is narrow; a gene's few rows are then brought together before its wide row is made,
+    so that no task holds wide rows of genes that are not its own.
+    """
+    free = "of_"  # before the names of helper columns, so that none clashes with the gene's
+    while gene.lower().startswith(free):
+        free = "_" + free
+    target, mean, std = f"{free}target", f"{free}mean", f"{free}std"
+    is_target = F.when(F.col("target_idx").isin(targets), F.col("target_idx")).alias(target)
+    of_seed = [F.max(F.when(F.col("seed") == m, F.col("y_pred"))).alias(f"{free}seed_{i}") for i, m in enumerate(seeds)]
+    each = preds.groupBy(gene, is_target).agg(F.avg("y_pred").alias(mean), F.stddev_pop("y_pred").alias(std), *of_seed).repartition(gene)
+    value = lambda k, c, name: F.max(F.when(F.col(target) == k, F.col(c))).alias(f"target_{k}_{name}")
+    stats = [value(k, c, n) for k in targets for n, c in (("mean", mean), ("std", std))]
+    return each.groupBy(gene).agg(*stats, *(value(k, f"{free}seed_{i}", f"seed_{m}") for k in targets for i, m in enumerate(seeds)))
 
 
 def score_linear(examples: DataFrame, models: DataFrame) -> DataFrame:
