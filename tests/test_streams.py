@@ -103,3 +103,12 @@ def test_closed_epochs_are_appended_once(spark, tmp_path, files):
     query.awaitTermination()
     closed = [(r[0], r[2]) for b in got for r in b]
     assert closed[:1] == [(1, 10)] and len({e for e, _ in closed}) == len(closed) and 4 not in dict(closed)
+
+
+def test_files_of_a_stream_are_bounded(spark, sf_dir, monkeypatch):
+    from trackframe.plans import table_queries
+
+    monkeypatch.setattr(table_queries, "FILE_ROWS", 1000)
+    at, files = table_queries._folder(spark, sf_dir, "lineitem")
+    rows = spark.read.parquet(at).groupBy("_metadata.file_path").count().collect()
+    assert files == len(rows) == 6 + (sum(r["count"] for r in rows) > 6000) and max(r["count"] for r in rows) <= 1000

@@ -35,14 +35,14 @@ def scratch(spark, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def drained(stream, spark, mode: str, schema: str, key: list[str] | None = None):
-    """What a stream over finished input wrote, batch by batch; with `key`, its last row of each."""
-    out = scratch(spark, "stream")
+def drained(stream, spark, mode: str, schema: str, key: list[str] | None = None, out: str | None = None, progress: str | None = None):
+    """What a stream over finished input wrote, batch by batch; with `key`, its last row of each. A stream that is taken up again names its folders."""
+    out = out or scratch(spark, "stream")
 
     def put(batch, number):
         batch.write.mode("overwrite").parquet(f"{out}/batch_={number}")  # a batch that is tried again replaces its own rows
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", progress or scratch(spark, "progress")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     got = spark.read.schema(f"{schema}, batch_ long").parquet(out)
     if key:
         rest = [c for c in got.columns if c not in (*key, "batch_")]
@@ -372,15 +372,19 @@ def _(spark, d):
 
 # ---- streams ---------------------------------------------------------------------------------------------
 def _stream(spark, d, table: str):
-    kind = v.t(spark, d, table).schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(_folder(spark, d, table))
+    at, files = _folder(spark, d, table)
+    return spark.readStream.schema(v.t(spark, d, table).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", -(-files // 4)).parquet(at)
 
 
-def _folder(spark, d, table: str) -> str:
-    """The table as a folder of several files, as a stream would find them."""
-    at = scratch(spark, f"files-{table}")
-    v.t(spark, d, table).repartition(4).write.parquet(at)
-    return at
+#: Rows of a file that a stream finds, at most.
+FILE_ROWS = 2_000_000
+
+
+def _folder(spark, d, table: str) -> tuple[str, int]:
+    """The table as a folder of several files, as a stream would find them, and how many; four or more, none of more than FILE_ROWS rows."""
+    at, rows = scratch(spark, f"files-{table}"), v.t(spark, d, table)
+    rows.repartition(max(4, -(-rows.count() // FILE_ROWS))).write.parquet(at)
+    return at, len(spark.read.parquet(at).inputFiles())
 
 
 @query("str1_stream_metrics", f"SELECT target, n, round({R}, 6) AS pearsonr, round({R2}, 6) AS r2 FROM ({SUMS.format(k='target', t='obs')})", "obs")
@@ -393,13 +397,16 @@ def _(spark, d):
 
 @query("str1_stream_metrics_by_epoch", f"SELECT epoch, target, n, round({R}, 6) AS pearsonr, round({R2}, 6) AS r2 FROM ({SUMS.format(k='epoch, target', t='(SELECT l_linenumber AS epoch, l_returnflag AS target, l_quantity AS y_true, l_extendedprice / 2000 AS y_pred FROM lineitem)')})")
 def _(spark, d):
-    """Seven epochs arrive one after the other, the last rows of each together with the first of the next but one."""
-    at, e = scratch(spark, "epochs"), "l_linenumber"
+    """Seven epochs arrive one after the other, the last rows of each together with the first of the next but one.
+
+    What arrives together is one batch of as many files as its reading had tasks: the stream is taken up again, from its checkpoint, after each arrival.
+    """
+    at, out, progress, e = scratch(spark, "epochs"), scratch(spark, "stream"), scratch(spark, "progress"), "l_linenumber"
     for k in range(1, 10):
-        v.t(spark, d, "lineitem").where(f"({e} = {k} and l_orderkey % 3 > 0) or ({e} = {k - 2} and l_orderkey % 3 = 0)").select("l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice").coalesce(2).write.mode("append").parquet(at)
-    li = spark.readStream.schema("l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double").option("maxFilesPerTrigger", 2).parquet(at)
-    obs = li.select(F.col(e).cast("long").alias("epoch"), F.col("l_returnflag").alias("target"), F.col("l_quantity").alias("y_true"), (F.col("l_extendedprice") / 2000).alias("y_pred"))
-    got = drained(streams.stream_metrics_by_epoch(obs, ["target"], keep=2), spark, "update", "epoch long, target string, n long, pearsonr double, r2 double", ["epoch", "target"])
+        v.t(spark, d, "lineitem").where(f"({e} = {k} and l_orderkey % 3 > 0) or ({e} = {k - 2} and l_orderkey % 3 = 0)").select("l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice").write.mode("append").parquet(at)
+        li = spark.readStream.schema("l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double").parquet(at)
+        obs = li.select(F.col(e).cast("long").alias("epoch"), F.col("l_returnflag").alias("target"), F.col("l_quantity").alias("y_true"), (F.col("l_extendedprice") / 2000).alias("y_pred"))
+        got = drained(streams.stream_metrics_by_epoch(obs, ["target"], keep=2), spark, "update", "epoch long, target string, n long, pearsonr double, r2 double", ["epoch", "target"], out, progress)
     return r6(got, "pearsonr", "r2")
 
 
