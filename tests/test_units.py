@@ -382,3 +382,12 @@ def test_wide_rows_are_made_where_a_gene_is_whole(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert "of_target" not in exchanges[0] and all("max_" not in line and "max#" not in line for line in exchanges) and "REPARTITION_BY_COL" in exchanges[0]
+
+
+def test_one_hot_rows_come_from_generated_code(spark):
+    x = spark.createDataFrame([(1, "aN.T"), (2, None), (3, "")], "seq_id long, seq string")
+    for sample in (None, 5):
+        got = s.one_hot_table(x, None, 0.25, sample=sample)
+        assert got.columns == ["seq_id", "pos", "base", "value"] and got.count() == 16
+        assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.value for r in s.one_hot_table(x, None, 0.25).orderBy("pos", "base").collect()] == [1, 0, 0, 0, *[0.25] * 4, *[0] * 7, 1]
