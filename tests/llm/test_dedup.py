@@ -363,3 +363,49 @@ def test_similar_groups_lose_no_link_at_the_threshold(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert [i for i in range(500) if got[2 * i + 1] != 2 * i] == []
     assert all(got[d] == d for d in range(2000, 2060))
+
+
+def test_sets_alike_share_their_first_shingles():
+    """Of sets of any size, those of 0.8 or more share as many of their first shingles as least_shared tells; unrelated sizes and few shingles too."""
+    rng, tight = np.random.default_rng(7), 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 10**6, n))
+        y = np.union1d(x[rng.random(len(x)) < rng.uniform(0.75, 1)], rng.integers(0, 10**6, int(rng.integers(0, n // 5 + 2))))
+        shared = len(np.intersect1d(x, y))
+        if not len(y) or shared < 0.8 * (len(x) + len(y) - shared) - 1e-9:
+            continue
+        sizes = np.array([len(x)]), np.array([len(y)])
+        first = len(np.intersect1d(x[: simhash.must_share(sizes[0], 0.8)[0]], y[: simhash.must_share(sizes[1], 0.8)[0]]))
+        least = int(simhash.least_shared(*sizes, 0.8)[0])
+        assert first >= least >= 1
+        tight += first == least > 1
+    assert tight > 20
+
+
+def test_pairs_that_share_a_passage_are_not_checked(spark, monkeypatch):
+    """120 texts share 25 of 120 words, so all 7140 pairs meet, none is alike: few may be checked by their shingles, and those of 0.8 are among them."""
+    rng, checked = random.Random(22), []
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(25)
+    rows = [(i, " ".join(words(95) + passage)) for i in range(120)]
+    x = words(44)
+    rows += [(1000, " ".join(x + words(5))), (1001, " ".join(x + words(5))), (1001, "another text of this id")]
+    verified = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda links, *rest: (checked.append(links.count()), verified(links, *rest))[1])
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(i, i) for i in range(120)} | {(1000, 1000), (1001, 1000)}, sorted(got)[-5:]
+    assert sum(checked) < 20
+
+
+def test_pairs_in_tiles_meet_once_a_shingle():
+    """Two groups, one of them dealt in tiles of two chunks: every pair of other components is told as often as it shares a key."""
+    rep, component, chunk = np.array([1, 2, 3, 4, 1, 2, 4]), np.array([1, 1, 3, 4, 1, 1, 4]), np.array([0, 0, 1, 1, 0, 0, 0])
+    one, starts, size = np.array([False] * 4 + [True] * 3), np.array([0, 4, 7]), np.full(7, 30)
+    for most in (1, 3, 1000):
+        times = {}
+        for a, b, met, least in simhash.pairs_that_meet(rep, component, size, chunk, one, starts, 0.8, most):
+            for p, q, n in zip(a.tolist(), b.tolist(), met.tolist(), strict=True):
+                times[p, q] = times.get((p, q), 0) + n
+            assert set(least.tolist()) == {4}
+        assert times == {(1, 3): 1, (2, 3): 1, (1, 4): 2, (2, 4): 2}

@@ -212,13 +212,15 @@ def verified(links: DataFrame, sketched: DataFrame, similarity: float) -> DataFr
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    sets = sketched.where("doc_id is not null")
+    ids = materialize(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "linked")
+    # Only the sets of linked texts are dealt.
+    sets = sketched.where("doc_id is not null").join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc_id", "left_semi")
     x = links.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
     return x.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def frequent_shingles(docs: DataFrame, shingle: int = 5) -> np.ndarray:
-    """Hashes of shingles that very many texts hold, ascending: at most 2 ** 16, the most frequent of a 16th of the documents.
+def frequent_shingles(sketched: DataFrame) -> np.ndarray:
+    """Shingles that many texts hold, the most frequent last: at most 2 ** 18 of those that 3 of a 16th of the documents hold.
 
     They only settle the order of `rare_shingles`, which any order serves.
     """
@@ -226,60 +228,96 @@ def frequent_shingles(docs: DataFrame, shingle: int = 5) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
-        for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(shingle_hashes(r[1], shingle)) for r in rows]).view(np.int64))], ["h"])
+        for rows in row_groups(batches, 4_000_000, lambda r: len(r[0])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(r[0] for r in rows), "<i4"))], ["h"])
+
+    counts = sketched.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("grams").mapInArrow(run, "h int").groupBy("h").count().where("count >= 3")
+    return counts.orderBy(F.desc("count"), "h").limit(1 << 18).toArrow().column("h").to_numpy()[::-1].view(np.uint32)
+
 
-    counts = text_bytes(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(run, "h long").groupBy("h").count().where("count >= 16")
-    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(1 << 16).collect()], np.int64).view(np.uint64))
+def must_share(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Of how many of its first shingles, in an order common to all sets, a set of that size shares at least one with any set of that similarity."""
+    return size - np.maximum(1, np.ceil(similarity * size - 1e-9).astype(np.int64)) + 1
 
 
-def rare_shingles(docs: DataFrame, similarity: float, shingle: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, size (distinct shingles) and first (hashes of so many of them, those of `frequent` last, else by hash) of every text with a word.
+def least_shared(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of their first `must_share` shingles two sets of sizes x and y share at least, if they are so similar.
 
-    Two sets of that similarity share at least similarity * size of each, so they share one of the first size - similarity * size + 1 of each.
+    Of the set whose first shingles end earlier in the common order, all but what the other set lacks are among the other's first.
     """
+    both = np.ceil(similarity / (1 + similarity) * (x + y) - 1e-6).astype(np.int64)
+    return np.maximum(1, np.minimum(must_share(x, similarity) - x, must_share(y, similarity) - y) + both)
+
+
+def rare_shingles(sketched: DataFrame, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """doc_id, size (shingles) and first (the `must_share` first of them, those of `frequent` last, else by hash) of every text with a word."""
+    place = np.argsort(frequent)
 
     def run(batches):
         import pyarrow as pa
 
+        known = frequent[place]
         for rows in row_groups(batches, 4_000_000, lambda r: len(r[1])):
             out = []
-            for doc, text in rows:
-                h = np.unique(shingle_hashes(text, shingle))
-                often = np.isin(h, frequent, assume_unique=True)
-                most = len(h) - max(1, int(np.ceil(similarity * len(h) - 1e-9))) + 1
-                out.append((doc, len(h), np.r_[h[~often], h[often]][:most].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["doc_id", "size", "first"])
+            for doc, grams in rows:
+                h = np.frombuffer(grams, "<u4")
+                at = np.searchsorted(known, h)
+                often = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                order = np.r_[h[~often], frequent[np.sort(place[at[often]])]]
+                out.append((doc, len(h), order[: must_share(np.array(len(h)), similarity)].view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["doc_id", "size", "first"])
 
-    return text_bytes(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, size int, first array<bigint>").where("size > 0")
+    return sketched.where("doc_id is not null and length(grams) > 0").select("doc_id", "grams").mapInArrow(run, "doc_id long, size int, first array<int>")
 
 
-def missing_pairs(docs: DataFrame, groups: DataFrame, similarity: float, shingle: int, tile: int) -> DataFrame:
+def pairs_that_meet(rep: np.ndarray, component: np.ndarray, size: np.ndarray, chunk: np.ndarray, one: np.ndarray, starts: np.ndarray, similarity: float, most: int = 1_000_000):
+    """(a, b, times they meet, least_shared) of rows of the same group, other components and sizes that may be so similar, in parts of about `most` pairs.
+
+    Where the group is a tile of two chunks (`one` is false), rows of one chunk do not meet there.
+    """
+    names, code = np.unique(rep, return_inverse=True)
+    count = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(rep)) - 1
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(rep):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        n = count[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (component[i] != component[j]) & (one[i] | (chunk[i] != chunk[j]))
+        ok &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        i, j = i[ok], j[ok]
+        if len(i):
+            pair = np.minimum(code[i], code[j]) * len(names) + np.maximum(code[i], code[j])
+            order = np.argsort(pair, kind="stable")
+            met, first, times = np.unique(pair[order], return_index=True, return_counts=True)
+            # The least of all: an id may have rows of several sizes.
+            yield names[met // len(names)], names[met % len(names)], times, np.minimum.reduceat(least_shared(size[i], size[j], similarity)[order], first)
+        at = to
+
+
+def missing_pairs(sketched: DataFrame, groups: DataFrame, similarity: float, tile: int) -> DataFrame:
     """Pairs (a, b) of groups(rep, component_id) in different components, among them all that are `similarity` alike or more.
 
-    They meet by the shingles that must be shared (see `rare_shingles`), of which only those matter that two components hold; crowded ones are dealt out in tiles.
+    They meet by the shingles that must be shared (see `rare_shingles`), of which only those matter that two components hold, and stay if they
+    meet as often as `least_shared` tells; crowded shingles are dealt out in tiles. Meeting by 32-bit hashes brings a few pairs too many, none too few.
     """
-    first = rare_shingles(docs, similarity, shingle, frequent_shingles(docs, shingle)).withColumnRenamed("doc_id", "rep")
-    dealt = materialize(first.join(groups, "rep"), "first").select("rep", "component_id", "size", F.explode("first").alias("key")).distinct()
-    live = materialize(dealt.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high").select("key"), "live")
+    first = rare_shingles(sketched, similarity, frequent_shingles(sketched)).withColumnRenamed("doc_id", "rep")
+    # Rows of one doc_id are one document, whatever their texts; so each of its rows counts.
+    dealt = materialize(first.join(groups, "rep"), "first").select("rep", "component_id", "size", F.explode("first").alias("key"))
+    live = dealt.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high").select("key")
+    shared = materialize(dealt.join(live, "key").distinct(), "shared")
 
     def compare(batches):
         import pyarrow as pa
 
         for t, starts in stream_groups(batches, ["key", "tile_a", "tile_b"], 20_000):
-            rep, component, size = (t.column(c).to_numpy() for c in ("rep", "component_id", "size"))
-            found = []
-            for i, j in zip(starts[:-1], starts[1:], strict=True):
-                for k in range(i, j - 1):
-                    ok = (component[k + 1 : j] != component[k]) & (np.minimum(size[k + 1 : j], size[k]) >= similarity * np.maximum(size[k + 1 : j], size[k]) - 1e-9)
-                    if ok.any():
-                        other = rep[k + 1 : j][ok]
-                        found.append(np.stack([np.minimum(other, rep[k]), np.maximum(other, rep[k])]))
-            if found:
-                a, b = np.unique(np.concatenate(found, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            rep, component, size, chunk, tile_a, tile_b = (t.column(c).to_numpy() for c in ("rep", "component_id", "size", "chunk", "tile_a", "tile_b"))
+            for found in pairs_that_meet(rep, component, size.astype(np.int64), chunk, tile_a == tile_b, starts, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "met", "least"])
 
-    return tiles(dealt.join(live, "key"), ["key"], "rep", tile).select("key", "tile_a", "tile_b", "rep", "component_id", "size").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    met = tiles(shared, ["key"], "rep", tile).select("key", "tile_a", "tile_b", "chunk", "rep", "component_id", "size").mapInArrow(compare, "a long, b long, met long, least long")
+    return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 1024) -> DataFrame:
@@ -320,8 +358,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
     links = materialize(verified(materialize(found, "near"), sketched, similarity), "similar")
     groups = connected_components(links)
     of_rep = distinct.where("rep is not null").select("rep").distinct().join(groups, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component_id", "rep").alias("component_id"))
-    more = materialize(verified(materialize(missing_pairs(docs, materialize(of_rep, "found"), similarity, shingle, tile), "missing"), sketched, similarity), "similar")
-    groups = connected_components(links.union(more))
+    more = materialize(verified(materialize(missing_pairs(sketched, materialize(of_rep, "found"), similarity, tile), "missing"), sketched, similarity), "similar")
+    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
     to = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", "own", F.coalesce("component_id", "rep").alias("component_id"))
     return sketched.select("doc_id", "fp", "own").join(to, ["fp", "own"]).select("doc_id", "component_id")
 
