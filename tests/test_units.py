@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trackframe.functions import sequences as s
-from trackframe.operators import dist, ensembles, experiments, intervals, losses, metrics, splits, targets
+from trackframe.operators import dist, ensembles, experiments, intervals, losses, metrics, splits, targets, variants
 from trackframe.sources import readers, writers
 
 
@@ -402,3 +402,16 @@ def test_per_base_windows_are_small_where_written(spark, tmp_path):
     assert rows.count() == sum(i % 40 for i in range(100_000)) == rows.select("row_id", "mid").distinct().count()
     assert rows.where("win_start <> mid - 64 or win_end <> mid + 64 or interval_length <> row_id % 40").count() == 0
     assert size / rows.count() < 10
+
+
+def test_importance_of_whole_sequences_shuffles_letters_only(spark, sf_dir):
+    """Positions are not shuffled: the only exchange lies under the windows. Rows of one seq_id still meet."""
+    from trackframe.plans import queries
+
+    plan = queries.queries()["agg31_ism_importance_whole"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    kinds = [line for line in plan.splitlines() if "Exchange" in line or "Generate" in line or "HashAggregate" in line]
+    assert sum("Exchange" in line for line in kinds) == 1 and "Exchange" in kinds[-1], plan
+    seqs = spark.createDataFrame([(1, "ACGTNAC"), (1, "GG"), (2, "T")], "seq_id long, seq string")
+    score = lambda x: F.length(x) - F.length(F.replace(x, F.lit("G"), F.lit("")))
+    took = lambda df: sorted(variants.ism_importance(variants.window_deltas(s.window_variants(df, 2), score).withColumn("fold", F.lit(0))).collect())
+    assert took(variants.by_sequence(seqs)) == took(seqs) and len(took(seqs)) == 7

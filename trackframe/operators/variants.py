@@ -20,6 +20,11 @@ def window_deltas(windows: DataFrame, score: Callable[[Column], Column]) -> Data
     return windows.withColumn("delta", score(F.col("wild")) - score(F.col("mutant"))).drop("wild", "mutant")
 
 
+def by_sequence(seqs: DataFrame) -> DataFrame:
+    """The sequences dealt by seq_id: what is told of whole sequences' positions then meets where it is made, and only their letters are shuffled."""
+    return seqs.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id")
+
+
 def ism_importance(deltas: DataFrame) -> DataFrame:
     """Per position, the deltas over four bases (the reference's is 0), averaged over folds."""
     fold = deltas.groupBy("seq_id", "pos", "fold").agg((F.sum("delta") / 4).alias("d"))
