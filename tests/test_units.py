@@ -415,3 +415,13 @@ def test_importance_of_whole_sequences_shuffles_letters_only(spark, sf_dir):
     score = lambda x: F.length(x) - F.length(F.replace(x, F.lit("G"), F.lit("")))
     took = lambda df: sorted(variants.ism_importance(variants.window_deltas(s.window_variants(df, 2), score).withColumn("fold", F.lit(0))).collect())
     assert took(variants.by_sequence(seqs)) == took(seqs) and len(took(seqs)) == 7
+
+
+@pytest.mark.parametrize("name", ["str3_stream_early_stop", "str3_stream_out_of_order"])
+def test_epochs_of_a_stream_are_numbered_once(spark, sf_dir, monkeypatch, name):
+    from trackframe.plans import queries, views
+
+    made, epochs = [], views.epochs
+    monkeypatch.setattr(views, "epochs", lambda *a: (made.append(a), epochs(*a))[1])
+    got = queries.queries()[name](spark, sf_dir)
+    assert got.count() == got.select("run", "epoch").distinct().count() == epochs(spark, sf_dir).count() and len(made) == 1

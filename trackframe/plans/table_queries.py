@@ -422,8 +422,10 @@ TRACE = "run long, epoch int, score double, best boolean, unimproved int, stop b
 def _early_stop(spark, d, parts: tuple[str, ...]):
     """The trace of epochs whose files arrive part by part; the runs' states are carried from one to the next."""
     at, n = scratch(spark, "epochs"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = scratch(spark, "runs")
+    v.epochs(spark, d).write.parquet(runs)  # numbered once, not for every part
     for part in parts:
-        v.epochs(spark, d).where(part).repartition(n, "run").sortWithinPartitions("run", "epoch").write.mode("append").parquet(at)
+        spark.read.schema("run long, epoch int, valid_r double, valid_r2 double").parquet(runs).where(part).repartition(n, "run").sortWithinPartitions("run", "epoch").write.mode("append").parquet(at)
     stream = spark.readStream.schema("run long, epoch int, valid_r double, valid_r2 double").option("maxFilesPerTrigger", n).parquet(at)
     return drained(streams.stream_early_stop(stream, 4, 2), spark, "append", TRACE).withColumn("score", F.round("score", 8))
 
