@@ -6,6 +6,7 @@ import random
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from trackframe.llm import common, embedding_neardup, simhash, substring_dedup
 
@@ -409,3 +410,51 @@ def test_pairs_in_tiles_meet_once_a_shingle():
                 times[p, q] = times.get((p, q), 0) + n
             assert set(least.tolist()) == {4}
         assert times == {(1, 3): 1, (2, 3): 1, (1, 4): 2, (2, 4): 2}
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 30, 700, 5000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            x = np.unique(rng.integers(0, 2**32, n, dtype=np.uint32))
+            y = np.union1d(x[rng.random(len(x)) < share], rng.integers(0, 2**32, n // 9, dtype=np.uint32))
+            bits = [int.from_bytes(simhash.parities(h), "little") for h in (x, y)]
+            assert (bits[0] ^ bits[1]).bit_count() <= len(np.setxor1d(x, y))
+
+
+def test_unlike_rows_of_a_crowded_key_make_no_pair():
+    """A key of 400 rows: 300 of one component, 100 others, all 0.6 alike but for two pairs at 0.8; one row brings no bits, so its pairs stay."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, 75, dtype=np.uint32)
+    sets = [np.r_[base, rng.integers(0, 2**32, 25, dtype=np.uint32)] for _ in range(400)]
+    for k in (0, 310):  # 89 of 111 shingles
+        sets[k + 1] = np.r_[sets[k][:89], rng.integers(0, 2**32, 11, dtype=np.uint32)]
+    component = np.r_[0, 1, np.full(298, 2), np.arange(300, 400)]
+    of = lambda bits: {(int(a), int(b)) for found in simhash.pairs_that_meet(np.arange(400), component, np.full(400, 100), np.zeros(400, int), np.ones(400, bool), np.array([0, 400]), 0.8, 10_000, bits) for a, b in zip(*found[:2], strict=True)}
+    bits = [simhash.parities(h) for h in sets]
+    assert of(bits) == {(0, 1), (310, 311)}
+    every = {(a, b) for a in range(400) for b in range(a + 1, 400) if component[a] != component[b]}
+    assert of(None) == every
+    assert of([*bits[:399], None]) == {(0, 1), (310, 311)} | {(a, 399) for a in range(399)}
+
+
+def test_rows_that_meet_do_not_grow_with_the_square(spark, monkeypatch):
+    """200 near copies, each pair 0.6 to 0.7 alike, so no two are one group: nearly none of the 19,900 pairs is made, those of 0.8 are; also where ids repeat."""
+    rng, made = random.Random(23), []
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = words(120)
+    rows = [(i, " ".join(base + words(25))) for i in range(200)]
+    x = words(44)
+    rows += [(1000, " ".join(base[:90] + x + words(5))), (1001, " ".join(base[:90] + x + words(5))), (1002, " ".join(base + words(25))), (1002, " ".join(base + words(25)))]
+    plain = DataFrame.mapInArrow
+
+    def counted(self, run, schema, *more):
+        out = plain(self, run, schema, *more)
+        if "least" in schema:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(i, i) for i in range(200)} | {(1000, 1000), (1001, 1000), (1002, 1002)}
+    assert sum(made) < 2000, made

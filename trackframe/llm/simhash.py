@@ -23,6 +23,8 @@ MIX = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(3).integers(2**6
 LANE = (np.arange(8) * 256)[None, :]
 #: Of similar_groups: words of a fingerprint; keys of a text, and least hashes a key tells; forests of links verified.
 WORDS, BANDS, ROWS, FORESTS = 8, 10, 4, 2
+#: Of missing_pairs: bits of a set's parities; a shingle that more rows hold than CROWDED brings its rows' parities along.
+PARITIES, CROWDED = 1024, 4
 SEEDS = np.random.default_rng(4).integers(0, 2**63, BANDS * ROWS).astype(np.uint64)
 
 
@@ -240,17 +242,26 @@ def must_share(size: np.ndarray, similarity: float) -> np.ndarray:
     return size - np.maximum(1, np.ceil(similarity * size - 1e-9).astype(np.int64)) + 1
 
 
+def must_overlap(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles two sets of sizes x and y share at least, if they are so similar."""
+    return np.ceil(similarity / (1 + similarity) * (x + y) - 1e-6).astype(np.int64)
+
+
+def parities(h: np.ndarray) -> bytes:
+    """PARITIES bits: whether an odd number of the 32-bit hashes falls to each. Two sets differ in at least as many shingles as their bits."""
+    return np.packbits(np.bincount(h % PARITIES, minlength=PARITIES) & 1).tobytes()
+
+
 def least_shared(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     """How many of their first `must_share` shingles two sets of sizes x and y share at least, if they are so similar.
 
     Of the set whose first shingles end earlier in the common order, all but what the other set lacks are among the other's first.
     """
-    both = np.ceil(similarity / (1 + similarity) * (x + y) - 1e-6).astype(np.int64)
-    return np.maximum(1, np.minimum(must_share(x, similarity) - x, must_share(y, similarity) - y) + both)
+    return np.maximum(1, np.minimum(must_share(x, similarity) - x, must_share(y, similarity) - y) + must_overlap(x, y, similarity))
 
 
 def rare_shingles(sketched: DataFrame, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """doc_id, size (shingles) and first (the `must_share` first of them, those of `frequent` last, else by hash) of every text with a word."""
+    """doc_id, size (shingles), first (the `must_share` first of them, those of `frequent` last, else by hash) and bits (see `parities`) of every text with a word."""
     place = np.argsort(frequent)
 
     def run(batches):
@@ -264,29 +275,47 @@ def rare_shingles(sketched: DataFrame, similarity: float, frequent: np.ndarray)
                 at = np.searchsorted(known, h)
                 often = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
                 order = np.r_[h[~often], frequent[np.sort(place[at[often]])]]
-                out.append((doc, len(h), order[: must_share(np.array(len(h)), similarity)].view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["doc_id", "size", "first"])
+                out.append((doc, len(h), order[: must_share(np.array(len(h)), similarity)].view(np.int32), parities(h)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "size", "first", "bits"])
 
-    return sketched.where("doc_id is not null and length(grams) > 0").select("doc_id", "grams").mapInArrow(run, "doc_id long, size int, first array<int>")
+    return sketched.where("doc_id is not null and length(grams) > 0").select("doc_id", "grams").mapInArrow(run, "doc_id long, size int, first array<int>, bits binary")
 
 
-def pairs_that_meet(rep: np.ndarray, component: np.ndarray, size: np.ndarray, chunk: np.ndarray, one: np.ndarray, starts: np.ndarray, similarity: float, most: int = 1_000_000):
+def pairs_that_meet(rep: np.ndarray, component: np.ndarray, size: np.ndarray, chunk: np.ndarray, one: np.ndarray, starts: np.ndarray, similarity: float, most: int = 250_000, bits=None):
     """(a, b, times they meet, least_shared) of rows of the same group, other components and sizes that may be so similar, in parts of about `most` pairs.
 
-    Where the group is a tile of two chunks (`one` is false), rows of one chunk do not meet there.
+    Where the group is a tile of two chunks (`one` is false), rows of one chunk do not meet there. With `bits` (the rows' `parities`, or None)
+    those are left out whose bits alone differ more than so similar sets do. Rows of one component are not paired at all.
     """
     names, code = np.unique(rep, return_inverse=True)
-    count = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(rep)) - 1
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((component, group))
+    component, size, chunk, one, code = (x[order] for x in (component, size, chunk, one, code))
+    # Where the rows of the row's component end in its group; its partners stand from there to the group's end.
+    change = np.flatnonzero(np.r_[True, (component[1:] != component[:-1]) | (group[1:] != group[:-1])])
+    after = np.repeat(np.r_[change[1:], len(rep)], np.diff(np.r_[change, len(rep)]))
+    count = np.repeat(starts[1:], np.diff(starts)) - after
+    known = np.zeros(len(rep), bool) if bits is None else np.array([bits[k] is not None for k in order], bool)
+    if known.any():
+        none = bytes(PARITIES // 8)
+        words = np.frombuffer(b"".join(bits[k] or none for k in order), "<u8").reshape(len(rep), -1).T.copy()
     ends = np.cumsum(count)
     at = 0
     while at < len(rep):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         n = count[at:to]
         i = np.repeat(np.arange(at, to), n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        ok = (component[i] != component[j]) & (one[i] | (chunk[i] != chunk[j]))
+        j = np.arange(len(i)) + np.repeat(after[at:to] - np.cumsum(n) + n, n)
+        ok = one[i] | (chunk[i] != chunk[j])
         ok &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
         i, j = i[ok], j[ok]
+        if known[at:to].any() and len(i):
+            differ = np.zeros(len(i), np.int64)
+            for w in words:
+                differ += np.bitwise_count(w[i] ^ w[j])
+            ok = ~(known[i] & known[j]) | (differ <= size[i] + size[j] - 2 * must_overlap(size[i], size[j], similarity))
+            i, j = i[ok], j[ok]
         if len(i):
             pair = np.minimum(code[i], code[j]) * len(names) + np.maximum(code[i], code[j])
             order = np.argsort(pair, kind="stable")
@@ -301,22 +330,26 @@ def missing_pairs(sketched: DataFrame, groups: DataFrame, similarity: float, til
 
     They meet by the shingles that must be shared (see `rare_shingles`), of which only those matter that two components hold, and stay if they
     meet as often as `least_shared` tells; crowded shingles are dealt out in tiles. Meeting by 32-bit hashes brings a few pairs too many, none too few.
+    Where more than CROWDED rows meet, pairs that differ too much in their `parities` are never made; an id whose rows of one size differ brings none.
     """
     first = rare_shingles(sketched, similarity, frequent_shingles(sketched)).withColumnRenamed("doc_id", "rep")
     # Rows of one doc_id are one document, whatever their texts; so each of its rows counts.
-    dealt = materialize(first.join(groups, "rep"), "first").select("rep", "component_id", "size", F.explode("first").alias("key"))
-    live = dealt.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high").select("key")
+    first = materialize(first.join(groups, "rep"), "first")
+    dealt = first.select("rep", "component_id", "size", F.explode("first").alias("key"))
+    live = dealt.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), (F.count("*") > CROWDED).alias("crowded")).where("low <> high").select("key", "crowded")
     shared = materialize(dealt.join(live, "key").distinct(), "shared")
+    bits = first.groupBy("rep", "size").agg(F.min("bits").alias("low"), F.max("bits").alias("high")).select("rep", "size", F.expr("if(low = high, low, null)").alias("bits"))
+    shared = shared.where("crowded").join(bits, ["rep", "size"], "left").unionByName(shared.where("not crowded").withColumn("bits", F.lit(None).cast("binary")))
 
     def compare(batches):
         import pyarrow as pa
 
         for t, starts in stream_groups(batches, ["key", "tile_a", "tile_b"], 20_000):
             rep, component, size, chunk, tile_a, tile_b = (t.column(c).to_numpy() for c in ("rep", "component_id", "size", "chunk", "tile_a", "tile_b"))
-            for found in pairs_that_meet(rep, component, size.astype(np.int64), chunk, tile_a == tile_b, starts, similarity):
+            for found in pairs_that_meet(rep, component, size.astype(np.int64), chunk, tile_a == tile_b, starts, similarity, bits=t.column("bits").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "met", "least"])
 
-    met = tiles(shared, ["key"], "rep", tile).select("key", "tile_a", "tile_b", "chunk", "rep", "component_id", "size").mapInArrow(compare, "a long, b long, met long, least long")
+    met = tiles(shared, ["key"], "rep", tile).select("key", "tile_a", "tile_b", "chunk", "rep", "component_id", "size", "bits").mapInArrow(compare, "a long, b long, met long, least long")
     return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
 
 
