@@ -265,6 +265,26 @@ def test_crowded_short_intervals_share_small_bins(spark):
     assert max(r["count"] for r in dealt.groupBy("y_on", "y_bin").count().collect()) <= 300
 
 
+def test_crowded_pairs_take_few_bytes(spark, tmp_path):
+    """Pairs grow with both tables' density; their features repeat from window to window, in files too."""
+    import random
+
+    from trackframe.operators import dist
+
+    rng = random.Random(6)
+    a = [(i, "c", x := rng.randint(0, 2000), x + rng.randint(1, 500)) for i in range(900)]
+    b = [(i, "c", x := rng.randint(-200, 2500), x + rng.randint(51, 100)) for i in range(4000)]
+    b += b[:40]  # repeated features have pairs of their own
+    kind = "row long, chrom string, start long, end long"
+    for mode, test in (("overlap", lambda w, f: w[2] < f[3] and f[2] < w[3]), ("endpoint", lambda w, f: w[2] <= f[2] <= w[3] or w[2] <= f[3] <= w[3])):
+        out = tmp_path / mode
+        dist.overlap_join(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), mode).write.parquet(f"file://{out}")
+        got = spark.read.parquet(f"file://{out}").groupBy("w_row").agg(F.sort_array(F.collect_list("f_row")).alias("rows")).collect()
+        want = {w[0]: sorted(f[0] for f in b if test(w, f)) for w in a}
+        assert {r.w_row: r.rows for r in got} == want
+        assert sum(p.stat().st_size for p in out.glob("*.parquet")) < 2 * sum(map(len, want.values())), mode
+
+
 def test_tracks_with_other_genes_are_an_error(spark, tmp_path):
     kind = "gene_idx long, bins array<float>"
     for name, genes in (("h5_0", range(6)), ("h5_2", range(6)), ("h5_10", [0, 1, 2, 3, 4, 9])):
