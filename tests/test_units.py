@@ -285,6 +285,16 @@ def test_crowded_pairs_take_few_bytes(spark, tmp_path):
         assert sum(p.stat().st_size for p in out.glob("*.parquet")) < 2 * sum(map(len, want.values())), mode
 
 
+def test_ends_are_joined_with_one_reading_of_the_features(spark):
+    from trackframe.operators import dist
+
+    w = spark.createDataFrame([("c", 0, 9)], "chrom string, start long, end long")
+    f = spark.range(9).selectExpr("'c' AS chrom", "id AS start", "id + 5 AS end", "id % 3 AS kind").distinct()
+    met = dist.overlap_join(w, f, "endpoint")
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("% 3)") == 1
+    assert met.count() == 9
+
+
 def test_tracks_with_other_genes_are_an_error(spark, tmp_path):
     kind = "gene_idx long, bins array<float>"
     for name, genes in (("h5_0", range(6)), ("h5_2", range(6)), ("h5_10", [0, 1, 2, 3, 4, 9])):
